@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import shutil
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -10,6 +11,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import pyarrow.fs as fs
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -27,7 +29,7 @@ def shared_dir(spark: SparkSession) -> str:
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
         base = os.environ.setdefault("BARLOOM_SHARED_DIR", tempfile.mkdtemp(prefix="barloom-"))
-    return f"{base.rstrip('/')}/barloom-{uuid.uuid4().hex}"
+    return as_uri(f"{base.rstrip('/')}/barloom-{uuid.uuid4().hex}")
 
 
 def written(df: DataFrame, compression: str = "zstd") -> DataFrame:
@@ -111,3 +113,33 @@ def sum_by(values: np.ndarray, starts: np.ndarray) -> np.ndarray:
     """Sums of values over consecutive ranges that begin at starts[:-1]; 0 for empty ranges."""
     sums = np.concatenate((np.zeros((1, *values.shape[1:])), np.cumsum(values, axis=0, dtype=np.float64)))
     return sums[starts[1:]] - sums[starts[:-1]]
+
+
+def put_file(uri: str, *arrays: np.ndarray) -> None:
+    """Writes the arrays one after the other; a repeated task replaces the file by an equal one."""
+    files, path = fs.FileSystem.from_uri(uri)
+    files.create_dir(path.rpartition("/")[0], recursive=True)
+    part = f"{path}.{uuid.uuid4().hex}.tmp"
+    with files.open_output_stream(part) as out:
+        for x in arrays:
+            out.write(np.ascontiguousarray(x).data.cast("B") if x.size else b"")
+    files.move(part, path)
+
+
+def map_file(uri: str) -> np.memmap | None:
+    """The file's bytes, memory-mapped; None if there is none. A file in a store is copied and unlinked once mapped."""
+    files, path = fs.FileSystem.from_uri(uri)
+    info = files.get_file_info(path)
+    if info.type == fs.FileType.NotFound or not info.size:
+        return None
+    if isinstance(files, fs.LocalFileSystem):
+        return np.memmap(path, np.uint8, "r")
+    with tempfile.NamedTemporaryFile() as copy:
+        with files.open_input_stream(path) as source:
+            shutil.copyfileobj(source, copy)
+        copy.flush()
+        return np.memmap(copy.name, np.uint8, "r")
+
+
+def as_uri(path: str) -> str:
+    return path if "://" in path or path.startswith("file:") else f"file://{os.path.abspath(path)}"

@@ -6,16 +6,23 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from barloom.llm.common import documents
+from barloom.llm.common import documents, held
+from barloom.llm.lm import count_model, score_texts
 from barloom.llm.simhash import simhash_groups
 
 
+def op3_kneser_ney(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir)
+    model = count_model(docs.where(~held("doc_id", 7, 2)))
+    return score_texts(docs, model).withColumn("held_out", held("doc_id", 7, 2))
+
+
 def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_groups(documents(spark, sf_dir))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op9_simhash": op9_simhash}
+    return {"op3_kneser_ney": op3_kneser_ney, "op9_simhash": op9_simhash}
 
 
 def oracle_sql() -> dict[str, str]:
