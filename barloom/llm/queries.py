@@ -4,10 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from barloom.llm.common import documents, held
 from barloom.llm.lm import count_model, score_texts
+from barloom.llm.token_files import token_file_digests
 from barloom.llm.simhash import simhash_groups
 
 
@@ -17,12 +19,16 @@ def op3_kneser_ney(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score_texts(docs, model).withColumn("held_out", held("doc_id", 7, 2))
 
 
+def op5_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_file_digests(documents(spark, sf_dir), public_tokenizers.path("word_bpe_49k.json"))
+
+
 def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_groups(documents(spark, sf_dir))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op3_kneser_ney": op3_kneser_ney, "op9_simhash": op9_simhash}
+    return {"op3_kneser_ney": op3_kneser_ney, "op5_token_files": op5_token_files, "op9_simhash": op9_simhash}
 
 
 def oracle_sql() -> dict[str, str]:
