@@ -8,11 +8,18 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from barloom.llm.common import documents, held
+from barloom.llm.language import identify, train, training_texts
 from barloom.llm.lm import count_model, score_texts
 from barloom.llm.token_files import token_file_digests
 from barloom.llm.simhash import simhash_groups
 
 
+def op2_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir)
+    model = train(*training_texts(docs, ~held("doc_id", 5, 0)))
+    return identify(docs, model).withColumn("held_out", held("doc_id", 5, 0))
+
+
 def op3_kneser_ney(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir)
     model = count_model(docs.where(~held("doc_id", 7, 2)))
@@ -28,7 +35,7 @@ def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op3_kneser_ney": op3_kneser_ney, "op5_token_files": op5_token_files, "op9_simhash": op9_simhash}
+    return {"op2_language": op2_language, "op3_kneser_ney": op3_kneser_ney, "op5_token_files": op5_token_files, "op9_simhash": op9_simhash}
 
 
 def oracle_sql() -> dict[str, str]:
