@@ -13,6 +13,8 @@ from barloom.llm.lm import count_model, score_texts
 from barloom.llm.token_files import token_file_digests
 from barloom.llm.simhash import simhash_groups
 
+from barloom.llm import toxicity
+
 
 def op2_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir)
@@ -26,6 +28,12 @@ def op3_kneser_ney(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score_texts(docs, model).withColumn("held_out", held("doc_id", 7, 2))
 
 
+def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir)
+    model = toxicity.fit(*toxicity.training_rows(docs, documents(spark, sf_dir, "labels"), ~held("doc_id", 4, 2)))
+    return toxicity.score(docs, model, 0.3).withColumn("held_out", held("doc_id", 4, 2))
+
+
 def op5_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_file_digests(documents(spark, sf_dir), public_tokenizers.path("word_bpe_49k.json"))
 
@@ -35,7 +43,7 @@ def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op2_language": op2_language, "op3_kneser_ney": op3_kneser_ney, "op5_token_files": op5_token_files, "op9_simhash": op9_simhash}
+    return {"op2_language": op2_language, "op3_kneser_ney": op3_kneser_ney, "op4_toxicity": op4_toxicity, "op5_token_files": op5_token_files, "op9_simhash": op9_simhash}
 
 
 def oracle_sql() -> dict[str, str]:
