@@ -38,7 +38,8 @@ def features(column: pa.Array, bits: int) -> Iterator[tuple[np.ndarray, np.ndarr
     left = np.repeat(starts[1:] - 1, np.diff(starts)) - np.arange(len(raw))  # bytes from here to the text's end
     h = np.zeros(len(raw), np.uint32)
     for k in range(max(SIZES)):
-        h[: len(raw) - k] = (h[: len(raw) - k] ^ raw[k:]) * np.uint32(0x01000193) + np.uint32(0x9E3779B9)
+        live = h[: max(0, len(raw) - k)]
+        live[:] = (live ^ raw[k:]) * np.uint32(0x01000193) + np.uint32(0x9E3779B9)
         if k + 1 in SIZES:
             mixed = h ^ (h >> np.uint32(15))
             yield (mixed * np.uint32(0x85EBCA6B)) >> np.uint32(32 - bits), left > k, starts
