@@ -13,7 +13,7 @@ from barloom.llm.lm import count_model, score_texts
 from barloom.llm.token_files import token_file_digests
 from barloom.llm.simhash import simhash_groups
 
-from barloom.llm import toxicity
+from barloom.llm import licences, toxicity
 
 
 def op2_language(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -42,8 +42,12 @@ def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_groups(documents(spark, sf_dir))
 
 
+def op10_licences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licences.scan(documents(spark, sf_dir))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op2_language": op2_language, "op3_kneser_ney": op3_kneser_ney, "op4_toxicity": op4_toxicity, "op5_token_files": op5_token_files, "op9_simhash": op9_simhash}
+    return {"op2_language": op2_language, "op3_kneser_ney": op3_kneser_ney, "op4_toxicity": op4_toxicity, "op5_token_files": op5_token_files, "op9_simhash": op9_simhash, "op10_licences": op10_licences}
 
 
 def oracle_sql() -> dict[str, str]:
