@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from barloom.llm.common import documents, held
 from barloom.llm.language import identify, train, training_texts
@@ -13,7 +14,7 @@ from barloom.llm.lm import count_model, score_texts
 from barloom.llm.token_files import token_file_digests
 from barloom.llm.simhash import simhash_groups
 
-from barloom.llm import licences, toxicity
+from barloom.llm import licences, mixing, toxicity
 
 
 def op2_language(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -38,6 +39,15 @@ def op5_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_file_digests(documents(spark, sf_dir), public_tokenizers.path("word_bpe_49k.json"))
 
 
+# Source and topic shares go by the square root of their tokens, which lifts the small ones; languages by a milder power.
+MIX = {"source": 0.5, "lang": 0.7, "topic": 0.5}
+
+
+def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = mixing.mix(documents(spark, sf_dir), MIX)
+    return out.withColumn("probability", F.round("probability", 6))
+
+
 def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_groups(documents(spark, sf_dir))
 
@@ -47,8 +57,8 @@ def op10_licences(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op2_language": op2_language, "op3_kneser_ney": op3_kneser_ney, "op4_toxicity": op4_toxicity, "op5_token_files": op5_token_files, "op9_simhash": op9_simhash, "op10_licences": op10_licences}
+    return {"op2_language": op2_language, "op3_kneser_ney": op3_kneser_ney, "op4_toxicity": op4_toxicity, "op5_token_files": op5_token_files, "op6_mixing": op6_mixing, "op9_simhash": op9_simhash, "op10_licences": op10_licences}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op6_mixing": mixing.mix_sql(MIX)}
