@@ -14,7 +14,7 @@ from barloom.llm.lm import count_model, score_texts
 from barloom.llm.token_files import token_file_digests
 from barloom.llm.simhash import simhash_groups
 
-from barloom.llm import licences, mixing, toxicity
+from barloom.llm import licences, mixing, segment, toxicity
 
 
 def op2_language(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -48,6 +48,10 @@ def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.withColumn("probability", F.round("probability", 6))
 
 
+def op8_segmentations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return segment.segmentations(documents(spark, sf_dir), public_tokenizers.path("piece_bpe_32k.model"))
+
+
 def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_groups(documents(spark, sf_dir))
 
@@ -57,7 +61,7 @@ def op10_licences(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op2_language": op2_language, "op3_kneser_ney": op3_kneser_ney, "op4_toxicity": op4_toxicity, "op5_token_files": op5_token_files, "op6_mixing": op6_mixing, "op9_simhash": op9_simhash, "op10_licences": op10_licences}
+    return {"op2_language": op2_language, "op3_kneser_ney": op3_kneser_ney, "op4_toxicity": op4_toxicity, "op5_token_files": op5_token_files, "op6_mixing": op6_mixing, "op8_segmentations": op8_segmentations, "op9_simhash": op9_simhash, "op10_licences": op10_licences}
 
 
 def oracle_sql() -> dict[str, str]:
