@@ -12,6 +12,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -218,17 +219,33 @@ def identify(df: DataFrame, model: ByteGRU, id_col: str = "doc_id", text_col: st
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in pieces(batches, "text", 4 << 20):
-            texts = b.column(1).to_pylist()
-            ok = np.array([bool(t) and any(map(str.isalpha, t)) for t in texts], bool) & bool(model.labels)
-            if model.labels:
-                p, share = pooled(model, b.column(1))
-                best, at = p.argmax(axis=1), np.arange(len(p))
-                names, score, part = np.array(model.labels, object)[best], p[at, best], share[at, best]
-            else:
-                names, score, part = np.full(len(texts), UNDETERMINED, object), np.zeros(len(texts)), np.zeros(len(texts))
-            yield pa.record_batch(
-                [b.column(0), pa.array(np.where(ok, names, UNDETERMINED).tolist(), pa.string()), pa.array(np.where(ok, np.clip(score, 0, 1), 0.0)), pa.array(np.where(ok, part, 0.0))],
-                names=["doc_id", "lang_pred", "score", "share"],
-            )
+            yield pa.record_batch([b.column(0), *predict(model, b.column(1))], names=["doc_id", "lang_pred", "score", "share"])
 
     return df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, "doc_id long, lang_pred string, score double, share double")
+
+
+def predict(model: ByteGRU, column: pa.Array) -> list[pa.Array]:
+    """Label, probability and share of each text."""
+    texts = column.to_pylist()
+    ok = np.array([bool(t) and any(map(str.isalpha, t)) for t in texts], bool) & bool(model.labels)
+    if model.labels:
+        p, share = pooled(model, column)
+        best, at = p.argmax(axis=1), np.arange(len(p))
+        names, score, part = np.array(model.labels, object)[best], p[at, best], share[at, best]
+    else:
+        names, score, part = np.full(len(texts), UNDETERMINED, object), np.zeros(len(texts)), np.zeros(len(texts))
+    return [pa.array(np.where(ok, names, UNDETERMINED).tolist(), pa.string()), pa.array(np.where(ok, np.clip(score, 0, 1), 0.0)), pa.array(np.where(ok, part, 0.0))]
+
+
+def is_accepted(model: ByteGRU, least: float = 0.3, text_col: str = "text") -> Column:
+    """Whether a text has a language, of this probability at least; computed beside the row, without a join."""
+
+    @F.arrow_udf("boolean")
+    def accepted(column: pa.Array) -> pa.Array:
+        parts = []
+        for b in pieces(iter([pa.record_batch([column], names=["text"])]), "text", 4 << 20):
+            names, score, _ = predict(model, b.column(0))
+            parts.append(pc.and_(pc.not_equal(names, UNDETERMINED), pc.greater_equal(score, least)))
+        return pa.concat_arrays(parts) if parts else pa.array([], pa.bool_())
+
+    return accepted(F.col(text_col).cast("string"))

@@ -93,20 +93,36 @@ def uniform(id_col: str, seed: int) -> Column:
     return F.conv(F.substring(F.md5(F.concat_ws(":", F.lit(str(seed)), F.coalesce(F.col(id_col).cast("string"), F.lit(NONE)))), 1, 8), 16, 10).cast("double") / F.lit(float(1 << 32))
 
 
+def fitted_cells(rows: DataFrame, targets: Mapping[str, Mapping[str, float] | float], keep: float, rounds: int) -> tuple[DataFrame, bool]:
+    """The probability of each cell of measured() rows, as a written table, and whether it is small enough to broadcast."""
+    cells = written(rows.where("n_tokens > 0").groupBy(*DIMENSIONS).agg(F.sum("n_tokens").cast("double").alias("mass")))
+    few = cells.count() <= FEW_CELLS
+    return written(calibrated(rake(cells.coalesce(1) if few else cells, targets, rounds), keep).select(*DIMENSIONS, "weight", "probability")), few
+
+
 def mix(docs: DataFrame, targets: Mapping[str, Mapping[str, float] | float], keep: float = 0.5, rounds: int = 8, seed: int = 6) -> DataFrame:
     """Every document with its topic, tokens, the probability of its cell, and whether it is selected.
 
     Documents without words are never selected. Equal rows share one fate. An empty table gives an empty one.
     """
     rows = written(measured(docs))
-    cells = written(rows.where("n_tokens > 0").groupBy(*DIMENSIONS).agg(F.sum("n_tokens").cast("double").alias("mass")))
-    few = cells.count() <= FEW_CELLS
-    fitted = written(calibrated(rake(cells.coalesce(1) if few else cells, targets, rounds), keep).select(*DIMENSIONS, "weight", "probability"))
+    fitted, few = fitted_cells(rows, targets, keep, rounds)
     out = rows.join(F.broadcast(fitted) if few else fitted, list(DIMENSIONS), "left")
     p = F.when(F.col("n_tokens") > 0, F.coalesce("probability", F.lit(0.0))).otherwise(0.0)
     return out.select("doc_id", *DIMENSIONS, "n_tokens", p.alias("probability"), (uniform("doc_id", seed) < p).alias("selected"))
 
 
+def selected(docs: DataFrame, targets: Mapping[str, Mapping[str, float] | float], keep: float = 0.5, rounds: int = 8, seed: int = 6) -> DataFrame:
+    """The rows of docs that mix() selects, with all their columns."""
+    fitted, few = fitted_cells(measured(docs), targets, keep, rounds)
+    cells = fitted.select(*[F.col(d).alias(f"__{d}") for d in DIMENSIONS], F.col("probability").alias("__p"))
+    n = F.coalesce(F.regexp_count("text", F.lit(WORDS)), F.lit(0)).cast("long")
+    own = docs.withColumn("__n", n).where("__n > 0")
+    own = own.withColumns({"__own_source": F.coalesce(F.col("source").cast("string"), F.lit(NONE)), "__own_lang": F.coalesce(F.col("lang").cast("string"), F.lit(NONE)), "__own_topic": topic_of(F.col("text"), F.col("__n"))})
+    same = [own[f"__own_{d}"] == cells[f"__{d}"] for d in DIMENSIONS]
+    return own.join(F.broadcast(cells) if few else cells, same).where(uniform("doc_id", seed) < F.col("__p")).select(*docs.columns)
+
+
 def mix_sql(exponents: Mapping[str, float], keep: float = 0.5, rounds: int = 8, seed: int = 6, table: str = "documents") -> str:
     """The same in SQL, for targets given as exponents."""
     steps = [

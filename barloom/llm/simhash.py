@@ -262,3 +262,13 @@ def simhash_groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     comp = components(near_links(prints.where("rep is not null"), budget, leaf))
     named = prints.join(comp, prints["rep"] == comp["node"], "left").select("fp", F.coalesce("component", "rep").alias("component_id"))
     return table.join(named, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+def one_of_each(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3, budget: int = 2) -> DataFrame:
+    """The rows of df without near-duplicates: of each group the row of the least id stays, with all its columns.
+
+    Ids are keys: rows that repeat an id share one fate. Rows with a null id stay.
+    """
+    groups = simhash_groups(df, id_col, text_col, shingle, budget)
+    gone = groups.where("component_id <> doc_id").select(F.col("doc_id").alias("__gone")).distinct()
+    return df.join(gone, df[id_col].cast("long") == gone["__gone"], "left_anti")

@@ -129,11 +129,25 @@ def score(df: DataFrame, model: NgramModel, threshold: float = 0.3, id_col: str
     """doc_id, score and predicted of every row; null and empty texts score the intercept alone. Repeats stay repeats."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kept = model.weight != 0
         for b in pieces(batches, "text", 4 << 20):
-            text, f = present(b.column(1), model.bits, kept)
-            logit = model.intercept + np.bincount(text, model.weight[f], b.num_rows)
-            p = 1 / (1 + np.exp(-np.clip(logit, -30, 30)))
+            p = probabilities(model, b.column(1))
             yield pa.record_batch([b.column(0), pa.array(p), pa.array((p >= threshold).astype(np.int32))], names=["doc_id", "score", "predicted"])
 
     return df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, "doc_id long, score double, predicted int")
+
+
+def probabilities(model: NgramModel, column: pa.Array) -> np.ndarray:
+    text, f = present(column, model.bits, model.weight != 0)
+    logit = model.intercept + np.bincount(text, model.weight[f], len(column))
+    return 1 / (1 + np.exp(-np.clip(logit, -30, 30)))
+
+
+def is_accepted(model: NgramModel, threshold: float = 0.3, text_col: str = "text") -> Column:
+    """Whether a text's score is below the threshold; computed beside the row, without a join."""
+
+    @F.arrow_udf("boolean")
+    def accepted(column: pa.Array) -> pa.Array:
+        parts = [probabilities(model, b.column(0)) < threshold for b in pieces(iter([pa.record_batch([column], names=["text"])]), "text", 4 << 20)]
+        return pa.array(np.concatenate(parts) if parts else np.zeros(0, bool))
+
+    return accepted(F.col(text_col).cast("string"))
