@@ -12,6 +12,7 @@ from barloom.llm.common import documents, held
 from barloom.llm.language import identify, train, training_texts
 from barloom.llm.lm import count_model, score_texts
 from barloom.llm.token_files import token_file_digests
+from barloom.llm.mtree import top_inner_products
 from barloom.llm.simhash import simhash_groups
 
 from barloom.llm import licences, mixing, segment, toxicity
@@ -48,6 +49,10 @@ def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.withColumn("probability", F.round("probability", 6))
 
 
+def op7_mtree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return top_inner_products(documents(spark, sf_dir, "embeddings"))
+
+
 def op8_segmentations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return segment.segmentations(documents(spark, sf_dir), public_tokenizers.path("piece_bpe_32k.model"))
 
@@ -61,7 +66,7 @@ def op10_licences(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op2_language": op2_language, "op3_kneser_ney": op3_kneser_ney, "op4_toxicity": op4_toxicity, "op5_token_files": op5_token_files, "op6_mixing": op6_mixing, "op8_segmentations": op8_segmentations, "op9_simhash": op9_simhash, "op10_licences": op10_licences}
+    return {"op2_language": op2_language, "op3_kneser_ney": op3_kneser_ney, "op4_toxicity": op4_toxicity, "op5_token_files": op5_token_files, "op6_mixing": op6_mixing, "op7_mtree": op7_mtree, "op8_segmentations": op8_segmentations, "op9_simhash": op9_simhash, "op10_licences": op10_licences}
 
 
 def oracle_sql() -> dict[str, str]:
