@@ -15,7 +15,13 @@ from barloom.llm.token_files import token_file_digests
 from barloom.llm.mtree import top_inner_products
 from barloom.llm.simhash import simhash_groups
 
-from barloom.llm import licences, mixing, segment, toxicity
+from barloom.llm import audio, licences, mixing, segment, toxicity
+
+
+def op1_chroma(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The turns of all conversations, played as music: no table holds recordings, so Spark renders them from texts."""
+    turns = documents(spark, sf_dir, "conversations").withColumn("rec", F.col("conv_id") * 1_000_000 + F.col("turn"))
+    return audio.aligned(audio.fingerprints(turns, "rec", "text", decode=audio.melody, most=64 << 10))
 
 
 def op2_language(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -66,7 +72,7 @@ def op10_licences(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op2_language": op2_language, "op3_kneser_ney": op3_kneser_ney, "op4_toxicity": op4_toxicity, "op5_token_files": op5_token_files, "op6_mixing": op6_mixing, "op7_mtree": op7_mtree, "op8_segmentations": op8_segmentations, "op9_simhash": op9_simhash, "op10_licences": op10_licences}
+    return {"op1_chroma": op1_chroma, "op2_language": op2_language, "op3_kneser_ney": op3_kneser_ney, "op4_toxicity": op4_toxicity, "op5_token_files": op5_token_files, "op6_mixing": op6_mixing, "op7_mtree": op7_mtree, "op8_segmentations": op8_segmentations, "op9_simhash": op9_simhash, "op10_licences": op10_licences}
 
 
 def oracle_sql() -> dict[str, str]:
