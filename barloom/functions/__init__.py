@@ -1 +1 @@
-"""See README.md for what lives in this subpackage."""
+"""Column helpers over windows of one symbol."""

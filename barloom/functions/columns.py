@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import math
+from functools import reduce
+from operator import and_
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -21,6 +23,12 @@ def require_columns(df: DataFrame, names: list[str], step: str = "an earlier ste
         raise KeyError(f"missing columns {missing}; run {step} first")
 
 
+def present(df: DataFrame, names: list[str]) -> DataFrame:
+    """Rows in which all these columns have a value. One condition a column, because the optimiser tries every mixture of
+    columns and their definitions in a condition over many, as dropna makes it."""
+    return df.where(reduce(and_, [F.col(n).isNotNull() for n in names]))
+
+
 def ratio(a: Column, b: Column) -> Column:
     """a / b, null where b is 0."""
     return a / F.nullif(b, F.lit(0.0))

@@ -1 +1 @@
-"""See README.md for what lives in this subpackage."""
+"""Indicators, as-of join, labels, signals and walk-forward validation."""

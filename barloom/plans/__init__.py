@@ -1 +1 @@
-"""See README.md for what lives in this subpackage."""
+"""The five steps and the report tables."""

@@ -1,15 +1,11 @@
 """The five steps. Each drops rows and only then the next one's windows count rows, so the steps are not fused.
-
-Steps 1 to 3 keep their result (persist, spilling to disk): each feeds several consumers, and the optimiser's work on
-one step's expressions ends there.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
-from barloom.functions.columns import DATE, SYMBOL
+from barloom.functions.columns import DATE, SYMBOL, present
 from barloom.operators.asof import asof_backward
 from barloom.operators.domain import add_overheat_features, add_relative_indicators, detect_rsi_bullish_divergence
 from barloom.operators.indicators import WEEKLY, add_daily_features, add_weekly_features, add_wick_features
@@ -19,8 +15,7 @@ from barloom.sources.bars import OHLCV, weekly_bars
 
 STEP1 = [*OHLCV, "atr14", "bb_pct_b", "rsi14", "ma25", "ma75", "dev_ma25", "dev_ma75", "range_vs_atr", "mom5", "mom20", "mom_accel", "upper_wick_ratio", "lower_wick_ratio", "upper_wick_body_ratio", "lower_wick_body_ratio", "candle_dir", *WEEKLY]
 
-# What can be missing at the end of each step. Every other column is missing only where one of these is; naming these few
-# keeps the optimiser from inferring constraints over all columns, which takes it longer than the query.
+# What can be missing at the end of each step; every other column is missing only where one of these is.
 MISSING1 = [*OHLCV, "bb_pct_b", "rsi14", "dev_ma25", "dev_ma75", "range_vs_atr", "mom_accel", "upper_wick_ratio", "upper_wick_body_ratio", "weekly_ma5_slope", "weekly_ma13_slope"]
 MISSING2 = ["dev_ma25_zscore", "dev_ma75_zscore", "atr_dev_ma25"]
 
@@ -32,17 +27,17 @@ def build_step1(daily: DataFrame, weekly: DataFrame | None = None) -> DataFrame:
     """
     week = add_weekly_features(weekly if weekly is not None else weekly_bars(daily))
     features = add_wick_features(add_daily_features(daily))
-    return asof_backward(features, week, SYMBOL, DATE, "week_end", WEEKLY).select(SYMBOL, DATE, *STEP1).dropna(subset=MISSING1).persist()
+    return present(asof_backward(features, week, SYMBOL, DATE, "week_end", WEEKLY).select(SYMBOL, DATE, *STEP1), MISSING1)
 
 
 def build_step2(step1: DataFrame, zscore_window: int = 60, divergence_lookback: int = 20, overheat_threshold: float = 2.0) -> DataFrame:
     out = detect_rsi_bullish_divergence(add_relative_indicators(step1, zscore_window), divergence_lookback)
-    return add_overheat_features(out, overheat_threshold).dropna(subset=MISSING2).persist()
+    return present(add_overheat_features(out, overheat_threshold), MISSING2)
 
 
 def build_step3(step2: DataFrame, spec: BarrierSpec = BarrierSpec()) -> DataFrame:
     out = apply_forward_drawdown(apply_triple_barrier(step2, spec), spec.holding_period, spec.drawdown_threshold)
-    return out.dropna(subset=["tb_label", "avoid_entry_flag"]).persist()
+    return present(out, ["tb_label", "avoid_entry_flag"])
 
 
 def build_step5(step3: DataFrame, rsi_lookback: int = 5, dev_lookback: int = 5) -> DataFrame:

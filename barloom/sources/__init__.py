@@ -1 +1 @@
-"""See README.md for what lives in this subpackage."""
+"""Ticks and bars in, step tables out."""

@@ -1 +1 @@
-"""See README.md for what lives in this subpackage."""
+"""Bars of tick streams."""
