@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 
 from barloom.llm.common import written
 
-PAGE = 128  # entries of a leaf page, and most children of an inner node
+PAGE = 512  # entries of a leaf page
 SLACK = 1e-6  # relative room for rounding in distances; scores themselves are exact integers
 
 
@@ -41,7 +41,8 @@ class MTree:
     def __init__(self, points: np.ndarray, page: int = PAGE) -> None:
         self.points, self.page = points, page
         self.nodes: list[dict] = []
-        self.root = self._build(np.arange(len(points)), points[0] if len(points) else None) if len(points) else None
+        self.root = self._build(np.arange(len(points)), points[0]) if len(points) else None
+        self.points = None  # leaves hold their own
         self.computed = 0  # distances that searches computed
 
     def _build(self, members: np.ndarray, center: np.ndarray) -> int:
@@ -50,7 +51,7 @@ class MTree:
         self.nodes.append(node)
         number = len(self.nodes) - 1
         if len(members) <= self.page or d.max() == 0:
-            node["leaf"], node["far"] = members, d
+            node["leaf"], node["far"], node["vectors"] = members, d, np.ascontiguousarray(self.points[members, :-1])
             return number
         # seeds far from one another, then each member to its nearest seed
         seeds, near = [int(d.argmax())], np.full(len(members), np.inf)
@@ -78,7 +79,7 @@ class MTree:
         `floor` may be left out. query: lifted. ids: of each point, ascending, k at most."""
         if self.root is None:
             return []
-        q2 = float(query @ query)
+        q2, plain = float(query @ query), np.ascontiguousarray(query[:-1])
         bound = lambda: np.sqrt(max(q2 + m - 2 * worst, 0.0)) * (1 + SLACK) + SLACK
         best: list[tuple[float, int]] = []  # heap of (score, -id): its head is the k-th
         worst = floor
@@ -93,10 +94,13 @@ class MTree:
                 break
             node = self.nodes[number]
             if "leaf" in node:
-                live = np.flatnonzero(np.abs(d - node["far"]) <= reach)
-                self.computed += len(live)
-                members = node["leaf"][live]
-                scores = np.rint(self.points[members, :-1] @ query[:-1])
+                live = np.abs(d - node["far"]) <= reach
+                n = int(live.sum())
+                self.computed += n
+                members, vectors = node["leaf"], node["vectors"]
+                if 2 * n < len(live):  # else one product over the whole page is cheaper than copying rows out of it
+                    members, vectors = members[live], vectors[live]
+                scores = np.rint(vectors @ plain)
                 hopeful = np.flatnonzero(scores >= worst)
                 for j in hopeful[np.argsort(-scores[hopeful], kind="stable")].tolist():
                     for one in ids[members[j]].tolist():
