@@ -250,3 +250,12 @@ def top_inner_products(df: DataFrame, k: int = 20, every: int = 20, scale: int =
     own = table.where(F.col("vec_id") % every == 0).select(F.col("vec_id").alias("query_id"), "vec")
     ranked = own.join(best, "vec").where("id <> query_id").withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(*order)))
     return ranked.where(F.col("rank") <= k).select("query_id", "rank", F.col("id").alias("vec_id"), "score")
+
+
+def top_inner_products_sql(k: int = 20, every: int = 20, scale: int = 64, table: str = "embeddings") -> str:
+    """The same by brute force in SQL, for vectors of one length without nulls inside."""
+    return f"""WITH v AS (SELECT DISTINCT vec_id, list_transform(embedding, lambda x: floor({scale} * CAST(x AS DOUBLE))) AS e FROM {table} WHERE vec_id IS NOT NULL AND embedding IS NOT NULL
+  AND len(list_filter(embedding, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0),
+s AS (SELECT q.vec_id AS query_id, c.vec_id, CAST(list_inner_product(q.e, c.e) AS BIGINT) AS score FROM v q JOIN v c ON q.vec_id <> c.vec_id WHERE q.vec_id % {every} = 0),
+r AS (SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank, vec_id, score FROM s)
+SELECT query_id, rank, vec_id, score FROM r WHERE rank <= {k}"""

@@ -8,14 +8,13 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from barloom.llm import audio, licences, mixing, segment, toxicity
 from barloom.llm.common import documents, held
 from barloom.llm.language import identify, train, training_texts
 from barloom.llm.lm import count_model, score_texts
-from barloom.llm.token_files import token_file_digests
-from barloom.llm.mtree import top_inner_products
+from barloom.llm.mtree import top_inner_products, top_inner_products_sql
 from barloom.llm.simhash import simhash_groups
-
-from barloom.llm import audio, licences, mixing, segment, toxicity
+from barloom.llm.token_files import token_file_digests
 
 
 def op1_chroma(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -76,4 +75,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op6_mixing": mixing.mix_sql(MIX)}
+    return {"op6_mixing": mixing.mix_sql(MIX), "op7_mtree": top_inner_products_sql()}

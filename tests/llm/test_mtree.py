@@ -35,6 +35,14 @@ def test_query_equals_brute_force(spark):
     assert sorted(map(tuple, got)) == brute(ids, x, 20)
 
 
+def test_query_equals_sql(spark):
+    from barloom.llm.queries import op7_mtree
+    from oracle import check, connection
+
+    path = "/root/testdata/sf0.01"
+    assert check(op7_mtree(spark, path), connection(path), M.top_inner_products_sql()) == 500
+
+
 def test_copies_ties_and_unusable_rows(spark):
     rng = np.random.default_rng(2)
     x = np.concatenate((np.tile(rng.normal(size=(1, 4)), (90, 1)), np.round(rng.normal(size=(60, 4)))))
