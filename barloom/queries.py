@@ -13,7 +13,7 @@ from barloom.operators.asof import asof_backward
 from barloom.plans import reports
 from barloom.plans.steps import STEP1, build_step1, build_step2, build_step3, build_step5
 from barloom.sources import bars as source
-from barloom.sql import query, rounded
+from barloom.sql import EXACT, query, rounded
 
 ATR, PCT = labels.BarrierSpec(), labels.BarrierSpec(mode="fixed_pct")
 FLOATS1 = [c for c in STEP1 if c not in ("candle_dir", "weekly_trend")]
@@ -48,7 +48,7 @@ def step5(spark: SparkSession, d: str) -> DataFrame:
 
 
 def shown(df: DataFrame, keys: list[str], same: list[str] = (), floats: list[str] = ()) -> DataFrame:
-    return df.select(*keys, *same, *[F.round(c, 6).alias(c) for c in floats])
+    return df.select(*keys, *same, *[F.col(c) if c in EXACT else F.round(c, 6).alias(c) for c in floats])
 
 
 KEY = [SYMBOL, DATE]
@@ -79,8 +79,8 @@ def vendor_sheet(spark: SparkSession, d: str) -> DataFrame:
 
 register(
     "vendor_clean",
-    lambda s, d: source.clean(vendor_sheet(s, d)).groupBy(KEY).agg(F.count("*").alias("n"), F.round(F.sum("close"), 6).alias("closes"), F.sum("volume").alias("volume")),
-    "SELECT l_returnflag AS symbol, CAST(l_shipdate AS DATE) AS dt, count(*) AS n, round(sum(CAST(l_extendedprice AS DOUBLE) / CAST(l_quantity AS DOUBLE)), 6) AS closes, CAST(sum(l_quantity) AS DOUBLE) AS volume FROM lineitem WHERE l_linenumber NOT IN (1, 2) GROUP BY 1, 2",
+    lambda s, d: source.clean(vendor_sheet(s, d)).groupBy(KEY).agg(F.count("*").alias("n"), F.max("close").alias("highest"), F.sum("volume").alias("volume")),
+    "SELECT l_returnflag AS symbol, CAST(l_shipdate AS DATE) AS dt, count(*) AS n, max(CAST(l_extendedprice AS DOUBLE) / CAST(l_quantity AS DOUBLE)) AS highest, CAST(sum(l_quantity) AS DOUBLE) AS volume FROM lineitem WHERE l_linenumber NOT IN (1, 2) GROUP BY 1, 2",
 )
 table("bars_daily", daily, "bars", floats=OHLCV)
 register("repeated_keys", lambda s, d: source.repeated_keys(source.ticks_of_lineitem(lines(s, d))), "SELECT l_returnflag AS symbol, CAST(l_shipdate AS DATE) AS dt, count(*) AS n FROM lineitem GROUP BY 1, 2 HAVING count(*) > 1")
@@ -93,20 +93,20 @@ table("step1_stored_weekly", lambda s, d: build_step1(daily(s, d), source.weekly
 # C: windows
 register(
     "window_shifts",
-    lambda s, d: daily(s, d).select(*KEY, F.round(lag("close"), 6).alias("shift1"), F.round(lag("close", 5), 6).alias("shift5"), F.round(F.col("close") - lag("close"), 6).alias("diff"), *[F.round(pct_change("close", k), 6).alias(f"pct{k}") for k in (1, 5, 20)]),
-    query("SELECT symbol, dt, round(lag(close) OVER w, 6) AS shift1, round(lag(close, 5) OVER w, 6) AS shift5, round(close - lag(close) OVER w, 6) AS diff, " + ", ".join(f"round(close / nullif(lag(close, {k}) OVER w, 0) - 1, 6) AS pct{k}" for k in (1, 5, 20)) + " FROM bars WINDOW w AS (PARTITION BY symbol ORDER BY dt)"),
+    lambda s, d: daily(s, d).select(*KEY, lag("close").alias("shift1"), lag("close", 5).alias("shift5"), (F.col("close") - lag("close")).alias("diff"), *[F.round(pct_change("close", k), 6).alias(f"pct{k}") for k in (1, 5, 20)]),
+    query("SELECT symbol, dt, lag(close) OVER w AS shift1, lag(close, 5) OVER w AS shift5, close - lag(close) OVER w AS diff, " + ", ".join(f"round(close / nullif(lag(close, {k}) OVER w, 0) - 1, 6) AS pct{k}" for k in (1, 5, 20)) + " FROM bars WINDOW w AS (PARTITION BY symbol ORDER BY dt)"),
 )
 register(
     "window_rolling",
-    lambda s, d: daily(s, d).select(*KEY, *[F.round(rolling_mean("close", n), 6).alias(f"mean{n}") for n in (5, 13, 20, 60)], *[F.round(rolling_std("close", n), 6).alias(f"std{n}") for n in (20, 60)], F.round(rolling(F.min, "low", 5, -1), 6).alias("min5_before")),
-    query("SELECT symbol, dt, " + ", ".join([f"round(CASE WHEN count(close) OVER w{n} = {n} THEN {f}(close) OVER w{n} END, 6) AS {a}{n}" for f, a, ns in (("avg", "mean", (5, 13, 20, 60)), ("stddev_samp", "std", (20, 60))) for n in ns] + ["round(CASE WHEN count(low) OVER b = 5 THEN min(low) OVER b END, 6) AS min5_before"]) + " FROM bars WINDOW " + ", ".join([f"w{n} AS (PARTITION BY symbol ORDER BY dt ROWS BETWEEN {n - 1} PRECEDING AND CURRENT ROW)" for n in (5, 13, 20, 60)] + ["b AS (PARTITION BY symbol ORDER BY dt ROWS BETWEEN 5 PRECEDING AND 1 PRECEDING)"])),
+    lambda s, d: daily(s, d).select(*KEY, *[F.round(rolling_mean("close", n), 6).alias(f"mean{n}") for n in (5, 13, 20, 60)], *[F.round(rolling_std("close", n), 6).alias(f"std{n}") for n in (20, 60)], rolling(F.min, "low", 5, -1).alias("min5_before")),
+    query("SELECT symbol, dt, " + ", ".join([f"round(CASE WHEN count(close) OVER w{n} = {n} THEN {f}(close) OVER w{n} END, 6) AS {a}{n}" for f, a, ns in (("avg", "mean", (5, 13, 20, 60)), ("stddev_samp", "std", (20, 60))) for n in ns] + ["CASE WHEN count(low) OVER b = 5 THEN min(low) OVER b END AS min5_before"]) + " FROM bars WINDOW " + ", ".join([f"w{n} AS (PARTITION BY symbol ORDER BY dt ROWS BETWEEN {n - 1} PRECEDING AND CURRENT ROW)" for n in (5, 13, 20, 60)] + ["b AS (PARTITION BY symbol ORDER BY dt ROWS BETWEEN 5 PRECEDING AND 1 PRECEDING)"])),
 )
 register("window_ewm", lambda s, d: daily(s, d).select(*KEY, F.round(ewm("volume"), 6).alias("ewm")), query("SELECT symbol, dt, round(list_reduce(list(volume) OVER (PARTITION BY symbol ORDER BY dt ROWS BETWEEN 290 PRECEDING AND CURRENT ROW), lambda a, x: a * 0.8666666666666667 + x * 0.13333333333333333), 6) AS ewm FROM bars"))
 register("window_ewm_blocks", lambda s, d: ewm_blocks(daily(s, d), "volume", "ewm").select(*KEY, F.round("ewm", 6).alias("ewm")), FOUND["window_ewm"][1])
 register(
     "window_forward",
-    lambda s, d: daily(s, d).select(*KEY, F.round(F.min("low").over(rows().rowsBetween(1, 10)), 6).alias("low_ahead"), (F.count("*").over(rows().rowsBetween(1, 10)) == 10).alias("complete")),
-    query("SELECT symbol, dt, round(min(low) OVER w, 6) AS low_ahead, count(*) OVER w = 10 AS complete FROM bars WINDOW w AS (PARTITION BY symbol ORDER BY dt ROWS BETWEEN 1 FOLLOWING AND 10 FOLLOWING)"),
+    lambda s, d: daily(s, d).select(*KEY, F.min("low").over(rows().rowsBetween(1, 10)).alias("low_ahead"), (F.count("*").over(rows().rowsBetween(1, 10)) == 10).alias("complete")),
+    query("SELECT symbol, dt, min(low) OVER w AS low_ahead, count(*) OVER w = 10 AS complete FROM bars WINDOW w AS (PARTITION BY symbol ORDER BY dt ROWS BETWEEN 1 FOLLOWING AND 10 FOLLOWING)"),
 )
 # D: indicators
 table("true_range_gain_loss", lambda s, d: indicators.add_gain_loss(indicators.add_true_range(daily(s, d))), "moves", floats=["true_range", "gain", "loss"])
@@ -140,10 +140,10 @@ HISTOGRAM = """SELECT {by}bin, round(min(lo + bin * ((hi - lo) / {bins})), 6) AS
 # values are rounded first, so that both engines cut the same numbers
 register("return_histogram", lambda s, d: shown(reports.histogram(step3(s, d), F.round(F.col("tb_return") * 100, 6), 40), ["bin"], ["n"], ["low"]), query(HISTOGRAM.format(by="", bins=40, last=39, part="", source="SELECT round(tb_return * 100, 6) AS x FROM atr_step3")))
 table("panels_step1", lambda s, d: reports.step1_panels(step1(s, d)), "(SELECT *, weekly_trend = 1 AS uptrend FROM step1)", ["uptrend"], ["close", "ma25", "ma75", "volume", "rsi14", "bb_pct_b", "atr14", "mom5", "mom20"])
-register("markers_step2", lambda s, d: shown(reports.step2_markers(step2(s, d)), [*KEY, "marker"], floats=["close", "zscore_clipped"]), query(" UNION ALL ".join(f"SELECT symbol, dt, '{k}' AS marker, round(close, 6) AS close, round(greatest(-2.0, least(2.0, dev_ma25_zscore)), 6) AS zscore_clipped FROM step2 WHERE {c} = 1" for k, c in (("divergence", "rsi_bullish_divergence"), ("pump", "is_likely_temporary_pump"), ("overbought", "is_overbought_heat"), ("oversold", "is_oversold_heat")))))
+register("markers_step2", lambda s, d: shown(reports.step2_markers(step2(s, d)), [*KEY, "marker"], floats=["close", "zscore_clipped"]), query(" UNION ALL ".join(f"SELECT symbol, dt, '{k}' AS marker, close, round(greatest(-2.0, least(2.0, dev_ma25_zscore)), 6) AS zscore_clipped FROM step2 WHERE {c} = 1" for k, c in (("divergence", "rsi_bullish_divergence"), ("pump", "is_likely_temporary_pump"), ("overbought", "is_overbought_heat"), ("oversold", "is_oversold_heat")))))
 table("points_step3", lambda s, d: reports.step3_points(step3(s, d)), "(SELECT *, tb_label = 1 AS win, avoid_entry_flag = 1 AS avoid, tb_return * 100 AS return_pct, forward_max_drawdown * 100 AS drawdown_pct FROM atr_step3)", ["win", "avoid", "tb_barrier"], ["close", "return_pct", "drawdown_pct"])
 table("points_step5", lambda s, d: reports.step5_points(step5(s, d)), "(SELECT *, assist_signal = '強気' AS bullish, assist_signal = '警戒' AS caution FROM step5)", ["bullish", "caution"], ["close"])
-register("head_step5", lambda s, d: shown(reports.head(step5(s, d)), KEY, ["assist_signal"], ["close"]), query("SELECT symbol, dt, assist_signal, round(close, 6) AS close FROM step5 ORDER BY symbol, dt LIMIT 5"))
+register("head_step5", lambda s, d: shown(reports.head(step5(s, d)), KEY, ["assist_signal"], ["close"]), query("SELECT symbol, dt, assist_signal, close FROM step5 ORDER BY symbol, dt LIMIT 5"))
 
 
 # G: walk-forward; a fixed rule stands in for the model where SQL checks what follows it
@@ -165,7 +165,7 @@ register("metrics_long", lambda s, d: shown(reports.step4_metrics_long(walkforwa
 register("confusion", lambda s, d: reports.confusion(standin(s, d)), query("SELECT t AS y_true, p AS y_pred, (SELECT count(*) FROM standin WHERE y_true = t AND y_pred = p) AS n FROM (VALUES (0, 0), (0, 1), (1, 0), (1, 1)) v(t, p)"))
 register("probability_histogram", lambda s, d: shown(reports.probability_histogram(standin(s, d)), ["correct", "bin"], ["n"], ["low"]), query(HISTOGRAM.format(by="correct, ", bins=20, last=19, part="PARTITION BY correct", source="SELECT y_true = y_pred AS correct, y_proba AS x FROM standin")))
 register("fold_starts", lambda s, d: reports.fold_starts(standin(s, d)), query("SELECT fold, min(dt) AS first_date FROM standin GROUP BY 1"))
-register("prices_with_probability", lambda s, d: shown(reports.step4_prices(step3(s, d), standin(s, d)), KEY, ["fold"], ["close", "y_proba"]), query("SELECT a.symbol, a.dt, s.fold, round(a.close, 6) AS close, round(s.y_proba, 6) AS y_proba FROM atr_step3 a LEFT JOIN standin s ON a.symbol = s.symbol AND a.dt = s.dt"))
+register("prices_with_probability", lambda s, d: shown(reports.step4_prices(step3(s, d), standin(s, d)), KEY, ["fold"], ["close", "y_proba"]), query("SELECT a.symbol, a.dt, s.fold, a.close, round(s.y_proba, 6) AS y_proba FROM atr_step3 a LEFT JOIN standin s ON a.symbol = s.symbol AND a.dt = s.dt"))
 register(
     "top_importance",
     lambda s, d: reports.top(walkforward.mean_importance(step3(s, d).unpivot(["tb_label"], ["mom5", "mom20", "bb_pct_b", "dev_ma25"], "feature", "x").groupBy("feature").agg(F.round(F.abs(F.corr("x", "tb_label")), 6).alias("importance"))), "importance", 3),

@@ -123,7 +123,12 @@ def query(select: str) -> str:
     return f"WITH {parts}\n{select}" if parts else select
 
 
+# Prices and sums of whole numbers, and their plain differences, are the same in any engine; they are compared unrounded,
+# as many lie half-way between two roundings.
+EXACT = {"open", "high", "low", "close", "volume", "true_range", "gain", "loss"}
+
+
 def rounded(keys: str, ints: str = "", floats: str = "", source: str = "") -> str:
-    """keys and ints as they are, floats rounded to six places."""
-    columns = [c for c in f"{keys} {ints}".split()] + [f"round({c}, 6) AS {c}" for c in floats.split()]
+    """keys and ints as they are, floats rounded to six places unless they are exact."""
+    columns = [c for c in f"{keys} {ints}".split()] + [c if c in EXACT else f"round({c}, 6) AS {c}" for c in floats.split()]
     return query(f"SELECT {', '.join(columns)} FROM {source}")
