@@ -385,7 +385,7 @@ def segmentations(df: DataFrame, model: str, k: int = 2, seed: int = 8, by_rank:
         if (model, by_rank) not in _LOADED:
             _LOADED[model, by_rank] = load(model, by_rank)
         vocabulary = _LOADED[model, by_rank]
-        for b in pieces(batches, "text", 2 << 20):
+        for b in pieces(batches, "text", 1 << 20):
             doc_ids = b.column(0)
             keys = np.where(doc_ids.is_valid().to_numpy(zero_copy_only=False), mixed(doc_ids.fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64)), NULL_KEY)
             *draws, (threshold,) = list(sample(vocabulary, b.column(1), keys, k, seed))
