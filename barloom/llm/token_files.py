@@ -154,7 +154,7 @@ def encoded(df: DataFrame, tokenizer: str, end_id: int, id_col: str = "doc_id",
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = _encoder(tokenizer)
         width = 2 if max(encoder.tokenizer.get_vocab_size(), end_id + 1) <= 1 << 16 else 4
-        for b in pieces(batches, "text"):
+        for b in pieces(batches, "text", 3 << 20):
             ids, at = encoder.encode(b.column(1), end_id)
             ids = ids.astype(f"<u{width}")
             blobs = [packed(ids[i:j].tobytes()) for i, j in zip(at[:-1].tolist(), at[1:].tolist(), strict=True)]
