@@ -53,21 +53,16 @@ class MTree:
         if len(members) <= self.page or d.max() == 0:
             node["leaf"], node["far"], node["vectors"] = members, d, np.ascontiguousarray(self.points[members, :-1])
             return number
-        # seeds far from one another, then each member to its nearest seed
-        seeds, near = [int(d.argmax())], np.full(len(members), np.inf)
-        while len(seeds) < min(16, -(-2 * len(members) // self.page)):
-            near = np.minimum(near, _distances(self.points[members], self.points[members[seeds[-1:]]])[:, 0])
-            if near.max() == 0:
-                break
-            seeds.append(int(near.argmax()))
+        # random seeds, then each member to its nearest seed; distances are let go before the children are built
+        seeds = np.random.default_rng(len(members)).choice(len(members), min(16, -(-2 * len(members) // self.page)), replace=False)
         owner = _distances(self.points[members], self.points[members[seeds]]).argmin(axis=1)
+        parts = [(members[owner == k], members[s], float(d[s])) for k, s in enumerate(seeds.tolist()) if (owner == k).any()]
+        del owner, d
         children = []
-        for k, s in enumerate(seeds):
-            part = members[owner == k]
-            if len(part):
-                child = self._build(part, self.points[members[s]])
-                self.nodes[child]["parent"] = float(d[s])
-                children.append(child)
+        for part, seed, far in parts:
+            child = self._build(part, self.points[seed])
+            self.nodes[child]["parent"] = far
+            children.append(child)
         node["children"] = np.array(children)
         node["centers"] = np.stack([self.nodes[c]["center"] for c in children])
         node["radii"] = np.array([self.nodes[c]["radius"] for c in children])
