@@ -71,8 +71,8 @@ def xxh64(data: bytes, begin: np.ndarray, end: np.ndarray, seed: int = 42) -> np
         return h ^ (h >> np.uint64(32))
 
 
-def fingerprints(column: pa.Array, shingle: int = 3) -> np.ndarray:
-    """The 64-bit SimHash of each text's word shingles, repeats included; 0 if it has no word."""
+def shingle_hashes(column: pa.Array, shingle: int) -> tuple[np.ndarray, np.ndarray]:
+    """XXH64 of each word shingle of all texts, repeats included, and where each text's begin, with the end of all."""
     data, starts = joined(column)
     raw = LOWER[np.frombuffer(data, np.uint8)]
     begin, end, first = spans(~SPACE[raw], starts)
@@ -87,8 +87,14 @@ def fingerprints(column: pa.Array, shingle: int = 3) -> np.ndarray:
     at = np.concatenate(([0], np.cumsum(count)))
     head = np.arange(at[-1]) - np.repeat(at[:-1] - first[:-1], count)
     tail = np.minimum(head + shingle, np.repeat(first[1:], count))
-    hashes = xxh64(flat.tobytes(), place[head], place[tail] - 1)
-    out = np.zeros(len(words), np.uint64)
+    return xxh64(flat.tobytes(), place[head], place[tail] - 1), at
+
+
+def fingerprints(column: pa.Array, shingle: int = 3) -> np.ndarray:
+    """The 64-bit SimHash of each text's word shingles, repeats included; 0 if it has no word."""
+    hashes, at = shingle_hashes(column, shingle)
+    count = np.diff(at)
+    out = np.zeros(len(count), np.uint64)
     some = np.flatnonzero(count)
     if not some.size:
         return out

@@ -9,7 +9,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from barloom.llm import language, mixing, segment, simhash, toxicity
+from barloom.llm import language, mixing, segment, similar, toxicity
 from barloom.llm.common import documents, held, written
 from barloom.llm.queries import MIX
 
@@ -29,8 +29,8 @@ def civil(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def distinct(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near-duplicates the document of the least id stays."""
-    return simhash.one_of_each(docs)
+    """Of each group of near-copies (Jaccard similarity of five-word shingles 0.8 or more) the document of the least id stays."""
+    return similar.one_of_each(docs, shingle=5, least="0.8")
 
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
