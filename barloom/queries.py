@@ -171,9 +171,17 @@ register(
     lambda s, d: reports.top(walkforward.mean_importance(step3(s, d).unpivot(["tb_label"], ["mom5", "mom20", "bb_pct_b", "dev_ma25"], "feature", "x").groupBy("feature").agg(F.round(F.abs(F.corr("x", "tb_label")), 6).alias("importance"))), "importance", 3),
     query("SELECT * FROM (" + " UNION ALL ".join(f"SELECT '{f}' AS feature, round(abs(corr({f}, tb_label)), 6) AS importance FROM atr_step3" for f in ("mom5", "mom20", "bb_pct_b", "dev_ma25")) + ") ORDER BY importance DESC, feature LIMIT 3"),
 )
-ROUNDS = 5  # of the registered model queries; walk_forward_validation's own default is 300
-register("model_predictions", lambda s, d: walkforward.walk_forward_validation(step3(s, d), rounds=ROUNDS).predictions)
-register("model_importance", lambda s, d: walkforward.walk_forward_validation(step3(s, d), rounds=ROUNDS).feature_importance)
+ROUNDS = 300  # as in the reference
+
+
+def walked(spark: SparkSession, d: str) -> walkforward.WalkForward:
+    return walkforward.walk_forward_validation(step3(spark, d), rounds=ROUNDS)
+
+
+register("model_predictions", lambda s, d: walked(s, d).predictions)
+register("model_importance", lambda s, d: walked(s, d).feature_importance)
+register("model_fold_metrics", lambda s, d: walked(s, d).fold_metrics)
+register("model_top_importance", lambda s, d: reports.top(walked(s, d).feature_importance, "importance", 15))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
