@@ -8,6 +8,7 @@ the automaton, so it is only stepped through runs of template words as long as t
 
 from __future__ import annotations
 
+from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -46,14 +47,14 @@ WORD[48:58] = WORD[97:123] = WORD[128:] = True
 class Automaton:
     """A generalised suffix automaton over word sequences.
 
-    moves, link and length are of states; first: a template and the place in it after the state's runs; phrases: those
+    moves, link and length are of states; ends: templates and the places in them after the state's runs; phrases: those
     that end wherever the state is reached with at least their length.
     """
 
     moves: list[dict[int, int]] = field(default_factory=lambda: [{}])
     link: list[int] = field(default_factory=lambda: [-1])
     length: list[int] = field(default_factory=lambda: [0])
-    ends: list[dict[int, int]] = field(default_factory=lambda: [{}])  # of each state, template -> first place after a run
+    ends: list[dict[int, set[int]]] = field(default_factory=lambda: [{}])  # of each state, template -> all places after a run
     phrases: list[list[int]] = field(default_factory=lambda: [[]])
 
     def _state(self, length: int, link: int, moves: dict[int, int]) -> int:
@@ -130,12 +131,12 @@ class Scanner:
             state = 0
             for i, word in enumerate(words):
                 state = auto.moves[state][word]
-                auto.ends[state].setdefault(k, i + 1)
+                auto.ends[state].setdefault(k, set()).add(i + 1)
         # a state's runs also end where longer runs of states that link to it do
         for s in sorted(range(1, len(auto.link)), key=lambda s: -auto.length[s]):
-            for k, at in auto.ends[s].items():
-                up = auto.ends[auto.link[s]]
-                up[k] = min(at, up.get(k, at))
+            if auto.link[s]:
+                for k, at in auto.ends[s].items():
+                    auto.ends[auto.link[s]].setdefault(k, set()).update(at)
         offset = len(self.templates)
         for k, words in enumerate(coded[offset:]):
             auto.phrases[auto.walk(words)].append(k)
@@ -168,29 +169,47 @@ class Scanner:
             found["matches"].append((at + len(run), length, state))
 
     def chain(self, matches: list[tuple[int, int, int]]) -> list[tuple[str, int, int, float]]:
-        """Spans (label, first word, past the last, covered share), the best chain of each template that covers enough.
+        """Spans (label, first word, past the last, covered share): of each template the chains that cover enough, best
+        first, that do not overlap.
 
-        Each match (end, words, state) gives a template its first place of the run; matches chain if they follow in
-        text and template and at most `gap` words lie between them in the text.
+        Each match (end, words, state) gives a template all places of the run; matches chain if they follow in text and
+        template and at most `gap` words lie between them in the text.
         """
         by: dict[int, list[tuple[int, int, int]]] = {}
         for end, n, state in matches:
-            for k, place in self.automaton.ends[state].items():
-                if k < len(self.templates) and place >= n:
-                    by.setdefault(k, []).append((end - n, place - n, n))
+            for k, places in self.automaton.ends[state].items():
+                if k < len(self.templates):
+                    by.setdefault(k, []).extend((end - n, place - n, n) for place in places if place >= n)
         out = []
         for k, pieces_ in by.items():
-            best = (0, 0, 0)
-            chains: list[tuple[int, int, int, int]] = []  # words covered, text end, template end, first word
-            for start, place, n in sorted(pieces_):
-                chains = [c for c in chains if start - c[1] <= self.gap]
-                total, first = max(((c[0], c[3]) for c in chains if c[1] <= start and c[2] <= place), default=(0, start))
-                chains.append((total + n, start + n, place + n, first))
-                best = max(best, (total + n, first, start + n))
-            if best[0] >= self.cover * self.sizes[k]:
-                out.append((self.templates[k][0], best[1], best[2], best[0] / self.sizes[k]))
+            left, more = sorted(pieces_), True
+            while left and more:
+                more = sorted((c for c in self._ends_of_chains(left) if c[0] >= self.cover * self.sizes[k]), reverse=True)
+                taken: list[tuple[int, int]] = []  # in ascending order
+                for total, first, end in more:
+                    at = bisect_right(taken, (first, end))
+                    if (at == 0 or taken[at - 1][1] <= first) and (at == len(taken) or end <= taken[at][0]):
+                        taken.insert(at, (first, end))
+                        out.append((self.templates[k][0], first, end, total / self.sizes[k]))
+                if more:
+                    firsts = [a for a, _ in taken]
+                    kept = []
+                    for piece in left:
+                        at = bisect_left(firsts, piece[0] + piece[2]) - 1  # the last span that begins before the piece ends
+                        if at < 0 or taken[at][1] <= piece[0]:
+                            kept.append(piece)
+                    left = kept
         return sorted(out, key=lambda s: (s[1], s[2], s[0]))
 
+    def _ends_of_chains(self, pieces_: list[tuple[int, int, int]]) -> Iterator[tuple[int, int, int]]:
+        """For each piece (first word, place, words), in order, the best chain that ends with it: words covered, first word, end."""
+        chains: list[tuple[int, int, int, int]] = []  # words covered, text end, template end, first word
+        for start, place, n in pieces_:
+            chains = [c for c in chains if start - c[1] <= self.gap]
+            total, first = max(((c[0], c[3]) for c in chains if c[1] <= start and c[2] <= place), default=(0, start))
+            chains.append((total + n, start + n, place + n, first))
+            yield total + n, first, start + n
+
 
 def scan_texts(scanner: Scanner, column: pa.Array) -> tuple[np.ndarray, dict[int, dict]]:
     """Words of each text, and for texts that have any, their phrase places and matches."""
