@@ -6,6 +6,7 @@ from collections import Counter, defaultdict
 import pytest
 
 from barloom.llm import lm
+from test_common import twins
 
 
 def words(text):
@@ -43,7 +44,7 @@ def brute(train, asked):
 
 def test_scores_equal_brute_force(spark):
     docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text")
-    extra = spark.createDataFrame([(900001, None), (900002, ""), (900003, "The THE the\tthe"), (900003, "The THE the\tthe"), (None, "of " * 9000)], "doc_id long, text string")
+    extra = spark.createDataFrame([(900001, None), (900002, ""), (900003, "The THE the\tthe"), (900003, "The THE the\tthe"), (None, "of " * 9000), (900004, " ".join(twins())), (900005, twins()[0])], "doc_id long, text string")
     rows = docs.union(extra).collect()
     train = [t for i, t in rows if i is None or zlib.crc32(str(i).encode()) % 7 != 2]
     want = Counter((i, *(round(x, 6) for x in y)) for (i, _), y in zip(rows, brute(train, [t for _, t in rows])))

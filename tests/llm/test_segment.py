@@ -8,6 +8,7 @@ import pyarrow as pa
 import pytest
 
 from barloom.llm import segment as S
+from test_common import twins
 
 MODEL = public_tokenizers.path("piece_bpe_32k.model")
 
@@ -78,8 +79,8 @@ def test_frequencies_are_those_of_sampling_without_replacement(tiny):
 
 def test_query_rows(spark):
     docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text").limit(60)
-    texts = [None, "", " ", "same text", "same text", "日本語 ▁ \u0001\n\n tab\t ünï 🎉", "x" * 3000, "long words " * 9000]
-    ids = [-1, -2, -3, -4, -4, -5, None, -6]
+    texts = [None, "", " ", "same text", "same text", "日本語 ▁ \u0001\n\n tab\t ünï 🎉", "x" * 3000, "long words " * 9000, " ".join(twins())]
+    ids = [-1, -2, -3, -4, -4, -5, None, -6, -7]
     extra = spark.createDataFrame(list(zip(ids, texts)), "doc_id long, text string")
     got = S.segmentations(docs.union(extra), MODEL, 3, with_ids=True).collect()
     again = S.segmentations(docs.union(extra).repartition(7), MODEL, 3).collect()

@@ -7,6 +7,7 @@ from hypothesis import strategies as st
 from tokenizers import Tokenizer
 
 from barloom.llm import token_files as T
+from test_common import twins
 
 PATH = public_tokenizers.path("word_bpe_49k.json")
 
