@@ -9,7 +9,7 @@ unbounded group.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -21,6 +21,8 @@ from barloom.llm.graph import components
 
 BLOCK = 21  # bits that start nodes share
 STEP = 6  # bits by which Spark splits a large node pair
+ROWS = 1_000_000  # values of a task that walks tries
+PAIRS = 1 << 20  # values compared outright at a time
 
 # Constants of the public XXH64 specification (fixed values)
 P1, P2, P3, P4, P5 = (
@@ -110,29 +112,70 @@ def fingerprints(column: pa.Array, shingle: int = 3) -> np.ndarray:
     return out
 
 
-def trie_links(value: np.ndarray, low: np.ndarray, high: np.ndarray, low2: np.ndarray, high2: np.ndarray, errors: np.ndarray, depth: np.ndarray, budget: int = 2, leaf: int = 4) -> tuple[np.ndarray, np.ndarray]:
-    """Index pairs of `value` within `budget` bits, by walking pairs of binary-trie nodes together.
+def trie_links(
+    value: np.ndarray,
+    low: np.ndarray,
+    high: np.ndarray,
+    low2: np.ndarray,
+    high2: np.ndarray,
+    errors: np.ndarray,
+    depth: np.ndarray,
+    budget: int = 2,
+    leaf: int = 4,
+    width: int = 64,
+    near: Callable[[np.ndarray, np.ndarray], np.ndarray] | None = None,
+    label: np.ndarray | None = None,
+) -> tuple[np.ndarray, np.ndarray]:
+    """Index pairs of `value` that differ in `budget` of the upper `width` bits at most, by walking pairs of trie nodes together.
 
     value is sorted within each node's range, so a node is a range and its children are the ranges left and right of a
     searched split. Each start pair is ([low, high), [low2, high2)) with the bits above `depth` done and `errors` of
-    them different; a node paired with itself has both ranges equal. A pair splits into its children's pairs, of which
-    those on different bits cost one error, and is dropped when the budget is passed. Pairs of at most `leaf` values a
-    side are compared outright.
+    them different; a node paired with itself has both ranges equal. A pair splits into its children's pairs, of which those on different bits cost one error, and is dropped when the
+    budget is passed. Pairs of at most `leaf` values a side, or without bits left, are compared outright; near(a, b)
+    may be a stricter rule for them. label: groups known already; node pairs that lie within one are dropped.
     """
     left, right = [], []
-    one, top = np.uint64(1), np.uint64(63)
+    one, top, unused = np.uint64(1), np.uint64(63), np.uint64(64 - width)
+    changes = None if label is None else np.cumsum(np.concatenate(([0], label[1:] != label[:-1]))) if len(label) else np.zeros(0, int)
+
+    def compare(l1: np.ndarray, h1: np.ndarray, l2: np.ndarray, h2: np.ndarray) -> None:
+        many = (h1 - l1) * (h2 - l2)
+        at = 0
+        while at < len(many):  # a bounded number of pairs at a time
+            to = max(at + 1, int(np.searchsorted(np.cumsum(many[at:]), PAIRS, "right")) + at)
+            size = many[at:to]
+            if to == at + 1 and size[0] > PAIRS and h1[at] - l1[at] > 1:
+                rows = max(1, PAIRS // int(h2[at] - l2[at]))
+                for i in range(int(l1[at]), int(h1[at]), rows):
+                    pairs(np.array([i]), np.array([min(i + rows, h1[at])]), l2[at:to], h2[at:to])
+            else:
+                pairs(l1[at:to], h1[at:to], l2[at:to], h2[at:to])
+            at = to
+
+    def pairs(l1: np.ndarray, h1: np.ndarray, l2: np.ndarray, h2: np.ndarray) -> None:
+        wide = h2 - l2
+        size = (h1 - l1) * wide
+        inner = np.arange(int(size.sum())) - np.repeat(np.cumsum(size) - size, size)
+        a, b = np.repeat(l1, size) + inner // np.repeat(wide, size), np.repeat(l2, size) + inner % np.repeat(wide, size)
+        ok = a < b
+        if label is not None:
+            ok &= label[a] != label[b]
+        a, b = a[ok], b[ok]
+        ok = np.bitwise_count((value[a] ^ value[b]) >> unused) <= budget
+        a, b = a[ok], b[ok]
+        if near is not None:
+            ok = near(a, b)
+            a, b = a[ok], b[ok]
+        left.append(a)
+        right.append(b)
+
     while len(low):
-        small = (high - low <= leaf) & (high2 - low2 <= leaf)
+        if changes is not None:
+            mixed_ = (changes[low] != changes[high - 1]) | (changes[low2] != changes[high2 - 1]) | (label[low] != label[low2])
+            low, high, low2, high2, errors, depth = (x[mixed_] for x in (low, high, low2, high2, errors, depth))
+        small = ((high - low <= leaf) & (high2 - low2 <= leaf)) | (depth >= width)
         if small.any():
-            l1, h1, l2, h2 = low[small], high[small], low2[small], high2[small]
-            for i in range(leaf):
-                for j in range(leaf):
-                    a, b = l1 + i, l2 + j
-                    ok = (a < h1) & (b < h2) & ((l1 != l2) | (i < j))
-                    a, b = a[ok], b[ok]
-                    near = np.bitwise_count(value[a] ^ value[b]) <= budget
-                    left.append(a[near])
-                    right.append(b[near])
+            compare(low[small], high[small], low2[small], high2[small])
             go = ~small
             low, high, low2, high2, errors, depth = (x[go] for x in (low, high, low2, high2, errors, depth))
             continue
@@ -150,15 +193,11 @@ def trie_links(value: np.ndarray, low: np.ndarray, high: np.ndarray, low2: np.nd
 
         same = low == low2
         cut, cut2 = split(low, high), split(low2, high2)
-        both = (
-            (low, cut, low2, cut2, errors, np.ones(len(low), bool)),
-            (cut, high, cut2, high2, errors, np.ones(len(low), bool)),
-            (low, cut, cut2, high2, errors + 1, np.ones(len(low), bool)),
-            (cut, high, low2, cut2, errors + 1, ~same),
-        )
+        every = np.ones(len(low), bool)
+        both = ((low, cut, low2, cut2, errors, every), (cut, high, cut2, high2, errors, every), (low, cut, cut2, high2, errors + 1, every), (cut, high, low2, cut2, errors + 1, ~same))
         parts = [[], [], [], [], [], []]
         for a, b, c, d, e, ok in both:
-            ok = ok & (a < b) & (c < d) & (e <= budget) & ((a != c) | (b - a > 1)) & (depth < 63 if e is errors else True)
+            ok = ok & (a < b) & (c < d) & (e <= budget) & ((a != c) | (b - a > 1))
             for store, x in zip(parts, (a, b, c, d, e, depth + 1), strict=True):
                 store.append(x[ok])
         low, high, low2, high2, errors, depth = (np.concatenate(x) for x in parts)
@@ -180,17 +219,34 @@ def _forest(a: np.ndarray, b: np.ndarray, n: int) -> np.ndarray:
         label = new
 
 
-def _solve(batches: Iterator[pa.RecordBatch], budget: int) -> Iterator[pa.RecordBatch]:
-    """Links among the node pairs of one partition, as stars: no more rows than fingerprints came in."""
+def _solve(batches: Iterator[pa.RecordBatch], budget: int, width: int, limit: int | None) -> Iterator[pa.RecordBatch]:
+    """Links among the node pairs of one partition, as stars: no more rows than fingerprints came in.
+
+    limit: links must also differ in no more bits of the print columns after the six of NODES. Neighbours in a node's
+    order are compared first, so that the walk passes over groups of copies that they tie together.
+    """
     got = [b for b in batches if b.num_rows]
     if not got:
         return
-    node, side, value, rep, errors, depth = (np.concatenate([b.column(i).to_numpy(zero_copy_only=False) for b in got]) for i in range(6))
+    node, side, value, rep, errors, depth, *prints = (np.concatenate([b.column(i).to_numpy(zero_copy_only=False) for b in got]) for i in range(got[0].num_columns))
     value = value.view(np.uint64)
     order = np.lexsort((value, side, node))
     node, side, value, rep, errors, depth = (x[order] for x in (node, side, value, rep, errors, depth))
-    new = np.flatnonzero(np.concatenate(([True], (node[1:] != node[:-1]) | (side[1:] != side[:-1]))))
+    prints = [x[order].view(np.uint64) for x in prints]
+    names, number = np.unique(rep, return_inverse=True)  # a text may stand in several nodes of the partition
+
+    def near(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        if limit is None:
+            return np.ones(len(a), bool)
+        return sum(np.bitwise_count(x[a] ^ x[b]).astype(np.int64) for x in prints) <= limit
+
+    first = np.concatenate(([True], (node[1:] != node[:-1]) | (side[1:] != side[:-1])))
+    new = np.flatnonzero(first)
     end = np.append(new[1:], len(node))
+    beside = np.flatnonzero(~first)
+    beside = beside[np.bitwise_count((value[beside] ^ value[beside - 1]) >> np.uint64(64 - width)) <= budget]
+    beside = beside[near(beside, beside - 1)]
+    label = _forest(number[beside], number[beside - 1], len(names))
     alone = side[new] == 0
     paired = np.flatnonzero((side[new][:-1] == 1) & (side[new][1:] == 2) & (node[new][:-1] == node[new][1:]))
     low = np.concatenate((new[alone], new[paired]))
@@ -199,10 +255,8 @@ def _solve(batches: Iterator[pa.RecordBatch], budget: int) -> Iterator[pa.Record
     high2 = np.concatenate((end[alone], end[paired + 1])) if len(new) else high
     more = (high - low > 1) | (low != low2)
     low, high, low2, high2 = (x[more] for x in (low, high, low2, high2))
-    a, b = trie_links(value, low, high, low2, high2, errors[low], depth[low], budget)
-    _, number = np.unique(rep, return_inverse=True)  # a text may stand in several nodes of the partition
-    names = np.unique(rep)
-    label = _forest(number[a], number[b], len(names))
+    a, b = trie_links(value, low, high, low2, high2, errors[low], depth[low], budget, width=width, near=near, label=label[number])
+    label = _forest(np.concatenate((number[a], number[beside])), np.concatenate((number[b], number[beside - 1])), len(names))
     far = np.flatnonzero(label != np.arange(len(names)))
     yield pa.record_batch([pa.array(names[far]), pa.array(names[label[far]])], names=["a", "b"])
 
@@ -210,6 +264,31 @@ def _solve(batches: Iterator[pa.RecordBatch], budget: int) -> Iterator[pa.Record
 NODES = "node long, side int, value long, rep long, errors int, depth int"
 
 
+def trie_join(nodes: DataFrame, budget: int, leaf: int = 50_000, width: int = 64, limit: int | None = None) -> DataFrame:
+    """Links (a, b) that connect whatever reps the start nodes (columns of NODES, then prints) connect within the budget.
+
+    Start nodes of more than `leaf` values are split in Spark, STEP bits at a time, while bits are left; tasks get about
+    `ROWS` values each, however many there are.
+    """
+    conf = int(nodes.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    done = []
+    while True:
+        sizes = written(nodes.groupBy("node").agg(F.count("*").alias("n"), F.max("depth").alias("d")))
+        large = sizes.where(f"n > {leaf} and d + {STEP} <= {width}").select("node")
+        total = sizes.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+        parts = max(conf, -(-total // ROWS))
+        last = large.isEmpty()
+        done.append((nodes if last else nodes.join(large, "node", "left_anti"), parts))
+        if last:
+            break
+        nodes = written(_deeper(nodes.join(large, "node", "left_semi"), budget))
+    out = None
+    for x, parts in done:
+        part = x.repartition(parts, "node").mapInArrow(lambda it: _solve(it, budget, width, limit), "a long, b long")
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
 def near_links(prints: DataFrame, budget: int = 2, leaf: int = 50_000) -> DataFrame:
     """Links (a, b) that connect whatever distinct fingerprints prints(fp long, rep long) within `budget` <= 2 bits connect."""
     if not 0 <= budget <= 2:
@@ -218,22 +297,7 @@ def near_links(prints: DataFrame, budget: int = 2, leaf: int = 50_000) -> DataFr
     nodes = prints.select("rep", F.explode(F.array(*[F.struct(F.lit(k).alias("k"), turn(r).alias("value")) for k, r in enumerate((0, BLOCK, 2 * BLOCK))])).alias("t")).select(
         F.xxhash64("t.k", F.shiftrightunsigned("t.value", 64 - BLOCK)).alias("node"), F.lit(0).alias("side"), "t.value", "rep", F.lit(0).alias("errors"), F.lit(BLOCK).alias("depth")
     )
-    parts = int(prints.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    done = []
-    while True:
-        nodes = written(nodes)
-        large = nodes.groupBy("node").agg(F.count("*").alias("n"), F.max("depth").alias("d")).where(f"n > {leaf} and d + {STEP} <= 64").select("node")
-        large = written(large)
-        if large.isEmpty():
-            done.append(nodes)
-            break
-        done.append(nodes.join(large, "node", "left_anti"))
-        nodes = _deeper(nodes.join(large, "node", "left_semi"), budget)
-    out = None
-    for x in done:
-        part = x.repartition(parts, "node").mapInArrow(lambda it: _solve(it, budget), "a long, b long")
-        out = part if out is None else out.unionByName(part)
-    return out
+    return trie_join(nodes, budget, leaf)
 
 
 def _deeper(nodes: DataFrame, budget: int) -> DataFrame:
@@ -244,7 +308,7 @@ def _deeper(nodes: DataFrame, budget: int) -> DataFrame:
     first = (F.col("side") == 1) | ((F.col("side") == 0) & (F.col("own") <= F.col("other")))
     side = F.when((F.col("side") == 0) & (F.col("flip") == 0), 0).when(first, 1).otherwise(2)
     one, two = F.when(first, F.col("own")).otherwise(F.col("other")), F.when(first, F.col("other")).otherwise(F.col("own"))
-    return x.select(F.xxhash64("node", one, two, "errors").alias("node"), side.cast("int").alias("side"), "value", "rep", "errors", (F.col("depth") + STEP).cast("int").alias("depth"))
+    return x.select(F.xxhash64("node", one, two, "errors").alias("node"), side.cast("int").alias("side"), "value", "rep", "errors", (F.col("depth") + STEP).cast("int").alias("depth"), *nodes.columns[6:])
 
 
 def simhash_table(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3) -> DataFrame:

@@ -1,7 +1,7 @@
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from barloom.llm import language, mixing, simhash, toxicity
+from barloom.llm import language, mixing, similar, toxicity
 from barloom.llm.common import held, written
 from barloom.llm.queries import MIX
 
@@ -22,7 +22,7 @@ def test_each_stage_applies_its_operator(spark):
     tox = toxicity.fit(*toxicity.training_rows(first, spark.read.parquet(f"{SF}/labels.parquet"), ~held("doc_id", 4, 2)))
     assert ids(second) == ids(toxicity.score(first, tox).where("predicted = 0")) and second.columns == docs.columns
     third = written(corpus_pipeline.distinct(spark, second, SF))
-    groups = simhash.simhash_groups(second)
+    groups = similar.similar_groups(second)
     assert ids(third) == ids(groups.where("component_id = doc_id")) and third.columns == docs.columns
     assert third.count() == groups.select("component_id").distinct().count()
     fourth = written(corpus_pipeline.mixed(spark, third.withColumn("__x", F.lit(1)), SF))
