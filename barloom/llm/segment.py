@@ -15,6 +15,7 @@ them; a text is a chain of stretches. All random numbers are hashes of seed, row
 
 from __future__ import annotations
 
+import math
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -29,6 +30,7 @@ from barloom.llm.common import joined, mixed, pieces, span_hashes
 STEP = np.uint64(0x9E3779B97F4A7C15)
 SPACE, FEED = 32, 10
 NULL_KEY = np.uint64(0x5EED)
+PLAIN = 24
 
 
 @dataclass
@@ -49,8 +51,13 @@ class Vocabulary:
         self.longest = int(size.max(initial=1))
         order = np.argsort(hashes)
         self.hashes, self.order = hashes[order], order
-        self.seen = np.zeros(1 << 20, bool)
-        self.seen[(hashes >> np.uint64(44)).astype(np.int64)] = True
+        # bytes to the next border up to which sums are kept as numbers, being far from too small for one
+        lowest = min(self.byte_score, float((self.score / np.maximum(size, 1)).min(initial=0)))
+        self.plain = int(min(PLAIN, 600 / max(-lowest, 1.0)))
+        # where a hash's upper bits lead among the sorted hashes: nowhere (-1), or to the last piece that has them
+        self.slot = np.full(1 << 20, -1, np.int32)
+        self.slot[(self.hashes >> np.uint64(44)).astype(np.int64)] = np.arange(len(order))
+        self.crowd = int(np.bincount((hashes >> np.uint64(44)).astype(np.int64), minlength=1).max(initial=1))
         # hashes of all that pieces begin with: a place whose bytes are no such beginning has no longer piece either
         self.begun = np.zeros(1 << 22, bool)
         for k in range(1, self.longest):
@@ -121,17 +128,20 @@ class Lattice:
     raw: np.ndarray  # the byte at each node
 
 
+LEVEL_COST = 150  # edges that take as long one by one as a level of few edges takes at once
+
+
 def build(vocabulary: Vocabulary, raw: np.ndarray, begin: np.ndarray, end: np.ndarray) -> Lattice:
     """The lattice of stretches raw[begin:end]; each gets its bytes as nodes and one more for its end."""
     size = end - begin
     start = np.cumsum(size + 1) - (size + 1)
     n = int((size + 1).sum())
-    owner = np.repeat(np.arange(len(size)), size + 1)
-    inner = np.arange(n) - start[owner]
+    inner = np.arange(n) - np.repeat(start, size + 1)
+    is_byte = np.ones(n, bool)
+    is_byte[start + size] = False
     byte = np.zeros(n, np.uint8)
-    is_byte = inner < size[owner]
-    byte[is_byte] = raw[(begin[owner] + inner)[is_byte]]
-    left = (size[owner] - inner).astype(np.int64)  # bytes from here to the end
+    byte[is_byte] = raw[(np.repeat(begin, size + 1) + inner)[is_byte]]
+    left = np.repeat(size, size + 1) - inner  # bytes from here to the end
     head = is_byte & ((byte & 0xC0) != 0x80)
     head[start[size > 0]] = True
     # length of the character at each head: to the next head or the end
@@ -139,55 +149,191 @@ def build(vocabulary: Vocabulary, raw: np.ndarray, begin: np.ndarray, end: np.nd
     wide = np.zeros(n, np.int64)
     wide[stops[:-1]] = np.diff(stops)
     at, h = np.flatnonzero(head), np.zeros(int(head.sum()), np.uint64)
-    froms, tos, which = [], [], []
+    found = []  # (source, length, piece) by length
+    has_one = np.zeros(n, bool)
     for k in range(vocabulary.longest):
         live = left[at] > k
         at, h = at[live], h[live]
         if not len(at):
             break
-        h = (h + byte[at + k].astype(np.uint64) + np.uint64(1)) * STEP
+        h = (h + byte[at + k] + np.uint64(1)) * STEP
         h ^= h >> np.uint64(29)
-        maybe = np.flatnonzero(vocabulary.seen[(h >> np.uint64(44)).astype(np.int64)])
-        place = np.minimum(np.searchsorted(vocabulary.hashes, h[maybe]), len(vocabulary.hashes) - 1)
+        place = vocabulary.slot[(h >> np.uint64(44)).view(np.int64)]
+        maybe = np.flatnonzero(place >= 0)
+        place = place[maybe]
         ok = vocabulary.hashes[place] == h[maybe]
-        froms.append(at[maybe[ok]])
-        tos.append(at[maybe[ok]] + k + 1)
-        which.append(vocabulary.order[place[ok]])
-        live = vocabulary.begun[(h >> np.uint64(42)).astype(np.int64)]
+        for j in range(1, vocabulary.crowd):
+            again = np.flatnonzero(~ok & (place >= j))
+            hit = vocabulary.hashes[place[again] - j] == h[maybe[again]]
+            place[again[hit]] -= j
+            ok[again[hit]] = True
+        src = at[maybe[ok]]
+        found.append((src, np.full(len(src), k + 1), vocabulary.order[place[ok]]))
+        has_one[src[wide[src] == k + 1]] = True
+        live = vocabulary.begun[(h >> np.uint64(42)).view(np.int64)]
         at, h = at[live], h[live]
-    src, dst, piece = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (froms, tos, which))
-    has_one = np.zeros(n, bool)
-    has_one[src[dst - src == wide[src]]] = True
     bare = np.flatnonzero(head & ~has_one)
-    src, dst, piece = np.concatenate((src, bare)), np.concatenate((dst, bare + wide[bare])), np.concatenate((piece, np.full(len(bare), -1)))
-    order = np.argsort(src, kind="stable")
-    src, dst, piece = src[order], dst[order], piece[order]
-    weight = np.where(piece >= 0, vocabulary.score[piece], vocabulary.byte_score * (dst - src))
-    # log sums to the end, from the nodes next to it outward, all stretches at once
-    beta = np.full(n, -np.inf)
-    beta[start + size] = 0.0
-    by = np.argsort(left[src], kind="stable")
-    edges = np.append(np.flatnonzero(np.diff(left[src][by], prepend=-1)), len(by))
-    for a, b in zip(edges[:-1], edges[1:], strict=True):
-        e = by[a:b]
-        value = weight[e] + beta[dst[e]]
-        cut = np.flatnonzero(np.diff(src[e], prepend=-1))
-        top = np.maximum.reduceat(value, cut)
-        total = np.add.reduceat(np.exp(value - np.repeat(top, np.diff(np.append(cut, len(e))))), cut)
-        beta[src[e[cut]]] = top + np.log(total)
-    logp = weight + beta[dst] - beta[src]
-    fan = np.bincount(src, minlength=n)
+    found.append((bare, wide[bare], np.full(len(bare), -1)))
+    # edges by source: each length has a source once, so places are counted, not sorted
+    fan = np.zeros(n, np.int64)
+    for node, _, _ in found:
+        fan[node] += 1
     first = np.concatenate(([0], np.cumsum(fan)))
+    src = np.repeat(np.arange(n), fan)
+    free = first[:-1].copy()
+    step, piece = np.empty(len(src), np.int64), np.empty(len(src), np.int64)
+    for node, length, which in found:
+        e = free[node]
+        step[e], piece[e] = length, which
+        free[node] += 1
+    dst = src + step
+    weight = np.where(piece >= 0, vocabulary.score[piece], vocabulary.byte_score * step)
+    # places that no edge crosses part a stretch into independent runs; sums go to the end of the run
+    cross = np.zeros(n + 1, np.int64)
+    more = step > 1
+    np.add.at(cross, src[more] + 1, 1)
+    np.subtract.at(cross, dst[more], 1)
+    border = head & (np.cumsum(cross[:-1]) == 0)
+    border |= ~is_byte
+    edges = np.flatnonzero(border)
+    away = edges[np.searchsorted(edges, np.arange(n), "right").clip(max=max(0, len(edges) - 1))] - np.arange(n) if n else np.zeros(0, np.int64)
+    # levels of few edges, far from the next border, are summed one by one: what is left beyond the cheapest level
+    far = np.bincount(away[src], minlength=1)
+    deepest = min(int(np.argmin(LEVEL_COST * np.arange(len(far)) + len(src) - np.cumsum(far))), 0xFFFF)
+    slow = away[src] > deepest
+    by = np.flatnonzero(~slow) if slow.any() else np.arange(len(src))
+    by = by[np.argsort(away[src[by]].astype(np.uint16), kind="stable")]
+    level = away[src[by]]
+    levels = np.append(np.flatnonzero(np.diff(level, prepend=-1)), len(by))
+    source, target, factor = src[by], dst[by], np.exp(weight[by])
+    sums, beyond = np.zeros(n), np.ones(n)  # beyond: a sum as seen from before, 1 at a border
+    beta, plain = np.full(n, -np.inf), int(np.searchsorted(level, vocabulary.plain, "right"))
+    for a, b in zip(levels[:-1], levels[1:], strict=True):
+        if a == plain:  # from here on sums could be too small for a number, and are kept as logs
+            beyond = np.log(np.maximum(beyond, 1e-320))
+        cut = np.flatnonzero(np.diff(source[a:b], prepend=-1))
+        node = source[a:b][cut]
+        if b <= plain:
+            total = np.add.reduceat(factor[a:b] * beyond[target[a:b]], cut)
+            sums[node] = total
+        else:
+            value = weight[by[a:b]] + beyond[target[a:b]]
+            top = np.maximum.reduceat(value, cut)
+            total = np.add.reduceat(np.exp(value - np.repeat(top, np.diff(np.append(cut, b - a)))), cut)
+            total = beta[node] = top + np.log(total)
+        inside = ~border[node]
+        beyond[node[inside]] = total[inside]
+    if plain == len(by):
+        beyond = np.log(np.maximum(beyond, 1e-320))
+    done = sums > 0
+    beta[done] = np.log(sums[done])
+    if slow.any():
+        _sums_one_by_one(np.flatnonzero(slow), first, dst, src, weight, beta, beyond, border)
+    logp = weight + beyond[dst] - beta[src]
     p = np.exp(logp)
     upto = np.cumsum(p)
     upto -= np.repeat((upto - p)[first[:-1][fan > 0]], fan[fan > 0])
+    upto[first[1:][fan > 0] - 1] = 2.0  # the last edge holds whatever the others do not
     out = Lattice(first, src, dst, piece, np.minimum(logp, 0.0), upto, np.log(np.maximum(1 - p, 1e-300)), start, start + size, byte)
     near = np.flatnonzero((p > 0.999) & (fan[src] > 1))  # too near 1 for a difference
-    out.log_left[near] = np.log(_others(out, src[near], np.left_shift(1, near - first[src[near]])))
+    out.log_left[near] = np.log(np.maximum(_others(out, src[near], np.left_shift(1, near - first[src[near]])), 1e-300))
     out.log_left[fan[src] == 1] = -np.inf
     return out
 
 
+def _sums_one_by_one(edges: np.ndarray, first: np.ndarray, dst: np.ndarray, src: np.ndarray, weight: np.ndarray, beta: np.ndarray, beyond: np.ndarray, border: np.ndarray) -> None:
+    """Fills beta of the edges' sources from the last to the first: runs of which levels would have a few edges each."""
+    nodes = np.unique(src[edges])[::-1].tolist()
+    values = dict(zip(nodes, beta[nodes].tolist(), strict=True))
+    lo, hi = first[nodes].tolist(), first[[i + 1 for i in nodes]].tolist()
+    for i, a, b in zip(nodes, lo, hi, strict=True):
+        v = [w + (0.0 if edge else values[d] if d in values else float(beta[d])) for w, d, edge in zip(weight[a:b].tolist(), dst[a:b].tolist(), border[dst[a:b]].tolist(), strict=True)]
+        top = max(v)
+        values[i] = top + math.log(sum(math.exp(x - top) for x in v))
+    beta[nodes] = [values[i] for i in nodes]
+    inside = np.array(nodes)[~border[nodes]]
+    beyond[inside] = beta[inside]
+
+
+class Known:
+    """Lattices of stretches that came twice or more, kept for later texts in arrays of a bounded size.
+
+    The lattices of a piece's other stretches stand behind them for as long as the piece lasts.
+    """
+
+    def __init__(self, most_edges: int = 2_500_000) -> None:
+        self.most = most_edges
+        self.keys, self.which = np.zeros(0, np.uint64), np.zeros(0, np.int64)
+        self.kept = (0, 0, 0)  # nodes, edges and stretches that stay
+        self.begun = np.zeros(1 << 22, bool)  # marks of hashes that have been seen
+        self.arrays: dict[str, np.ndarray] = {}
+
+    def _put(self, name: str, at: int, values: np.ndarray, kind: type) -> None:
+        old = self.arrays.get(name)
+        if old is None or len(old) < at + len(values):
+            new = np.empty(int((at + len(values)) * 1.2) + 1, kind)
+            if old is not None:
+                new[:at] = old[:at]
+            self.arrays[name] = new
+        self.arrays[name][at : at + len(values)] = values
+
+    def lattice(self, vocabulary: Vocabulary, raw: np.ndarray, begin: np.ndarray, end: np.ndarray) -> tuple[Lattice, np.ndarray]:
+        """A lattice that has all these stretches, and the number of each in it."""
+        keys, one, back = np.unique(span_hashes(raw, begin, end), return_index=True, return_inverse=True)
+        alike = _equal(raw, begin, end, raw, begin[one[back]], end[one[back]])
+        if not alike.all():  # equal hashes of different bytes: these stretches stand for themselves
+            odd = np.flatnonzero(~alike)
+            back[odd] = len(keys) + np.arange(len(odd))
+            one, keys = np.concatenate((one, odd)), np.concatenate((keys, np.zeros(len(odd), np.uint64)))
+        number = np.full(len(keys), -1)
+        if len(self.keys):
+            place = np.minimum(np.searchsorted(self.keys, keys), len(self.keys) - 1)
+            hit = np.flatnonzero(self.keys[place] == keys)
+            old = self.which[place[hit]]
+            a = self.arrays
+            same = _equal(raw, begin[one[hit]], end[one[hit]], a["raw"], a["start"][old], a["end"][old])
+            number[hit[same]] = old[same]
+        new = np.flatnonzero(number < 0)
+        mark = (keys[new] >> np.uint64(42)).view(np.int64)
+        again = self.begun[mark] & (keys[new] != 0)
+        self.begun[mark] = True
+        new = new[np.argsort(~again, kind="stable")]
+        made = build(vocabulary, raw, begin[one[new]], end[one[new]])
+        nodes, edges, stretches = self.kept
+        number[new] = stretches + np.arange(len(new))
+        for name, at, values, kind in (
+            ("first", nodes, made.first + edges, np.int64), ("src", edges, made.src + nodes, np.int32), ("to", edges, made.to + nodes, np.int32), ("piece", edges, made.piece, np.int32), ("logp", edges, made.logp, np.float64),
+            ("upto", edges, made.upto, np.float64), ("log_left", edges, made.log_left, np.float64), ("start", stretches, made.start + nodes, np.int64), ("end", stretches, made.end + nodes, np.int64), ("raw", nodes, made.raw, np.uint8),
+        ):
+            self._put(name, at, values, kind)
+        a = self.arrays
+        all_nodes, all_edges = nodes + len(made.raw), edges + len(made.src)
+        whole = Lattice(a["first"][: all_nodes + 1], *(a[x][:all_edges] for x in ("src", "to", "piece", "logp", "upto", "log_left")), *(a[x][: stretches + len(new)] for x in ("start", "end")), a["raw"][:all_nodes])
+        count = int(again.sum())
+        if count and edges < self.most:
+            ends = made.end[:count] + 1  # nodes up to each stretch's end
+            count = int(np.searchsorted(made.first[ends], self.most - edges, "right"))
+            if count:
+                self.kept = (nodes + int(ends[count - 1]), edges + int(made.first[ends[count - 1]]), stretches + count)
+                keys = np.concatenate((self.keys, keys[new[:count]]))
+                order = np.argsort(keys, kind="stable")
+                self.keys, self.which = keys[order], np.concatenate((self.which, stretches + np.arange(count)))[order]
+        return whole, number[back]
+
+
+def _equal(raw: np.ndarray, begin: np.ndarray, end: np.ndarray, other: np.ndarray, begin2: np.ndarray, end2: np.ndarray) -> np.ndarray:
+    """Whether the spans of two arrays hold the same bytes."""
+    size = end - begin
+    out = size == end2 - begin2
+    at = np.flatnonzero(out & (size > 0))
+    cut = np.cumsum(size[at]) - size[at]
+    inner = np.arange(int(size[at].sum()))
+    same = raw[np.repeat(begin[at] - cut, size[at]) + inner] == other[np.repeat(begin2[at] - cut, size[at]) + inner]
+    if len(at):
+        out[at] = np.logical_and.reduceat(same, cut)
+    return out
+
+
 def _uniform(key: np.ndarray, draw: int, place: np.ndarray, salt: int) -> np.ndarray:
     """Numbers in (0, 1) from the row key, the draw, the place in the text and a salt."""
     return ((mixed(key + mixed(place.astype(np.uint64) * np.uint64(64) + np.uint64(2 * draw + salt)) * STEP) >> np.uint64(12)).astype(np.float64) + 0.5) / 2.0**52
@@ -195,32 +341,62 @@ def _uniform(key: np.ndarray, draw: int, place: np.ndarray, salt: int) -> np.nda
 
 def _pick(lattice: Lattice, node: np.ndarray, u: np.ndarray) -> np.ndarray:
     """The edge of each node that holds u, by its probabilities' running sums."""
-    e, last = lattice.first[node].copy(), lattice.first[node + 1] - 1
-    live = np.flatnonzero((lattice.upto[e] < u) & (e < last))
+    e = lattice.first[node]
+    live = np.flatnonzero(lattice.upto[e] < u)
+    v = u[live]
     while live.size:
         e[live] += 1
-        live = live[(lattice.upto[e[live]] < u[live]) & (e[live] < last[live])]
+        on = lattice.upto[e[live]] < v
+        live, v = live[on], v[on]
     return e
 
 
+REACH = 41.0  # Gumbel values of 53-bit numbers lie between -3.7 and 36.8
+AHEAD = 64  # places of a text that are looked at for a bound
+
+
+def _ranges(begin: np.ndarray, count: np.ndarray) -> np.ndarray:
+    """begin, begin + 1, ... of each range, one after the other."""
+    return np.repeat(begin - (np.cumsum(count) - count), count) + np.arange(int(count.sum()))
+
+
+FEW = 4  # walks that are taken one by one
+
+
 def _walk(lattice: Lattice, at: np.ndarray, node: np.ndarray, stop: np.ndarray, keys: np.ndarray, places: np.ndarray, draw: int, out: np.ndarray) -> None:
     """Free walks from nodes to their stretches' ends, all at once; out[byte] gets the edge taken there.
 
     at: the byte of each node in the chains; keys and places: of each byte, the row key and the place in its text.
     """
     live = node < stop
-    while live.any():
-        at, node, stop = at[live], node[live], stop[live]
+    while (left := int(live.sum())) > FEW:
+        if left < len(at):
+            at, node, stop = at[live], node[live], stop[live]
         e = _pick(lattice, node, _uniform(keys[at], draw, places[at], 0))
         out[at] = e
         to = lattice.to[e]
         at, node = at + to - node, to
         live = node < stop
-
-
-def sample(vocabulary: Vocabulary, column: pa.Array, keys: np.ndarray, k: int, seed: int) -> Iterator[tuple[np.ndarray, ...]]:
+    for i, k, last in zip(at[live].tolist(), node[live].tolist(), stop[live].tolist(), strict=True):
+        while k < last:  # a block of nodes at a time as lists, then one step after the other
+            b = min(k + 4096, last)
+            lo, hi = int(lattice.first[k]), int(lattice.first[b])
+            u = _uniform(keys[i : i + b - k], draw, places[i : i + b - k], 0).tolist()
+            first, upto, to = (lattice.first[k : b + 1] - lo).tolist(), lattice.upto[lo:hi].tolist(), lattice.to[lo:hi].tolist()
+            j = k
+            while j < b:
+                e, x = first[j - k], u[j - k]
+                while upto[e] < x:
+                    e += 1
+                out[i + j - k] = lo + e
+                j = to[e]
+            i, k = i + j - k, j
+
+
+def sample(vocabulary: Vocabulary, column: pa.Array, keys: np.ndarray, k: int, seed: int, known: Known | None = None) -> Iterator[tuple[np.ndarray, ...]]:
     """For each draw 0..k-1: texts that have one, and their log probability, perturbed value, path starts, ids' starts, ids;
     then one last item, the perturbed value at the head of each text's queue (-inf: nothing is left)."""
+    known = known or Known()
     data, starts = joined(column)
     n = len(starts) - 1
     # chain: a space, then the text; a lone feed closes each text and is not part of it
@@ -241,8 +417,7 @@ def sample(vocabulary: Vocabulary, column: pa.Array, keys: np.ndarray, k: int, s
     cut[1:] |= (space[1:] & ~space[:-1]) | feed[1:] | feed[:-1]
     begin = np.flatnonzero(cut)
     end = np.append(begin[1:], len(flat))
-    _, one, back = np.unique(span_hashes(flat, begin, end), return_index=True, return_inverse=True)
-    lattice = build(vocabulary, flat, begin[one], end[one])
+    lattice, back = known.lattice(vocabulary, flat, begin, end)
     key = mixed(keys + np.array([seed], np.uint64) * STEP)
     text_of = np.repeat(np.arange(n), chain)  # of each byte of the chains
     keys_of, places = key[text_of], np.arange(len(flat)) - at[text_of]
@@ -272,33 +447,53 @@ def sample(vocabulary: Vocabulary, column: pa.Array, keys: np.ndarray, k: int, s
         yield (live, total[live], value[live], *_ids(vocabulary, lattice, edge, bounds))
         stored.append(edge_at)
         # split the set just emitted: one set for each place, from its beginning's end on, where the others leave its path
-        t = text_of[taken]
-        left = lattice.log_left[edge]
         mine = live[floor[live] >= at[live]]  # texts whose set excludes edges already where its beginning ends
         step = np.searchsorted(taken, floor[mine])
         node = lattice.src[edge[step]]
         mask = floor_mask[mine] | np.left_shift(1, edge[step] - lattice.first[node])
         other = _others(lattice, node, mask)
-        left[step] = np.where(np.bitwise_count(mask) < lattice.first[node + 1] - lattice.first[node], np.log(np.maximum(other, 1e-300)), -np.inf)
-        left[taken < floor[t]] = -np.inf
-        mu = run[:-1] - run[bounds[t]] + left
-        noise = -np.log(_uniform(keys_of[taken], draw, places[taken], 1))
-        top = value[t]
-        top[top == -np.inf] = 0.0  # of texts without a current set, whose paths are empty
-        new = mu - np.log(np.exp(np.minimum(mu - top, 700.0)) + noise)
-        masks = dict(zip(step.tolist(), mask.tolist(), strict=True))
+        step_left = np.where(np.bitwise_count(mask) < lattice.first[node + 1] - lattice.first[node], np.log(np.maximum(other, 1e-300)), -np.inf)
+        since = bounds[:-1].copy()
+        since[mine] = step
+        special = np.full(n, -1)  # of each text, the row of step, mask and step_left
+        special[mine] = np.arange(len(mine))
+        some = live[since[live] < bounds[live + 1]]
+
+        def left_of(texts: np.ndarray, x: np.ndarray) -> np.ndarray:
+            """The log probability of leaving the path at places x."""
+            out = lattice.log_left[edge[x]]
+            if len(step):
+                own = np.flatnonzero((special[texts] >= 0) & (x == since[texts]))
+                out[own] = step_left[special[texts[own]]]
+            return run[x] - run[bounds[texts]] + out
+
+        # later draws and the threshold need k - draw sets of each text: no noise lifts a set over one REACH above it
+        ahead = np.minimum(bounds[some + 1] - since[some], AHEAD)
+        texts, x = np.repeat(some, ahead), _ranges(since[some], ahead)
+        table = np.full((len(some), AHEAD), -np.inf)
+        table[np.repeat(np.arange(len(some)), ahead), _ranges(np.zeros(len(some), np.int64), ahead)] = left_of(texts, x)
+        least = -np.partition(-table, k - draw - 1, axis=1)[:, k - draw - 1] if k - draw <= AHEAD else np.full(len(some), -np.inf)
+        ends = np.where(least > -np.inf, np.searchsorted(-run, REACH - least - run[bounds[some]], "right"), bounds[some + 1])
+        count = np.maximum(np.minimum(ends, bounds[some + 1]) - since[some], 1)
+        t, x = np.repeat(some, count), _ranges(since[some], count)
+        mu = left_of(t, x)
+        noise = -np.log(_uniform(keys_of[taken[x]], draw, places[taken[x]], 1))
+        new = mu - np.log(np.exp(np.minimum(mu - value[t], 700.0)) + noise)
         found = []
-        some = np.flatnonzero(np.diff(bounds))
-        for _ in range(k - draw if len(some) else 0):  # later draws and the threshold need no more of each text
-            best = np.maximum.reduceat(new, bounds[some])
-            hit = np.flatnonzero(new == np.repeat(best, np.diff(bounds)[some]))
+        cuts = np.cumsum(count) - count
+        for _ in range(k - draw if len(some) else 0):
+            best = np.maximum.reduceat(new, cuts)
+            hit = np.flatnonzero(new == np.repeat(best, count))
             hit = hit[(new[hit] > -np.inf) & (np.diff(t[hit], prepend=-1) != 0)]
             found.append((hit, new[hit].copy()))
             new[hit] = -np.inf
-        hit, values = (np.concatenate(x) for x in zip(*found, strict=True)) if found else (np.zeros(0, int), np.zeros(0))
-        own = np.array([masks.get(i, 0) for i in hit.tolist()], np.int64)
-        own = np.where(own > 0, own, np.left_shift(1, edge[hit] - lattice.first[lattice.src[edge[hit]]]))
-        fresh = {"text": t[hit], "value": values, "draw": np.full(len(hit), draw), "byte": taken[hit], "mask": own}
+        hit, values = (np.concatenate(y) for y in zip(*found, strict=True)) if found else (np.zeros(0, int), np.zeros(0))
+        t, x = (t[hit], x[hit]) if len(some) else (np.zeros(0, int), np.zeros(0, int))
+        own = np.left_shift(1, edge[x] - lattice.first[lattice.src[edge[x]]])
+        if len(step):
+            again = np.flatnonzero((special[t] >= 0) & (x == since[t]))
+            own[again] = mask[special[t[again]]]
+        fresh = {"text": t, "value": values, "draw": np.full(len(hit), draw), "byte": taken[x], "mask": own}
         queue = {f: np.concatenate((queue[f], x)) for f, x in fresh.items()}
         order = np.lexsort((-queue["value"], queue["text"]))
         queue = {f: x[order] for f, x in queue.items()}
@@ -365,7 +560,7 @@ def _ids(vocabulary: Vocabulary, lattice: Lattice, edge: np.ndarray, bounds: np.
     return at[bounds], ids
 
 
-_LOADED: dict[tuple[str, bool], Vocabulary] = {}
+_LOADED: dict[tuple[str, bool], tuple[Vocabulary, Known]] = {}
 ROW = "doc_id long, rank int, n_pieces long, log_prob double, perturbed double, log_inclusion double, ids_crc32 long, round_trip boolean"
 
 
@@ -383,12 +578,12 @@ def segmentations(df: DataFrame, model: str, k: int = 2, seed: int = 8, by_rank:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if (model, by_rank) not in _LOADED:
-            _LOADED[model, by_rank] = load(model, by_rank)
-        vocabulary = _LOADED[model, by_rank]
+            _LOADED[model, by_rank] = load(model, by_rank), Known()
+        vocabulary, known = _LOADED[model, by_rank]
         for b in pieces(batches, "text", 1 << 20):
             doc_ids = b.column(0)
             keys = np.where(doc_ids.is_valid().to_numpy(zero_copy_only=False), mixed(doc_ids.fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64)), NULL_KEY)
-            *draws, (threshold,) = list(sample(vocabulary, b.column(1), keys, k, seed))
+            *draws, (threshold,) = list(sample(vocabulary, b.column(1), keys, k, seed, known))
             texts = [x or b"" for x in b.column(1).cast(pa.binary()).to_pylist()]
             for rank, (live, log_prob, value, at, ids) in enumerate(draws, start=1):
                 if not len(live):
