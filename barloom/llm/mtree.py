@@ -23,7 +23,8 @@ from pyspark.sql import functions as F
 from barloom.llm.common import written
 
 PAGE = 512  # entries of a leaf page
-SLACK = 1e-6  # relative room for rounding in distances; scores themselves are exact integers
+SLACK = 1e-6  # room for rounding in distances, in parts of the largest norms; scores themselves are exact integers
+SURE = 2.0**52  # up to such products of norms, sums of products are exact in doubles
 
 
 def lifted(x: np.ndarray, m: float) -> np.ndarray:
@@ -38,12 +39,13 @@ def _distances(a: np.ndarray, b: np.ndarray) -> np.ndarray:
 class MTree:
     """Nodes in lists: routing object, covering radius, distance to the parent's routing object, children or leaf entries."""
 
-    def __init__(self, points: np.ndarray, page: int = PAGE) -> None:
-        self.points, self.page = points, page
+    def __init__(self, points: np.ndarray, page: int = PAGE, exact: np.ndarray | None = None) -> None:
+        """points: lifted. exact: the vectors as 8-byte integers, if doubles may not hold their products."""
+        self.points, self.page, self.exact = points, page, exact
         self.nodes: list[dict] = []
         self.root = self._build(np.arange(len(points)), points[0]) if len(points) else None
         self.points = None  # leaves hold their own
-        self.computed = 0  # distances that searches computed
+        self.computed = 0  # distances and inner products that searches computed
 
     def _build(self, members: np.ndarray, center: np.ndarray) -> int:
         d = _distances(self.points[members], center[None])[:, 0]
@@ -69,14 +71,18 @@ class MTree:
         node["far"] = np.array([self.nodes[c]["parent"] for c in children])
         return number
 
-    def search(self, query: np.ndarray, m: float, k: int, floor: float, ids: list[np.ndarray]) -> list[tuple[float, int]]:
+    def search(self, query: np.ndarray, m: float, k: int, floor: float, ids: list[np.ndarray], exact: np.ndarray | None = None) -> list[tuple[int, int]]:
         """The k best (score, id) among the points' ids, highest score first, ties by smaller id; all scores under
-        `floor` may be left out. query: lifted. ids: of each point, ascending, k at most."""
+        `floor` may be left out. query: lifted; exact: its integers, if the tree has them. ids: of each point, ascending,
+        k at most."""
         if self.root is None:
             return []
         q2, plain = float(query @ query), np.ascontiguousarray(query[:-1])
-        bound = lambda: np.sqrt(max(q2 + m - 2 * worst, 0.0)) * (1 + SLACK) + SLACK
-        best: list[tuple[float, int]] = []  # heap of (score, -id): its head is the k-th
+        room = SLACK * (np.sqrt(m) + np.sqrt(q2)) + SLACK  # of a distance
+        doubt = 0.0 if self.exact is None else 2.0**-50 * (len(query) + 2) * np.sqrt(m * q2)  # of a score in doubles
+        whole = None if self.exact is None else exact.astype(object)
+        bound = lambda: np.sqrt(max(q2 + m - 2 * (worst - doubt), 0.0)) + room
+        best: list[tuple[int, int]] = []  # heap of (score, -id): its head is the k-th
         worst = floor
         root = self.nodes[self.root]
         d = float(np.linalg.norm(query - root["center"]))
@@ -91,15 +97,19 @@ class MTree:
             if "leaf" in node:
                 live = np.abs(d - node["far"]) <= reach
                 n = int(live.sum())
-                self.computed += n
                 members, vectors = node["leaf"], node["vectors"]
                 if 2 * n < len(live):  # else one product over the whole page is cheaper than copying rows out of it
                     members, vectors = members[live], vectors[live]
-                scores = np.rint(vectors @ plain)
-                hopeful = np.flatnonzero(scores >= worst)
-                for j in hopeful[np.argsort(-scores[hopeful], kind="stable")].tolist():
+                self.computed += len(members)
+                scores = vectors @ plain
+                hopeful = np.flatnonzero(scores >= worst - doubt)
+                if whole is None:
+                    values = np.rint(scores[hopeful]).astype(np.int64).tolist()
+                else:
+                    values = [int(x) for x in self.exact[members[hopeful]].astype(object) @ whole]
+                for value, j in sorted(zip(values, hopeful.tolist(), strict=True), key=lambda x: -x[0]):
                     for one in ids[members[j]].tolist():
-                        entry = (float(scores[j]), -one)
+                        entry = (value, -one)
                         if len(best) < k:
                             heapq.heappush(best, entry)
                         elif entry > best[0]:
@@ -107,7 +117,7 @@ class MTree:
                         else:
                             break
                 if len(best) == k:
-                    worst = max(worst, best[0][0])
+                    worst = max(worst, float(best[0][0]))
             else:
                 live = np.flatnonzero(np.abs(d - node["far"]) - node["radii"] <= reach)
                 self.computed += len(live)
@@ -120,9 +130,10 @@ class MTree:
 
 
 def quantised(df: DataFrame, scale: int, id_col: str, vector_col: str) -> DataFrame:
-    """(vec_id, vec): floor(scale * x) of each component as little-endian 4-byte integers.
+    """(vec_id, vec): floor(scale * x) of each component as little-endian 8-byte integers.
 
-    Rows with a null id, a null vector, or a null or non-finite component are left out, repeated rows once.
+    Rows with a null id, a null vector, or a null or non-finite component are left out, repeated rows once. A finite
+    component of 2**62 or more after scaling is an error: no score with it would be a long.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -132,27 +143,29 @@ def quantised(df: DataFrame, scale: int, id_col: str, vector_col: str) -> DataFr
                 if i is None or x is None or any(v is None for v in x):
                     continue
                 v = np.array(x, float)
-                if np.isfinite(v).all() and (np.abs(v) * scale < 2**31).all():
+                if np.isfinite(v).all():
+                    if (np.abs(v) >= 2.0**62 / scale).any():
+                        raise ValueError(f"vector {i}: a component is too large for scores of 64 bits")
                     ids.append(i)
-                    out.append(np.floor(scale * v).astype("<i4").tobytes())
+                    out.append(np.floor(scale * v).astype("<i8").tobytes())
             yield pa.record_batch([pa.array(ids, pa.int64()), pa.array(out, pa.binary())], names=["vec_id", "vec"])
 
     return df.select(F.col(id_col).cast("long").alias("vec_id"), F.col(vector_col).cast("array<double>").alias("v")).mapInArrow(run, "vec_id long, vec binary").distinct()
 
 
-def _matrix(blobs: list[bytes], dim: int) -> np.ndarray:
-    out = np.zeros((len(blobs), dim))
+def _matrix(blobs: list[bytes], dim: int, kind: type = np.float64) -> np.ndarray:
+    out = np.zeros((len(blobs), dim), kind)
     for row, x in zip(out, blobs, strict=True):
-        v = np.frombuffer(x, "<i4")
+        v = np.frombuffer(x, "<i8")
         row[: len(v)] = v
     return out
 
 
-def top_inner_products(df: DataFrame, k: int = 20, every: int = 20, scale: int = 64, id_col: str = "vec_id", vector_col: str = "embedding", most_pivots: int = 1024, part: int = 4096, block: int = 256) -> DataFrame:
+def top_inner_products(df: DataFrame, k: int = 20, every: int = 20, scale: int = 64, id_col: str = "vec_id", vector_col: str = "embedding", most_pivots: int = 1024, part: int = 4096, block: int = 256, page: int = PAGE) -> DataFrame:
     """For each row whose id is divisible by `every`: its k highest inner products with all other rows, after
     floor(scale * x): query_id, rank (from 1), vec_id, score. Ties go to the smaller vec_id; fewer rows give fewer.
 
-    Exact for every row: most_pivots bounds the sample of pivots, part the vectors of one tree, block the queries of one
+    Exact for every row, however large its numbers; a score among the results beyond 64 bits is an error. most_pivots bounds the sample of pivots, part the vectors of one tree, block the queries of one
     task's row. Shorter vectors are filled up with zeros. A vector's copies beyond the k + 1 smallest ids cannot be
     among anyone's k highest and are not entered.
     """
@@ -162,7 +175,7 @@ def top_inner_products(df: DataFrame, k: int = 20, every: int = 20, scale: int =
     copies = Window.partitionBy("vec").orderBy("vec_id")
     entries = written(table.withColumn("n", F.row_number().over(copies)).where(F.col("n") <= k + 1).groupBy("vec").agg(F.sort_array(F.collect_list("vec_id")).alias("ids")))
     n, dim = entries.agg(F.count("*"), F.coalesce(F.max(F.length("vec")), F.lit(0))).first()
-    dim = max(1, dim // 4)
+    dim = max(1, dim // 8)
 
     def norm(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -189,7 +202,8 @@ def top_inner_products(df: DataFrame, k: int = 20, every: int = 20, scale: int =
     tree_of = F.element_at(F.array(*[F.lit(int(x)) for x in first]), F.col("pivot") + 1) + F.pmod(F.xxhash64("vec"), F.element_at(salt, F.col("pivot") + 1)).cast("int")
 
     def build(rows: pd.DataFrame) -> pd.DataFrame:
-        tree = MTree(lifted(_matrix(list(rows["vec"]), dim), m))
+        blobs = list(rows["vec"])
+        tree = MTree(lifted(_matrix(blobs, dim), m), page, _matrix(blobs, dim, np.int64) if m > SURE else None)
         return pd.DataFrame({"tree": rows["tree"].iloc[:1], "pages": [pickle.dumps((tree, [np.array(x) for x in rows["ids"]]))]})
 
     forest = written(placed.withColumn("tree", tree_of.cast("int")).select("tree", "vec", "ids").groupBy("tree").applyInPandas(build, "tree int, pages binary"))
@@ -204,7 +218,10 @@ def top_inner_products(df: DataFrame, k: int = 20, every: int = 20, scale: int =
                 for rows, pages in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
                     tree, ids = pickle.loads(pages)
                     q = np.concatenate((_matrix([r["vec"] for r in rows], dim), np.zeros((len(rows), 1))), axis=1)
-                    out = [(r["vec"], int(s), i) for r, one in zip(rows, q, strict=True) for s, i in tree.search(one, m, k + 1, r["floor"], ids)]
+                    whole = [None] * len(rows) if tree.exact is None else _matrix([r["vec"] for r in rows], dim, np.int64)
+                    out = [(r["vec"], s, i) for r, one, exact in zip(rows, q, whole, strict=True) for s, i in tree.search(one, m, k + 1, r["floor"], ids, exact)]
+                    if any(not -(1 << 63) <= s < 1 << 63 for _, s, _ in out):
+                        raise ValueError("a score is beyond 64 bits")
                     yield pa.record_batch([pa.array([o[j] for o in out], t) for j, t in enumerate((pa.binary(), pa.int64(), pa.int64()))], names=["vec", "score", "id"])
 
         return blocks.join(forest, "tree").select("asked", "pages").repartition(parts, F.xxhash64("asked")).mapInArrow(run, "vec binary, score long, id long")
@@ -230,9 +247,10 @@ def top_inner_products(df: DataFrame, k: int = 20, every: int = 20, scale: int =
             q = np.concatenate((_matrix(b.column(0).to_pylist(), dim), np.zeros((b.num_rows, 1))), axis=1)
             d = _distances(q, centers)
             home = first[d.argmin(axis=1)]
-            low = np.maximum(d - radius * (1 + SLACK) - SLACK, 0.0)
+            q2 = (q * q).sum(axis=1)[:, None]
+            low = np.maximum(d - radius - SLACK * (np.sqrt(m) + np.sqrt(q2)) - SLACK, 0.0)
             floor = b.column(1).to_numpy(zero_copy_only=False)
-            row, pivot = np.nonzero(((q * q).sum(axis=1)[:, None] + m - low**2) / 2 >= floor[:, None] - SLACK * m - SLACK)
+            row, pivot = np.nonzero((q2 + m - low**2) / 2 >= floor[:, None] - SLACK * (m + q2) - SLACK)
             reps = splits[pivot]
             row, tree = np.repeat(row, reps), np.repeat(first[pivot] - (np.cumsum(reps) - reps), reps) + np.arange(int(reps.sum()))
             ok = tree != home[row]

@@ -1,4 +1,5 @@
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from barloom.llm import mtree as M
@@ -55,3 +56,43 @@ def test_copies_ties_and_unusable_rows(spark):
     few = spark.createDataFrame(data[:3], "vec_id long, embedding array<double>")
     assert sorted(map(tuple, M.top_inner_products(few).collect())) == brute(ids[:3], x[:3], 20)
     assert M.top_inner_products(df.limit(0)).count() == 0
+
+
+def exact(data, k, scale=64):
+    """All pairs with Python integers."""
+    v = {i: [int(np.floor(scale * c)) for c in x] for i, x in data}
+    out = []
+    for q in v:
+        if q % 20 == 0:
+            rows = sorted((-sum(a * b for a, b in zip(v[q], v[i])), i) for i in v if i != q)[:k]
+            out += [(q, r, i, -s) for r, (s, i) in enumerate(rows, start=1)]
+    return sorted(out)
+
+
+def test_large_numbers_are_neither_dropped_nor_rounded(spark):
+    rng = np.random.default_rng(3)
+    small = [(i, rng.normal(size=2).tolist()) for i in range(40)]
+    data = [*small, (100, [4e7, 1.0]), (101, [-4e7, 3.0]), (120, [4e7, 1.015625])]
+    assert sorted(map(tuple, M.top_inner_products(spark.createDataFrame(data, "vec_id long, embedding array<double>"), k=5).collect())) == exact(data, 5)
+    # sums beyond 2**53 that differ in their last bits only
+    close = [(i, (rng.integers(1 << 20, 1 << 24, 16) / 64 * 16).tolist()) for i in range(200)]
+    close += [(200 + i, [c + (j == i % 16) / 64 for j, c in enumerate(close[i][1])]) for i in range(60)]
+    got = M.top_inner_products(spark.createDataFrame(close, "vec_id long, embedding array<double>"), part=50, page=16)
+    assert sorted(map(tuple, got.collect())) == exact(close, 20)
+    assert max(r[3] for r in exact(close, 20)) > 1 << 53
+    with pytest.raises(Exception, match="too large"):
+        M.top_inner_products(spark.createDataFrame([(20, [1e300])], "vec_id long, embedding array<double>")).count()
+
+
+@pytest.mark.parametrize("page", [16, 128])
+def test_small_pages_prune_where_there_are_clusters(page):
+    rng = np.random.default_rng(4)
+    x = np.unique(np.concatenate((np.rint(np.repeat(rng.normal(0, 40, (40, 32)), 50, axis=0) + rng.normal(0, 1, (2000, 32))), np.rint(rng.normal(0, 40, (500, 32))))), axis=0)
+    m = float((x * x).sum(axis=1).max())
+    tree = M.MTree(M.lifted(x, m), page=page)
+    ids = [np.array([i]) for i in range(len(x))]
+    for q in x[::100]:
+        got = tree.search(np.append(q, 0.0), m, 7, -np.inf, ids)
+        assert got == sorted(((int(x[j] @ q), j) for j in range(len(x))), key=lambda e: (-e[0], e[1]))[:7]
+    share = tree.computed / len(x) / len(x[::100])
+    assert share < (0.75 if page == 16 else 1.1), share
