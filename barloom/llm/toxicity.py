@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from barloom.llm.common import LOWER, SPACE, joined, pieces
+from barloom.llm.common import LOWER, SPACE, joined, pieces, written
 
 SIZES = (4, 5, 6, 7)
 
@@ -68,11 +68,12 @@ def fit(texts: list[str], toxic: np.ndarray, weight: np.ndarray | None = None, b
     none = NgramModel(bits, np.zeros(1 << bits, np.float32), float(np.log(prior / (1 - prior))))
     if not toxic.any() or toxic.all():
         return none
-    step = 256
+    size = np.cumsum([len(x) + 100 for x in texts])
+    edges = np.unique(np.concatenate(([0], np.searchsorted(size, np.arange(1 << 20, size[-1], 1 << 20), "right"), [len(texts)]))).tolist()
     n1, n0 = int(toxic.sum()), int((~toxic).sum())
     count = np.zeros((2, 1 << bits), np.int64)
-    for i in range(0, len(texts), step):
-        t, f = present(pa.array(texts[i : i + step], pa.string()), bits)
+    for i, j in zip(edges[:-1], edges[1:], strict=True):
+        t, f = present(pa.array(texts[i:j], pa.string()), bits)
         for c in (0, 1):
             count[c] += np.bincount(f[toxic[i + t] == bool(c)], minlength=1 << bits)
     ratio = np.log((count[1] + alpha) / (n1 + 2 * alpha)) - np.log((count[0] + alpha) / (n0 + 2 * alpha))
@@ -83,8 +84,8 @@ def fit(texts: list[str], toxic: np.ndarray, weight: np.ndarray | None = None, b
     kept[np.argsort(-np.abs(z), kind="stable")[:keep]] = True
     kept &= z != 0
     rows, cols = [], []
-    for i in range(0, len(texts), step):
-        t, f = present(pa.array(texts[i : i + step], pa.string()), bits, kept)
+    for i, j in zip(edges[:-1], edges[1:], strict=True):
+        t, f = present(pa.array(texts[i:j], pa.string()), bits, kept)
         rows.append(i + t)
         cols.append(f)
     row, col = np.concatenate(rows), np.concatenate(cols)
@@ -105,24 +106,27 @@ def fit(texts: list[str], toxic: np.ndarray, weight: np.ndarray | None = None, b
     return NgramModel(bits, out, float(b))
 
 
-def training_rows(docs: DataFrame, labels: DataFrame, where: Column, per_class: int = 2000, most_chars: int = 12_000) -> tuple[list[str], np.ndarray, np.ndarray]:
-    """A bounded sample of labelled rows: texts, classes, and how many rows each stands for.
+def training_rows(docs: DataFrame, labels: DataFrame, where: Column, per_class: int = 2000, most_chars: int = 40_000_000) -> tuple[list[str], np.ndarray, np.ndarray]:
+    """A bounded sample of labelled rows: whole texts, classes, and how many rows each stands for.
 
-    Bounds: about per_class rows of either class, drawn by a hash of the id, and most_chars of each text. Exact copies
-    within a class count once. A null label is no label.
+    Bounds: about per_class rows of either class, and fewer if their texts have more than most_chars characters in all;
+    drawn by a hash of the id, whatever the text. Exact copies within a class count once. A null label is no label; a
+    document labelled both ways counts as toxic.
     """
     known = labels.where(where & F.col("toxic").isin(0, 1) & F.col("doc_id").isNotNull()).select("doc_id", F.col("toxic").cast("int").alias("toxic")).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     counts = {r["toxic"]: r["count"] for r in known.groupBy("toxic").count().collect()}
     if not counts:
         return [], np.zeros(0, bool), np.zeros(0)
     u = F.pmod(F.xxhash64("doc_id", F.lit(4)), F.lit(1 << 30)) / F.lit(1 << 30)
-    share = {k: min(1.0, per_class / n) for k, n in counts.items()}
-    some = known.where(F.when(F.col("toxic") == 1, u < share.get(1, 1.0)).otherwise(u < share.get(0, 1.0)))
-    rows = docs.select("doc_id", "text").join(F.broadcast(some), "doc_id").select("toxic", F.substring(F.coalesce("text", F.lit("")), 1, most_chars).alias("text")).distinct().orderBy("toxic", F.xxhash64("text"), "text").collect()
-    toxic = np.array([r["toxic"] == 1 for r in rows], bool)
+    share = F.when(F.col("toxic") == 1, F.lit(min(1.0, per_class / counts.get(1, per_class)))).otherwise(F.lit(min(1.0, per_class / counts.get(0, per_class))))
+    some = known.where(u < share)
+    rows = written(docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(F.broadcast(some), "doc_id").select("toxic", "text", (u / share).alias("u")))
+    chars = rows.agg(F.sum(F.length("text"))).first()[0] or 0
+    drawn_rows = rows.where(F.col("u") < most_chars / max(chars, 1)).select("toxic", "text").distinct().orderBy("toxic", F.xxhash64("text"), "text").collect()
+    toxic = np.array([r["toxic"] == 1 for r in drawn_rows], bool)
     drawn = {c: max(1, int((toxic == bool(c)).sum())) for c in (0, 1)}
-    weight = np.array([counts[r["toxic"]] / drawn[r["toxic"]] for r in rows], float)
-    return [r["text"] for r in rows], toxic, weight
+    weight = np.array([counts[r["toxic"]] / drawn[r["toxic"]] for r in drawn_rows], float)
+    return [r["text"] for r in drawn_rows], toxic, weight
 
 
 def score(df: DataFrame, model: NgramModel, threshold: float = 0.3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
