@@ -1,8 +1,10 @@
 """Mixing documents to target weights: iterative proportional fitting of token weights, then sampling.
 
 Only DataFrame functions. Documents are counted into cells (source, language, topic); the cells' token weights are raked
-to the three target marginals in turn; each cell's documents are kept with one probability, calibrated so that the
-expected tokens are the wanted share of all tokens. What is raked is the table of cells, however many documents there are.
+to the three target marginals in turn; each cell's documents are drawn at one rate, calibrated so that the expected
+tokens are the wanted share of all tokens. A rate of 2.3 gives two copies and, by probability 0.3, a third one: scarce
+cells reach their weight by repetition, as no probability up to 1 could. What is raked is the table of cells, however
+many documents there are.
 """
 
 from __future__ import annotations
@@ -13,7 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from barloom.llm.common import written
+from barloom.llm.common import unused, written
 
 DIMENSIONS = ("source", "lang", "topic")
 WORDS = r"[^\x20\x09-\x0D]+"
@@ -40,52 +42,58 @@ def measured(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", *named, n.alias("n_tokens")).select("doc_id", "source", "lang", topic_of(F.col("text"), F.col("n_tokens")).alias("topic"), "n_tokens")
 
 
-def _targets(cells: DataFrame, targets: Mapping[str, Mapping[str, float] | float]) -> DataFrame:
-    """Adds t_<dimension>: the target share of each cell's category.
+def _weight(d: str, wanted: Mapping[str, float] | float, own: Column) -> Column:
+    """What a category counts for: its weight in the mapping (else 0), or its tokens `own` to the power given."""
+    if not isinstance(wanted, Mapping):
+        return F.pow(own, F.lit(float(wanted)))
+    return F.coalesce(F.create_map(*[F.lit(x) for k, v in wanted.items() for x in (k, float(v))])[F.col(d)], F.lit(0.0)) if wanted else F.lit(0.0)
+
+
+def _ratio(x: Column, total: Column) -> Column:
+    return F.coalesce(x / F.nullif(total, F.lit(0.0)), F.lit(0.0))
+
+
+def _total(df: DataFrame, column: str) -> float:
+    return float(df.agg(F.sum(column)).first()[0] or 0.0)
+
+
+def target_shares(cells: DataFrame, d: str, wanted: Mapping[str, float] | float) -> DataFrame:
+    """(d, t_<d>): the target share of each category that has tokens.
 
     A number is an exponent: shares in proportion to the categories' tokens to that power. A mapping gives weights; a
     category without one gets 0, and weights of categories without tokens go to the others in proportion.
     """
-    whole = Window.partitionBy()
-    for d in DIMENSIONS:
-        own = Window.partitionBy(d)
-        cells = cells.withColumn("own", F.sum("mass").over(own))
-        wanted = targets[d]
-        if isinstance(wanted, Mapping):
-            weight = F.coalesce(F.create_map(*[F.lit(x) for k, v in wanted.items() for x in (k, float(v))])[F.col(d)], F.lit(0.0)) if wanted else F.lit(0.0)
-        else:
-            weight = F.pow(F.col("own"), F.lit(float(wanted)))
-        # each category's weight once, though it has many cells
-        cells = cells.withColumn("t", weight).withColumn("once", F.row_number().over(own.orderBy(*DIMENSIONS)) == 1)
-        total = F.sum(F.when(F.col("once"), F.col("t"))).over(whole)
-        cells = cells.withColumn(f"t_{d}", F.coalesce(F.col("t") / F.nullif(total, F.lit(0.0)), F.lit(0.0))).drop("own", "t", "once")
-    return cells
-
-
-def rake(cells: DataFrame, targets: Mapping[str, Mapping[str, float] | float], rounds: int = 8) -> DataFrame:
-    """cells(source, lang, topic, mass > 0) with weight: the masses' shares, fitted to each marginal in turn, `rounds` times."""
-    out = _targets(cells, targets).withColumn("weight", F.col("mass") / F.sum("mass").over(Window.partitionBy()))
-    for _ in range(rounds):
-        for d in DIMENSIONS:
-            out = out.withColumn("weight", F.coalesce(F.col("weight") * F.col(f"t_{d}") / F.nullif(F.sum("weight").over(Window.partitionBy(d)), F.lit(0.0)), F.lit(0.0)))
-    return out
+    own = cells.groupBy(d).agg(F.sum("mass").alias("mass")).select(d, _weight(d, wanted, F.col("mass")).alias("t"))
+    return own.select(d, _ratio(F.col("t"), F.lit(_total(own, "t"))).alias(f"t_{d}"))
 
 
-def calibrated(cells: DataFrame, keep: float) -> DataFrame:
-    """Adds probability = min(1, scale * weight / mass), with the one scale that makes expected tokens `keep` of all.
+def rake(cells: DataFrame, targets: Mapping[str, Mapping[str, float] | float], rounds: int = 8, few: bool = True) -> DataFrame:
+    """cells(source, lang, topic, mass > 0) with weight: the masses' shares, fitted to each marginal in turn, `rounds` times.
 
-    Cells are taken from the highest ratio down: the first k are kept whole, and k is the least for which the scale that
-    the rest then needs keeps the next ratio within 1. If the cells with weight have fewer tokens, all of these are kept.
+    few: the cells fit one task, and are fitted there by windows in one job; else every sum is a distributed
+    aggregation that is joined back, and each step is a written table. Weights are the same.
     """
-    order = Window.orderBy(F.desc("ratio"), *DIMENSIONS)
-    before, after = order.rowsBetween(Window.unboundedPreceding, -1), order.rowsBetween(0, Window.unboundedFollowing)
-    x = cells.withColumn("ratio", F.col("weight") / F.col("mass"))
-    spare = F.lit(keep) * F.sum("mass").over(Window.partitionBy()) - F.coalesce(F.sum("mass").over(before), F.lit(0.0))
-    x = x.withColumn("scale", spare / F.nullif(F.sum("weight").over(after), F.lit(0.0)))
-    fits = F.col("scale") * F.col("ratio") <= 1
-    x = x.withColumn("chosen", F.max(F.when(fits, F.struct(-F.row_number().over(order), F.col("scale")))).over(Window.partitionBy()))
-    scale = F.element_at(F.array(F.col("chosen")), 1).getField("scale")
-    return x.withColumn("probability", F.when(F.col("weight") > 0, F.when(F.col("chosen").isNull(), 1.0).otherwise(F.least(F.lit(1.0), F.greatest(F.lit(0.0), scale) * F.col("ratio")))).otherwise(0.0)).drop("ratio", "scale", "chosen")
+    if few:
+        out = cells.coalesce(1)
+        for d in DIMENSIONS:
+            own = Window.partitionBy(d)
+            once = F.row_number().over(own.orderBy(*DIMENSIONS)) == 1  # each category once, though it has many cells
+            out = out.withColumn("t", _weight(d, targets[d], F.sum("mass").over(own))).withColumn("once", once)
+            out = out.withColumn(f"t_{d}", _ratio(F.col("t"), F.sum(F.when(F.col("once"), F.col("t"))).over(Window.partitionBy()))).drop("t", "once")
+        out = out.withColumn("weight", F.col("mass") / F.sum("mass").over(Window.partitionBy()))
+        for _ in range(rounds):
+            for d in DIMENSIONS:
+                out = out.withColumn("weight", _ratio(F.col("weight") * F.col(f"t_{d}"), F.sum("weight").over(Window.partitionBy(d))))
+        return out
+    out = cells
+    for d in DIMENSIONS:
+        out = out.join(target_shares(cells, d, targets[d]), d)
+    out = written(out.withColumn("weight", _ratio(F.col("mass"), F.lit(_total(cells, "mass")))))
+    for _ in range(rounds):
+        for d in DIMENSIONS:
+            sums = out.groupBy(d).agg(F.sum("weight").alias("sum"))
+            out = written(out.join(sums, d).withColumn("weight", _ratio(F.col("weight") * F.col(f"t_{d}"), F.col("sum"))).drop("sum"))
+    return out
 
 
 def uniform(id_col: str, seed: int) -> Column:
@@ -93,34 +101,59 @@ def uniform(id_col: str, seed: int) -> Column:
     return F.conv(F.substring(F.md5(F.concat_ws(":", F.lit(str(seed)), F.coalesce(F.col(id_col).cast("string"), F.lit(NONE)))), 1, 8), 16, 10).cast("double") / F.lit(float(1 << 32))
 
 
-def fitted_cells(rows: DataFrame, targets: Mapping[str, Mapping[str, float] | float], keep: float, rounds: int) -> tuple[DataFrame, bool]:
-    """The probability of each cell of measured() rows, as a written table, and whether it is small enough to broadcast."""
+def copies_of(rate: Column, id_col: str, seed: int) -> Column:
+    """The rate's whole part, and one more by the probability of the rest; the same wherever the id is."""
+    return (F.floor(rate) + (uniform(id_col, seed) < rate - F.floor(rate)).cast("int")).cast("int")
+
+
+def fitted_cells(rows: DataFrame, targets: Mapping[str, Mapping[str, float] | float], keep: float, rounds: int, few_cells: int = FEW_CELLS) -> tuple[DataFrame, bool]:
+    """The rate of each cell of measured() rows, as a written table, and whether it is small enough to broadcast."""
     cells = written(rows.where("n_tokens > 0").groupBy(*DIMENSIONS).agg(F.sum("n_tokens").cast("double").alias("mass")))
-    few = cells.count() <= FEW_CELLS
-    return written(calibrated(rake(cells.coalesce(1) if few else cells, targets, rounds), keep).select(*DIMENSIONS, "weight", "probability")), few
+    count, tokens = cells.agg(F.count("*"), F.coalesce(F.sum("mass"), F.lit(0.0))).first()
+    few = count <= few_cells
+    rate = F.lit(keep * tokens) * F.col("weight") / F.col("mass")
+    return written(rake(cells, targets, rounds, few).select(*DIMENSIONS, "weight", rate.alias("rate"))), few
 
 
-def mix(docs: DataFrame, targets: Mapping[str, Mapping[str, float] | float], keep: float = 0.5, rounds: int = 8, seed: int = 6) -> DataFrame:
-    """Every document with its topic, tokens, the probability of its cell, and whether it is selected.
+def mix(docs: DataFrame, targets: Mapping[str, Mapping[str, float] | float], keep: float = 0.5, rounds: int = 8, seed: int = 6, few_cells: int = FEW_CELLS) -> DataFrame:
+    """Every document with its topic, tokens, the rate of its cell (its expected copies), and how many copies it has.
 
-    Documents without words are never selected. Equal rows share one fate. An empty table gives an empty one.
+    Documents without words are never drawn. Equal rows share one fate. An empty table gives an empty one. few_cells:
+    up to so many cells are raked in one task; it changes no result.
     """
     rows = written(measured(docs))
-    fitted, few = fitted_cells(rows, targets, keep, rounds)
+    fitted, few = fitted_cells(rows, targets, keep, rounds, few_cells)
     out = rows.join(F.broadcast(fitted) if few else fitted, list(DIMENSIONS), "left")
-    p = F.when(F.col("n_tokens") > 0, F.coalesce("probability", F.lit(0.0))).otherwise(0.0)
-    return out.select("doc_id", *DIMENSIONS, "n_tokens", p.alias("probability"), (uniform("doc_id", seed) < p).alias("selected"))
+    rate = F.when(F.col("n_tokens") > 0, F.coalesce("rate", F.lit(0.0))).otherwise(0.0)
+    return out.select("doc_id", *DIMENSIONS, "n_tokens", rate.alias("rate")).withColumn("copies", copies_of(F.col("rate"), "doc_id", seed))
+
+
+def report(mixed: DataFrame, targets: Mapping[str, Mapping[str, float] | float]) -> DataFrame:
+    """What mix() reached: dimension, category, its shares of all tokens, of the target, of expected and of drawn tokens,
+    and residual (expected less target)."""
+    cells = mixed.where("n_tokens > 0").groupBy(*DIMENSIONS).agg(F.sum("n_tokens").cast("double").alias("mass"), F.sum(F.col("n_tokens") * F.col("rate")).alias("expected"), F.sum(F.col("n_tokens") * F.col("copies")).cast("double").alias("drawn"))
+    cells = written(cells)
+    total = {c: F.lit(_total(cells, c)) for c in ("mass", "expected", "drawn")}
+    out = None
+    for d in DIMENSIONS:
+        own = cells.groupBy(d).agg(*[F.sum(c).alias(c) for c in ("mass", "expected", "drawn")]).join(target_shares(cells, d, targets[d]), d)
+        shares = [_ratio(F.col(c), total[c]).alias(n) for c, n in (("mass", "source_share"), ("expected", "expected_share"), ("drawn", "drawn_share"))]
+        part = own.select(F.lit(d).alias("dimension"), F.col(d).alias("category"), F.col(f"t_{d}").alias("target"), *shares).withColumn("residual", F.col("expected_share") - F.col("target"))
+        out = part if out is None else out.unionByName(part)
+    return out
 
 
-def selected(docs: DataFrame, targets: Mapping[str, Mapping[str, float] | float], keep: float = 0.5, rounds: int = 8, seed: int = 6) -> DataFrame:
-    """The rows of docs that mix() selects, with all their columns."""
-    fitted, few = fitted_cells(measured(docs), targets, keep, rounds)
-    cells = fitted.select(*[F.col(d).alias(f"__{d}") for d in DIMENSIONS], F.col("probability").alias("__p"))
+def selected(docs: DataFrame, targets: Mapping[str, Mapping[str, float] | float], keep: float = 0.5, rounds: int = 8, seed: int = 6, few_cells: int = FEW_CELLS) -> DataFrame:
+    """The rows of docs that mix() draws, each as often as it has copies, with all their columns."""
+    fitted, few = fitted_cells(measured(docs), targets, keep, rounds, few_cells)
+    name = {x: unused(docs, f"own_{x}") for x in ("n", "rate", "copy", *DIMENSIONS)}
+    cells = fitted.select(*[F.col(d).alias(name[d]) for d in DIMENSIONS], F.col("rate").alias(name["rate"]))
     n = F.coalesce(F.regexp_count("text", F.lit(WORDS)), F.lit(0)).cast("long")
-    own = docs.withColumn("__n", n).where("__n > 0")
-    own = own.withColumns({"__own_source": F.coalesce(F.col("source").cast("string"), F.lit(NONE)), "__own_lang": F.coalesce(F.col("lang").cast("string"), F.lit(NONE)), "__own_topic": topic_of(F.col("text"), F.col("__n"))})
-    same = [own[f"__own_{d}"] == cells[f"__{d}"] for d in DIMENSIONS]
-    return own.join(F.broadcast(cells) if few else cells, same).where(uniform("doc_id", seed) < F.col("__p")).select(*docs.columns)
+    own = docs.withColumn(name["n"], n).where(F.col(name["n"]) > 0)
+    named = {"source": F.coalesce(F.col("source").cast("string"), F.lit(NONE)), "lang": F.coalesce(F.col("lang").cast("string"), F.lit(NONE)), "topic": topic_of(F.col("text"), F.col(name["n"]))}
+    own = own.withColumns({name[d]: x for d, x in named.items()})
+    drawn = own.join(F.broadcast(cells) if few else cells, [name[d] for d in DIMENSIONS])
+    return drawn.withColumn(name["copy"], F.explode(F.array_repeat(F.lit(1), copies_of(F.col(name["rate"]), "doc_id", seed)))).select(*docs.columns)
 
 
 def mix_sql(exponents: Mapping[str, float], keep: float = 0.5, rounds: int = 8, seed: int = 6, table: str = "documents") -> str:
@@ -143,12 +176,8 @@ def mix_sql(exponents: Mapping[str, float], keep: float = 0.5, rounds: int = 8,
             steps.append(f"w{k + 1} AS (SELECT source, lang, topic, mass, t_source, t_lang, t_topic, weight * t_{d} / sum(weight) OVER (PARTITION BY {d}) AS weight FROM w{k})")
             k += 1
     steps += [
-        f"ratios AS (SELECT *, weight / mass AS ratio FROM w{k})",
-        f"""scales AS (SELECT *, row_number() OVER o AS place, ({keep} * sum(mass) OVER () - coalesce(sum(mass) OVER (o ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))
-  / sum(weight) OVER (o ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS scale FROM ratios WINDOW o AS (ORDER BY ratio DESC, source, lang, topic))""",
-        "best AS (SELECT arg_min(scale, place) AS scale FROM scales WHERE scale * ratio <= 1)",
-        "p AS (SELECT source, lang, topic, CASE WHEN best.scale IS NULL THEN 1.0 ELSE least(1.0, greatest(0.0, best.scale) * ratio) END AS probability FROM scales, best)",
-        f"""d AS (SELECT m.*, coalesce(probability, 0.0) AS q, CAST(CAST('0x' || substr(md5('{seed}:' || coalesce(CAST(doc_id AS VARCHAR), '{NONE}')), 1, 8) AS BIGINT) AS DOUBLE) / 4294967296.0 AS u
+        f"p AS (SELECT source, lang, topic, {keep} * sum(mass) OVER () * weight / mass AS rate FROM w{k})",
+        f"""d AS (SELECT m.*, coalesce(rate, 0.0) AS q, CAST(CAST('0x' || substr(md5('{seed}:' || coalesce(CAST(doc_id AS VARCHAR), '{NONE}')), 1, 8) AS BIGINT) AS DOUBLE) / 4294967296.0 AS u
   FROM m LEFT JOIN p ON m.n_tokens > 0 AND m.source = p.source AND m.lang = p.lang AND m.topic = p.topic)""",
     ]
-    return "WITH " + ",\n".join(steps) + "\nSELECT doc_id, source, lang, topic, n_tokens, round(q, 6) AS probability, u < q AS selected FROM d"
+    return "WITH " + ",\n".join(steps) + "\nSELECT doc_id, source, lang, topic, n_tokens, round(q, 6) AS rate, CAST(floor(q) + CAST(u < q - floor(q) AS INTEGER) AS INTEGER) AS copies FROM d"

@@ -50,8 +50,7 @@ MIX = {"source": 0.5, "lang": 0.7, "topic": 0.5}
 
 
 def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = mixing.mix(documents(spark, sf_dir), MIX)
-    return out.withColumn("probability", F.round("probability", 6))
+    return mixing.mix(documents(spark, sf_dir), MIX).withColumn("rate", F.round("rate", 6))
 
 
 def op7_mtree(spark: SparkSession, sf_dir: str) -> DataFrame:
