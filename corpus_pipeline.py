@@ -13,7 +13,7 @@ from barloom.llm import language, mixing, segment, similar, toxicity
 from barloom.llm.common import documents, held, written
 from barloom.llm.queries import MIX
 
-KEEP = 0.8  # share of the tokens that mixing keeps
+KEEP = 0.8  # tokens that mixing draws, in parts of all
 
 
 def identified(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -34,7 +34,7 @@ def distinct(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Sampled to target weights of source, language and topic."""
+    """Drawn to target weights of source, language and topic; documents of scarce cells are repeated."""
     return mixing.selected(docs, MIX, KEEP)
 
 
