@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 from barloom.llm.common import LOWER, SPACE, joined, pieces, written
 
 SIZES = (4, 5, 6, 7)
+CHUNK = 1 << 18  # characters of training texts that are looked at at a time
 
 
 @dataclass(frozen=True)
@@ -69,7 +70,7 @@ def fit(texts: list[str], toxic: np.ndarray, weight: np.ndarray | None = None, b
     if not toxic.any() or toxic.all():
         return none
     size = np.cumsum([len(x) + 100 for x in texts])
-    edges = np.unique(np.concatenate(([0], np.searchsorted(size, np.arange(1 << 20, size[-1], 1 << 20), "right"), [len(texts)]))).tolist()
+    edges = np.unique(np.concatenate(([0], np.searchsorted(size, np.arange(CHUNK, size[-1], CHUNK), "right"), [len(texts)]))).tolist()
     n1, n0 = int(toxic.sum()), int((~toxic).sum())
     count = np.zeros((2, 1 << bits), np.int64)
     for i, j in zip(edges[:-1], edges[1:], strict=True):
@@ -83,26 +84,30 @@ def fit(texts: list[str], toxic: np.ndarray, weight: np.ndarray | None = None, b
     kept = np.zeros(1 << bits, bool)
     kept[np.argsort(-np.abs(z), kind="stable")[:keep]] = True
     kept &= z != 0
-    rows, cols = [], []
+    rows, cols, place = [], [], (np.cumsum(kept) - 1).astype(np.int32)
     for i, j in zip(edges[:-1], edges[1:], strict=True):
         t, f = present(pa.array(texts[i:j], pa.string()), bits, kept)
-        rows.append(i + t)
-        cols.append(f)
-    row, col = np.concatenate(rows), np.concatenate(cols)
-    names, col = np.unique(col, return_inverse=True)
-    value, w, b = ratio[names][col], np.zeros(len(names)), none.intercept
+        rows.append((i + t).astype(np.int32))
+        cols.append(place[f])
+    names = np.flatnonzero(kept)
+    r, w, b = ratio[names], np.zeros(len(names)), none.intercept
     share = weight / weight.sum()
     m, v = np.zeros(len(names) + 1), np.zeros(len(names) + 1)
     for k in range(1, steps + 1):
-        logit = b + np.bincount(row, value * w[col], len(texts))
+        # a chunk of texts at a time: a feature's value is r, so neither values nor products are kept for all
+        rw, logit, slope = r * w, np.full(len(texts), b), np.zeros(len(names))
+        for row, col in zip(rows, cols, strict=True):
+            logit += np.bincount(row, rw[col], len(texts))
         wrong = (1 / (1 + np.exp(-np.clip(logit, -30, 30))) - toxic) * share
-        g = np.append(np.bincount(col, wrong[row] * value, len(names)) + penalty * w, wrong.sum())
+        for row, col in zip(rows, cols, strict=True):
+            slope += np.bincount(col, wrong[row], len(names))
+        g = np.append(r * slope + penalty * w, wrong.sum())
         m += 0.1 * (g - m)
         v += 0.01 * (g * g - v)
         move = 0.02 * (m / (1 - 0.9**k)) / (np.sqrt(v / (1 - 0.99**k)) + 1e-8)
         w, b = w - move[:-1], b - move[-1]
     out = np.zeros(1 << bits, np.float32)
-    out[names] = w * ratio[names]
+    out[names] = w * r
     return NgramModel(bits, out, float(b))
 
 
