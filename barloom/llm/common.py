@@ -6,7 +6,7 @@ import os
 import shutil
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -130,8 +130,8 @@ def sum_by(values: np.ndarray, starts: np.ndarray) -> np.ndarray:
     return sums[starts[1:]] - sums[starts[:-1]]
 
 
-def put_file(uri: str, *arrays: np.ndarray) -> None:
-    """Writes the arrays one after the other; a repeated task replaces the file by an equal one."""
+def put_file(uri: str, arrays: Iterable[np.ndarray]) -> None:
+    """Writes the arrays one after the other, as they come; a repeated task replaces the file by an equal one."""
     files, path = fs.FileSystem.from_uri(uri)
     files.create_dir(path.rpartition("/")[0], recursive=True)
     part = f"{path}.{uuid.uuid4().hex}.tmp"
@@ -156,5 +156,11 @@ def map_file(uri: str) -> np.memmap | None:
         return np.memmap(copy.name, np.uint8, "r")
 
 
+def file_names(uri: str) -> set[str]:
+    """The names of a folder's files."""
+    files, path = fs.FileSystem.from_uri(uri)
+    return {x.base_name for x in files.get_file_info(fs.FileSelector(path, allow_not_found=True)) if x.type == fs.FileType.File}
+
+
 def as_uri(path: str) -> str:
     return path if "://" in path or path.startswith("file:") else f"file://{os.path.abspath(path)}"

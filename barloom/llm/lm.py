@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from barloom.llm.common import LOWER, SPACE, joined, map_file, mixed, pieces, put_file, shared_dir, span_hashes, spans, sum_by
+from barloom.llm.common import LOWER, SPACE, file_names, joined, map_file, mixed, pieces, put_file, shared_dir, span_hashes, spans, sum_by
 
 BEGIN, END = np.uint64(1), np.uint64(2)  # stand for the borders of a text
 TOP = np.uint64(0xFFFF000000000000)
@@ -115,7 +115,7 @@ def _merge_pairs(batches: Iterator[pa.RecordBatch], folder: str, buckets: int) -
         order = np.argsort(key, kind="stable")
         cut = _runs(key[order])
         v, w, c, key = v[order[cut]], w[order[cut]], _sums(c[order], cut), key[order[cut]]
-        put_file(f"{folder}/pairs-{bucket}", key, np.minimum(c, 0xFFFFFFFF).astype("<u4"))
+        put_file(f"{folder}/pairs-{bucket}", [key, np.minimum(c, 0xFFFFFFFF).astype("<u4")])
         of = [int((c == k).sum()) for k in (1, 2, 3, 4)]
         facts = []
         order = np.argsort(v, kind="stable")
@@ -156,7 +156,7 @@ def _merge_words(batches: Iterator[pa.RecordBatch], folder: str) -> Iterator[pa.
         out["word"] = x["word"][cut]
         for name in WORD.names[1:]:
             out[name] = _sums(x[name], cut)
-        put_file(f"{folder}/words-{bucket}", out)
+        put_file(f"{folder}/words-{bucket}", [out])
         left = out["left"]
         values = [*of, *(int((left == k).sum()) for k in (1, 2, 3, 4)), int((left > 0).sum()), int(left.sum(dtype=np.int64)), int(out["count"].sum())]
         yield pa.record_batch([pa.array([v], pa.int64()) for v in values], names=STATS)
@@ -174,26 +174,34 @@ def discounts(n1: int, n2: int, n3: int, n4: int) -> np.ndarray:
 
 @dataclass(frozen=True)
 class KneserNey:
-    """A counted model: its folder, the number of hash ranges, and the sums that make its discounts."""
+    """A counted model: its folder, the number of hash ranges, the sums that make its discounts, and which ranges have files."""
 
     folder: str
     buckets: int
     stats: dict[str, int]
+    has: dict[str, np.ndarray] | None = None
 
     def __post_init__(self) -> None:
         if set(self.stats) != set(STATS):
             raise ValueError(f"stats must be {STATS}")
 
 
-def count_model(texts: DataFrame, text_col: str = "text", most: int = 4_000_000) -> KneserNey:
-    """Counts all texts (null: empty). most: tokens that a task gathers before it passes distinct pairs on."""
+def count_model(texts: DataFrame, text_col: str = "text", most: int = 4_000_000, range_bytes: int = 32 << 20) -> KneserNey:
+    """Counts all texts (null: empty). most: tokens that a task gathers before it passes distinct pairs on. range_bytes:
+    text for each hash range, which is what one task merges, so that no task grows with the input."""
     spark = texts.sparkSession
-    folder, buckets = shared_dir(spark), min(1 << 16, max(1, int(spark.conf.get("spark.sql.shuffle.partitions"))))
-    pairs = texts.select(F.col(text_col).cast("string").alias("text")).mapInArrow(lambda it: _count(it, buckets, most), BLOBS)
+    texts = texts.select(F.col(text_col).cast("string").alias("text"))
+    size = texts.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    folder, buckets = shared_dir(spark), min(1 << 16, max(1, int(spark.conf.get("spark.sql.shuffle.partitions")), -(-size // range_bytes)))
+    pairs = texts.mapInArrow(lambda it: _count(it, buckets, most), BLOBS)
     words = pairs.repartitionById(buckets, F.col("bucket")).mapInArrow(lambda it: _merge_pairs(it, folder, buckets), f"bucket int, {FACTS}")
     sums = words.repartitionById(buckets, F.col("bucket")).mapInArrow(lambda it: _merge_words(it, folder), ", ".join(f"{x} long" for x in STATS))
     row = sums.agg(*[F.coalesce(F.sum(x), F.lit(0)).alias(x) for x in STATS]).first()
-    return KneserNey(folder, buckets, row.asDict())
+    names = file_names(folder)
+    has = {kind: np.array([f"{kind}-{k}" in names for k in range(buckets)]) for kind in ("pairs", "words")}
+    if row["types"] and not (has["pairs"].any() and has["words"].any()):
+        raise FileNotFoundError(f"the model's files are not in {folder}; driver and executors must share that folder")
+    return KneserNey(folder, buckets, row.asDict(), has)
 
 
 _MAPPED: dict[str, np.ndarray | None] = {}
@@ -216,9 +224,11 @@ def _look_up(model: KneserNey, kind: str, asked: np.ndarray, where: np.ndarray,
     """Fills out for the sorted keys that the model's files have; where: each key's bucket, ascending."""
     edges = np.append(_runs(where), len(where))
     for a, b in zip(edges[:-1], edges[1:], strict=True):
-        raw = _mapped(f"{model.folder}/{kind}-{where[a]}")
-        if raw is None:
+        if not model.has[kind][where[a]]:  # no training text has a word or pair of this range
             continue
+        raw = _mapped(uri := f"{model.folder}/{kind}-{where[a]}")
+        if raw is None:
+            raise FileNotFoundError(uri)
         if kind == "words":
             table = raw.view(WORD)
             at, ok = _find(table["word"], asked[a:b])

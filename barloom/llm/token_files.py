@@ -9,6 +9,7 @@ written as the least 64-bit integer.
 
 from __future__ import annotations
 
+import itertools
 import zlib
 from collections.abc import Iterator
 from unicodedata import is_normalized
@@ -190,27 +191,27 @@ def _frame(ids: list[int], lengths: list[int], ranks: np.ndarray) -> list[np.nda
 
 def _write(batches: Iterator[pa.RecordBatch], folder: str, rank: np.ndarray, most: int = 1 << 20) -> Iterator[pa.RecordBatch]:
     part = TaskContext.get().partitionId()
-    arrays, ids, lengths, held, docs, total, pending = [], [], [], [], 0, 0, 0
-
-    def flush() -> None:
+    docs = total = 0
+
+    def frames() -> Iterator[np.ndarray]:
+        """The arrays of the frames, each of which is given to the open file before the next one is made."""
+        nonlocal docs, total
+        ids, lengths, held, pending = [], [], [], 0
+        for b in itertools.chain([first], batches):
+            for doc, one in zip(b.column(0).to_pylist(), _ids_of(*b.columns[1:]), strict=True):
+                ids.append(NULL_ID if doc is None else doc)
+                lengths.append(len(one))
+                held.append(one)
+                docs, total, pending = docs + 1, total + len(one), pending + len(one)
+                if pending >= most:
+                    yield from _frame(ids, lengths, rank[np.concatenate(held)])
+                    ids, lengths, held, pending = [], [], [], 0
         if ids:
-            arrays.extend(_frame(ids, lengths, rank[np.concatenate(held)]))
-            for x in (ids, lengths, held):
-                x.clear()
+            yield from _frame(ids, lengths, rank[np.concatenate(held)])
 
-    for b in batches:
-        for doc, one in zip(b.column(0).to_pylist(), _ids_of(*b.columns[1:]), strict=True):
-            ids.append(NULL_ID if doc is None else doc)
-            lengths.append(len(one))
-            held.append(one)
-            docs, total = docs + 1, total + len(one)
-            pending += len(one)
-            if pending >= most:
-                flush()
-                pending = 0
-    flush()
-    if docs:
-        put_file(f"{folder}/ids-{part}", *arrays)
+    first = next((b for b in batches if b.num_rows), None)
+    if first is not None:
+        put_file(f"{folder}/ids-{part}", frames())
         yield pa.record_batch([pa.array([part], pa.int32()), pa.array([docs]), pa.array([total])], names=["part", "docs", "ids"])
 
 
@@ -225,7 +226,7 @@ def write_token_files(table: DataFrame, folder: str | None = None) -> tuple[str,
     table = written(table, "none")
     counts = table.select("n", "width", "ids").mapInArrow(_tally, "id long, count long").groupBy("id").agg(F.sum("count").alias("count")).collect()
     book = np.array([r["id"] for r in sorted(counts, key=lambda r: (-r["count"], r["id"]))], "<u4")
-    put_file(f"{folder}/codebook", book)
+    put_file(f"{folder}/codebook", [book])
     rank = np.zeros(int(book.max(initial=0)) + 1, np.uint32)
     rank[book] = np.arange(len(book))
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
