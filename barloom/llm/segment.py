@@ -564,13 +564,13 @@ _LOADED: dict[tuple[str, bool], tuple[Vocabulary, Known]] = {}
 ROW = "doc_id long, rank int, n_pieces long, log_prob double, perturbed double, log_inclusion double, ids_crc32 long, round_trip boolean"
 
 
-def segmentations(df: DataFrame, model: str, k: int = 2, seed: int = 8, by_rank: bool = True, with_ids: bool = False, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def segmentations(df: DataFrame, model: str, k: int = 2, seed: int = 8, by_rank: bool = True, with_ids: bool = False, id_col: str = "doc_id", text_col: str = "text", most: int = 1 << 20) -> DataFrame:
     """Up to k (at most 31) distinct segmentations of every text, best perturbed value first.
 
     doc_id, rank (from 1), n_pieces, log_prob (of the segmentation among all of the text), perturbed (its Gumbel value),
     log_inclusion (of exceeding the first value not drawn), ids_crc32 (of ids as little-endian unsigned 32-bit integers),
     round_trip (decoding gives the text back); with_ids adds ids. A text with fewer than k segmentations gives all of
-    them; a null or empty text gives one without pieces. Rows with equal id and text get equal draws; a null id has a key
+    them; a null or empty text gives one without pieces. most: bytes of text that a task works on at a time. Rows with equal id and text get equal draws; a null id has a key
     of its own.
     """
     if not 1 <= k <= 31:
@@ -580,7 +580,7 @@ def segmentations(df: DataFrame, model: str, k: int = 2, seed: int = 8, by_rank:
         if (model, by_rank) not in _LOADED:
             _LOADED[model, by_rank] = load(model, by_rank), Known()
         vocabulary, known = _LOADED[model, by_rank]
-        for b in pieces(batches, "text", 1 << 20):
+        for b in pieces(batches, "text", most):
             doc_ids = b.column(0)
             keys = np.where(doc_ids.is_valid().to_numpy(zero_copy_only=False), mixed(doc_ids.fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64)), NULL_KEY)
             *draws, (threshold,) = list(sample(vocabulary, b.column(1), keys, k, seed, known))
