@@ -40,7 +40,7 @@ def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def segmented(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Two distinct sampled segmentations of each text, with ids."""
-    return segment.segmentations(docs, public_tokenizers.path("piece_bpe_32k.model"), with_ids=True)
+    return segment.segmentations(docs, public_tokenizers.path("piece_bpe_32k.model"), with_ids=True, most=1 << 19)
 
 
 STAGES = [("language", identified), ("toxicity", civil), ("near-dedup", distinct), ("mixing", mixed), ("segmentation", segmented)]
