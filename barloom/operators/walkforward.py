@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import GBTClassifier
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -18,6 +19,9 @@ from barloom.functions.columns import DATE, SYMBOL, ratio
 EXCLUDED = {"open", "high", "low", "close", "volume", "ma25", "ma75", "weekly_ma5", "weekly_ma13", "atr14", "tb_label", "avoid_entry_flag", "tb_barrier", "tb_days_to_touch", "tb_return", "forward_max_drawdown", SYMBOL, DATE}
 
 
+TASK_ROWS = 100_000  # training rows of a task, at least
+
+
 def select_feature_columns(df: DataFrame) -> list[str]:
     return [f.name for f in df.schema.fields if f.name not in EXCLUDED and isinstance(f.dataType, T.NumericType)]
 
@@ -64,15 +68,16 @@ def predict(model: PipelineModel, test: DataFrame, fold: int, target: str = "tb_
 
 def fold_metrics(predictions: DataFrame) -> DataFrame:
     """Accuracy, precision, recall and f1 (0 where undefined) and ROC-AUC (null with one class) of each fold, exactly."""
-    ranks = Window.partitionBy("fold").orderBy("y_proba")
-    ties = F.count("*").over(Window.partitionBy("fold", "y_proba"))
-    ranked = predictions.withColumn("__rank", F.rank().over(ranks) + (ties - 1) / 2)
     is_ = lambda c, v: (F.col(c) == v)
     count = lambda c: F.sum(F.when(c, 1).otherwise(0)).cast("double")
-    sums = ranked.groupBy("fold").agg(
+    # equal scores are counted before they are ranked, so that what is ordered is a fold's distinct scores
+    scores = predictions.groupBy("fold", "y_proba").agg(
         F.count("*").alias("n"), count(is_("y_true", 1) & is_("y_pred", 1)).alias("tp"), count(is_("y_true", 0) & is_("y_pred", 1)).alias("fp"), count(is_("y_true", 1) & is_("y_pred", 0)).alias("fn"),
-        count(is_("y_true", F.col("y_pred"))).alias("ok"), count(is_("y_true", 1)).alias("p"), F.sum(F.when(is_("y_true", 1), F.col("__rank"))).alias("ranks"),
+        count(is_("y_true", F.col("y_pred"))).alias("ok"), count(is_("y_true", 1)).alias("p"),
     )
+    before = F.coalesce(F.sum("n").over(Window.partitionBy("fold").orderBy("y_proba").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    ranked = scores.withColumn("ranks", F.col("p") * (before + (F.col("n") + 1) / 2))
+    sums = ranked.groupBy("fold").agg(*[F.sum(c).alias(c) for c in ("n", "tp", "fp", "fn", "ok", "p", "ranks")])
     zero = F.lit(0.0)
     precision, recall = F.coalesce(ratio(F.col("tp"), F.col("tp") + F.col("fp")), zero), F.coalesce(ratio(F.col("tp"), F.col("tp") + F.col("fn")), zero)
     f1 = F.coalesce(ratio(2 * F.col("tp"), 2 * F.col("tp") + F.col("fp") + F.col("fn")), zero)
@@ -118,31 +123,54 @@ class WalkForward:
     fold_metrics: DataFrame
     feature_importance: DataFrame
     predictions: DataFrame
-    final_model: PipelineModel
+    final_model: PipelineModel | None
+
 
+def walk_forward_validation(
+    df: DataFrame, features: list[str] | None = None, target: str = "tb_label", n_splits: int = 5, min_train_size: int = 100, rounds: int = 300, purge_rows: int = 0, permute: bool = False, final: bool = True
+) -> WalkForward:
+    """One model for all symbols, folds by date. What the driver holds is the fold table and the models.
 
-def walk_forward_validation(df: DataFrame, features: list[str] | None = None, target: str = "tb_label", n_splits: int = 5, min_train_size: int = 100, rounds: int = 300, purge_rows: int = 0, permute: bool = False) -> WalkForward:
-    """One model for all symbols, folds by date. The driver loops over folds; what it holds is the fold table."""
+    Boosting rounds follow each other, but folds do not: their fits (and the final one, on all rows, if asked for) are
+    submitted together, so that their jobs share the cluster. The input is kept in memory meanwhile.
+    """
     features = features or select_feature_columns(df)
-    folds = date_folds(df, n_splits, purge_rows).persist()
+    folds = date_folds(df, n_splits, purge_rows)
     table = fold_table(folds, min_train_size)
-    kept, importance = [], []
     frame = df.persist()
-    for k in sorted(r["fold"] for r in table.select("fold").collect()):
-        of = lambda role: frame.join(folds.where((F.col("fold") == k) & (F.col("role") == role)).select(DATE), DATE, "left_semi")  # noqa: B023, E731
-        model = fit(of("train"), features, target, rounds)
-        kept.append(predict(model, of("test"), k, target))
-        importance.append(permutation_importance(model, of("test"), features, k, target) if permute else model_importance(model, features, k, df))
-    if not kept:
+    folds = folds.persist()
+    sizes = {r["fold"]: r["n_train"] for r in table.select("fold", "n_train").collect()}
+    numbers = sorted(sizes)
+    if not numbers:
         raise ValueError("no fold has enough training rows")
+    of = lambda k, role: frame.join(folds.where((F.col("fold") == k) & (F.col("role") == role)).select(DATE), DATE, "left_semi")
+    with ThreadPoolExecutor(len(numbers) + 1) as pool:
+        # every level of every tree is a job; few rows are not spread over more tasks than they need
+        fits = [pool.submit(fit, of(k, "train").coalesce(1 + sizes[k] // TASK_ROWS), features, target, rounds) for k in numbers]
+        last = pool.submit(fit, frame, features, target, rounds) if final else None
+        models = [x.result() for x in fits]
+        final_model = last.result() if final else None
+    frame.unpersist()
+    folds.unpersist()
+    kept = [predict(m, of(k, "test"), k, target) for k, m in zip(numbers, models, strict=True)]
+    importance = [permutation_importance(m, of(k, "test"), features, k, target) if permute else model_importance(m, features, k, df) for k, m in zip(numbers, models, strict=True)]
     union = lambda parts: parts[0] if len(parts) == 1 else parts[0].unionByName(union(parts[1:]))
     predictions = union(kept)
     metrics = table.join(fold_metrics(predictions).drop("n_test"), "fold").orderBy("fold")
-    return WalkForward(metrics, mean_importance(union(importance)), predictions, fit(frame, features, target, rounds))
+    return WalkForward(metrics, mean_importance(union(importance)), predictions, final_model)
 
 
 def save_walk_forward(result: WalkForward, root: str) -> None:
     """Three tables and the model under one folder."""
     for name in ("fold_metrics", "feature_importance", "predictions"):
         getattr(result, name).write.mode("overwrite").parquet(f"{root.rstrip('/')}/step4_{name}")
+    if result.final_model is None:
+        raise ValueError("there is no final model to save")
     result.final_model.write().overwrite().save(f"{root.rstrip('/')}/step4_model")
+
+
+def load_walk_forward(spark: SparkSession, root: str) -> WalkForward:
+    """What save_walk_forward() wrote."""
+    at = root.rstrip("/")
+    tables = [spark.read.parquet(f"{at}/step4_{name}") for name in ("fold_metrics", "feature_importance", "predictions")]
+    return WalkForward(*tables, PipelineModel.load(f"{at}/step4_model"))

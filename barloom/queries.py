@@ -174,8 +174,15 @@ register(
 ROUNDS = 300  # as in the reference
 
 
+WALKED: dict[tuple[str, str], walkforward.WalkForward] = {}  # of this application, by input
+
+
 def walked(spark: SparkSession, d: str) -> walkforward.WalkForward:
-    return walkforward.walk_forward_validation(step3(spark, d), rounds=ROUNDS)
+    """One walk for all queries of an input: what they show are its tables. None of them needs the final fit."""
+    key = (spark.sparkContext.applicationId, d)
+    if key not in WALKED:
+        WALKED[key] = walkforward.walk_forward_validation(step3(spark, d), rounds=ROUNDS, final=False)
+    return WALKED[key]
 
 
 register("model_predictions", lambda s, d: walked(s, d).predictions)

@@ -8,14 +8,15 @@ def test_model_queries_fit_300_rounds(spark, monkeypatch):
     asked = []
     importance = spark.createDataFrame([(f"f{k}", k / 20) for k in range(20)], "feature string, importance double")
 
-    def validation(df, rounds=300):
-        asked.append(rounds)
+    def validation(df, rounds=300, final=True):
+        asked.append((rounds, final))
         return SimpleNamespace(predictions="predictions", feature_importance=importance, fold_metrics="metrics")
 
     monkeypatch.setattr(walkforward, "walk_forward_validation", validation)
     monkeypatch.setattr(queries, "step3", lambda s, d: None)
+    monkeypatch.setattr(queries, "WALKED", {})
     found = queries.queries()
-    assert found["model_predictions"](None, "") == "predictions" and found["model_importance"](None, "") is importance
-    assert found["model_fold_metrics"](None, "") == "metrics"
-    assert [r["feature"] for r in found["model_top_importance"](None, "").collect()] == [f"f{k}" for k in range(19, 4, -1)]
-    assert asked == [300] * 4 and not {n for n in found if n.startswith("model_")} & set(queries.oracle_sql())
+    assert found["model_predictions"](spark, "x") == "predictions" and found["model_importance"](spark, "x") is importance
+    assert found["model_fold_metrics"](spark, "x") == "metrics"
+    assert [r["feature"] for r in found["model_top_importance"](spark, "x").collect()] == [f"f{k}" for k in range(19, 4, -1)]
+    assert asked == [(300, False)] and not {n for n in found if n.startswith("model_")} & set(queries.oracle_sql())
