@@ -85,6 +85,27 @@ register(
 table("bars_daily", daily, "bars", floats=OHLCV)
 register("repeated_keys", lambda s, d: source.repeated_keys(source.ticks_of_lineitem(lines(s, d))), "SELECT l_returnflag AS symbol, CAST(l_shipdate AS DATE) AS dt, count(*) AS n FROM lineitem GROUP BY 1, 2 HAVING count(*) > 1")
 register("symbol_selection", lambda s, d: shown(source.select_symbols(daily(s, d), "R", "unknown"), KEY, floats=OHLCV), rounded("symbol dt", "", " ".join(OHLCV), "bars WHERE symbol = 'R'"))
+
+
+def from_files(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    """Daily and weekly bars written as vendor sheets to the shared folder, read from there and cleaned."""
+    root, bars = source.shared_folder(spark), daily(spark, d)
+    days = source.clean(source.read_vendor(spark, source.write_vendor(bars, f"{root}/daily")))
+    weeks = source.read_vendor(spark, source.write_vendor(source.weekly_bars(bars), f"{root}/weekly", "week_end", "W"))
+    return days, source.clean(weeks, "week_end")
+
+
+def stored_step1(spark: SparkSession, d: str) -> DataFrame:
+    """Step 1 of the files' daily and stored weekly bars, written by symbol and loaded again."""
+    root = source.shared_folder(spark)
+    source.write_step(build_step1(*from_files(spark, d)), root, "step1")
+    return source.read_step(spark, root, "step1")
+
+
+table("files_daily", lambda s, d: from_files(s, d)[0], "bars", floats=OHLCV)
+table("files_weekly", lambda s, d: from_files(s, d)[1], "weeks", floats=OHLCV, keys=[SYMBOL, "week_end"])
+table("stored_step1", stored_step1, "step1", ["candle_dir", "weekly_trend"], FLOATS1)
+register("stored_step1_symbol", lambda s, d: shown(source.select_symbols(stored_step1(s, d), "N"), KEY, ["weekly_trend"], ["close", "rsi14"]), rounded("symbol dt", "weekly_trend", "close rsi14", "step1 WHERE symbol = 'N'"))
 # B: weeks, as-of
 table("bars_weekly", lambda s, d: source.weekly_bars(daily(s, d)), "weeks", floats=OHLCV, keys=[SYMBOL, "week_end"])
 table("weekly_features", lambda s, d: indicators.add_weekly_features(source.weekly_bars(daily(s, d))), "weekly", ["weekly_trend"], indicators.WEEKLY[:4], [SYMBOL, "week_end"])

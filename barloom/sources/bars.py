@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -16,16 +19,37 @@ VENDOR_SCHEMA = T.StructType([T.StructField(c, T.StringType()) for c in VENDOR])
 
 
 def read_vendor(spark: SparkSession, path: str, symbol: str | None = None, fmt: str = "csv", skip: int = 0) -> DataFrame:
-    """Rows of vendor sheets as text, with a symbol column: the given one, or the file's name without its ending.
+    """Rows of vendor sheets as text, with a symbol column: the given one, or that of a folder symbol=..., or the file's
+    name without its ending.
 
-    skip: preamble lines of a CSV file, which are the only ones that have fewer than ten fields or repeat the names.
+    skip: whether CSV files have preamble lines (not 0), however many; they are the ones with fewer than ten fields. A
+    line that repeats the names goes in clean(), as its date does not parse.
     """
     read = spark.read.schema(VENDOR_SCHEMA)
     sheet = read.csv(path, mode="PERMISSIVE", header=False) if fmt == "csv" else read.format(fmt).load(path)
     if skip:
         sheet = sheet.where(F.col("volume").isNotNull())
-    name = F.lit(symbol) if symbol is not None else F.regexp_extract(F.input_file_name(), r"([^/]+?)(\.[A-Za-z]+)?$", 1)
-    return sheet.withColumn(SYMBOL, name)
+    file = F.input_file_name()
+    folder = F.nullif(F.regexp_extract(file, rf"{SYMBOL}=([^/]+)/", 1), F.lit(""))
+    name = F.lit(symbol) if symbol is not None else F.coalesce(folder, F.regexp_extract(file, r"([^/]+?)(\.[A-Za-z]+)?$", 1))
+    return sheet.select(*VENDOR, name.alias(SYMBOL))
+
+
+def write_vendor(bars: DataFrame, path: str, date: str = DATE, bar_type: str = "D") -> str:
+    """Bars as vendor sheets in CSV, one folder a symbol; the path."""
+    text = [F.lit("").alias("name"), F.lit("").alias("market"), F.lit(bar_type).alias("bar_type"), F.col(date).cast("string").alias("dt"), F.lit("").alias("time"), *[F.col(c).cast("string").alias(c) for c in OHLCV]]
+    bars.select(SYMBOL, *text).write.mode("overwrite").partitionBy(SYMBOL).csv(path)
+    return path
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """A new folder that driver and executors share, under spark.checkpoint.dir; only a local session may lack that."""
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+        base = tempfile.mkdtemp(prefix="bars-")
+    return f"{base.rstrip('/')}/bars-{uuid.uuid4().hex}"
 
 
 def clean(sheet: DataFrame, date: str = DATE) -> DataFrame:

@@ -36,7 +36,7 @@ def closes(n, seed=0):
     return out
 
 
-CHECKED = ["vendor_clean", "bars_daily", "bars_weekly", "weekly_features", "asof_weekly", "window_rolling", "window_ewm_blocks", "daily_indicators", "step1", "rsi_divergence", "step2", "labels_fixed_pct", "step3_atr", "step5", "signal_quality", "fold_table", "fold_metrics", "confusion", "probability_histogram", "return_histogram"]
+CHECKED = ["vendor_clean", "files_daily", "files_weekly", "stored_step1", "stored_step1_symbol", "bars_daily", "bars_weekly", "weekly_features", "asof_weekly", "window_rolling", "window_ewm_blocks", "daily_indicators", "step1", "rsi_divergence", "step2", "labels_fixed_pct", "step3_atr", "step5", "signal_quality", "fold_table", "fold_metrics", "confusion", "probability_histogram", "return_histogram"]
 
 
 @pytest.mark.parametrize("name", CHECKED)
@@ -170,7 +170,7 @@ def test_feature_selection_folds_model_and_sinks(spark, tmp_path):
     features = walkforward.select_feature_columns(step3)
     assert len(features) == 28 and not {"close", "tb_return", "symbol"} & set(features)
     planted = step3.withColumn("tb_label", (F.col("mom5") > 0).cast("int"))
-    out = walkforward.walk_forward_validation(planted, features, n_splits=2, rounds=2)
+    out = walkforward.walk_forward_validation(planted, features, n_splits=2, rounds=6)
     metrics = out.fold_metrics.collect()
     assert [r["fold"] for r in metrics] == [1, 2] and all(r["roc_auc"] > 0.9 and r["train_end"] < r["test_start"] for r in metrics)
     assert out.feature_importance.first()["feature"] == "mom5" and out.predictions.count() == sum(r["n_test"] for r in metrics)
@@ -180,7 +180,10 @@ def test_feature_selection_folds_model_and_sinks(spark, tmp_path):
     B.write_step(build_step5(step3), str(tmp_path), "step5")
     again = B.read_step(spark, str(tmp_path), "step5")
     assert again.count() == step3.count() and reports.head(again).count() == 5
-    assert spark.read.parquet(f"{tmp_path}/step4_predictions").count() == out.predictions.count()
+    back = walkforward.load_walk_forward(spark, str(tmp_path))
+    assert back.predictions.count() == out.predictions.count() and back.fold_metrics.count() == 2
+    scores = lambda m: [round(r["y_proba"], 9) for r in walkforward.predict(m, planted, 1).orderBy("symbol", "dt").collect()]
+    assert scores(back.final_model) == scores(out.final_model)
     assert len(STEP1) == 26
 
 
