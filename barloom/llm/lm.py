@@ -1,9 +1,14 @@
-"""Interpolated modified Kneser-Ney bigram model, counted in Spark and read by workers as memory-mapped hash arrays.
+"""Interpolated modified Kneser-Ney trigram model, counted in Spark and read by workers as memory-mapped sorted arrays.
 
-Counting is three passes of one job. Each task turns its texts into distinct (previous word, word) pairs of 64-bit
-hashes with counts, laid out by the previous word's hash range; each range is merged and written as one sorted file of
-pair keys and counts, and passes on what its pairs say of single words; each word range is merged and written the same
-way. A frequent word or pair is one entry of each task, so no range grows with it. What the driver gets is ten sums.
+Counting is three passes of one job. Each task turns its texts into distinct trigrams of 64-bit word hashes with counts,
+laid out by the hash range of the middle word: there both what follows (first, middle) and how many words come before
+(middle, last) are complete, so one exchange serves both levels. Each range is merged and written as one file of sorted
+arrays, and passes on what it says of single words; each word range is merged and written the same way. What the driver
+gets is some sums.
+
+A middle word of many tokens is split by its last words over several ranges. The counts of such trigrams and pairs stay
+complete, and the totals of their contexts are sums over the ranges, which readers add up. Which words are split is
+estimated on a bounded sample of rows; it decides where rows go and has no part in results.
 """
 
 from __future__ import annotations
@@ -19,14 +24,23 @@ from pyspark.sql import functions as F
 from barloom.llm.common import LOWER, SPACE, file_names, joined, map_file, mixed, pieces, put_file, shared_dir, span_hashes, spans, sum_by
 
 BEGIN, END = np.uint64(1), np.uint64(2)  # stand for the borders of a text
-TOP = np.uint64(0xFFFF000000000000)
-WORD = np.dtype([("word", "<u8"), ("count", "<u8"), ("total", "<u8"), ("left", "<u4"), ("n1", "<u4"), ("n2", "<u4"), ("n3", "<u4")])
-BLOBS = "bucket int, word binary, size binary, next binary, count binary"
-FACTS = "word_bytes binary, p1 long, p2 long, p3 long, p4 long"
-
-
-def tokens(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Hashes of all tokens (words, then one end for each text), of the tokens before them, and each text's first token."""
+WORD = np.dtype([("word", "<u8"), ("count", "<u8"), ("left", "<u4")])
+BLOBS = "bucket int, words binary, first binary, middle binary, last binary, count binary"
+STATS = ["t1", "t2", "t3", "t4", "p1", "p2", "p3", "p4", "w1", "w2", "w3", "w4", "types", "lefts", "train_tokens"]
+FACTS = STATS[:8]
+FEW = 4  # contexts of more followers have their totals stored
+
+# Arrays of a range's file in the order they are stored; words are places in `words` everywhere else.
+ARRAYS = {
+    "words": "<u8", "head_total": "<u8", "many_total": "<u8", "over": "<u8", "pair_over": "<u8",
+    "head": "<u4", "head_from": "<u4", "head_pairs": "<u4", "head_n1": "<u4", "head_n2": "<u4", "head_n3": "<u4",
+    "context": "<u4", "context_from": "<u4", "many": "<u4", "many_n1": "<u4", "many_n2": "<u4", "many_n3": "<u4",
+    "next": "<u4", "over_at": "<u4", "pair_next": "<u4", "pair_over_at": "<u4", "count": "u1", "pair_count": "u1",
+}
+
+
+def tokens(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Hashes of all tokens (words, then one end for each text), of the tokens one and two before them, and each text's first token."""
     data, starts = joined(column)
     raw = LOWER[np.frombuffer(data, np.uint8)]
     begin, end, first = spans(~SPACE[raw], starts)
@@ -36,10 +50,12 @@ def tokens(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     token = np.empty(len(hashes) + texts, np.uint64)
     token[np.arange(len(hashes)) + np.repeat(np.arange(texts), np.diff(first))] = hashes
     token[at[1:] - 1] = END
-    before = np.empty_like(token)
+    before, twice = np.empty_like(token), np.empty_like(token)
     before[1:] = token[:-1]
     before[at[:-1]] = BEGIN
-    return token, before, at
+    twice[1:] = before[:-1]
+    twice[at[:-1]] = BEGIN
+    return token, before, twice, at
 
 
 def bucket_of(h: np.ndarray, buckets: int) -> np.ndarray:
@@ -47,9 +63,27 @@ def bucket_of(h: np.ndarray, buckets: int) -> np.ndarray:
     return ((h >> np.uint64(48)).astype(np.int64) * buckets) >> 16
 
 
-def pair_keys(before: np.ndarray, token: np.ndarray) -> np.ndarray:
-    """Keys of word pairs in the order of the previous word's upper 16 bits, so that hash ranges are key ranges."""
-    return (mixed(before) & TOP) | (mixed(before * np.uint64(3) + mixed(token)) >> np.uint64(16))
+@dataclass(frozen=True)
+class Split:
+    """The middle words whose trigrams go to several ranges, sorted, and the number of parts of each."""
+
+    words: np.ndarray
+    parts: np.ndarray
+
+    def of(self, middle: np.ndarray) -> np.ndarray:
+        """Each word's parts; 0 for words that are not split."""
+        if not len(self.words):
+            return np.zeros(len(middle), np.int64)
+        at, ok = _find(self.words, middle)
+        return np.where(ok, self.parts[at], 0)
+
+    def ranges(self, middle: np.ndarray, part: np.ndarray, buckets: int) -> np.ndarray:
+        """The range of each word's part (0 for words that are not split)."""
+        return bucket_of(mixed(mixed(middle) + part.astype(np.uint64)), buckets)
+
+    def route(self, middle: np.ndarray, last: np.ndarray, buckets: int) -> np.ndarray:
+        parts = self.of(middle)
+        return self.ranges(middle, np.where(parts > 0, mixed(last) % np.maximum(parts, 1).astype(np.uint64), 0), buckets)
 
 
 def _runs(x: np.ndarray, *more: np.ndarray) -> np.ndarray:
@@ -60,37 +94,76 @@ def _runs(x: np.ndarray, *more: np.ndarray) -> np.ndarray:
     return np.flatnonzero(new)
 
 
-def _pairs(before: np.ndarray, token: np.ndarray, buckets: int) -> Iterator[pa.RecordBatch]:
-    """Distinct pairs with counts, one row for each bucket that has some."""
-    key = pair_keys(before, token)
-    order = np.argsort(key, kind="stable")
+def _find(keys: np.ndarray, asked: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Places in sorted keys, and whether what is asked stands there."""
+    if not len(keys):
+        return np.zeros(len(asked), np.int64), np.zeros(len(asked), bool)
+    at = np.minimum(np.searchsorted(keys, asked), len(keys) - 1)
+    return at, keys[at] == asked
+
+
+def _find_within(keys: np.ndarray, low: np.ndarray, high: np.ndarray, asked: np.ndarray, ok: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The same within keys[low:high] of each asked row, where the keys are sorted; rows that are not ok find nothing."""
+    at, end = np.where(ok, low, 0).astype(np.int64), np.where(ok, high, 0).astype(np.int64)
+    stop, live = end.copy(), np.flatnonzero(at < end)
+    while live.size:
+        middle = (at[live] + end[live]) >> 1
+        less = keys[middle] < asked[live]
+        at[live[less]] = middle[less] + 1
+        end[live[~less]] = middle[~less]
+        live = live[at[live] < end[live]]
+    found = at < stop
+    found[found] = keys[at[found]] == asked[found]
+    return at, found
+
+
+def _order(n: int, *columns: np.ndarray) -> np.ndarray:
+    """The order of rows by columns of numbers below n, the first column first."""
+    bits = max(1, int(n - 1).bit_length())
+    if bits * len(columns) > 64:
+        return np.lexsort(columns[::-1])
+    key = np.zeros(len(columns[0]), np.uint64)
+    for x in columns:
+        key = (key << np.uint64(bits)) | x.astype(np.uint64)
+    return np.argsort(key)
+
+
+def _trigrams(last: np.ndarray, middle: np.ndarray, first: np.ndarray, buckets: int, split: Split) -> Iterator[pa.RecordBatch]:
+    """Distinct trigrams with counts, one row for each range that has some, as places in the row's own sorted words."""
+    key = trigram_keys(first, middle, last)
+    order = np.argsort(key)
     cut = _runs(key[order])
     count = np.diff(np.append(cut, len(key))).astype(np.uint32)
-    v, w = before[order[cut]], token[order[cut]]
-    where = bucket_of(mixed(v), buckets)
-    # pairs of one previous word stand together within its 16-bit range
-    order = np.lexsort((v, where))
-    v, w, count, where = v[order], w[order], count[order], where[order]
-    edges = np.append(_runs(where), len(where))
+    del key
+    at = order[cut]
+    first, middle, last = first[at], middle[at], last[at]
+    where = split.route(middle, last, buckets)
+    order = np.argsort(where, kind="stable")
+    edges = np.append(_runs(where[order]), len(where))
     for a, b in zip(edges[:-1], edges[1:], strict=True):
-        head = _runs(v[a:b])
-        yield pa.record_batch(
-            [pa.array([int(where[a])], pa.int32()), *(pa.array([x.tobytes()], pa.binary()) for x in (v[a:b][head], np.diff(np.append(head, b - a)).astype(np.uint32), w[a:b], count[a:b]))],
-            names=["bucket", "word", "size", "next", "count"],
-        )
+        at = order[a:b]
+        words, places = np.unique(np.concatenate((middle[at], first[at], last[at])), return_inverse=True)
+        m, f, w = places.reshape(3, -1)
+        by = _order(len(words), m, f, w)
+        kind = "<u2" if len(words) <= 1 << 16 else "<u4"
+        row = (words, f[by].astype(kind), m[by].astype(kind), w[by].astype(kind), count[at][by])
+        yield pa.record_batch([pa.array([int(where[at[0]])], pa.int32()), *(pa.array([x.tobytes()], pa.binary()) for x in row)], names=["bucket", "words", "first", "middle", "last", "count"])
+
 
+def trigram_keys(first: np.ndarray, middle: np.ndarray, last: np.ndarray) -> np.ndarray:
+    return mixed(first * np.uint64(5) + mixed(middle * np.uint64(3) + mixed(last)))
 
-def _count(batches: Iterator[pa.RecordBatch], buckets: int, most: int) -> Iterator[pa.RecordBatch]:
+
+def _count(batches: Iterator[pa.RecordBatch], buckets: int, split: Split, most: int) -> Iterator[pa.RecordBatch]:
     held, n = [], 0
     for b in pieces(batches, "text"):
-        token, before, _ = tokens(b.column(0))
-        held.append((before, token))
-        n += len(token)
+        held.append(tokens(b.column(0))[:3])
+        n += len(held[-1][0])
         if n >= most:
-            yield from _pairs(*(np.concatenate(x) for x in zip(*held, strict=True)), buckets)
+            yield from _trigrams(*(np.concatenate(x) for x in zip(*held, strict=True)), buckets, split)
             held, n = [], 0
     if n:
-        yield from _pairs(*(np.concatenate(x) for x in zip(*held, strict=True)), buckets)
+        yield from _trigrams(*(np.concatenate(x) for x in zip(*held, strict=True)), buckets, split)
 
 
 def _by_bucket(batches: Iterator[pa.RecordBatch]) -> dict[int, list[dict]]:
@@ -105,60 +178,84 @@ def _sums(values: np.ndarray, cut: np.ndarray) -> np.ndarray:
     return np.add.reduceat(values, cut) if len(cut) else values[:0]
 
 
-def _merge_pairs(batches: Iterator[pa.RecordBatch], folder: str, buckets: int) -> Iterator[pa.RecordBatch]:
-    """Writes the sorted pairs of each bucket and yields what they say of single words, by the words' buckets."""
+def _classes(counts: np.ndarray, cut: np.ndarray) -> list[np.ndarray]:
+    """How many counts are 1, 2, and 3 or more, by runs."""
+    return [_sums(x.astype(np.uint32), cut) for x in (counts == 1, counts == 2, counts >= 3)]
+
+
+def _bytes(counts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Counts as bytes, with the places and values of those of 255 or more."""
+    over = np.flatnonzero(counts >= 255)
+    return np.minimum(counts, 255).astype(np.uint8), over.astype("<u4"), counts[over]
+
+
+def _merge_trigrams(batches: Iterator[pa.RecordBatch], folder: str, buckets: int) -> Iterator[pa.RecordBatch]:
+    """Writes each range's arrays and yields what they say of single words, by the words' ranges."""
     for bucket, rows in _by_bucket(batches).items():
-        get = lambda name, kind: np.concatenate([np.frombuffer(r[name], kind) for r in rows])  # noqa: B023, E731
-        v, w, c = np.repeat(get("word", "<u8"), get("size", "<u4")), get("next", "<u8"), get("count", "<u4").astype(np.uint64)
+        local = [np.frombuffer(r["words"], "<u8") for r in rows]
+        words = np.unique(np.concatenate(local))
+        kinds = ["<u2" if len(x) <= 1 << 16 else "<u4" for x in local]
+        maps = [np.searchsorted(words, x).astype(np.uint32) for x in local]
+        m, f, w = (np.concatenate([to[np.frombuffer(r[name], kind)] for r, kind, to in zip(rows, kinds, maps, strict=True)]) for name in ("middle", "first", "last"))
+        c = np.concatenate([np.frombuffer(r["count"], "<u4") for r in rows]).astype(np.uint64)
         rows.clear()
-        key = pair_keys(v, w)
-        order = np.argsort(key, kind="stable")
-        cut = _runs(key[order])
-        v, w, c, key = v[order[cut]], w[order[cut]], _sums(c[order], cut), key[order[cut]]
-        put_file(f"{folder}/pairs-{bucket}", [key, np.minimum(c, 0xFFFFFFFF).astype("<u4")])
-        of = [int((c == k).sum()) for k in (1, 2, 3, 4)]
-        facts = []
-        order = np.argsort(v, kind="stable")
-        cut = _runs(v[order])
-        left = np.zeros(len(cut), WORD)
-        left["word"], left["total"] = v[order[cut]], _sums(c[order], cut)
-        for name, is_it in (("n1", c == 1), ("n2", c == 2), ("n3", c >= 3)):
-            left[name] = _sums(is_it[order].astype(np.uint32), cut)
-        facts.append(left)
-        order = np.argsort(w, kind="stable")
-        cut = _runs(w[order])
-        right = np.zeros(len(cut), WORD)
-        right["word"], right["count"], right["left"] = w[order[cut]], _sums(c[order], cut), np.diff(np.append(cut, len(w)))
-        facts.append(right)
-        facts = np.concatenate(facts)
-        where = bucket_of(facts["word"], buckets)
+        order = _order(len(words), m, f, w)
+        m, f, w, c = m[order], f[order], w[order], c[order]
+        cut = _runs(m, f, w)
+        m, f, w, c = m[cut], f[cut], w[cut], _sums(c, cut)
+        out: dict[str, np.ndarray] = {"words": words, "next": w}
+        out["count"], out["over_at"], out["over"] = _bytes(c)
+        context = _runs(m, f)
+        out["context"], out["context_from"] = f[context], np.append(context, len(m))
+        big = np.flatnonzero(np.diff(out["context_from"]) > FEW)
+        out["many"], out["many_total"] = big, _sums(c, context)[big]
+        for name, x in zip(("many_n1", "many_n2", "many_n3"), _classes(c, context), strict=True):
+            out[name] = x[big]
+        head = _runs(m)
+        out["head"], out["head_from"] = m[head], np.append(np.searchsorted(context, head), len(context))
+        # pairs of middle and last word count the words before them; those at a text's beginning, their occurrences
+        order = _order(len(words), m, w)
+        pair = _runs(m[order], w[order])
+        left = np.diff(np.append(pair, len(m))).astype(np.uint64)
+        pm, pw, pc = m[order[pair]], w[order[pair]], _sums(c[order], pair)
+        left = np.where(words[pm] == BEGIN, pc, left)
+        out["pair_next"] = pw
+        out["pair_count"], out["pair_over_at"], out["pair_over"] = _bytes(left)
+        heads = _runs(pm)
+        out["head_pairs"], out["head_total"] = np.append(heads, len(pm)), _sums(left, heads)
+        out["head_n1"], out["head_n2"], out["head_n3"] = _classes(left, heads)
+        stored = [out[name].astype(kind) for name, kind in ARRAYS.items()]
+        put_file(f"{folder}/trigrams-{bucket}", [np.array([len(x) for x in stored], "<u8"), *stored])
+        of = [int((x == k).sum()) for x in (c, left) for k in (1, 2, 3, 4)]
+        order = np.argsort(pw, kind="stable")
+        cut = _runs(pw[order])
+        facts = np.zeros(len(cut), WORD)
+        facts["word"], facts["count"], facts["left"] = words[pw[order[cut]]], _sums(pc[order], cut), np.diff(np.append(cut, len(pw)))
+        where = bucket_of(mixed(facts["word"]), buckets)
         order = np.argsort(where, kind="stable")
         facts, where = facts[order], where[order]
         edges = np.append(_runs(where), len(where))
         for a, b in zip(edges[:-1], edges[1:], strict=True):
             yield pa.record_batch(
-                [pa.array([int(where[a])], pa.int32()), pa.array([facts[a:b].tobytes()], pa.binary()), *(pa.array([x], pa.int64()) for x in of)],
-                names=["bucket", "word_bytes", "p1", "p2", "p3", "p4"],
+                [pa.array([int(where[a])], pa.int32()), *(pa.array([np.ascontiguousarray(facts[x][a:b]).tobytes()], pa.binary()) for x in WORD.names), *(pa.array([x], pa.int64()) for x in of)],
+                names=["bucket", *WORD.names, *FACTS],
             )
-            of = [0] * 4
-
-
-STATS = ["p1", "p2", "p3", "p4", "w1", "w2", "w3", "w4", "types", "lefts", "train_tokens"]
+            of = [0] * len(of)
 
 
 def _merge_words(batches: Iterator[pa.RecordBatch], folder: str) -> Iterator[pa.RecordBatch]:
     for bucket, rows in _by_bucket(batches).items():
-        x = np.concatenate([np.frombuffer(r["word_bytes"], WORD) for r in rows])
-        of = [sum(r[f"p{k}"] for r in rows) for k in (1, 2, 3, 4)]
-        x = x[np.argsort(x["word"], kind="stable")]
-        cut = _runs(x["word"])
+        x = {name: np.concatenate([np.frombuffer(r[name], WORD[name]) for r in rows]) for name in WORD.names}
+        of = [sum(r[k] for r in rows) for k in FACTS]
+        order = np.argsort(x["word"], kind="stable")
+        cut = _runs(x["word"][order])
         out = np.zeros(len(cut), WORD)
-        out["word"] = x["word"][cut]
+        out["word"] = x["word"][order[cut]]
         for name in WORD.names[1:]:
-            out[name] = _sums(x[name], cut)
+            out[name] = _sums(x[name][order], cut)
         put_file(f"{folder}/words-{bucket}", [out])
         left = out["left"]
-        values = [*of, *(int((left == k).sum()) for k in (1, 2, 3, 4)), int((left > 0).sum()), int(left.sum(dtype=np.int64)), int(out["count"].sum())]
+        values = [*of, *(int((left == k).sum()) for k in (1, 2, 3, 4)), len(left), int(left.sum(dtype=np.int64)), int(out["count"].sum())]
         yield pa.record_batch([pa.array([v], pa.int64()) for v in values], names=STATS)
 
 
@@ -174,10 +271,11 @@ def discounts(n1: int, n2: int, n3: int, n4: int) -> np.ndarray:
 
 @dataclass(frozen=True)
 class KneserNey:
-    """A counted model: its folder, the number of hash ranges, the sums that make its discounts, and which ranges have files."""
+    """A counted model: its folder, the number of hash ranges, the split words, the sums that make its discounts, and which ranges have files."""
 
     folder: str
     buckets: int
+    split: Split
     stats: dict[str, int]
     has: dict[str, np.ndarray] | None = None
 
@@ -186,88 +284,181 @@ class KneserNey:
             raise ValueError(f"stats must be {STATS}")
 
 
+def frequent_words(texts: DataFrame, size: int, range_bytes: int, sample_bytes: int = 64 << 20) -> Split:
+    """The words of at least range_bytes of the texts' size bytes, by a sample of rows of about sample_bytes, with a part
+    for each range_bytes: at most size / range_bytes words."""
+    share = range_bytes / max(size, 1)
+    if share >= 1:
+        return Split(np.zeros(0, np.uint64), np.zeros(0, np.int64))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in pieces(batches, "text"):
+            _, before, _, at = tokens(b.column(0))
+            word, n = np.unique(before, return_counts=True)
+            keep = n >= share / 4 * len(before)
+            yield pa.record_batch([pa.array(np.append(word[keep], np.uint64(0)).view(np.int64)), pa.array(np.append(n[keep], len(before)))], names=["word", "n"])
+
+    fraction = min(1.0, sample_bytes / size)
+    rows = texts if fraction == 1 else texts.sample(fraction, seed=11)
+    counted = rows.mapInArrow(run, "word long, n long").groupBy("word").agg(F.sum("n").alias("n"))
+    whole = counted.where("word = 0").agg(F.sum("n")).first()[0] or 0
+    found = counted.where((F.col("word") != 0) & (F.col("n") >= share * whole)).collect() if whole else []
+    words, n = np.array([r["word"] for r in found], np.int64).view(np.uint64), np.array([r["n"] for r in found], np.int64)
+    order = np.argsort(words)
+    return Split(words[order], np.ceil(n[order] / (share * max(whole, 1))).astype(np.int64))
+
+
 def count_model(texts: DataFrame, text_col: str = "text", most: int = 4_000_000, range_bytes: int = 32 << 20) -> KneserNey:
-    """Counts all texts (null: empty). most: tokens that a task gathers before it passes distinct pairs on. range_bytes:
+    """Counts all texts (null: empty). most: tokens that a task gathers before it passes distinct trigrams on. range_bytes:
     text for each hash range, which is what one task merges, so that no task grows with the input."""
     spark = texts.sparkSession
     texts = texts.select(F.col(text_col).cast("string").alias("text"))
     size = texts.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     folder, buckets = shared_dir(spark), min(1 << 16, max(1, int(spark.conf.get("spark.sql.shuffle.partitions")), -(-size // range_bytes)))
-    pairs = texts.mapInArrow(lambda it: _count(it, buckets, most), BLOBS)
-    words = pairs.repartitionById(buckets, F.col("bucket")).mapInArrow(lambda it: _merge_pairs(it, folder, buckets), f"bucket int, {FACTS}")
+    split = frequent_words(texts, size, max(1, range_bytes // 2))
+    rows = texts.mapInArrow(lambda it: _count(it, buckets, split, most), BLOBS)
+    facts = ", ".join(["bucket int", *(f"{x} binary" for x in WORD.names), *(f"{x} long" for x in FACTS)])
+    words = rows.repartitionById(buckets, F.col("bucket")).mapInArrow(lambda it: _merge_trigrams(it, folder, buckets), facts)
     sums = words.repartitionById(buckets, F.col("bucket")).mapInArrow(lambda it: _merge_words(it, folder), ", ".join(f"{x} long" for x in STATS))
     row = sums.agg(*[F.coalesce(F.sum(x), F.lit(0)).alias(x) for x in STATS]).first()
     names = file_names(folder)
-    has = {kind: np.array([f"{kind}-{k}" in names for k in range(buckets)]) for kind in ("pairs", "words")}
-    if row["types"] and not (has["pairs"].any() and has["words"].any()):
+    has = {kind: np.array([f"{kind}-{k}" in names for k in range(buckets)]) for kind in ("trigrams", "words")}
+    if row["types"] and not (has["trigrams"].any() and has["words"].any()):
         raise FileNotFoundError(f"the model's files are not in {folder}; driver and executors must share that folder")
-    return KneserNey(folder, buckets, row.asDict(), has)
+    return KneserNey(folder, buckets, split, row.asDict(), has)
 
 
-_MAPPED: dict[str, np.ndarray | None] = {}
+_MAPPED: dict[str, np.ndarray | dict[str, np.ndarray]] = {}
 
 
-def _mapped(uri: str) -> np.ndarray | None:
+def _opened(model: KneserNey, kind: str, bucket: int) -> np.ndarray | dict[str, np.ndarray] | None:
+    """The arrays of a range's file; None where no training text has anything of this range."""
+    if not model.has[kind][bucket]:
+        return None
+    uri = f"{model.folder}/{kind}-{bucket}"
     if uri not in _MAPPED:
         if len(_MAPPED) > 20_000:
             _MAPPED.clear()
-        _MAPPED[uri] = map_file(uri)
+        raw = map_file(uri)
+        if raw is None:
+            raise FileNotFoundError(uri)
+        if kind == "words":
+            _MAPPED[uri] = raw.view(WORD)
+        else:
+            arrays, at = {}, 8 * len(ARRAYS)
+            for (name, dtype), n in zip(ARRAYS.items(), raw[:at].view("<u8").tolist(), strict=True):
+                end = at + n * np.dtype(dtype).itemsize
+                arrays[name] = raw[at:end].view(dtype)
+                at = end
+            _MAPPED[uri] = arrays
     return _MAPPED[uri]
 
 
-def _find(keys: np.ndarray, asked: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    at = np.minimum(np.searchsorted(keys, asked), len(keys) - 1)
-    return at, keys[at] == asked
+def _by_range(where: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
+    order = np.argsort(where, kind="stable")
+    edges = np.append(_runs(where[order]), len(where))
+    for a, b in zip(edges[:-1], edges[1:], strict=True):
+        yield int(where[order[a]]), order[a:b]
 
 
-def _look_up(model: KneserNey, kind: str, asked: np.ndarray, where: np.ndarray, out: np.ndarray) -> np.ndarray:
-    """Fills out for the sorted keys that the model's files have; where: each key's bucket, ascending."""
-    edges = np.append(_runs(where), len(where))
-    for a, b in zip(edges[:-1], edges[1:], strict=True):
-        if not model.has[kind][where[a]]:  # no training text has a word or pair of this range
-            continue
-        raw = _mapped(uri := f"{model.folder}/{kind}-{where[a]}")
-        if raw is None:
-            raise FileNotFoundError(uri)
-        if kind == "words":
-            table = raw.view(WORD)
-            at, ok = _find(table["word"], asked[a:b])
-            out[a:b][ok] = table[at[ok]]
-        else:
-            n = len(raw) // 12
-            at, ok = _find(raw[: 8 * n].view("<u8"), asked[a:b])
-            out[a:b][ok] = raw[8 * n :].view("<u4")[at[ok]]
+def _counts_at(t: dict[str, np.ndarray], name: str, at: np.ndarray, ok: np.ndarray) -> np.ndarray:
+    """Exact counts at the places that are ok, else 0; name: "" of trigrams, "pair_" of pairs."""
+    out = np.zeros(len(at), np.int64)
+    out[ok] = t[f"{name}count"][at[ok]]
+    full = np.flatnonzero(out == 255)
+    place, _ = _find(t[f"{name}over_at"], at[full])
+    out[full] = t[f"{name}over"][place]
     return out
 
 
-def log_probabilities(model: KneserNey, token: np.ndarray, before: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """log10 of each token's interpolated probability, and its training count."""
+def _look_up(model: KneserNey, first: np.ndarray, middle: np.ndarray, last: np.ndarray, where: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Of each row in its range: the counts of the trigram and of the pair, and of their contexts (first, middle) and
+    middle the total and how many counts are 1, 2, and 3 or more."""
+    n = len(where)
+    high, mid, context, head = np.zeros(n, np.int64), np.zeros(n, np.int64), np.zeros((n, 4), np.int64), np.zeros((n, 4), np.int64)
+    for bucket, rows in _by_range(where):
+        t = _opened(model, "trigrams", bucket)
+        if t is None:
+            continue
+        (f, okf), (m, okm), (w, okw) = (_find(t["words"], x[rows]) for x in (first, middle, last))
+        h, ok = _find(t["head"], m)
+        ok &= okm
+        h = np.where(ok, h, 0)
+        for k, name in enumerate(("head_total", "head_n1", "head_n2", "head_n3")):
+            head[rows, k] = np.where(ok, t[name][h], 0)
+        at, found = _find_within(t["pair_next"], t["head_pairs"][h], t["head_pairs"][h + 1], w, ok & okw)
+        mid[rows] = _counts_at(t, "pair_", at, found)
+        at, ok = _find_within(t["context"], t["head_from"][h], t["head_from"][h + 1], f, ok & okf)
+        at = np.where(ok, at, 0)
+        low, up = t["context_from"][at].astype(np.int64), t["context_from"][at + 1].astype(np.int64)
+        place, found = _find_within(t["next"], low, up, w, ok & okw)
+        high[rows] = _counts_at(t, "", place, found)
+        for k in range(FEW):
+            one = _counts_at(t, "", low + k, ok & (up - low <= FEW) & (low + k < up))
+            context[rows, 0] += one
+            for c in (1, 2):
+                context[rows, c] += one == c
+            context[rows, 3] += one >= 3
+        place, found = _find(t["many"], at)
+        found &= ok
+        for k, name in enumerate(("many_total", "many_n1", "many_n2", "many_n3")):
+            context[rows[found], k] = t[name][place[found]]
+    return high, mid, context, head
+
+
+def _totals_of_split(model: KneserNey, first: np.ndarray, middle: np.ndarray, parts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Context and head totals of split middle words, summed over their ranges."""
+    row = np.repeat(np.arange(len(parts)), parts)
+    where = model.split.ranges(middle[row], np.arange(len(row)) - np.repeat(np.cumsum(parts) - parts, parts), model.buckets)
+    _, once = np.unique(row * model.buckets + where, return_index=True)  # two parts may share a range
+    row, where = row[once], where[once]
+    _, _, c, h = _look_up(model, first[row], middle[row], np.full(len(row), BEGIN), where)
+    cut = _runs(row)
+    return np.add.reduceat(c, cut), np.add.reduceat(h, cut)
+
+
+def _step(count: np.ndarray, totals: np.ndarray, d: np.ndarray, below: np.ndarray) -> np.ndarray:
+    """The interpolated probability of one level above `below`."""
+    total = totals[:, 0]
+    spare = np.where(total > 0, (totals[:, 1:] @ d[1:]) / np.maximum(total, 1), 1.0)
+    return (count - d[np.minimum(count, 3)]) / np.maximum(total, 1) + spare * below
+
+
+def log_probabilities(model: KneserNey, token: np.ndarray, before: np.ndarray, twice: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """log10 of each token's interpolated probability after the two tokens before it, and its training count."""
     s = model.stats
-    d2, d1 = discounts(s["p1"], s["p2"], s["p3"], s["p4"]), discounts(s["w1"], s["w2"], s["w3"], s["w4"])
-    words, back = np.unique(np.concatenate((token, before)), return_inverse=True)
-    found = _look_up(model, "words", words, bucket_of(words, model.buckets), np.zeros(len(words), WORD))
-    left = found["left"].astype(float)
-    lefts = max(1, s["lefts"])
+    d3, d2, d1 = (discounts(*(s[f"{x}{k}"] for k in (1, 2, 3, 4))) for x in "tpw")
+    _, at, back = np.unique(trigram_keys(twice, before, token), return_index=True, return_inverse=True)
+    first, middle, last = twice[at], before[at], token[at]
+    words, w = np.unique(last, return_inverse=True)
+    found = np.zeros(len(words), WORD)
+    for bucket, rows in _by_range(bucket_of(mixed(words), model.buckets)):
+        if (table := _opened(model, "words", bucket)) is not None:
+            place, ok = _find(table["word"], words[rows])
+            found[rows[ok]] = table[place[ok]]
+    left, lefts = found["left"], max(1, s["lefts"])
     w3 = s["types"] - s["w1"] - s["w2"]
     spare = (d1[1] * s["w1"] + d1[2] * s["w2"] + d1[3] * w3) / lefts if s["lefts"] else 1.0
-    low = (left - d1[np.minimum(found["left"], 3)]) / lefts + spare / (s["types"] + 1)
-    total = found["total"].astype(float)
-    gamma = np.where(total > 0, (d2[1] * found["n1"] + d2[2] * found["n2"] + d2[3] * found["n3"]) / np.maximum(total, 1), 1.0)
-    w, v = back[: len(token)], back[len(token) :]
-    key, again = np.unique(pair_keys(before, token), return_inverse=True)
-    pair = _look_up(model, "pairs", key, bucket_of(key, model.buckets), np.zeros(len(key), np.uint32))[again]
-    high = (pair - d2[np.minimum(pair, 3)]) / np.maximum(total[v], 1)
-    return np.log10(high + gamma[v] * low[w]), found["count"][w].astype(np.int64)
+    low = (left - d1[np.minimum(left, 3)]) / lefts + spare / (s["types"] + 1)
+    high, mid, context, head = _look_up(model, first, middle, last, model.split.route(middle, last, model.buckets))
+    parts = model.split.of(middle)
+    if (cut := np.flatnonzero(parts)).size:
+        _, one, again = np.unique(trigram_keys(first[cut], middle[cut], np.full(len(cut), BEGIN)), return_index=True, return_inverse=True)
+        c, h = _totals_of_split(model, first[cut[one]], middle[cut[one]], parts[cut[one]])
+        context[cut], head[cut] = c[again], h[again]
+    p = _step(high, context, d3, _step(mid, head, d2, low[w]))
+    return np.log10(p)[back], found["count"][w][back].astype(np.int64)
 
 
 def score_texts(df: DataFrame, model: KneserNey, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, n_tokens, n_known, train_tokens, base_score, score and perplexity of every row; a null text is empty (one end token)."""
+    """doc_id, n_tokens, n_known, train_tokens, base_score, score and perplexity of every row; a null text is empty (one end token).
+    Null ids and repeated rows are scored like any row; other columns are left out."""
     n, v = model.stats["train_tokens"], model.stats["types"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in pieces(batches, "text"):
-            token, before, at = tokens(b.column(1))
-            logp, count = log_probabilities(model, token, before)
+            token, before, twice, at = tokens(b.column(1))
+            logp, count = log_probabilities(model, token, before, twice)
             size, score = np.diff(at), sum_by(logp, at)
             base = sum_by(np.log10((count + 1) / (n + v + 1)), at)
             known = sum_by(count > 0, at).astype(np.int64)

@@ -5,6 +5,8 @@ from collections import Counter, defaultdict
 
 import pytest
 
+from pyspark.sql import functions as F
+
 from barloom.llm import lm
 from test_common import twins
 
@@ -14,44 +16,51 @@ def words(text):
 
 
 def brute(train, asked):
-    """Modified Kneser-Ney bigrams and the add-one base with plain dictionaries."""
-    pairs, count = Counter(), Counter()
+    """Modified Kneser-Ney trigrams and the add-one base with plain dictionaries."""
+    triples, count, raw = Counter(), Counter(), Counter()
     for text in train:
-        seq = ["<s>", *words(text), "</s>"]
-        pairs.update(zip(seq, seq[1:]))
-        count.update(seq[1:])
+        seq = ["<s>", "<s>", *words(text), "</s>"]
+        triples.update(zip(seq, seq[1:], seq[2:]))
+        count.update(seq[2:])
+        raw.update(zip(seq[1:], seq[2:]))
+    pairs = Counter((v, w) for _, v, w in triples)
+    pairs.update({k: raw[k] - pairs[k] for k in pairs if k[0] == "<s>"})
     left = Counter(w for _, w in pairs)
-    d2 = lm.discounts(*(sum(c == k for c in pairs.values()) for k in (1, 2, 3, 4)))
-    d1 = lm.discounts(*(sum(c == k for c in left.values()) for k in (1, 2, 3, 4)))
+    d3, d2, d1 = (lm.discounts(*(sum(c == k for c in x.values()) for k in (1, 2, 3, 4))) for x in (triples, pairs, left))
     total, spare = Counter(), defaultdict(float)
-    for (v, _), c in pairs.items():
-        total[v] += c
-        spare[v] += d2[min(c, 3)]
+    for level, d in ((triples, d3), (pairs, d2)):
+        for key, c in level.items():
+            total[key[:-1]] += c
+            spare[key[:-1]] += d[min(c, 3)]
     lefts, types, n = sum(left.values()), len(left), sum(count.values())
     back = sum(d1[min(c, 3)] for c in left.values()) / lefts
     out = []
     for text in asked:
-        seq = ["<s>", *words(text), "</s>"]
+        seq = ["<s>", "<s>", *words(text), "</s>"]
         score = base = 0
-        for v, w in zip(seq, seq[1:]):
-            low = (left[w] - d1[min(left[w], 3)]) / lefts + back / (types + 1)
-            p = (pairs[v, w] - d2[min(pairs[v, w], 3)]) / total[v] + spare[v] / total[v] * low if total[v] else low
+        for u, v, w in zip(seq, seq[1:], seq[2:]):
+            p = (left[w] - d1[min(left[w], 3)]) / lefts + back / (types + 1)
+            for key, level, d in (((v, w), pairs, d2), ((u, v, w), triples, d3)):
+                if t := total[key[:-1]]:
+                    p = (level[key] - d[min(level[key], 3)]) / t + spare[key[:-1]] / t * p
             score += math.log10(p)
             base += math.log10((count[w] + 1) / (n + types + 1))
-        out.append((len(seq) - 1, sum(count[w] > 0 for w in seq[1:]), n, base, score))
+        out.append((len(seq) - 2, sum(count[w] > 0 for w in seq[2:]), n, base, score))
     return out
 
 
-def test_scores_equal_brute_force(spark):
+@pytest.mark.parametrize("range_bytes", [32 << 20, 5_000])  # the small one splits frequent words
+def test_scores_equal_brute_force(spark, range_bytes):
     docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text")
     extra = spark.createDataFrame([(900001, None), (900002, ""), (900003, "The THE the\tthe"), (900003, "The THE the\tthe"), (None, "of " * 9000), (900004, " ".join(twins())), (900005, twins()[0])], "doc_id long, text string")
     rows = docs.union(extra).collect()
     train = [t for i, t in rows if i is None or zlib.crc32(str(i).encode()) % 7 != 2]
     want = Counter((i, *(round(x, 6) for x in y)) for (i, _), y in zip(rows, brute(train, [t for _, t in rows])))
-    all_rows = docs.union(extra).repartition(3)
+    all_rows = docs.union(extra).withColumn("score", F.lit("clash")).repartition(3)
     from barloom.llm.common import held
 
-    model = lm.count_model(all_rows.where(~held("doc_id", 7, 2)), most=5000)
+    model = lm.count_model(all_rows.where(~held("doc_id", 7, 2)), most=5000, range_bytes=range_bytes)
+    assert (len(model.split.words) > 3) == (range_bytes < 1 << 20)
     got = Counter(tuple(round(x, 6) if isinstance(x, float) else x for x in r) for r in lm.score_texts(all_rows, model).drop("perplexity").collect())
     assert got == want
 
@@ -63,11 +72,12 @@ def test_probabilities_sum_to_one(spark):
     model = lm.count_model(df)
     import pyarrow as pa
 
-    token, _, _ = lm.tokens(pa.array(["a b c", "zzz"]))
+    token = lm.tokens(pa.array(["a b c", "zzz"]))[0]
     vocabulary = np.unique(token)
     for before in (token[0], token[1], lm.BEGIN, np.uint64(12345)):
-        p = 10 ** lm.log_probabilities(model, vocabulary, np.full(len(vocabulary), before))[0]
-        assert abs(p.sum() - 1) < 1e-9  # the five known types' mass and that of one unknown word
+        for twice in (token[0], token[2], lm.BEGIN, np.uint64(12345)):
+            p = 10 ** lm.log_probabilities(model, vocabulary, *(np.full(len(vocabulary), x) for x in (before, twice)))[0]
+            assert abs(p.sum() - 1) < 1e-9  # the five known types' mass and that of one unknown word
 
 
 def test_empty_table(spark):
@@ -78,4 +88,4 @@ def test_empty_table(spark):
 def test_discounts_without_counts():
     assert list(lm.discounts(0, 0, 0, 0)) == [0, 0.5, 1.0, 1.5]
     with pytest.raises(ValueError):
-        lm.KneserNey("x", 1, {})
+        lm.KneserNey("x", 1, None, {})
