@@ -25,18 +25,21 @@ from barloom.llm.common import LOWER, SPACE, file_names, joined, map_file, mixed
 
 BEGIN, END = np.uint64(1), np.uint64(2)  # stand for the borders of a text
 WORD = np.dtype([("word", "<u8"), ("count", "<u8"), ("left", "<u4")])
-BLOBS = "bucket int, words binary, first binary, middle binary, last binary, count binary"
+BLOBS = "bucket int, words binary, size int, rows binary"
 STATS = ["t1", "t2", "t3", "t4", "p1", "p2", "p3", "p4", "w1", "w2", "w3", "w4", "types", "lefts", "train_tokens"]
 FACTS = STATS[:8]
 FEW = 4  # contexts of more followers have their totals stored
 
-# Arrays of a range's file in the order they are stored; words are places in `words` everywhere else.
+# Arrays of a range's file in the order they are stored; words are places in `words` everywhere else. The long arrays of
+# places are stored as their lower 16 bits and, in _high, the rest: a byte unless there are more than 2**24 words.
 ARRAYS = {
     "words": "<u8", "head_total": "<u8", "many_total": "<u8", "over": "<u8", "pair_over": "<u8",
     "head": "<u4", "head_from": "<u4", "head_pairs": "<u4", "head_n1": "<u4", "head_n2": "<u4", "head_n3": "<u4",
-    "context": "<u4", "context_from": "<u4", "many": "<u4", "many_n1": "<u4", "many_n2": "<u4", "many_n3": "<u4",
-    "next": "<u4", "over_at": "<u4", "pair_next": "<u4", "pair_over_at": "<u4", "count": "u1", "pair_count": "u1",
+    "context_from": "<u4", "many": "<u4", "many_n1": "<u4", "many_n2": "<u4", "many_n3": "<u4",
+    "over_at": "<u4", "pair_over_at": "<u4", "context": "<u2", "next": "<u2", "pair_next": "<u2",
+    "context_high": "high", "next_high": "high", "pair_next_high": "high", "count": "u1", "pair_count": "u1",
 }
+LONG = ["context", "next", "pair_next"]
 
 
 def tokens(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -102,7 +105,7 @@ def _find(keys: np.ndarray, asked: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return at, keys[at] == asked
 
 
-def _find_within(keys: np.ndarray, low: np.ndarray, high: np.ndarray, asked: np.ndarray, ok: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def _find_within(keys: np.ndarray | _Places, low: np.ndarray, high: np.ndarray, asked: np.ndarray, ok: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """The same within keys[low:high] of each asked row, where the keys are sorted; rows that are not ok find nothing."""
     at, end = np.where(ok, low, 0).astype(np.int64), np.where(ok, high, 0).astype(np.int64)
     stop, live = end.copy(), np.flatnonzero(at < end)
@@ -128,8 +131,36 @@ def _order(n: int, *columns: np.ndarray) -> np.ndarray:
     return np.argsort(key)
 
 
+def _packed(*columns: np.ndarray) -> bytes:
+    """Columns of numbers below 2**32, compressed byte by byte: all lowest bytes, then all next ones, and so on."""
+    planes = [x.astype("<u4").view(np.uint8).reshape(-1, 4).T for x in columns]
+    return pa.Codec("zstd").compress(np.concatenate(planes).tobytes(), asbytes=True)
+
+
+def _unpacked(raw: bytes, columns: int, size: int) -> np.ndarray:
+    planes = np.frombuffer(pa.Codec("zstd").decompress(raw, 4 * columns * size, asbytes=True), np.uint8).reshape(columns, 4, size)
+    return np.ascontiguousarray(planes.transpose(0, 2, 1)).view("<u4").reshape(columns, size)
+
+
+def _packed_trigrams(first: np.ndarray, middle: np.ndarray, last: np.ndarray, count: np.ndarray) -> bytes:
+    """Rows in order: middle as steps, first as steps among rows of one middle."""
+    step = np.diff(middle, prepend=0)
+    within = np.diff(first, prepend=0)
+    head = _runs(middle)
+    within[head] = first[head]
+    return _packed(step, within, last, count)
+
+
+def _unpacked_trigrams(raw: bytes, size: int) -> tuple[np.ndarray, ...]:
+    step, within, last, count = _unpacked(raw, 4, size)
+    middle, first = np.cumsum(step, dtype=np.int64), np.cumsum(within, dtype=np.int64)
+    head = _runs(middle)
+    first -= np.repeat(first[head] - within[head], np.diff(np.append(head, size)))
+    return first, middle, last, count
+
+
 def _trigrams(last: np.ndarray, middle: np.ndarray, first: np.ndarray, buckets: int, split: Split) -> Iterator[pa.RecordBatch]:
-    """Distinct trigrams with counts, one row for each range that has some, as places in the row's own sorted words."""
+    """Distinct trigrams with counts, one row for each range that has some, as places in the row's own words."""
     key = trigram_keys(first, middle, last)
     order = np.argsort(key)
     cut = _runs(key[order])
@@ -142,12 +173,14 @@ def _trigrams(last: np.ndarray, middle: np.ndarray, first: np.ndarray, buckets:
     edges = np.append(_runs(where[order]), len(where))
     for a, b in zip(edges[:-1], edges[1:], strict=True):
         at = order[a:b]
-        words, places = np.unique(np.concatenate((middle[at], first[at], last[at])), return_inverse=True)
-        m, f, w = places.reshape(3, -1)
-        by = _order(len(words), m, f, w)
-        kind = "<u2" if len(words) <= 1 << 16 else "<u4"
-        row = (words, f[by].astype(kind), m[by].astype(kind), w[by].astype(kind), count[at][by])
-        yield pa.record_batch([pa.array([int(where[at[0]])], pa.int32()), *(pa.array([x.tobytes()], pa.binary()) for x in row)], names=["bucket", "words", "first", "middle", "last", "count"])
+        words, places, often = np.unique(np.concatenate((middle[at], first[at], last[at])), return_inverse=True, return_counts=True)
+        by = np.argsort(-often, kind="stable")  # frequent words get small numbers, which compress
+        rank = np.empty(len(words), np.int64)
+        rank[by] = np.arange(len(words))
+        m, f, w = rank[places].reshape(3, -1)
+        order_in = _order(len(words), m, f, w)
+        rows = _packed_trigrams(f[order_in], m[order_in], w[order_in], count[at][order_in])
+        yield pa.record_batch([pa.array([int(where[at[0]])], pa.int32()), pa.array([words[by].tobytes()], pa.binary()), pa.array([b - a], pa.int32()), pa.array([rows], pa.binary())], names=["bucket", "words", "size", "rows"])
 
 
 def trigram_keys(first: np.ndarray, middle: np.ndarray, last: np.ndarray) -> np.ndarray:
@@ -160,8 +193,8 @@ def _count(batches: Iterator[pa.RecordBatch], buckets: int, split: Split, most:
         held.append(tokens(b.column(0))[:3])
         n += len(held[-1][0])
         if n >= most:
-            yield from _trigrams(*(np.concatenate(x) for x in zip(*held, strict=True)), buckets, split)
-            held, n = [], 0
+            whole, held, n = [np.concatenate(x) for x in zip(*held, strict=True)], [], 0
+            yield from _trigrams(*whole, buckets, split)
     if n:
         yield from _trigrams(*(np.concatenate(x) for x in zip(*held, strict=True)), buckets, split)
 
@@ -189,16 +222,34 @@ def _bytes(counts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return np.minimum(counts, 255).astype(np.uint8), over.astype("<u4"), counts[over]
 
 
+def _kind(kind: str, words: int) -> str:
+    return kind if kind != "high" else "u1" if words <= 1 << 24 else "<u2"
+
+
+class _Places:
+    """An array stored as lower and higher bits."""
+
+    def __init__(self, low: np.ndarray, high: np.ndarray) -> None:
+        self.low, self.high = low, high
+
+    def __getitem__(self, at: np.ndarray) -> np.ndarray:
+        return self.low[at] | self.high[at].astype(np.uint32) << np.uint32(16)
+
+
 def _merge_trigrams(batches: Iterator[pa.RecordBatch], folder: str, buckets: int) -> Iterator[pa.RecordBatch]:
     """Writes each range's arrays and yields what they say of single words, by the words' ranges."""
     for bucket, rows in _by_bucket(batches).items():
         local = [np.frombuffer(r["words"], "<u8") for r in rows]
         words = np.unique(np.concatenate(local))
-        kinds = ["<u2" if len(x) <= 1 << 16 else "<u4" for x in local]
-        maps = [np.searchsorted(words, x).astype(np.uint32) for x in local]
-        m, f, w = (np.concatenate([to[np.frombuffer(r[name], kind)] for r, kind, to in zip(rows, kinds, maps, strict=True)]) for name in ("middle", "first", "last"))
-        c = np.concatenate([np.frombuffer(r["count"], "<u4") for r in rows]).astype(np.uint64)
+        parts = []
+        for r, own in zip(rows, local, strict=True):
+            to = np.searchsorted(words, own).astype(np.uint32)
+            f, m, w, c = _unpacked_trigrams(r["rows"], r["size"])
+            parts.append((to[f], to[m], to[w], c))
         rows.clear()
+        f, m, w, c = (np.concatenate(x) for x in zip(*parts, strict=True))
+        c = c.astype(np.uint64)
+        del parts, local
         order = _order(len(words), m, f, w)
         m, f, w, c = m[order], f[order], w[order], c[order]
         cut = _runs(m, f, w)
@@ -224,7 +275,9 @@ def _merge_trigrams(batches: Iterator[pa.RecordBatch], folder: str, buckets: int
         heads = _runs(pm)
         out["head_pairs"], out["head_total"] = np.append(heads, len(pm)), _sums(left, heads)
         out["head_n1"], out["head_n2"], out["head_n3"] = _classes(left, heads)
-        stored = [out[name].astype(kind) for name, kind in ARRAYS.items()]
+        for name in LONG:
+            out[f"{name}_high"], out[name] = out[name] >> 16, out[name] & 0xFFFF
+        stored = [out[name].astype(_kind(kind, len(words))) for name, kind in ARRAYS.items()]
         put_file(f"{folder}/trigrams-{bucket}", [np.array([len(x) for x in stored], "<u8"), *stored])
         of = [int((x == k).sum()) for x in (c, left) for k in (1, 2, 3, 4)]
         order = np.argsort(pw, kind="stable")
@@ -314,7 +367,7 @@ def count_model(texts: DataFrame, text_col: str = "text", most: int = 4_000_000,
     spark = texts.sparkSession
     texts = texts.select(F.col(text_col).cast("string").alias("text"))
     size = texts.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    folder, buckets = shared_dir(spark), min(1 << 16, max(1, int(spark.conf.get("spark.sql.shuffle.partitions")), -(-size // range_bytes)))
+    folder, buckets = shared_dir(spark), min(1 << 16, max(1, spark.sparkContext.defaultParallelism, -(-size // range_bytes)))
     split = frequent_words(texts, size, max(1, range_bytes // 2))
     rows = texts.mapInArrow(lambda it: _count(it, buckets, split, most), BLOBS)
     facts = ", ".join(["bucket int", *(f"{x} binary" for x in WORD.names), *(f"{x} long" for x in FACTS)])
@@ -331,25 +384,29 @@ def count_model(texts: DataFrame, text_col: str = "text", most: int = 4_000_000,
 _MAPPED: dict[str, np.ndarray | dict[str, np.ndarray]] = {}
 
 
-def _opened(model: KneserNey, kind: str, bucket: int) -> np.ndarray | dict[str, np.ndarray] | None:
+def _opened(model: KneserNey, file: str, bucket: int) -> np.ndarray | dict[str, np.ndarray] | None:
     """The arrays of a range's file; None where no training text has anything of this range."""
-    if not model.has[kind][bucket]:
+    if not model.has[file][bucket]:
         return None
-    uri = f"{model.folder}/{kind}-{bucket}"
+    uri = f"{model.folder}/{file}-{bucket}"
     if uri not in _MAPPED:
         if len(_MAPPED) > 20_000:
             _MAPPED.clear()
         raw = map_file(uri)
         if raw is None:
             raise FileNotFoundError(uri)
-        if kind == "words":
+        raw = np.asarray(raw)  # plain views of the mapped bytes, which index faster
+        if file == "words":
             _MAPPED[uri] = raw.view(WORD)
         else:
             arrays, at = {}, 8 * len(ARRAYS)
-            for (name, dtype), n in zip(ARRAYS.items(), raw[:at].view("<u8").tolist(), strict=True):
-                end = at + n * np.dtype(dtype).itemsize
+            sizes = raw[:at].view("<u8").tolist()
+            for (name, kind), n in zip(ARRAYS.items(), sizes, strict=True):
+                dtype = np.dtype(_kind(kind, sizes[0]))
+                end = at + n * dtype.itemsize
                 arrays[name] = raw[at:end].view(dtype)
                 at = end
+            arrays |= {name: _Places(arrays[name], arrays[f"{name}_high"]) for name in LONG}
             _MAPPED[uri] = arrays
     return _MAPPED[uri]
 
@@ -371,16 +428,24 @@ def _counts_at(t: dict[str, np.ndarray], name: str, at: np.ndarray, ok: np.ndarr
     return out
 
 
-def _look_up(model: KneserNey, first: np.ndarray, middle: np.ndarray, last: np.ndarray, where: np.ndarray) -> tuple[np.ndarray, ...]:
+def _look_up(model: KneserNey, words: np.ndarray, first: np.ndarray, middle: np.ndarray, last: np.ndarray, where: np.ndarray) -> tuple[np.ndarray, ...]:
     """Of each row in its range: the counts of the trigram and of the pair, and of their contexts (first, middle) and
-    middle the total and how many counts are 1, 2, and 3 or more."""
+    middle the total and how many counts are 1, 2, and 3 or more. Rows hold places in the sorted words; rows in order
+    make the reading of a file's arrays go forwards."""
     n = len(where)
     high, mid, context, head = np.zeros(n, np.int64), np.zeros(n, np.int64), np.zeros((n, 4), np.int64), np.zeros((n, 4), np.int64)
+    place, known = np.zeros(len(words), np.uint32), np.zeros(len(words), bool)
     for bucket, rows in _by_range(where):
         t = _opened(model, "trigrams", bucket)
         if t is None:
             continue
-        (f, okf), (m, okm), (w, okw) = (_find(t["words"], x[rows]) for x in (first, middle, last))
+        asked = np.zeros(len(words), bool)
+        for x in (first, middle, last):
+            asked[x[rows]] = True
+        asked = np.flatnonzero(asked)
+        place[asked], known[asked] = _find(t["words"], words[asked])
+        f, m, w = (place[x[rows]] for x in (first, middle, last))
+        okf, okm, okw = (known[x[rows]] for x in (first, middle, last))
         h, ok = _find(t["head"], m)
         ok &= okm
         h = np.where(ok, h, 0)
@@ -391,28 +456,27 @@ def _look_up(model: KneserNey, first: np.ndarray, middle: np.ndarray, last: np.n
         at, ok = _find_within(t["context"], t["head_from"][h], t["head_from"][h + 1], f, ok & okf)
         at = np.where(ok, at, 0)
         low, up = t["context_from"][at].astype(np.int64), t["context_from"][at + 1].astype(np.int64)
-        place, found = _find_within(t["next"], low, up, w, ok & okw)
-        high[rows] = _counts_at(t, "", place, found)
+        to, found = _find_within(t["next"], low, up, w, ok & okw)
+        high[rows] = _counts_at(t, "", to, found)
         for k in range(FEW):
-            one = _counts_at(t, "", low + k, ok & (up - low <= FEW) & (low + k < up))
-            context[rows, 0] += one
-            for c in (1, 2):
-                context[rows, c] += one == c
-            context[rows, 3] += one >= 3
-        place, found = _find(t["many"], at)
-        found &= ok
+            live = np.flatnonzero(ok & (up - low <= FEW) & (low + k < up))
+            one = _counts_at(t, "", low[live] + k, np.ones(len(live), bool))
+            context[rows[live], 0] += one
+            context[rows[live], np.minimum(one, 3)] += 1
+        large = np.flatnonzero(ok & (up - low > FEW))
+        to, _ = _find(t["many"], at[large])
         for k, name in enumerate(("many_total", "many_n1", "many_n2", "many_n3")):
-            context[rows[found], k] = t[name][place[found]]
+            context[rows[large], k] = t[name][to]
     return high, mid, context, head
 
 
-def _totals_of_split(model: KneserNey, first: np.ndarray, middle: np.ndarray, parts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def _totals_of_split(model: KneserNey, words: np.ndarray, first: np.ndarray, middle: np.ndarray, parts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Context and head totals of split middle words, summed over their ranges."""
     row = np.repeat(np.arange(len(parts)), parts)
-    where = model.split.ranges(middle[row], np.arange(len(row)) - np.repeat(np.cumsum(parts) - parts, parts), model.buckets)
+    where = model.split.ranges(words[middle[row]], np.arange(len(row)) - np.repeat(np.cumsum(parts) - parts, parts), model.buckets)
     _, once = np.unique(row * model.buckets + where, return_index=True)  # two parts may share a range
     row, where = row[once], where[once]
-    _, _, c, h = _look_up(model, first[row], middle[row], np.full(len(row), BEGIN), where)
+    _, _, c, h = _look_up(model, words, first[row], middle[row], middle[row], where)
     cut = _runs(row)
     return np.add.reduceat(c, cut), np.add.reduceat(h, cut)
 
@@ -428,9 +492,13 @@ def log_probabilities(model: KneserNey, token: np.ndarray, before: np.ndarray, t
     """log10 of each token's interpolated probability after the two tokens before it, and its training count."""
     s = model.stats
     d3, d2, d1 = (discounts(*(s[f"{x}{k}"] for k in (1, 2, 3, 4))) for x in "tpw")
-    _, at, back = np.unique(trigram_keys(twice, before, token), return_index=True, return_inverse=True)
-    first, middle, last = twice[at], before[at], token[at]
-    words, w = np.unique(last, return_inverse=True)
+    words, ids = np.unique(np.concatenate((twice, before, token)), return_inverse=True)
+    first, middle, last = ids.reshape(3, -1)
+    order = _order(len(words), middle, first, last)
+    cut = _runs(middle[order], first[order], last[order])
+    back = np.empty(len(order), np.int64)
+    back[order] = np.repeat(np.arange(len(cut)), np.diff(np.append(cut, len(order))))
+    first, middle, last = (x[order[cut]] for x in (first, middle, last))
     found = np.zeros(len(words), WORD)
     for bucket, rows in _by_range(bucket_of(mixed(words), model.buckets)):
         if (table := _opened(model, "words", bucket)) is not None:
@@ -440,14 +508,15 @@ def log_probabilities(model: KneserNey, token: np.ndarray, before: np.ndarray, t
     w3 = s["types"] - s["w1"] - s["w2"]
     spare = (d1[1] * s["w1"] + d1[2] * s["w2"] + d1[3] * w3) / lefts if s["lefts"] else 1.0
     low = (left - d1[np.minimum(left, 3)]) / lefts + spare / (s["types"] + 1)
-    high, mid, context, head = _look_up(model, first, middle, last, model.split.route(middle, last, model.buckets))
-    parts = model.split.of(middle)
+    high, mid, context, head = _look_up(model, words, first, middle, last, model.split.route(words[middle], words[last], model.buckets))
+    parts = model.split.of(words[middle])
     if (cut := np.flatnonzero(parts)).size:
-        _, one, again = np.unique(trigram_keys(first[cut], middle[cut], np.full(len(cut), BEGIN)), return_index=True, return_inverse=True)
-        c, h = _totals_of_split(model, first[cut[one]], middle[cut[one]], parts[cut[one]])
+        one = _runs(middle[cut], first[cut])
+        again = np.repeat(np.arange(len(one)), np.diff(np.append(one, len(cut))))
+        c, h = _totals_of_split(model, words, first[cut[one]], middle[cut[one]], parts[cut[one]])
         context[cut], head[cut] = c[again], h[again]
-    p = _step(high, context, d3, _step(mid, head, d2, low[w]))
-    return np.log10(p)[back], found["count"][w][back].astype(np.int64)
+    p = _step(high, context, d3, _step(mid, head, d2, low[last]))
+    return np.log10(p)[back], found["count"][last][back].astype(np.int64)
 
 
 def score_texts(df: DataFrame, model: KneserNey, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
