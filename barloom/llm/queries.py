@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from barloom.llm import audio, licences, mixing, negatives, segment, toxicity
+from barloom.llm import audio, conversations, licences, mixing, negatives, segment, toxicity
 from barloom.llm.common import documents, held
 from barloom.llm.language import identify, train, training_texts
 from barloom.llm.lm import count_model, score_texts
@@ -69,14 +69,18 @@ def op10_licences(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licences.scan(documents(spark, sf_dir))
 
 
+def op11_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return conversations.prefix_trie(documents(spark, sf_dir, "conversations"))
+
+
 def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = documents(spark, sf_dir, "embeddings")
     return negatives.hard_negatives(rows.withColumn("label", F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_chroma": op1_chroma, "op2_language": op2_language, "op3_kneser_ney": op3_kneser_ney, "op4_toxicity": op4_toxicity, "op5_token_files": op5_token_files, "op6_mixing": op6_mixing, "op7_mtree": op7_mtree, "op8_segmentations": op8_segmentations, "op9_simhash": op9_simhash, "op10_licences": op10_licences, "op12_hard_negatives": op12_hard_negatives}
+    return {"op1_chroma": op1_chroma, "op2_language": op2_language, "op3_kneser_ney": op3_kneser_ney, "op4_toxicity": op4_toxicity, "op5_token_files": op5_token_files, "op6_mixing": op6_mixing, "op7_mtree": op7_mtree, "op8_segmentations": op8_segmentations, "op9_simhash": op9_simhash, "op10_licences": op10_licences, "op11_prefix_trie": op11_prefix_trie, "op12_hard_negatives": op12_hard_negatives}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op6_mixing": mixing.mix_sql(MIX), "op7_mtree": top_inner_products_sql(), "op12_hard_negatives": negatives.hard_negatives_sql()}
+    return {"op6_mixing": mixing.mix_sql(MIX), "op7_mtree": top_inner_products_sql(), "op11_prefix_trie": conversations.prefix_trie_sql(), "op12_hard_negatives": negatives.hard_negatives_sql()}
