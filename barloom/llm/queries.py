@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from barloom.llm import audio, conversations, licences, mixing, negatives, segment, toxicity
+from barloom.llm import audio, conversations, licences, mixing, negatives, segment, toxicity, wrappers
 from barloom.llm.common import documents, held
 from barloom.llm.language import identify, train, training_texts
 from barloom.llm.lm import count_model, score_texts
@@ -78,8 +78,12 @@ def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
     return negatives.hard_negatives(rows.withColumn("label", F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))))
 
 
+def op13_wrappers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return wrappers.extract(documents(spark, sf_dir, "pages").select("page_id", "url", "html"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_chroma": op1_chroma, "op2_language": op2_language, "op3_kneser_ney": op3_kneser_ney, "op4_toxicity": op4_toxicity, "op5_token_files": op5_token_files, "op6_mixing": op6_mixing, "op7_mtree": op7_mtree, "op8_segmentations": op8_segmentations, "op9_simhash": op9_simhash, "op10_licences": op10_licences, "op11_prefix_trie": op11_prefix_trie, "op12_hard_negatives": op12_hard_negatives}
+    return {"op1_chroma": op1_chroma, "op2_language": op2_language, "op3_kneser_ney": op3_kneser_ney, "op4_toxicity": op4_toxicity, "op5_token_files": op5_token_files, "op6_mixing": op6_mixing, "op7_mtree": op7_mtree, "op8_segmentations": op8_segmentations, "op9_simhash": op9_simhash, "op10_licences": op10_licences, "op11_prefix_trie": op11_prefix_trie, "op12_hard_negatives": op12_hard_negatives, "op13_wrappers": op13_wrappers}
 
 
 def oracle_sql() -> dict[str, str]:
