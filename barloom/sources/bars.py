@@ -2,14 +2,12 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from barloom.functions.columns import DATE, SYMBOL
+from barloom.sources.store import shared_folder, stored  # noqa: F401
 
 OHLCV = ["open", "high", "low", "close", "volume"]
 BARS = T.StructType([T.StructField(SYMBOL, T.StringType()), T.StructField(DATE, T.DateType()), *[T.StructField(c, T.DoubleType()) for c in OHLCV]])
@@ -42,16 +40,6 @@ def write_vendor(bars: DataFrame, path: str, date: str = DATE, bar_type: str = "
     return path
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """A new folder that driver and executors share, under spark.checkpoint.dir; only a local session may lack that."""
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
-        base = tempfile.mkdtemp(prefix="bars-")
-    return f"{base.rstrip('/')}/bars-{uuid.uuid4().hex}"
-
-
 def clean(sheet: DataFrame, date: str = DATE) -> DataFrame:
     """Bars from a vendor sheet: rows whose date does not parse go, then rows with any field that is no number."""
     number = [F.when(~F.isnan(F.col(c).try_cast("double")), F.col(c).try_cast("double")).alias(c) for c in OHLCV]
