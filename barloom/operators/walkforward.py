@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from concurrent.futures import ThreadPoolExecutor
-from dataclasses import dataclass
+from dataclasses import dataclass, field
+from functools import reduce
+from operator import and_
 
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import GBTClassifier
@@ -14,6 +17,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from barloom.functions.columns import DATE, SYMBOL, ratio
+from barloom.functions.ranges import numbered, running_sums, shuffled, slice_of
+from barloom.sources.store import stored
 
 # Columns that are no features: prices and levels, targets, and what is known only afterwards (fixed values)
 EXCLUDED = {"open", "high", "low", "close", "volume", "ma25", "ma75", "weekly_ma5", "weekly_ma13", "atr14", "tb_label", "avoid_entry_flag", "tb_barrier", "tb_days_to_touch", "tb_return", "forward_max_drawdown", SYMBOL, DATE}
@@ -67,16 +72,18 @@ def predict(model: PipelineModel, test: DataFrame, fold: int, target: str = "tb_
 
 
 def fold_metrics(predictions: DataFrame) -> DataFrame:
-    """Accuracy, precision, recall and f1 (0 where undefined) and ROC-AUC (null with one class) of each fold, exactly."""
+    """Accuracy, precision, recall and f1 (0 where undefined) and ROC-AUC (null with one class) of each fold, exactly.
+
+    Predictions are read once: their distinct scores are written in ranges, which no task holds a whole fold of.
+    """
     is_ = lambda c, v: (F.col(c) == v)
     count = lambda c: F.sum(F.when(c, 1).otherwise(0)).cast("double")
-    # equal scores are counted before they are ranked, so that what is ordered is a fold's distinct scores
     scores = predictions.groupBy("fold", "y_proba").agg(
         F.count("*").alias("n"), count(is_("y_true", 1) & is_("y_pred", 1)).alias("tp"), count(is_("y_true", 0) & is_("y_pred", 1)).alias("fp"), count(is_("y_true", 1) & is_("y_pred", 0)).alias("fn"),
         count(is_("y_true", F.col("y_pred"))).alias("ok"), count(is_("y_true", 1)).alias("p"),
     )
-    before = F.coalesce(F.sum("n").over(Window.partitionBy("fold").orderBy("y_proba").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    ranked = scores.withColumn("ranks", F.col("p") * (before + (F.col("n") + 1) / 2))
+    # equal scores share their average rank; how many rows have lower ones comes from sums over ranges of scores
+    ranked = running_sums(scores, ["fold"], ["y_proba"], {"n": "before"}).withColumn("ranks", F.col("p") * (F.col("before") + (F.col("n") + 1) / 2))
     sums = ranked.groupBy("fold").agg(*[F.sum(c).alias(c) for c in ("n", "tp", "fp", "fn", "ok", "p", "ranks")])
     zero = F.lit(0.0)
     precision, recall = F.coalesce(ratio(F.col("tp"), F.col("tp") + F.col("fp")), zero), F.coalesce(ratio(F.col("tp"), F.col("tp") + F.col("fn")), zero)
@@ -95,25 +102,56 @@ def model_importance(model: PipelineModel, features: list[str], fold: int, like:
     return like.sparkSession.createDataFrame([(fold, f, float(v)) for f, v in zip(features, values, strict=True)], "fold int, feature string, importance double")
 
 
-def permutation_importance(model: PipelineModel, test: DataFrame, features: list[str], fold: int, target: str = "tb_label", repeats: int = 5, seed: int = 42) -> DataFrame:
-    """(fold, feature, importance): the mean loss of accuracy when one feature's values are dealt anew among the rows.
+def with_permuted(test: DataFrame, features: list[str], fold: int, repeats: int = 5, seed: int = 42) -> DataFrame:
+    """test's rows for each feature and repeat (__feature, __repeat), with that feature's values dealt anew among the rows.
 
-    All feature and repeat variants are one exploded table; a variant's values move along two orders of its rows, by
-    key and by hash, so each variant is one window group.
+    Rows are numbered by date and symbol, and a keyed bijection of the numbers says whose value a row gets, so each
+    repeat is one join and nothing is sorted by variant. The features of a repeat are dealt by the same bijection, one
+    at a time. test is written once.
     """
-    variants = F.explode(F.array(*[F.struct(F.lit(f).alias("feature"), F.lit(r).alias("repeat"), F.lit(f).alias("name")) for f in features for r in range(repeats)]))
-    many = test.withColumn("__v", variants).withColumn("__value", F.coalesce(*[F.when(F.col("__v.feature") == f, F.col(f).cast("double")) for f in features]))
-    group = Window.partitionBy("__v")
-    many = many.withColumns({"__to": F.row_number().over(group.orderBy(SYMBOL, DATE)), "__from": F.row_number().over(group.orderBy(F.xxhash64("__v.feature", "__v.repeat", F.lit(seed), SYMBOL, DATE), SYMBOL, DATE))})
-    dealt = many.select("__v", F.col("__from").alias("__to"), F.col("__value").alias("__new"))
-    moved = many.join(dealt, ["__v", "__to"])
-    moved = moved.withColumns({f: F.when(F.col("__v.feature") == f, F.col("__new")).otherwise(F.col(f).cast("double")) for f in features})
-    right = lambda df: model.transform(df).withColumn("__ok", (F.col("prediction") == F.col(target)).cast("double"))
+    values = [F.col(f).cast("double").alias(f) for f in features]
+    others = [c for c in test.columns if c not in features]
+    rows = stored(numbered(test.select(*others, *values), "__i", [], [DATE, SYMBOL], slice_of()))
+    n = rows.count()
+    donors = rows.select(F.col("__i").alias("__from"), F.struct(*features).alias("__other"))
+    each = rows.withColumn("__repeat", F.explode(F.sequence(F.lit(1), F.lit(repeats))))
+    moved = each.withColumn("__from", shuffled(F.col("__i"), F.lit(n).cast("long"), F.lit(seed), F.lit(fold), F.col("__repeat"))).join(donors, "__from") if n else each.withColumn("__other", F.struct(*features)).where("false")
+    many = moved.withColumn("__feature", F.explode(F.array(*[F.lit(f) for f in features])))
+    return many.withColumns({f: F.when(F.col("__feature") == f, F.col(f"__other.{f}")).otherwise(F.col(f)) for f in features}).drop("__i", "__from", "__other")
+
+
+def accuracy_lost(permuted: DataFrame, test: DataFrame, right: Callable[[DataFrame], DataFrame], fold: int) -> DataFrame:
+    """(fold, feature, importance): the accuracy on test less that on its permuted rows, averaged over repeats."""
     base = right(test).agg(F.avg("__ok").alias("__base"))
-    lost = right(moved).groupBy(F.col("__v.feature").alias("feature")).agg(F.avg("__ok").alias("__got"))
+    lost = right(permuted).groupBy(F.col("__feature").alias("feature")).agg(F.avg("__ok").alias("__got"))
     return lost.crossJoin(F.broadcast(base)).select(F.lit(fold).alias("fold"), "feature", (F.col("__base") - F.col("__got")).alias("importance"))
 
 
+def permutation_importance(model: PipelineModel, test: DataFrame, features: list[str], fold: int, target: str = "tb_label", repeats: int = 5, seed: int = 42) -> DataFrame:
+    """(fold, feature, importance): the mean loss of accuracy when the values of one of these features are dealt anew among the
+    rows. model is one of fit()'s."""
+    right = lambda df: model.transform(df).withColumn("__ok", (F.col("prediction") == F.col(target)).cast("double"))
+    small = test.select(SYMBOL, DATE, target, *model.stages[0].getInputCols())
+    return accuracy_lost(with_permuted(small, features, fold, repeats, seed), small, right, fold)
+
+
+def label_ends(labelled: DataFrame, days_col: str = "tb_days_to_touch") -> DataFrame:
+    """labelled, all rows that labels count (step 2's), with label_end: the date on which a row's label is known, days_col rows
+    on; null where there is no label. Rows are found by number, so the horizon does not matter. labelled is read three times."""
+    rows = numbered(labelled, "__i", [SYMBOL], [DATE], slice_of())
+    ends = numbered(labelled.select(SYMBOL, DATE), "__to", [SYMBOL], [DATE], slice_of()).withColumnRenamed(DATE, "label_end")
+    return rows.withColumn("__to", F.col("__i") + F.col(days_col)).join(ends, [SYMBOL, "__to"], "left").drop("__i", "__to")
+
+
+def purged(train: DataFrame, test: DataFrame, by: list[str] = [SYMBOL]) -> DataFrame:  # noqa: B006
+    """The rows of train(*by, dt, label_end, ...) whose label does not reach into the dates tested: an anti-join of the intervals
+    from dt to label_end with the span of test(*by, dt) of the same symbol (and fold)."""
+    spans = test.groupBy(*[F.col(c).alias(f"__{c}") for c in by]).agg(F.min(DATE).alias("__first"), F.max(DATE).alias("__last"))
+    same = reduce(and_, [F.col(c) == F.col(f"__{c}") for c in by])
+    overlap = (F.col(DATE) <= F.col("__last")) & (F.coalesce("label_end", DATE) >= F.col("__first"))
+    return train.join(spans, same & overlap, "left_anti")
+
+
 def mean_importance(importance: DataFrame) -> DataFrame:
     return importance.groupBy("feature").agg(F.avg("importance").alias("importance")).orderBy(F.desc("importance"), "feature")
 
@@ -124,40 +162,45 @@ class WalkForward:
     feature_importance: DataFrame
     predictions: DataFrame
     final_model: PipelineModel | None
+    fold_models: dict[int, PipelineModel] = field(default_factory=dict)
+    fold_tests: dict[int, DataFrame] = field(default_factory=dict)
+    features: list[str] = field(default_factory=list)
 
 
 def walk_forward_validation(
-    df: DataFrame, features: list[str] | None = None, target: str = "tb_label", n_splits: int = 5, min_train_size: int = 100, rounds: int = 300, purge_rows: int = 0, permute: bool = False, final: bool = True
+    df: DataFrame, features: list[str] | None = None, target: str = "tb_label", n_splits: int = 5, min_train_size: int = 100, rounds: int = 300, purge_rows: int = 0, purge_labels: bool = False, permute: bool = False, final: bool = True
 ) -> WalkForward:
     """One model for all symbols, folds by date. What the driver holds is the fold table and the models.
 
     Boosting rounds follow each other, but folds do not: their fits (and the final one, on all rows, if asked for) are
-    submitted together, so that their jobs share the cluster. The input is kept in memory meanwhile.
+    submitted together, so that their jobs share the cluster. The input, the folds and the predictions are written
+    once. purge_rows leaves that many dates out before each test; purge_labels leaves out the training rows whose
+    label_end (see label_ends()) reaches into the test, and needs that column.
     """
-    features = features or select_feature_columns(df)
-    folds = date_folds(df, n_splits, purge_rows)
-    table = fold_table(folds, min_train_size)
-    frame = df.persist()
-    folds = folds.persist()
+    features = [f for f in features or select_feature_columns(df)]
+    if purge_labels and "label_end" not in df.columns:
+        raise KeyError("purge_labels needs the column label_end; run label_ends first")
+    frame = stored(df)
+    folds = stored(date_folds(frame, n_splits, purge_rows))
+    table = stored(fold_table(folds, min_train_size))
     sizes = {r["fold"]: r["n_train"] for r in table.select("fold", "n_train").collect()}
     numbers = sorted(sizes)
     if not numbers:
         raise ValueError("no fold has enough training rows")
     of = lambda k, role: frame.join(folds.where((F.col("fold") == k) & (F.col("role") == role)).select(DATE), DATE, "left_semi")
+    train = lambda k: purged(of(k, "train"), of(k, "test")) if purge_labels else of(k, "train")
     with ThreadPoolExecutor(len(numbers) + 1) as pool:
         # every level of every tree is a job; few rows are not spread over more tasks than they need
-        fits = [pool.submit(fit, of(k, "train").coalesce(1 + sizes[k] // TASK_ROWS), features, target, rounds) for k in numbers]
+        fits = [pool.submit(fit, train(k).coalesce(1 + sizes[k] // TASK_ROWS), features, target, rounds) for k in numbers]
         last = pool.submit(fit, frame, features, target, rounds) if final else None
-        models = [x.result() for x in fits]
+        models = {k: x.result() for k, x in zip(numbers, fits, strict=True)}
         final_model = last.result() if final else None
-    frame.unpersist()
-    folds.unpersist()
-    kept = [predict(m, of(k, "test"), k, target) for k, m in zip(numbers, models, strict=True)]
-    importance = [permutation_importance(m, of(k, "test"), features, k, target) if permute else model_importance(m, features, k, df) for k, m in zip(numbers, models, strict=True)]
-    union = lambda parts: parts[0] if len(parts) == 1 else parts[0].unionByName(union(parts[1:]))
-    predictions = union(kept)
-    metrics = table.join(fold_metrics(predictions).drop("n_test"), "fold").orderBy("fold")
-    return WalkForward(metrics, mean_importance(union(importance)), predictions, final_model)
+    tests = {k: of(k, "test") for k in numbers}
+    union = lambda parts: reduce(DataFrame.unionByName, parts)
+    predictions = stored(union([predict(m, tests[k], k, target) for k, m in models.items()]))
+    importance = [permutation_importance(m, tests[k], features, k, target) if permute else model_importance(m, features, k, df) for k, m in models.items()]
+    metrics = stored(table.join(fold_metrics(predictions).drop("n_test"), "fold").orderBy("fold"))
+    return WalkForward(metrics, mean_importance(union(importance)), predictions, final_model, models, tests, features)
 
 
 def save_walk_forward(result: WalkForward, root: str) -> None:

@@ -12,7 +12,7 @@ from barloom.operators.extremes import asof_by_buckets, first_touches, prior_low
 from barloom.operators.indicators import WEEKLY, add_daily_features, add_weekly_features, add_wick_features
 from barloom.operators.labels import BarrierSpec
 from barloom.operators.signals import generate_assist_signal
-from barloom.plans.steps import MISSING1, MISSING2, STEP1
+from barloom.plans.steps import MISSING1, MISSING2, MISSING3, STEP1
 from barloom.sources.bars import weekly_bars
 from barloom.sources.store import stored
 
@@ -69,7 +69,7 @@ def label_by_doubling(df: DataFrame, spec: BarrierSpec = BarrierSpec(), size: in
 
 def build_step3_buckets(step2: DataFrame, spec: BarrierSpec = BarrierSpec(), size: int = BUCKET) -> DataFrame:
     """build_step3() by buckets of the rows that survive step 2."""
-    return present(label_by_doubling(stored(step2), spec, size), ["tb_label", "avoid_entry_flag"])
+    return present(label_by_doubling(stored(step2), spec, size), MISSING3)
 
 
 def build_step5_buckets(step3: DataFrame, rsi_lookback: int = 5, dev_lookback: int = 5, size: int = BUCKET) -> DataFrame:

@@ -2,18 +2,25 @@
 
 from __future__ import annotations
 
+import uuid
+from collections import OrderedDict
 from collections.abc import Callable
+from functools import reduce
 
+from pyspark.ml import PipelineModel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from barloom.functions.columns import DATE, SYMBOL, ewm, ewm_blocks, lag, pct_change, rolling, rolling_mean, rolling_std, rows
 from barloom.operators import domain, indicators, labels, signals, walkforward
 from barloom.operators.asof import asof_backward
-from barloom.plans import reports
-from barloom.plans.steps import STEP1, build_step1, build_step2, build_step3, build_step5
+from barloom.operators.extremes import asof_by_buckets, prior_low
+from barloom.plans import bucketed, reports
+from barloom.plans.accounting import Account
+from barloom.plans.steps import MISSING1, MISSING2, MISSING3, STEP1, build_step1, build_step2, build_step3, build_step5
 from barloom.sources import bars as source
-from barloom.sql import EXACT, query, rounded
+from barloom.sources.store import stored, write_buckets
+from barloom.sql import EXACT, bars_by, query, rounded
 
 ATR, PCT = labels.BarrierSpec(), labels.BarrierSpec(mode="fixed_pct")
 FLOATS1 = [c for c in STEP1 if c not in ("candle_dir", "weekly_trend")]
@@ -145,6 +152,90 @@ table("labels_fixed_pct", lambda s, d: labels.apply_triple_barrier(step2(s, d),
 table("forward_drawdown", lambda s, d: labels.apply_forward_drawdown(step2(s, d)), "atr_all", ["avoid_entry_flag"], ["forward_max_drawdown"])
 table("step3_atr", step3, "atr_step3", [*INTS2, *INTS3], ["close", *FLOATS2, *FLOATS3])
 table("step3_fixed_pct", lambda s, d: step3(s, d, PCT), "pct_step3", [*INTS2, *INTS3], ["close", *FLOATS2, *FLOATS3])
+# Long histories: the same tables by buckets of 512 rows, with their neighbours
+SIZE = 512
+
+
+def step1_buckets(spark: SparkSession, d: str) -> DataFrame:
+    return bucketed.build_step1_buckets(daily(spark, d), size=SIZE)
+
+
+def step2_buckets(spark: SparkSession, d: str) -> DataFrame:
+    return bucketed.build_step2_buckets(step1_buckets(spark, d), size=SIZE)
+
+
+def step3_buckets(spark: SparkSession, d: str, spec: labels.BarrierSpec = ATR) -> DataFrame:
+    return bucketed.build_step3_buckets(step2_buckets(spark, d), spec, SIZE)
+
+
+def one_symbol(spark: SparkSession, d: str) -> DataFrame:
+    """All lines as the ticks of one symbol."""
+    return source.daily_bars(source.ticks_of_lineitem(lines(spark, d).withColumn("one", F.lit("all")), "one"))
+
+
+def brands(spark: SparkSession, d: str) -> DataFrame:
+    """The lines as ticks of their part's brand."""
+    part = spark.read.parquet(f"{d}/part.parquet").select(F.col("p_partkey").alias("l_partkey"), "p_brand")
+    return source.daily_bars(source.ticks_of_lineitem(lines(spark, d).join(part, "l_partkey"), "p_brand"))
+
+
+LONG = labels.BarrierSpec(holding_period=500, tp_atr_mult=6.0, sl_atr_mult=5.0)
+BRANDS = {"bars": bars_by("p_brand", "lineitem JOIN part ON l_partkey = p_partkey")}
+table("step1_buckets", step1_buckets, "step1", ["candle_dir", "weekly_trend"], FLOATS1)
+table("step2_buckets", step2_buckets, "step2", ["candle_dir", "weekly_trend", *INTS2], [*FLOATS1, *FLOATS2])
+table("step3_atr_buckets", step3_buckets, "atr_step3", [*INTS2, *INTS3], ["close", *FLOATS2, *FLOATS3])
+table("step3_fixed_pct_buckets", lambda s, d: step3_buckets(s, d, PCT), "pct_step3", [*INTS2, *INTS3], ["close", *FLOATS2, *FLOATS3])
+table("step5_buckets", lambda s, d: bucketed.build_step5_buckets(step3_buckets(s, d), size=SIZE), "step5", [*INTS3, *FLAGS5], ["close", "rsi14", "dev_ma25_zscore", *FLOATS3])
+table("labels_500_rows", lambda s, d: bucketed.label_by_doubling(stored(step2(s, d)), LONG, SIZE), "long_all", [*INTS3[:4], "avoid_entry_flag"], FLOATS3)
+register("step1_one_symbol", lambda s, d: shown(bucketed.build_step1_buckets(one_symbol(s, d), size=SIZE), KEY, ["candle_dir", "weekly_trend"], FLOATS1), rounded("symbol dt", "candle_dir weekly_trend", " ".join(FLOATS1), "step1", bars=bars_by("'all'")))
+register("step3_brands", lambda s, d: shown(step3_of(brands(s, d)), KEY, INTS3, ["close", "rsi14", *FLOATS3]), rounded("symbol dt", " ".join(INTS3), " ".join(["close", "rsi14", *FLOATS3]), "atr_step3", **BRANDS))
+
+
+def asof_one_symbol(spark: SparkSession, d: str) -> DataFrame:
+    bars = stored(one_symbol(spark, d))
+    return asof_by_buckets(bars, indicators.add_weekly_features(source.weekly_bars(bars)), SYMBOL, DATE, "week_end", indicators.WEEKLY)
+
+
+def step3_of(bars: DataFrame) -> DataFrame:
+    """Steps 1 to 3 of bars, by buckets."""
+    return bucketed.build_step3_buckets(bucketed.build_step2_buckets(bucketed.build_step1_buckets(bars)))
+
+
+register("asof_one_symbol", lambda s, d: shown(asof_one_symbol(s, d), KEY, ["weekly_trend"], [*OHLCV, *indicators.WEEKLY[:4]]), rounded("symbol dt", "weekly_trend", " ".join([*OHLCV, *indicators.WEEKLY[:4]]), "with_weeks", bars=bars_by("'all'")))
+for _n in (20, 250):
+    register(
+        f"prior_low_{_n}",
+        lambda s, d, n=_n: shown(prior_low(daily(s, d).withColumn("rsi14", F.col("volume")), n, "low_before").select(*KEY, F.col("low_before.price").alias("low"), F.col("low_before.at").alias("low_dt"), F.col("low_before.rsi").alias("volume")), KEY, ["low_dt"], ["low", "volume"]),
+        query(f"SELECT symbol, dt, p.at AS low_dt, p.price AS low, p.v AS volume FROM (SELECT symbol, dt, CASE WHEN count(close) OVER w = {_n} THEN min({{'price': close, 'at': dt, 'v': volume}}) OVER w END AS p FROM bars WINDOW w AS (PARTITION BY symbol ORDER BY dt ROWS BETWEEN {_n} PRECEDING AND 1 PRECEDING))"),
+    )
+
+
+def bucketed_step2(spark: SparkSession, d: str) -> DataFrame:
+    """Step 2 from step 1 as a table in buckets of symbols, which its windows read without an exchange."""
+    return build_step2(write_buckets(step1(spark, d), f"step1_{uuid.uuid4().hex}", [SYMBOL], [SYMBOL, DATE], 8))
+
+
+table("stored_step2_buckets", bucketed_step2, "step2", ["candle_dir", "weekly_trend", *INTS2], [*FLOATS1, *FLOATS2])
+table("files_preamble", lambda s, d: source.clean(source.read_vendor(s, source.write_sheets(daily(s, d), f"{source.shared_folder(s)}/sheets"), skip=3)), "bars", floats=OHLCV)
+
+
+def step_accounts(spark: SparkSession, d: str) -> DataFrame:
+    """Rows in, out and dropped by reason of steps 1 to 3, each run and written once."""
+    account = Account()
+    one = stored(build_step1(daily(spark, d), keep=account.keep("step1")))
+    two = stored(build_step2(one, keep=account.keep("step2")))
+    stored(build_step3(two, keep=account.keep("step3")))
+    return account.table(spark)
+
+
+def _account_sql(step: str, before: str, names: list[str]) -> str:
+    first = " ".join(f"WHEN {n} IS NULL THEN '{n}'" for n in names)
+    one = f"SELECT CASE {first} END AS missing FROM {before}"
+    counts = [("rows_in", "TRUE"), ("rows_out", "missing IS NULL"), ("dropped", "missing IS NOT NULL"), *[(f"missing {n}", f"missing = '{n}'") for n in names]]
+    return " UNION ALL ".join(f"SELECT '{step}' AS step, '{reason}' AS reason, count(*) FILTER (WHERE {c}) AS n FROM ({one})" for reason, c in counts)
+
+
+register("step_accounts", step_accounts, query(" UNION ALL ".join(_account_sql(*x) for x in (("step1", "with_weeks", MISSING1), ("step2", "flagged", MISSING2), ("step3", "atr_all", MISSING3)))))
 # H: signal
 table("signal_flags", lambda s, d: signals.add_signal_flags(step3(s, d)), "turns", FLAGS5[:3])
 table("step5", step5, "step5", [*INTS3, *FLAGS5], ["close", "rsi14", "dev_ma25_zscore", *FLOATS3])
@@ -169,8 +260,8 @@ register("head_step5", lambda s, d: shown(reports.head(step5(s, d)), KEY, ["assi
 
 # G: walk-forward; a fixed rule stands in for the model where SQL checks what follows it
 def standin(spark: SparkSession, d: str) -> DataFrame:
-    df = step3(spark, d)
-    folds = walkforward.date_folds(df)
+    df = stored(step3(spark, d))
+    folds = stored(walkforward.date_folds(df))
     kept = walkforward.fold_table(folds).select("fold")
     test = folds.where("role = 'test'").join(kept, "fold").select(DATE, "fold")
     proba = F.least(F.lit(1.0), F.greatest(F.lit(0.0), 0.5 + F.round("mom5", 3)))
@@ -192,24 +283,100 @@ register(
     lambda s, d: reports.top(walkforward.mean_importance(step3(s, d).unpivot(["tb_label"], ["mom5", "mom20", "bb_pct_b", "dev_ma25"], "feature", "x").groupBy("feature").agg(F.round(F.abs(F.corr("x", "tb_label")), 6).alias("importance"))), "importance", 3),
     query("SELECT * FROM (" + " UNION ALL ".join(f"SELECT '{f}' AS feature, round(abs(corr({f}, tb_label)), 6) AS importance FROM atr_step3" for f in ("mom5", "mom20", "bb_pct_b", "dev_ma25")) + ") ORDER BY importance DESC, feature LIMIT 3"),
 )
+
+
+def standin_permutation(spark: SparkSession, d: str) -> DataFrame:
+    """Permutation importance of the rule's columns, fold by fold."""
+    df = stored(step3(spark, d))
+    folds = stored(walkforward.date_folds(df))
+    right = lambda x: x.withColumn("__ok", ((F.col("mom5") > 0).cast("int") == F.col("tb_label")).cast("double"))
+    parts = []
+    for k in sorted(r["fold"] for r in walkforward.fold_table(folds).select("fold").collect()):
+        test = df.join(folds.where((F.col("fold") == k) & (F.col("role") == "test")).select(DATE), DATE, "left_semi").select(*KEY, "tb_label", "mom5", "mom20")
+        parts.append(walkforward.accuracy_lost(walkforward.with_permuted(test, ["mom5", "mom20"], k), test, right, k))
+    return reduce(DataFrame.unionByName, parts)
+
+
+register(
+    "standin_permutation",
+    lambda s, d: shown(standin_permutation(s, d), ["fold", "feature"], floats=["importance"]),
+    query("""SELECT t.fold, v.feature, round(avg(CAST(CAST(t.mom5 > 0 AS INTEGER) = t.tb_label AS DOUBLE)) - avg(CAST(CAST(CASE v.feature WHEN 'mom5' THEN o.mom5 ELSE t.mom5 END > 0 AS INTEGER) = t.tb_label AS DOUBLE)), 6) AS importance
+  FROM walk w JOIN tested t ON w.fold = t.fold AND w.i = t.i JOIN tested o ON w.fold = o.fold AND w.place = o.i, (VALUES ('mom5'), ('mom20')) v(feature) WHERE w.place < w.n GROUP BY 1, 2"""),
+)
+
+
+def purge_table(spark: SparkSession, d: str) -> DataFrame:
+    """Training rows of each fold, and those whose labels reach into its test."""
+    labelled = walkforward.label_ends(stored(labels.apply_forward_drawdown(labels.apply_triple_barrier(step2(spark, d)))))
+    df = stored(labelled.dropna(subset=MISSING3).select(*KEY, "label_end"))
+    folds = stored(walkforward.date_folds(df))
+    kept = walkforward.fold_table(folds).select("fold")
+    of = lambda role: df.join(folds.where(F.col("role") == role).join(kept, "fold").select(DATE, "fold"), DATE)
+    left = walkforward.purged(of("train"), of("test"), [SYMBOL, "fold"]).groupBy("fold").agg(F.count("*").alias("kept"))
+    every = of("train").groupBy("fold").agg(F.count("*").alias("n_train"))
+    return every.join(left, "fold", "left").select("fold", "n_train", (F.col("n_train") - F.coalesce("kept", F.lit(0))).alias("purged"))
+
+
+register(
+    "purge_table",
+    purge_table,
+    query("""SELECT f.fold, count(*) AS n_train, count(*) FILTER (WHERE s.dt <= p.last AND coalesce(s.label_end, s.dt) >= p.first) AS purged
+  FROM ends_of_labels s JOIN folds f ON s.dt = f.dt AND f.role = 'train' JOIN fold_table USING (fold) LEFT JOIN spans p ON p.fold = f.fold AND p.symbol = s.symbol GROUP BY 1"""),
+)
 ROUNDS = 300  # as in the reference
 
 
-WALKED: dict[tuple[str, str], walkforward.WalkForward] = {}  # of this application, by input
+WALKED: OrderedDict[tuple, walkforward.WalkForward] = OrderedDict()  # the latest walks of this application, by content of the input
+
+
+def content_of(spark: SparkSession, path: str) -> tuple:
+    """How many files a table has, and a hash of their names, lengths and times of change."""
+    files = spark.read.format("binaryFile").load(path)
+    return tuple(files.agg(F.count("*"), F.sum(F.xxhash64("path", "length", "modificationTime").cast("decimal(38,0)"))).first())
 
 
 def walked(spark: SparkSession, d: str) -> walkforward.WalkForward:
-    """One walk for all queries of an input: what they show are its tables. None of them needs the final fit."""
-    key = (spark.sparkContext.applicationId, d)
+    """One walk for all queries of an input: what they show are its tables, which are written. Two walks are remembered; a
+    changed table is walked again. None of the queries of a walk needs the final fit."""
+    key = (spark.sparkContext.applicationId, d, content_of(spark, f"{d}/lineitem.parquet"))
     if key not in WALKED:
         WALKED[key] = walkforward.walk_forward_validation(step3(spark, d), rounds=ROUNDS, final=False)
+        while len(WALKED) > 2:
+            WALKED.popitem(last=False)
     return WALKED[key]
 
 
+def permuted_model(spark: SparkSession, d: str) -> DataFrame:
+    """Mean loss of accuracy by feature over the walk's folds, five repeats each."""
+    walk = walked(spark, d)
+    each = [walkforward.permutation_importance(m, walk.fold_tests[k], walk.features, k) for k, m in walk.fold_models.items()]
+    return walkforward.mean_importance(reduce(DataFrame.unionByName, each))
+
+
+def reloaded_model(spark: SparkSession, d: str) -> DataFrame:
+    """The final model, fitted on all rows, saved to the shared folder and loaded: its scores of all rows, and whether they are
+    those of the model before it was saved."""
+    df = stored(step3(spark, d))
+    features = walkforward.select_feature_columns(df)
+    model = walkforward.fit(df.coalesce(1 + df.count() // walkforward.TASK_ROWS), features, rounds=ROUNDS)
+    path = f"{source.shared_folder(spark)}/model"
+    model.write().overwrite().save(path)
+    before, after = (walkforward.predict(m, df, 0) for m in (model, PipelineModel.load(path)))
+    return after.drop("fold").join(before.select(*KEY, F.col("y_proba").alias("__p"), F.col("y_pred").alias("__y")), KEY).select(*KEY, "y_true", "y_pred", "y_proba", ((F.col("__p") == F.col("y_proba")) & (F.col("__y") == F.col("y_pred"))).alias("same"))
+
+
 register("model_predictions", lambda s, d: walked(s, d).predictions)
 register("model_importance", lambda s, d: walked(s, d).feature_importance)
 register("model_fold_metrics", lambda s, d: walked(s, d).fold_metrics)
 register("model_top_importance", lambda s, d: reports.top(walked(s, d).feature_importance, "importance", 15))
+register("model_permutation_importance", permuted_model)
+register("model_reloaded", reloaded_model)
+register("model_mean_metrics", lambda s, d: walkforward.mean_metrics(walked(s, d).fold_metrics))
+register("model_metrics_long", lambda s, d: reports.step4_metrics_long(walked(s, d).fold_metrics.select("fold", *METRICS)))
+register("model_confusion", lambda s, d: reports.confusion(walked(s, d).predictions))
+register("model_probability_histogram", lambda s, d: reports.probability_histogram(walked(s, d).predictions))
+register("model_fold_starts", lambda s, d: reports.fold_starts(walked(s, d).predictions))
+register("model_prices", lambda s, d: reports.step4_prices(step3(s, d), walked(s, d).predictions))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

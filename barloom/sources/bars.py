@@ -40,6 +40,21 @@ def write_vendor(bars: DataFrame, path: str, date: str = DATE, bar_type: str = "
     return path
 
 
+def write_sheets(bars: DataFrame, path: str, preamble: tuple[str, ...] = ("price data", "daily,adjusted"), date: str = DATE, bar_type: str = "D", days: int = 4096) -> str:
+    """Bars as sheets that begin with preamble lines and a line of names and have junk rows between, one folder a symbol; the path.
+
+    A sheet holds the bars of a range of days, so that one task does not write a long history."""
+    cut = bars.withColumn("__range", F.floor(F.unix_date(date) / days))
+    row = F.concat_ws(",", F.lit(""), F.lit(""), F.lit(bar_type), F.col(date).cast("string"), F.lit(""), *[F.col(c).cast("string") for c in OHLCV])
+    top = [*preamble, ",".join(VENDOR)]
+    heads = cut.select(SYMBOL, "__range").distinct().withColumn("__line", F.explode(F.array(*[F.struct(F.lit(k).alias("at"), F.lit(x).alias("value")) for k, x in enumerate(top)])))
+    junk = F.when(F.dayofmonth(date) == 1, F.array(row, F.lit(f",,{bar_type},--------,,-,-,-,-,-"))).otherwise(F.array(row))
+    body = cut.select(SYMBOL, "__range", (F.unix_date(date) + (1 << 32)).alias("at"), F.explode(junk).alias("value"))
+    lines = heads.select(SYMBOL, "__range", F.col("__line.at").cast("long").alias("at"), F.col("__line.value").alias("value")).unionByName(body)
+    lines.repartition(SYMBOL, "__range").sortWithinPartitions(SYMBOL, "__range", "at").select(SYMBOL, "value").write.mode("overwrite").partitionBy(SYMBOL).text(path)
+    return path
+
+
 def clean(sheet: DataFrame, date: str = DATE) -> DataFrame:
     """Bars from a vendor sheet: rows whose date does not parse go, then rows with any field that is no number."""
     number = [F.when(~F.isnan(F.col(c).try_cast("double")), F.col(c).try_cast("double")).alias(c) for c in OHLCV]

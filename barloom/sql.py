@@ -25,10 +25,17 @@ def _own(col: str, lead: int) -> str:
 
 WEEK = "PARTITION BY symbol ORDER BY week_end"
 
-PARTS = {
-    "bars": """SELECT l_returnflag AS symbol, CAST(l_shipdate AS DATE) AS dt, arg_min(price, key) AS open, max(price) AS high, min(price) AS low,
+
+
+def bars_by(symbol: str, source: str = "lineitem") -> str:
+    """Daily bars of the lines, with this expression as symbol."""
+    return f"""SELECT {symbol} AS symbol, CAST(l_shipdate AS DATE) AS dt, arg_min(price, key) AS open, max(price) AS high, min(price) AS low,
   arg_max(price, key) AS close, CAST(sum(l_quantity) AS DOUBLE) AS volume FROM (SELECT *, CAST(l_extendedprice AS DOUBLE) / CAST(l_quantity AS DOUBLE) AS price,
-  row(l_orderkey, l_linenumber, l_partkey, l_suppkey, l_extendedprice) AS key FROM lineitem) GROUP BY 1, 2""",
+  row(l_orderkey, l_linenumber, l_partkey, l_suppkey, l_extendedprice) AS key FROM {source}) GROUP BY 1, 2"""
+
+
+PARTS = {
+    "bars": bars_by("l_returnflag"),
     "weeks": """SELECT symbol, CAST(dt + CAST((5 - isodow(dt) + 7) % 7 AS INTEGER) AS DATE) AS week_end, arg_min(open, dt) AS open, max(high) AS high,
   min(low) AS low, arg_max(close, dt) AS close, sum(volume) AS volume FROM bars GROUP BY 1, 2""",
     "weekma": f"SELECT symbol, week_end, {_full('avg', 'close', 5, part=WEEK)} AS weekly_ma5, {_full('avg', 'close', 13, part=WEEK)} AS weekly_ma13 FROM weeks",
@@ -90,6 +97,7 @@ def _labels(name: str, h: int, up: str, down: str, mode: str) -> dict[str, str]:
 
 PARTS |= _labels("atr", 10, "close + 2.0 * atr14", "close - 1.5 * atr14", "atr")
 PARTS |= _labels("pct", 45, "close * (1 + 0.1)", "close * (1 - 0.05)", "fixed_pct")
+PARTS |= _labels("long", 500, "close + 6.0 * atr14", "close - 5.0 * atr14", "atr")
 PARTS |= {
     "turns": f"""SELECT *, CAST(coalesce({_full('min', 'rsi14', 5, -1)} <= 35 AND rsi14 > lag(rsi14) OVER ({W}), false) OR rsi_bullish_divergence = 1 AS INTEGER) AS rsi_reversal_flag,
   CAST(coalesce(dev_ma25_zscore < 0 AND dev_ma25_zscore > lag(dev_ma25_zscore, 5) OVER ({W}), false) AS INTEGER) AS deviation_shrink_flag, is_overbought_heat AS overheat_warning_flag FROM atr_step3""",
@@ -109,18 +117,55 @@ PARTS |= {
   FROM (SELECT *, rank() OVER (PARTITION BY fold ORDER BY y_proba) + (count(*) OVER (PARTITION BY fold, y_proba) - 1) / 2.0 AS r FROM standin) GROUP BY fold)""",
 }
 
+PRIME = (1 << 31) - 1
+
+
+def _push(half: str, step: int) -> str:
+    return f"((({half}) % {PRIME} + key + {step * 1_000_003}) % {PRIME}) * ((({half}) % {PRIME} + key + {step * 1_000_003}) % {PRIME}) % {PRIME}"
+
+
+def _network(rounds: int = 5) -> str:
+    """(fold, turn, x, y): where a Feistel network over pairs sends each number below a * b."""
+    sql = "SELECT fold, turn, key, a, b, x, x // b AS l, x % b AS r FROM (SELECT *, unnest(range(a * b)) AS x FROM permutation_keys)"
+    for k in range(1, rounds + 1):
+        sql = f"SELECT * REPLACE ((l + {_push('r', 2 * k)}) % a AS l) FROM ({sql})"
+        sql = f"SELECT * REPLACE ((r + {_push('l', 2 * k + 1)}) % b AS r) FROM ({sql})"
+    return f"SELECT fold, turn, x, l * b + r AS y FROM ({sql})"
+
+
+def _key(*parts: str) -> str:
+    key = "CAST(0 AS BIGINT)"
+    for x in parts:
+        key = f"(({key}) * 8191 + ({x}) % {PRIME} + 12345) % {PRIME}"
+    return key
+
+
+PARTS |= {
+    "tested": """SELECT f.fold, s.mom5, s.mom20, s.tb_label, row_number() OVER (PARTITION BY f.fold ORDER BY s.dt, s.symbol) - 1 AS i, count(*) OVER (PARTITION BY f.fold) AS n
+  FROM atr_step3 s JOIN folds f ON s.dt = f.dt AND f.role = 'test' JOIN fold_table USING (fold)""",
+    "permutation_keys": f"""SELECT fold, turn, n, a, CAST(ceil(n / a) AS BIGINT) AS b, {_key("42", "fold", "turn")} AS key
+  FROM (SELECT fold, max(n) AS n, CAST(ceil(sqrt(max(n))) AS BIGINT) AS a, unnest([1, 2, 3, 4, 5]) AS turn FROM tested GROUP BY fold)""",
+    "network": _network(),
+    "walk": """SELECT k.fold, k.turn, k.n, m.x AS i, m.y AS place FROM permutation_keys k JOIN network m USING (fold, turn) WHERE m.x < k.n
+  UNION ALL SELECT w.fold, w.turn, w.n, w.i, m.y FROM walk w JOIN network m ON w.fold = m.fold AND w.turn = m.turn AND w.place = m.x WHERE w.place >= w.n""",
+    "ends_of_labels": """SELECT a.*, b.dt AS label_end FROM (SELECT *, row_number() OVER (PARTITION BY symbol ORDER BY dt) AS i FROM atr_all) a
+  LEFT JOIN (SELECT symbol AS s2, dt, row_number() OVER (PARTITION BY symbol ORDER BY dt) AS j FROM atr_all) b ON a.symbol = b.s2 AND b.j = a.i + a.tb_days_to_touch WHERE tb_label IS NOT NULL AND avoid_entry_flag IS NOT NULL""",
+    "spans": "SELECT f.fold, s.symbol, min(s.dt) AS first, max(s.dt) AS last FROM atr_step3 s JOIN folds f ON s.dt = f.dt AND f.role = 'test' JOIN fold_table USING (fold) GROUP BY 1, 2",
+}
+
 
-def query(select: str) -> str:
-    """The select with the parts that it names, and those that these name, in their order."""
+def query(select: str, **changed: str) -> str:
+    """The select with the parts that it names, and those that these name, in their order; `changed` parts replace others."""
+    parts_of = PARTS | changed
     need, todo = set(), [select]
     while todo:
         text = todo.pop()
-        for name in PARTS:
+        for name in parts_of:
             if name not in need and re.search(rf"\b(FROM|JOIN|,)\s+{name}\b", text):
                 need.add(name)
-                todo.append(PARTS[name])
-    parts = ",\n".join(f"{n} AS ({t})" for n, t in PARTS.items() if n in need)
-    return f"WITH {parts}\n{select}" if parts else select
+                todo.append(parts_of[name])
+    parts = ",\n".join(f"{n} AS ({t})" for n, t in parts_of.items() if n in need)
+    return f"WITH {'RECURSIVE ' if 'walk' in need else ''}{parts}\n{select}" if parts else select
 
 
 # Prices and sums of whole numbers, and their plain differences, are the same in any engine; they are compared unrounded,
@@ -128,7 +173,7 @@ def query(select: str) -> str:
 EXACT = {"open", "high", "low", "close", "volume", "true_range", "gain", "loss"}
 
 
-def rounded(keys: str, ints: str = "", floats: str = "", source: str = "") -> str:
+def rounded(keys: str, ints: str = "", floats: str = "", source: str = "", **changed: str) -> str:
     """keys and ints as they are, floats rounded to six places unless they are exact."""
     columns = [c for c in f"{keys} {ints}".split()] + [c if c in EXACT else f"round({c}, 6) AS {c}" for c in floats.split()]
-    return query(f"SELECT {', '.join(columns)} FROM {source}")
+    return query(f"SELECT {', '.join(columns)} FROM {source}", **changed)
