@@ -1,9 +1,9 @@
 """License scans: matching statistics against a generalised suffix automaton of licence words, chained into spans.
 
-The automaton holds every run of words of every template. Reading a text's words through it gives, at each word, the
-longest run ending there that stands in some template. Runs that cannot be extended are matches; long matches of one
-template that follow one another in text and template, with small gaps, make a span. Words outside the templates reset
-the automaton, so it is only stepped through runs of template words as long as the shortest phrase.
+The automaton holds every run of words of every template. Reading a text's words through it gives, at each word and for
+each place of each template, the longest run that ends at both. Runs that cannot be extended are matches; long matches
+of one template that follow one another in text and template, with small gaps, make a span. Words outside the templates
+reset the automaton, so it is only stepped through runs of template words as long as the shortest phrase.
 """
 
 from __future__ import annotations
@@ -17,7 +17,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from barloom.llm.common import LOWER, joined, pieces, span_hashes, spans
+from barloom.llm.common import LOWER, joined, pieces, same_spans, span_hashes, spans
+from barloom.llm.licence_texts import BODIES
 
 # Phrases whose places are counted, and their labels (fixed values)
 PHRASES = {"gnu general public license": "gpl", "apache license": "apache", "cc by": "cc-by", "mit license": "mit"}
@@ -54,14 +55,14 @@ class Automaton:
     moves: list[dict[int, int]] = field(default_factory=lambda: [{}])
     link: list[int] = field(default_factory=lambda: [-1])
     length: list[int] = field(default_factory=lambda: [0])
-    ends: list[dict[int, set[int]]] = field(default_factory=lambda: [{}])  # of each state, template -> all places after a run
+    ends: list[set[tuple[int, int]]] = field(default_factory=lambda: [set()])  # of each state, templates and places after a run
     phrases: list[list[int]] = field(default_factory=lambda: [[]])
 
     def _state(self, length: int, link: int, moves: dict[int, int]) -> int:
         self.moves.append(moves)
         self.link.append(link)
         self.length.append(length)
-        self.ends.append({})
+        self.ends.append(set())
         self.phrases.append([])
         return len(self.moves) - 1
 
@@ -118,25 +119,31 @@ class Scanner:
         self.names = {w: k for k, w in enumerate(dict.fromkeys(w for t in texts for w in t))}
         raw = " ".join([*self.names, ""]).encode()
         size = np.array([len(w.encode()) for w in self.names], np.int64)
-        begin = np.concatenate(([0], np.cumsum(size + 1)[:-1]))
-        hashes = span_hashes(np.frombuffer(raw, np.uint8), begin, begin + size)
+        begin = np.concatenate(([0], np.cumsum(size + 1)[:-1])).astype(np.int64)
+        self.raw = np.frombuffer(raw, np.uint8)
+        hashes = span_hashes(self.raw, begin, begin + size)
         self.order = np.argsort(hashes)
-        self.hashes = hashes[self.order]
+        self.hashes, self.begin, self.end = hashes[self.order], begin[self.order], (begin + size)[self.order]
         self.sizes = [len(t) for t in texts]
         self.automaton = auto = Automaton()
         coded = [[self.names[w] for w in t] for t in texts]
         for words in coded:
             auto.add(words)
-        for k, words in enumerate(coded):  # states are final now
+        for k, words in enumerate(coded[: len(self.templates)]):  # states are final now
             state = 0
             for i, word in enumerate(words):
                 state = auto.moves[state][word]
-                auto.ends[state].setdefault(k, set()).add(i + 1)
+                auto.ends[state].add((k, i + 1))
         # a state's runs also end where longer runs of states that link to it do
         for s in sorted(range(1, len(auto.link)), key=lambda s: -auto.length[s]):
             if auto.link[s]:
-                for k, at in auto.ends[s].items():
-                    auto.ends[auto.link[s]].setdefault(k, set()).update(at)
+                auto.ends[auto.link[s]] |= auto.ends[s]
+        # all places at which a state's runs or ends of them stand, each with the words of the longest one
+        self.spots: list[list[tuple[int, int, int]]] = [[] for _ in auto.link]
+        for s in sorted(range(1, len(auto.link)), key=lambda s: auto.length[s]):
+            if auto.length[s] >= self.least:
+                shorter = [x for x in self.spots[auto.link[s]] if x[:2] not in auto.ends[s]]
+                self.spots[s] = [*((k, place, auto.length[s]) for k, place in sorted(auto.ends[s])), *shorter]
         offset = len(self.templates)
         for k, words in enumerate(coded[offset:]):
             auto.phrases[auto.walk(words)].append(k)
@@ -146,40 +153,41 @@ class Scanner:
         self.phrase_sizes, self.phrase_labels = self.sizes[offset:], list(self.phrases.values())
 
     def scan(self, run: list[int], at: int, found: dict) -> None:
-        """Adds the phrase places and the matches of one run of template words that begins at word `at`."""
+        """Adds the phrase places and the matches of one run of template words that begins at word `at`.
+
+        A match (end, words, template, place) is a run of `least` words or more that the text and the template share, up to
+        these places, and that goes on in neither direction; there is one for each place of each template.
+        """
         auto, state, length = self.automaton, 0, 0
         moves, link, lengths, phrases = auto.moves, auto.link, auto.length, auto.phrases
+        open_: dict[tuple[int, int], int] = {}  # words of the matches that end here, by template and place
+        matches = found["matches"]
         for i, word in enumerate(run):
             to = moves[state].get(word)
-            if to is None:
-                if length >= self.least:
-                    found["matches"].append((at + i, length, state))
-                while state > 0 and to is None:
-                    state = link[state]
-                    to = moves[state].get(word)
-                length = lengths[state] if to is not None else 0
-            if to is None:
-                state = 0
-                continue
-            state, length = to, length + 1
+            while state > 0 and to is None:
+                state = link[state]
+                length = lengths[state]
+                to = moves[state].get(word)
+            state, length = (to, length + 1) if to is not None else (0, 0)
+            now = {(k, place): n if n < length else length for k, place, n in self.spots[state]} if length >= self.least else {}
+            for (k, place), n in open_.items():
+                if (k, place + 1) not in now:
+                    matches.append((at + i, n, k, place))
+            open_ = now
             for k in phrases[state]:
                 if length >= self.phrase_sizes[k]:
                     found["places"].append((at + i + 1 - self.phrase_sizes[k], k))
-        if length >= self.least:
-            found["matches"].append((at + len(run), length, state))
+        matches += [(at + len(run), n, k, place) for (k, place), n in open_.items()]
 
-    def chain(self, matches: list[tuple[int, int, int]]) -> list[tuple[str, int, int, float]]:
+    def chain(self, matches: list[tuple[int, int, int, int]]) -> list[tuple[str, int, int, float]]:
         """Spans (label, first word, past the last, covered share): of each template the chains that cover enough, best
         first, that do not overlap.
 
-        Each match (end, words, state) gives a template all places of the run; matches chain if they follow in text and
-        template and at most `gap` words lie between them in the text.
+        Matches chain if they follow in text and template and at most `gap` words lie between them in the text.
         """
         by: dict[int, list[tuple[int, int, int]]] = {}
-        for end, n, state in matches:
-            for k, places in self.automaton.ends[state].items():
-                if k < len(self.templates):
-                    by.setdefault(k, []).extend((end - n, place - n, n) for place in places if place >= n)
+        for end, n, k, place in matches:
+            by.setdefault(k, []).append((end - n, place - n, n))
         out = []
         for k, pieces_ in by.items():
             left, more = sorted(pieces_), True
@@ -219,6 +227,8 @@ def scan_texts(scanner: Scanner, column: pa.Array) -> tuple[np.ndarray, dict[int
     hashes = span_hashes(raw, begin, end)
     at = np.minimum(np.searchsorted(scanner.hashes, hashes), len(scanner.hashes) - 1)
     word = np.where(scanner.hashes[at] == hashes, scanner.order[at], -1) if len(scanner.hashes) else np.full(len(hashes), -1)
+    hit = np.flatnonzero(word >= 0)
+    word[hit[~same_spans(raw, begin[hit], end[hit], scanner.raw, scanner.begin[at[hit]], scanner.end[at[hit]])]] = -1
     known = word >= 0
     edge = np.zeros(len(word) + 1, bool)
     edge[first[first <= len(word)]] = True  # runs do not cross texts
@@ -248,7 +258,7 @@ def scan(df: DataFrame, scanner: Scanner | None = None, id_col: str = "doc_id",
 
     Null and empty texts have no words and empty labels. Every place counts, also overlapping ones. Repeats stay repeats.
     """
-    scanner = scanner or Scanner(TEMPLATES, PHRASES)
+    scanner = scanner or Scanner([*TEMPLATES, *BODIES], PHRASES)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in pieces(batches, "text"):
