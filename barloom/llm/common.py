@@ -104,12 +104,29 @@ def mixed(h: np.ndarray) -> np.ndarray:
 LANES = 64  # spans of more 8-byte lanes are hashed one by one
 
 
-def span_hashes(data: np.ndarray, begin: np.ndarray, end: np.ndarray) -> np.ndarray:
-    """A 64-bit hash of each byte span: its length, then its 8-byte lanes, each multiplied and mixed in, all spans at once."""
+def text_key(df: DataFrame, text: str) -> Column:
+    """An aggregate over all texts that keys span_hashes(): whoever writes some of the texts cannot foresee it, so cannot choose
+    words that it makes equal. The same texts give the same key in any order."""
+    return F.sum(F.xxhash64(F.col(text), F.lit(17)).cast("decimal(38,0)"))
+
+
+def key_of(value: object) -> int:
+    """The key of an aggregated text_key(), 64 bits and not 0."""
+    return int(value or 0) % ((1 << 64) - 1) + 1
+
+
+def span_hashes(data: np.ndarray, begin: np.ndarray, end: np.ndarray, key: int = 0) -> np.ndarray:
+    """A 64-bit hash of each byte span: its length and the key, then its 8-byte lanes, each multiplied and mixed in, all spans at once.
+
+    With a known key, spans of equal hash can be made up: either the key depends on all texts (text_key), or whoever uses
+    the hashes compares the bytes of those that are equal (same_spans).
+    """
     buffer = np.concatenate((data, np.zeros(8, np.uint8)))
     lane = np.ndarray(len(data) + 1, "<u8", buffer, strides=(1,))
     size = (end - begin).astype(np.int64)
     h = size.astype(np.uint64) * BASE
+    if key:
+        h = mixed(h ^ np.uint64(key)) + np.uint64(key)
     long = np.flatnonzero(size > 8 * LANES)
     live, at, left = np.flatnonzero((size > 0) & (size <= 8 * LANES)), begin, size
     at, left = at[live], left[live]
@@ -120,10 +137,23 @@ def span_hashes(data: np.ndarray, begin: np.ndarray, end: np.ndarray) -> np.ndar
             h[live] = (y ^ (y >> np.uint64(28))) * BASE
             on = left > 8
             live, at, left = live[on], at[on] + 8, left[on] - 8
-    h[long] = [xxhash.xxh3_64_intdigest(buffer[a:b].data) for a, b in zip(begin[long].tolist(), end[long].tolist(), strict=True)]
+    h[long] = [xxhash.xxh3_64_intdigest(buffer[a:b].data, seed=key) for a, b in zip(begin[long].tolist(), end[long].tolist(), strict=True)]
     return mixed(h)
 
 
+def same_spans(raw: np.ndarray, begin: np.ndarray, end: np.ndarray, other: np.ndarray, begin2: np.ndarray, end2: np.ndarray) -> np.ndarray:
+    """Whether the spans of two arrays hold the same bytes."""
+    size = end - begin
+    out = size == end2 - begin2
+    at = np.flatnonzero(out & (size > 0))
+    cut = np.cumsum(size[at]) - size[at]
+    inner = np.arange(int(size[at].sum()))
+    same = raw[np.repeat(begin[at] - cut, size[at]) + inner] == other[np.repeat(begin2[at] - cut, size[at]) + inner]
+    if len(at):
+        out[at] = np.logical_and.reduceat(same, cut)
+    return out
+
+
 def sum_by(values: np.ndarray, starts: np.ndarray) -> np.ndarray:
     """Sums of values over consecutive ranges that begin at starts[:-1]; 0 for empty ranges."""
     sums = np.concatenate((np.zeros((1, *values.shape[1:])), np.cumsum(values, axis=0, dtype=np.float64)))

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from barloom.llm.common import LOWER, SPACE, file_names, joined, map_file, mixed, pieces, put_file, shared_dir, span_hashes, spans, sum_by
+from barloom.llm.common import LOWER, SPACE, file_names, joined, key_of, map_file, mixed, pieces, put_file, shared_dir, span_hashes, spans, sum_by, text_key
 
 BEGIN, END = np.uint64(1), np.uint64(2)  # stand for the borders of a text
 WORD = np.dtype([("word", "<u8"), ("count", "<u8"), ("left", "<u4")])
@@ -42,12 +42,12 @@ ARRAYS = {
 LONG = ["context", "next", "pair_next"]
 
 
-def tokens(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+def tokens(column: pa.Array, key: int = 0) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Hashes of all tokens (words, then one end for each text), of the tokens one and two before them, and each text's first token."""
     data, starts = joined(column)
     raw = LOWER[np.frombuffer(data, np.uint8)]
     begin, end, first = spans(~SPACE[raw], starts)
-    hashes = span_hashes(raw, begin, end)
+    hashes = span_hashes(raw, begin, end, key)
     texts = len(first) - 1
     at = first + np.arange(texts + 1)
     token = np.empty(len(hashes) + texts, np.uint64)
@@ -62,8 +62,8 @@ def tokens(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.nda
 
 
 def bucket_of(h: np.ndarray, buckets: int) -> np.ndarray:
-    """The hash range (equal parts of the upper 16 bits) that h is in."""
-    return ((h >> np.uint64(48)).astype(np.int64) * buckets) >> 16
+    """The hash range (equal parts of the upper 32 bits) that h is in."""
+    return ((h >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)).astype(np.int64)
 
 
 @dataclass(frozen=True)
@@ -187,10 +187,10 @@ def trigram_keys(first: np.ndarray, middle: np.ndarray, last: np.ndarray) -> np.
     return mixed(first * np.uint64(5) + mixed(middle * np.uint64(3) + mixed(last)))
 
 
-def _count(batches: Iterator[pa.RecordBatch], buckets: int, split: Split, most: int) -> Iterator[pa.RecordBatch]:
+def _count(batches: Iterator[pa.RecordBatch], buckets: int, split: Split, most: int, key: int) -> Iterator[pa.RecordBatch]:
     held, n = [], 0
     for b in pieces(batches, "text"):
-        held.append(tokens(b.column(0))[:3])
+        held.append(tokens(b.column(0), key)[:3])
         n += len(held[-1][0])
         if n >= most:
             whole, held, n = [np.concatenate(x) for x in zip(*held, strict=True)], [], 0
@@ -324,12 +324,13 @@ def discounts(n1: int, n2: int, n3: int, n4: int) -> np.ndarray:
 
 @dataclass(frozen=True)
 class KneserNey:
-    """A counted model: its folder, the number of hash ranges, the split words, the sums that make its discounts, and which ranges have files."""
+    """A counted model: its folder, the number of hash ranges, the split words, the sums that make its discounts, the words' hash key, and which ranges have files."""
 
     folder: str
     buckets: int
     split: Split
     stats: dict[str, int]
+    key: int = 0
     has: dict[str, np.ndarray] | None = None
 
     def __post_init__(self) -> None:
@@ -337,7 +338,7 @@ class KneserNey:
             raise ValueError(f"stats must be {STATS}")
 
 
-def frequent_words(texts: DataFrame, size: int, range_bytes: int, sample_bytes: int = 64 << 20) -> Split:
+def frequent_words(texts: DataFrame, size: int, range_bytes: int, key: int, sample_bytes: int = 64 << 20) -> Split:
     """The words of at least range_bytes of the texts' size bytes, by a sample of rows of about sample_bytes, with a part
     for each range_bytes: at most size / range_bytes words."""
     share = range_bytes / max(size, 1)
@@ -346,7 +347,7 @@ def frequent_words(texts: DataFrame, size: int, range_bytes: int, sample_bytes:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in pieces(batches, "text"):
-            _, before, _, at = tokens(b.column(0))
+            _, before, _, at = tokens(b.column(0), key)
             word, n = np.unique(before, return_counts=True)
             keep = n >= share / 4 * len(before)
             yield pa.record_batch([pa.array(np.append(word[keep], np.uint64(0)).view(np.int64)), pa.array(np.append(n[keep], len(before)))], names=["word", "n"])
@@ -366,10 +367,11 @@ def count_model(texts: DataFrame, text_col: str = "text", most: int = 4_000_000,
     text for each hash range, which is what one task merges, so that no task grows with the input."""
     spark = texts.sparkSession
     texts = texts.select(F.col(text_col).cast("string").alias("text"))
-    size = texts.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    folder, buckets = shared_dir(spark), min(1 << 16, max(1, spark.sparkContext.defaultParallelism, -(-size // range_bytes)))
-    split = frequent_words(texts, size, max(1, range_bytes // 2))
-    rows = texts.mapInArrow(lambda it: _count(it, buckets, split, most), BLOBS)
+    size, key = texts.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0)), text_key(texts, "text")).first()
+    key = key_of(key)
+    folder, buckets = shared_dir(spark), max(1, spark.sparkContext.defaultParallelism, -(-size // range_bytes))
+    split = frequent_words(texts, size, max(1, range_bytes // 2), key)
+    rows = texts.mapInArrow(lambda it: _count(it, buckets, split, most, key), BLOBS)
     facts = ", ".join(["bucket int", *(f"{x} binary" for x in WORD.names), *(f"{x} long" for x in FACTS)])
     words = rows.repartitionById(buckets, F.col("bucket")).mapInArrow(lambda it: _merge_trigrams(it, folder, buckets), facts)
     sums = words.repartitionById(buckets, F.col("bucket")).mapInArrow(lambda it: _merge_words(it, folder), ", ".join(f"{x} long" for x in STATS))
@@ -378,7 +380,7 @@ def count_model(texts: DataFrame, text_col: str = "text", most: int = 4_000_000,
     has = {kind: np.array([f"{kind}-{k}" in names for k in range(buckets)]) for kind in ("trigrams", "words")}
     if row["types"] and not (has["trigrams"].any() and has["words"].any()):
         raise FileNotFoundError(f"the model's files are not in {folder}; driver and executors must share that folder")
-    return KneserNey(folder, buckets, split, row.asDict(), has)
+    return KneserNey(folder, buckets, split, row.asDict(), key, has)
 
 
 _MAPPED: dict[str, np.ndarray | dict[str, np.ndarray]] = {}
@@ -526,7 +528,7 @@ def score_texts(df: DataFrame, model: KneserNey, id_col: str = "doc_id", text_co
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in pieces(batches, "text"):
-            token, before, twice, at = tokens(b.column(1))
+            token, before, twice, at = tokens(b.column(1), model.key)
             logp, count = log_probabilities(model, token, before, twice)
             size, score = np.diff(at), sum_by(logp, at)
             base = sum_by(np.log10((count + 1) / (n + v + 1)), at)

@@ -1,9 +1,9 @@
 """Near-copies by the Jaccard similarity of word shingles: candidates by the trie self-join of simhash.py, then exact checks.
 
-Each text gets a SimHash of 256 bits whose bits vote over one shingle each, the least-hashed one of a bin: two texts then
+Each text gets a SimHash of 512 bits whose bits vote over one shingle each, the least-hashed one of a bin: two texts then
 differ in (1 - J) / 2 of the bits, 10 % at J = 0.8, where SimHash bits that all shingles vote on differ in 15 %. The bits
-are dealt to `TABLES` tries of `BITS` bits; a pair is found if one of these differs in 2 bits at most (99 % of pairs of J
-= 0.8, more of closer ones), and kept if no more than `LIMIT` of all 256 bits do. Groups of candidates are then checked
+are dealt to `TABLES` tries of `BITS` bits; a pair is found if one of these differs in 2 bits at most (99.99 % of pairs of J
+= 0.8, more of closer ones), and kept if no more than `LIMIT` of the first 256 bits do. Groups of candidates are then checked
 on the whole shingle sets, in blocks of a bounded size, so no link is made below the similarity asked for.
 """
 
@@ -17,14 +17,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from barloom.llm.common import LOWER, SPACE, joined, mixed, pieces, span_hashes, spans, written
+from barloom.llm.common import LOWER, SPACE, joined, key_of, mixed, pieces, span_hashes, spans, text_key, written
 from barloom.llm.graph import components
 from barloom.llm.simhash import _forest, trie_join
 
-BINS = 256
-TABLES, BITS, BUDGET = 9, 28, 2
+BINS = 512
+WORDS, COMPARED = BINS // 64, 4  # 64-bit words of a print, and those that candidates are compared on
+PRINT = [f"f{k}" for k in range(WORDS)]
+TABLES, BITS, BUDGET = 18, 28, 2
 STARTS = (0, 10, 19)  # start blocks of a table's bits: 10, 9 and 9, of which one is equal if 2 bits differ
-LIMIT = 44  # of 256 bits; at J = 0.8 the mean is 25.6 and the deviation 4.8
+LIMIT = 44  # of 256 bits, those of the words compared; at J = 0.8 the mean is 25.6 and the deviation 4.8
 LEAST = 32  # least-hashed shingles that stand in for those of empty bins
 MASK = np.uint64((1 << 48) - 1)
 PRIME = np.uint64(0x9E3779B97F4A7C15)
@@ -32,7 +34,7 @@ BLOCK_DOCS, BLOCK_ITEMS = 2048, 2_000_000  # bounds of a block of texts that are
 FEW = 1_000_000  # up to so many candidates (24 bytes each) are broadcast
 
 
-def shingle_sets(column: pa.Array, shingle: int = 5) -> tuple[np.ndarray, np.ndarray]:
+def shingle_sets(column: pa.Array, shingle: int = 5, key: int = 0) -> tuple[np.ndarray, np.ndarray]:
     """The sorted distinct shingle hashes (48 bits) of up to 65,536 texts and where each text's begin, with the end of all.
 
     A text under `shingle` words is one shingle; a word-less text has one of its own.
@@ -40,7 +42,7 @@ def shingle_sets(column: pa.Array, shingle: int = 5) -> tuple[np.ndarray, np.nda
     data, starts = joined(column)
     raw = LOWER[np.frombuffer(data, np.uint8)]
     begin, end, first = spans(~SPACE[raw], starts)
-    word = span_hashes(raw, begin, end)
+    word = span_hashes(raw, begin, end, key)
     words = np.diff(first)
     count = np.maximum(words - shingle + 1, 1)
     at = np.concatenate(([0], np.cumsum(count)))
@@ -63,13 +65,13 @@ def digests(hashes: np.ndarray, at: np.ndarray) -> np.ndarray:
 
 
 def sampled_prints(hashes: np.ndarray, at: np.ndarray) -> np.ndarray:
-    """Four 64-bit words of 256 bits for each set: bit j is a hash bit of the least shingle in bin j (by the upper 8 bits).
+    """WORDS 64-bit words of BINS bits for each set: bit j is a hash bit of the least shingle in bin j (by the upper 9 bits).
 
     An empty bin takes the shingle that is least by a hash of its own, among the set's LEAST least shingles.
     """
     n = len(at) - 1
     owner = np.repeat(np.arange(n), np.diff(at))
-    bin_ = (hashes >> np.uint64(40)).astype(np.int64)
+    bin_ = (hashes >> np.uint64(48 - BINS.bit_length() + 1)).astype(np.int64)
     place = owner * BINS + bin_
     head = np.flatnonzero(np.diff(place, prepend=-1))
     value = np.zeros(n * BINS, np.uint64)
@@ -94,26 +96,26 @@ def _chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield b.slice(i, 4096)
 
 
-def prints(docs: DataFrame, shingle: int) -> DataFrame:
-    """(doc_id, digest, size, f0..f3) of docs(doc_id, text)."""
+def prints(docs: DataFrame, shingle: int, key: int) -> DataFrame:
+    """(doc_id, digest, size, *PRINT) of docs(doc_id, text)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in _chunks(batches):
-            hashes, at = shingle_sets(b.column(1), shingle)
+            hashes, at = shingle_sets(b.column(1), shingle, key)
             f = sampled_prints(hashes, at).view(np.int64)
-            yield pa.record_batch([b.column(0), pa.array(digests(hashes, at).view(np.int64)), pa.array(np.diff(at).astype(np.int64)), *(pa.array(f[:, k]) for k in range(4))], names=["doc_id", "digest", "size", "f0", "f1", "f2", "f3"])
+            yield pa.record_batch([b.column(0), pa.array(digests(hashes, at).view(np.int64)), pa.array(np.diff(at).astype(np.int64)), *(pa.array(f[:, k]) for k in range(WORDS))], names=["doc_id", "digest", "size", *PRINT])
 
-    return docs.mapInArrow(run, "doc_id long, digest long, size long, f0 long, f1 long, f2 long, f3 long")
+    return docs.mapInArrow(run, f"doc_id long, digest long, size long, {', '.join(f'{c} long' for c in PRINT)}")
 
 
 def start_nodes(reps: DataFrame) -> DataFrame:
-    """The trie entries of reps(rep, f0..f3): one for each table and start block, for trie_join()."""
+    """The trie entries of reps(rep, *PRINT): one for each table and start block, for trie_join()."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             if not b.num_rows:
                 continue
-            f = np.stack([b.column(k).to_numpy(zero_copy_only=False) for k in range(1, 5)], axis=1).view(np.uint64)
+            f = np.stack([b.column(k).to_numpy(zero_copy_only=False) for k in range(1, WORDS + 1)], axis=1).view(np.uint64)
             bits = np.unpackbits(f.astype(">u8").view(np.uint8).reshape(len(f), -1), axis=1)
             for t in range(TABLES):
                 own = bits[:, t * BITS : (t + 1) * BITS]
@@ -126,7 +128,7 @@ def start_nodes(reps: DataFrame) -> DataFrame:
                     same = lambda x: pa.array(np.full(len(f), x, np.int32))  # noqa: B023, E731
                     yield pa.record_batch([pa.array(node), same(0), pa.array(value.view(np.int64)), b.column(0), same(0), same(stop - start), *b.columns[1:5]], names=["node", "side", "value", "rep", "errors", "depth", "f0", "f1", "f2", "f3"])
 
-    return reps.select("rep", "f0", "f1", "f2", "f3").mapInArrow(run, "node long, side int, value long, rep long, errors int, depth int, f0 long, f1 long, f2 long, f3 long")
+    return reps.select("rep", *PRINT).mapInArrow(run, "node long, side int, value long, rep long, errors int, depth int, f0 long, f1 long, f2 long, f3 long")
 
 
 def _similar(items: list[np.ndarray], least: Fraction) -> tuple[np.ndarray, np.ndarray]:
@@ -176,7 +178,7 @@ def _checked(batches: Iterator[pa.RecordBatch], least: Fraction) -> Iterator[pa.
         yield solve(held)
 
 
-def checked_links(docs: DataFrame, reps: DataFrame, groups: DataFrame, shingle: int, least: Fraction) -> DataFrame:
+def checked_links(docs: DataFrame, reps: DataFrame, groups: DataFrame, shingle: int, least: Fraction, key: int) -> DataFrame:
     """Links (a, b) that connect all texts of a group (node, component) that links of similarity `least` or more connect.
 
     A group is dealt into blocks of bounded size; each two of them are checked together, so a text of a group of n blocks
@@ -192,7 +194,7 @@ def checked_links(docs: DataFrame, reps: DataFrame, groups: DataFrame, shingle:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in _chunks(batches):
-            hashes, at = shingle_sets(b.column(3), shingle)
+            hashes, at = shingle_sets(b.column(3), shingle, key)
             sets = pa.ListArray.from_arrays(pa.array(at.astype(np.int32)), pa.array(hashes.view(np.int64)))
             yield pa.record_batch([b.column(0), b.column(1), b.column(2), sets], names=["doc_id", "component", "blocks", "items"])
 
@@ -209,16 +211,18 @@ def similar_groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
     A link is missed only if the tries miss it, which the module's docstring puts at under 1 % for J of 0.8 or more;
     none is made that is not similar enough. Texts under `shingle` words are one shingle; null and word-less texts are
-    copies of each other. Repeats stay repeats; of differing texts with one id the least is compared. Sets are told apart by 64-bit hashes, shingles by 48 bits.
+    copies of each other. Repeats stay repeats; of differing texts with one id the least is compared. Sets are told apart by 64-bit hashes,
+    shingles by 48 bits, keyed by all texts together.
     """
     t = Fraction(least)
     if not 0 < t <= 1:
         raise ValueError("the similarity must be above 0 and at most 1")
     docs = df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).where("doc_id is not null")
-    table = written(prints(docs, shingle))
-    reps = written(table.groupBy("digest").agg(F.min("doc_id").alias("rep"), *[F.min(c).alias(c) for c in ("size", "f0", "f1", "f2", "f3")]))
+    key = key_of(docs.agg(text_key(docs, "text")).first()[0])
+    table = written(prints(docs, shingle, key))
+    reps = written(table.groupBy("digest").agg(F.min("doc_id").alias("rep"), *[F.min(c).alias(c) for c in ("size", *PRINT)]))
     groups = written(components(trie_join(start_nodes(reps), BUDGET, width=BITS, limit=LIMIT)))
-    comp = written(components(checked_links(docs, reps, groups, shingle, t)))
+    comp = written(components(checked_links(docs, reps, groups, shingle, t, key)))
     named = reps.join(comp, reps["rep"] == comp["node"], "left").select("digest", F.coalesce("component", "rep").alias("component_id"))
     return table.select("doc_id", "digest").join(named, "digest").select("doc_id", "component_id")
 

@@ -12,6 +12,7 @@ from __future__ import annotations
 import itertools
 import zlib
 from collections.abc import Iterator
+from string import ascii_letters
 from unicodedata import is_normalized
 
 import numpy as np
@@ -21,7 +22,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from barloom.llm.common import LOWER, SPACE, as_uri, joined, map_file, pieces, put_file, shared_dir, span_hashes, spans, written
+from barloom.llm.common import LOWER, SPACE, as_uri, joined, map_file, pieces, put_file, same_spans, shared_dir, span_hashes, spans, written
 
 NULL_ID = np.iinfo(np.int64).min
 MARK = "\x01"  # stands between words that are encoded in one call
@@ -51,6 +52,9 @@ def unpack(control: np.ndarray, data: np.ndarray, n: int) -> np.ndarray:
     return loads[at] & MASKS[size]
 
 
+FILE_IDS = 16 << 20  # ids of a file, about, where there are many
+
+
 class WordEncoder:
     """Encodes whole texts with a tokenizer that drops white space, one distinct word at a time.
 
@@ -70,6 +74,10 @@ class WordEncoder:
         self.plain = Tokenizer.from_file(path)
         self.plain.normalizer = normalizers.Sequence([])
         self.plain.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
+        # whether the tokenizer parts a full stop or comma from a letter before it
+        marks = [m for m in ".," if all([x for x, _ in self.tokenizer.pre_tokenizer.pre_tokenize_str(f"{a}{c}{m}")][-1:] == [m] for c in ascii_letters for a in ("", "x"))]
+        self.apart = np.zeros(256, bool)
+        self.apart[[ord(m) for m in marks]] = True
         self._clear()
 
     def _ids(self, text: str) -> list[int]:
@@ -77,6 +85,7 @@ class WordEncoder:
 
     def _clear(self) -> None:
         self.keys, self.at, self.size, self.ids = np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint32)
+        self.bytes, self.begin, self.end = np.zeros(0, np.uint8), np.zeros(0, np.int64), np.zeros(0, np.int64)
 
     def _learn(self, keys: np.ndarray, words: list[str]) -> None:
         if len(self.keys) + len(keys) > self.most:
@@ -100,9 +109,14 @@ class WordEncoder:
         order = np.array(order + odd, np.int64)
         at = np.zeros(len(words), np.int64)
         at[order] = len(self.ids) + np.cumsum(size[order]) - size[order]
+        raw = [w.encode() for w in words]
+        length = np.array([len(x) for x in raw], np.int64)
+        ends = len(self.bytes) + np.cumsum(length)
+        self.bytes = np.concatenate((self.bytes, np.frombuffer(b"".join(raw), np.uint8)))
         keys = np.concatenate((self.keys, keys))
         by = np.argsort(keys, kind="stable")
         self.keys, self.at, self.size = keys[by], np.concatenate((self.at, at))[by], np.concatenate((self.size, size))[by]
+        self.begin, self.end = np.concatenate((self.begin, ends - length))[by], np.concatenate((self.end, ends))[by]
         self.ids = np.concatenate((self.ids, *parts))
 
     def encode(self, column: pa.Array, end_id: int) -> tuple[np.ndarray, np.ndarray]:
@@ -113,8 +127,8 @@ class WordEncoder:
             raw = LOWER[raw]
             data = raw.tobytes()
         begin, end, first = spans(~SPACE[raw], starts)
-        # a full stop or comma after a letter is a piece of its own
-        last = np.flatnonzero(((raw[end - 1] == 44) | (raw[end - 1] == 46)) & (end - begin > 1) & LETTER[raw[np.maximum(end - 2, 0)]])
+        # a full stop or comma after a letter is a piece of its own, if the tokenizer has it so
+        last = np.flatnonzero(self.apart[raw[end - 1]] & (end - begin > 1) & LETTER[raw[np.maximum(end - 2, 0)]])
         begin, end = np.sort(np.concatenate((begin, end[last] - 1))), np.sort(np.concatenate((end, end[last] - 1)))
         first = np.searchsorted(begin, starts)
         keys, one, back = np.unique(span_hashes(raw, begin, end), return_index=True, return_inverse=True)
@@ -127,6 +141,13 @@ class WordEncoder:
             self._learn(new, [data[a:b].decode() for a, b in zip(begin[pick].tolist(), end[pick].tolist(), strict=True)])
         place = np.searchsorted(self.keys, keys)
         at, size = self.at[place][back], self.size[place][back]
+        # words of equal hash and other bytes than the kept ones stand for themselves
+        word = place[back]
+        odd = np.flatnonzero(~same_spans(raw, begin, end, self.bytes, self.begin[word], self.end[word]))
+        own = [self._ids(data[a:b].decode()) for a, b in zip(begin[odd].tolist(), end[odd].tolist(), strict=True)]
+        size[odd] = [len(x) for x in own]
+        at[odd] = len(self.ids) + np.cumsum(size[odd]) - size[odd]
+        known = np.concatenate((self.ids, np.array([i for x in own for i in x], np.uint32))) if len(odd) else self.ids
         texts = len(first) - 1
         # the ends are one more "word" after each text's words
         slot = np.arange(len(back)) + np.repeat(np.arange(texts), np.diff(first))
@@ -136,7 +157,7 @@ class WordEncoder:
         out = np.full(int(to[-1]), end_id, np.uint32)
         target = np.repeat(to[slot] - (np.cumsum(size) - size), size) + np.arange(int(size.sum()))
         source = np.repeat(at - (np.cumsum(size) - size), size) + np.arange(int(size.sum()))
-        out[target] = self.ids[source]
+        out[target] = known[source]
         return out, to[first + np.arange(texts + 1)]
 
 
@@ -229,7 +250,7 @@ def write_token_files(table: DataFrame, folder: str | None = None) -> tuple[str,
     put_file(f"{folder}/codebook", [book])
     rank = np.zeros(int(book.max(initial=0)) + 1, np.uint32)
     rank[book] = np.arange(len(book))
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-sum(r["count"] for r in counts) // FILE_IDS))
     files = table.repartitionByRange(parts, F.col("doc_id").asc_nulls_first()).sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "n", "ids").mapInArrow(lambda it: _write(it, folder, rank), "part int, docs long, ids long").collect()
     before, out = 0, []
     for r in sorted(files):

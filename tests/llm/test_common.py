@@ -25,3 +25,46 @@ def test_span_hashes_depend_on_bytes_alone():
     assert len(set(by.values())) == len(by)
     alone = [int(common.span_hashes(np.frombuffer(w, np.uint8), np.array([0]), np.array([len(w)]))[0]) for w in words[:200]]
     assert alone == hashes[:200].tolist()
+
+
+LETTER = np.frombuffer(bytes(range(97, 123)), np.uint8)
+
+
+def made_up(n=20, samples=1 << 17):
+    """Pairs of different words of 16 letters to which span_hashes gives one hash, for a key that is known (0): a change of the
+    first lane is taken back by the second, which has to stay letters."""
+    rng = np.random.default_rng(7)
+    first = LETTER[rng.integers(0, 26, (samples, 8))].copy().view("<u8")[:, 0]
+    with np.errstate(over="ignore"):
+        y = (np.uint64(16) * common.BASE ^ first) * np.uint64(0x9FB21C651E98DF25)
+        state = (y ^ (y >> np.uint64(28))) * common.BASE
+    order = np.argsort(state & np.uint64(0xE0E0E0E0E0E0E0E0), kind="stable")
+    out = []
+    for i, j in zip(order[:-1].tolist(), order[1:].tolist()):
+        change = int(state[i] ^ state[j])
+        if change & 0xE0E0E0E0E0E0E0E0 or first[i] == first[j]:
+            continue
+        second = [next((c for c in range(97, 123) if 97 <= c ^ d < 123), 0) for d in change.to_bytes(8, "little")]
+        if all(second):
+            other = bytes(c ^ d for c, d in zip(second, change.to_bytes(8, "little")))
+            out.append(((int(first[i]).to_bytes(8, "little") + bytes(second)).decode(), (int(first[j]).to_bytes(8, "little") + other).decode()))
+        if len(out) == n:
+            break
+    return out
+
+
+def test_made_up_pairs_share_a_hash_only_for_a_known_key():
+    pairs = [*made_up(), ("qnaghhjtaaadaaaa", "dsojfdwhbkkzriad")]
+    assert len(pairs) > 5
+    data = np.frombuffer("".join(a + b for a, b in pairs).encode(), np.uint8)
+    begin = np.arange(0, len(data), 16)
+    plain, keyed = (common.span_hashes(data, begin, begin + 16, k).reshape(-1, 2) for k in (0, 123456789))
+    assert (plain[:, 0] == plain[:, 1]).all() and (keyed[:, 0] != keyed[:, 1]).all()
+    same = common.same_spans(data, begin[::2], begin[::2] + 16, data, begin[1::2], begin[1::2] + 16)
+    assert not same.any()
+
+
+def test_keys_depend_on_all_texts(spark):
+    df = spark.createDataFrame([("a",), ("b",), ("b",), (None,)], "text string")
+    key = lambda x: common.key_of(x.agg(common.text_key(x, "text")).first()[0])
+    assert key(df) == key(df.repartition(3)) != key(df.limit(2)) and key(df.limit(0)) == 1

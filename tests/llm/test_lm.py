@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from barloom.llm import lm
-from test_common import twins
+from test_common import made_up, twins
 
 
 def words(text):
@@ -52,7 +52,7 @@ def brute(train, asked):
 @pytest.mark.parametrize("range_bytes", [32 << 20, 5_000])  # the small one splits frequent words
 def test_scores_equal_brute_force(spark, range_bytes):
     docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text")
-    extra = spark.createDataFrame([(900001, None), (900002, ""), (900003, "The THE the\tthe"), (900003, "The THE the\tthe"), (None, "of " * 9000), (900004, " ".join(twins())), (900005, twins()[0])], "doc_id long, text string")
+    extra = spark.createDataFrame([(900001, None), (900002, ""), (900003, "The THE the\tthe"), (900003, "The THE the\tthe"), (None, "of " * 9000), (900004, " ".join(twins())), (900005, twins()[0]), *((900010 + 2 * k + j, w) for k, pair in enumerate(made_up(4)) for j, w in enumerate(pair))], "doc_id long, text string")
     rows = docs.union(extra).collect()
     train = [t for i, t in rows if i is None or zlib.crc32(str(i).encode()) % 7 != 2]
     want = Counter((i, *(round(x, 6) for x in y)) for (i, _), y in zip(rows, brute(train, [t for _, t in rows])))
@@ -72,7 +72,7 @@ def test_probabilities_sum_to_one(spark):
     model = lm.count_model(df)
     import pyarrow as pa
 
-    token = lm.tokens(pa.array(["a b c", "zzz"]))[0]
+    token = lm.tokens(pa.array(["a b c", "zzz"]), model.key)[0]
     vocabulary = np.unique(token)
     for before in (token[0], token[1], lm.BEGIN, np.uint64(12345)):
         for twice in (token[0], token[2], lm.BEGIN, np.uint64(12345)):

@@ -70,3 +70,12 @@ def test_edges(spark):
     assert sorted(str(r["doc_id"]) for r in similar.one_of_each(rows).collect()) == ["4", "4", "None"]
     with pytest.raises(ValueError):
         similar.similar_groups(rows, least="0")
+
+
+def test_shingles_of_words_of_equal_hash_differ(spark):
+    from test_common import made_up
+
+    pairs = made_up(8)
+    rows = [(k, " ".join(p[j] for p in pairs)) for k, j in enumerate((0, 1))]
+    got = {r["doc_id"]: r["component_id"] for r in similar.similar_groups(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {0: 0, 1: 1}

@@ -51,3 +51,17 @@ def test_digests_equal_brute_force(spark):
 
 def test_empty_table(spark):
     assert T.token_file_digests(spark.createDataFrame([], "doc_id long, text string"), PATH).count() == 0
+
+
+def test_words_of_equal_hash_keep_their_own_ids():
+    import pyarrow as pa
+
+    from test_common import made_up
+
+    pairs = [*made_up(), ("qnaghhjtaaadaaaa", "dsojfdwhbkkzriad")]
+    whole, encoder = Tokenizer.from_file(PATH), T.WordEncoder(PATH)
+    texts = [" ".join(w for p in pairs for w in p), *(w for p in pairs for w in p), *(w for p in pairs for w in reversed(p)), " ".join(b for _, b in pairs)]
+    want = [[*whole.encode(t, add_special_tokens=False).ids, 2] for t in texts]
+    for part in (texts, texts[:1], texts[5:]):  # in one piece, and against words kept from before
+        ids, at = encoder.encode(pa.array(part), 2)
+        assert [ids[i:j].tolist() for i, j in zip(at[:-1], at[1:])] == [want[texts.index(t)] for t in part]
