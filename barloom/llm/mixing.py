@@ -144,7 +144,10 @@ def report(mixed: DataFrame, targets: Mapping[str, Mapping[str, float] | float])
 
 
 def selected(docs: DataFrame, targets: Mapping[str, Mapping[str, float] | float], keep: float = 0.5, rounds: int = 8, seed: int = 6, few_cells: int = FEW_CELLS) -> DataFrame:
-    """The rows of docs that mix() draws, each as often as it has copies, with all their columns."""
+    """The rows of docs that mix() draws, each as often as it has copies, with all their columns.
+
+    Ids repeat: the rows of an id are copies of one document, which copy_numbers() tells apart. Equal rows of docs, and
+    rows of one id, share one fate."""
     fitted, few = fitted_cells(measured(docs), targets, keep, rounds, few_cells)
     name = {x: unused(docs, f"own_{x}") for x in ("n", "rate", "copy", *DIMENSIONS)}
     cells = fitted.select(*[F.col(d).alias(name[d]) for d in DIMENSIONS], F.col("rate").alias(name["rate"]))
@@ -156,6 +159,11 @@ def selected(docs: DataFrame, targets: Mapping[str, Mapping[str, float] | float]
     return drawn.withColumn(name["copy"], F.explode(F.array_repeat(F.lit(1), copies_of(F.col(name["rate"]), "doc_id", seed)))).select(*docs.columns)
 
 
+def copy_numbers(drawn: DataFrame, out: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """Rows with the number of each among those of its id and text, from 1; a null id counts as one. Texts move once, to their id."""
+    return drawn.withColumn(out, F.row_number().over(Window.partitionBy(id_col, F.xxhash64(text_col)).orderBy(F.lit(1))))
+
+
 def mix_sql(exponents: Mapping[str, float], keep: float = 0.5, rounds: int = 8, seed: int = 6, table: str = "documents") -> str:
     """The same in SQL, for targets given as exponents."""
     steps = [

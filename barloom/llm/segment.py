@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from barloom.llm.common import joined, mixed, pieces, span_hashes
+from barloom.llm.common import joined, mixed, pieces, same_spans, span_hashes
 
 STEP = np.uint64(0x9E3779B97F4A7C15)
 SPACE, FEED = 32, 10
@@ -280,7 +280,7 @@ class Known:
     def lattice(self, vocabulary: Vocabulary, raw: np.ndarray, begin: np.ndarray, end: np.ndarray) -> tuple[Lattice, np.ndarray]:
         """A lattice that has all these stretches, and the number of each in it."""
         keys, one, back = np.unique(span_hashes(raw, begin, end), return_index=True, return_inverse=True)
-        alike = _equal(raw, begin, end, raw, begin[one[back]], end[one[back]])
+        alike = same_spans(raw, begin, end, raw, begin[one[back]], end[one[back]])
         if not alike.all():  # equal hashes of different bytes: these stretches stand for themselves
             odd = np.flatnonzero(~alike)
             back[odd] = len(keys) + np.arange(len(odd))
@@ -291,7 +291,7 @@ class Known:
             hit = np.flatnonzero(self.keys[place] == keys)
             old = self.which[place[hit]]
             a = self.arrays
-            same = _equal(raw, begin[one[hit]], end[one[hit]], a["raw"], a["start"][old], a["end"][old])
+            same = same_spans(raw, begin[one[hit]], end[one[hit]], a["raw"], a["start"][old], a["end"][old])
             number[hit[same]] = old[same]
         new = np.flatnonzero(number < 0)
         mark = (keys[new] >> np.uint64(42)).view(np.int64)
@@ -321,19 +321,6 @@ class Known:
         return whole, number[back]
 
 
-def _equal(raw: np.ndarray, begin: np.ndarray, end: np.ndarray, other: np.ndarray, begin2: np.ndarray, end2: np.ndarray) -> np.ndarray:
-    """Whether the spans of two arrays hold the same bytes."""
-    size = end - begin
-    out = size == end2 - begin2
-    at = np.flatnonzero(out & (size > 0))
-    cut = np.cumsum(size[at]) - size[at]
-    inner = np.arange(int(size[at].sum()))
-    same = raw[np.repeat(begin[at] - cut, size[at]) + inner] == other[np.repeat(begin2[at] - cut, size[at]) + inner]
-    if len(at):
-        out[at] = np.logical_and.reduceat(same, cut)
-    return out
-
-
 def _uniform(key: np.ndarray, draw: int, place: np.ndarray, salt: int) -> np.ndarray:
     """Numbers in (0, 1) from the row key, the draw, the place in the text and a salt."""
     return ((mixed(key + mixed(place.astype(np.uint64) * np.uint64(64) + np.uint64(2 * draw + salt)) * STEP) >> np.uint64(12)).astype(np.float64) + 0.5) / 2.0**52
@@ -564,14 +551,15 @@ _LOADED: dict[tuple[str, bool], tuple[Vocabulary, Known]] = {}
 ROW = "doc_id long, rank int, n_pieces long, log_prob double, perturbed double, log_inclusion double, ids_crc32 long, round_trip boolean"
 
 
-def segmentations(df: DataFrame, model: str, k: int = 2, seed: int = 8, by_rank: bool = True, with_ids: bool = False, id_col: str = "doc_id", text_col: str = "text", most: int = 1 << 20) -> DataFrame:
+def segmentations(df: DataFrame, model: str, k: int = 2, seed: int = 8, by_rank: bool = True, with_ids: bool = False, id_col: str = "doc_id", text_col: str = "text", most: int = 1 << 20, copy_col: str | None = None) -> DataFrame:
     """Up to k (at most 31) distinct segmentations of every text, best perturbed value first.
 
     doc_id, rank (from 1), n_pieces, log_prob (of the segmentation among all of the text), perturbed (its Gumbel value),
     log_inclusion (of exceeding the first value not drawn), ids_crc32 (of ids as little-endian unsigned 32-bit integers),
     round_trip (decoding gives the text back); with_ids adds ids. A text with fewer than k segmentations gives all of
     them; a null or empty text gives one without pieces. most: bytes of text that a task works on at a time. Rows with equal id and text get equal draws; a null id has a key
-    of its own.
+    of its own. copy_col names a column of numbers that tell copies of a row apart: those of 2 and more draw anew, and
+    the result has it as `copy`.
     """
     if not 1 <= k <= 31:
         raise ValueError("k must be 1 to 31")
@@ -583,6 +571,9 @@ def segmentations(df: DataFrame, model: str, k: int = 2, seed: int = 8, by_rank:
         for b in pieces(batches, "text", most):
             doc_ids = b.column(0)
             keys = np.where(doc_ids.is_valid().to_numpy(zero_copy_only=False), mixed(doc_ids.fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64)), NULL_KEY)
+            if copy_col is not None:
+                copies = b.column(2).to_numpy(zero_copy_only=False).astype(np.uint64)
+                keys = np.where(copies > 1, mixed(keys + copies * STEP), keys)
             *draws, (threshold,) = list(sample(vocabulary, b.column(1), keys, k, seed, known))
             texts = [x or b"" for x in b.column(1).cast(pa.binary()).to_pylist()]
             for rank, (live, log_prob, value, at, ids) in enumerate(draws, start=1):
@@ -609,7 +600,10 @@ def segmentations(df: DataFrame, model: str, k: int = 2, seed: int = 8, by_rank:
                 if with_ids:
                     all_ids = pa.ListArray.from_arrays(pa.array(at.astype(np.int32)), pa.array(ids.astype(np.int32)))
                     columns, names = [*columns, all_ids.take(pa.array(live))], [*names, "ids"]
+                if copy_col is not None:
+                    columns, names = [*columns, b.column(2).take(pa.array(live))], [*names, "copy"]
                 yield pa.record_batch(columns, names=names)
 
-    schema = ROW + (", ids array<int>" if with_ids else "")
-    return df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, schema)
+    schema = ROW + (", ids array<int>" if with_ids else "") + (", copy int" if copy_col is not None else "")
+    own = [F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")]
+    return df.select(*own, *([F.col(copy_col).cast("int").alias("copy")] if copy_col is not None else [])).mapInArrow(run, schema)

@@ -80,3 +80,9 @@ def test_edges(spark):
 
 def test_words_match_the_rule():
     assert re.findall(M.WORDS, "a\x0bb\x1cc\xa0d  e") == ["a", "b\x1cc\xa0d", "e"]
+
+
+def test_copies_are_numbered(spark):
+    rows = [(1, "a"), (1, "a"), (1, "b"), (2, "a"), (None, "a"), (None, "a"), (None, None)]
+    got = sorted(((r["doc_id"] or -1, r["text"] or "", r["n"]) for r in M.copy_numbers(spark.createDataFrame(rows, "doc_id long, text string"), "n").collect()))
+    assert got == [(-1, "", 1), (-1, "a", 1), (-1, "a", 2), (1, "a", 1), (1, "a", 2), (1, "b", 1), (2, "a", 1)]

@@ -42,3 +42,29 @@ def test_stages_take_empty_tables(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet").limit(0)
     for _, stage in corpus_pipeline.STAGES:
         assert stage(spark, docs, SF).count() == 0
+
+
+def test_copies_that_mixing_makes_draw_each_their_own(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet").where("length(text) > 400").limit(5)
+    drawn = docs.unionByName(docs).unionByName(docs)
+    out = corpus_pipeline.segmented(spark, drawn, SF).collect()
+    assert sorted({(r["copy"], r["rank"]) for r in out}) == [(c, k) for c in (1, 2, 3) for k in (1, 2)]
+    for i in {r["doc_id"] for r in out}:
+        mine = [tuple(r["ids"]) for r in out if r["doc_id"] == i]
+        assert len(mine) == 6 == len(set(mine))
+
+
+def test_stages_take_null_ids_long_texts_repeats_and_clashing_names(spark):
+    text = "The cat sat on the mat and looked at the dog. " * 3
+    long = " ".join(f"word{k % 977} of the house and the garden" for k in range(20000))
+    rows = [(None, text, "en", "s", 1), (None, None, None, None, None), (1, text, "en", "s", 1), (1, text, "en", "s", 1), (2, long, "en", "t", 1), (3, "", "en", "t", 0), (4, "12 34 !!", "en", "t", 3)]
+    docs = spark.read.parquet(f"{SF}/documents.parquet").unionByName(spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long"))
+    docs = docs.withColumns({c: F.lit(1) for c in ("score", "rank", "own_n", "component_id", "copy")})
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        kept = written(stage(spark, docs, SF))
+        assert kept.columns == docs.columns, name
+        assert kept.where("doc_id = 2").count() >= (1 if name != "mixing" else 0)
+        docs = kept
+    assert docs.where("coalesce(text, '') = ''").count() == 0
+    last = corpus_pipeline.segmented(spark, docs, SF)
+    assert last.where("not round_trip").count() == 0 and last.count() > 50

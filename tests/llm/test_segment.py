@@ -94,3 +94,18 @@ def test_query_rows(spark):
     assert S.segmentations(docs.limit(0), MODEL).count() == 0
     with pytest.raises(ValueError):
         S.segmentations(docs, MODEL, 0)
+
+
+def test_copies_of_a_row_draw_anew(spark):
+    import public_tokenizers
+    from pyspark.sql import functions as F
+
+    text = "the quick brown foxes were jumping over unbelievably lazy dogs in the international neighbourhood " * 3
+    rows = [(1, text, c) for c in (1, 2, 3)] + [(2, text, 1), (None, text, 1), (None, text, 2)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, n int")
+    path = public_tokenizers.path("piece_bpe_32k.model")
+    got = {(r["doc_id"], r["copy"], r["rank"]): r["ids_crc32"] for r in S.segmentations(df, path, copy_col="n").collect()}
+    plain = {(r["doc_id"], r["rank"]): r["ids_crc32"] for r in S.segmentations(df.where("n = 1"), path).collect()}
+    assert all(got[i, 1, rank] == x for (i, rank), x in plain.items())  # the first copy draws as ever
+    assert len({got[1, c, 1] for c in (1, 2, 3)}) == 3 and got[None, 1, 1] != got[None, 2, 1]
+    assert S.segmentations(df.limit(0).withColumn("copy", F.lit(1)), path, copy_col="copy").count() == 0
