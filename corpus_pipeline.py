@@ -34,13 +34,14 @@ def distinct(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drawn to target weights of source, language and topic; documents of scarce cells are repeated."""
+    """Drawn to target weights of source, language and topic; documents of scarce cells are repeated, and so are their ids."""
     return mixing.selected(docs, MIX, KEEP)
 
 
 def segmented(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Two distinct sampled segmentations of each text, with ids."""
-    return segment.segmentations(docs, public_tokenizers.path("piece_bpe_32k.model"), with_ids=True, most=1 << 19)
+    """Two distinct sampled segmentations of each text, with ids; copies that mixing made are numbered and draw each their own."""
+    numbered = mixing.copy_numbers(docs, "__copy")
+    return segment.segmentations(numbered, public_tokenizers.path("piece_bpe_32k.model"), with_ids=True, most=1 << 19, copy_col="__copy")
 
 
 STAGES = [("language", identified), ("toxicity", civil), ("near-dedup", distinct), ("mixing", mixed), ("segmentation", segmented)]
