@@ -28,15 +28,17 @@ WORD = np.dtype([("word", "<u8"), ("count", "<u8"), ("left", "<u4")])
 BLOBS = "bucket int, words binary, size int, rows binary"
 STATS = ["t1", "t2", "t3", "t4", "p1", "p2", "p3", "p4", "w1", "w2", "w3", "w4", "types", "lefts", "train_tokens"]
 FACTS = STATS[:8]
-FEW = 4  # contexts of more followers have their totals stored
+FEW = 4  # contexts and heads of more followers have their totals stored
+BLOCK = 64  # contexts that share the place from which theirs are counted
 
 # Arrays of a range's file in the order they are stored; words are places in `words` everywhere else. The long arrays of
-# places are stored as their lower 16 bits and, in _high, the rest: a byte unless there are more than 2**24 words.
+# places are stored as their lower 16 bits and, in _high, the rest: a byte unless there are more than 2**24 words. Where a
+# context's followers begin is stored as steps of 16 bits from the block's first, larger ones apart (far).
 ARRAYS = {
-    "words": "<u8", "head_total": "<u8", "many_total": "<u8", "over": "<u8", "pair_over": "<u8",
-    "head": "<u4", "head_from": "<u4", "head_pairs": "<u4", "head_n1": "<u4", "head_n2": "<u4", "head_n3": "<u4",
-    "context_from": "<u4", "many": "<u4", "many_n1": "<u4", "many_n2": "<u4", "many_n3": "<u4",
-    "over_at": "<u4", "pair_over_at": "<u4", "context": "<u2", "next": "<u2", "pair_next": "<u2",
+    "words": "<u8", "big_total": "<u8", "many_total": "<u8", "over": "<u8", "pair_over": "<u8",
+    "head": "<u4", "head_from": "<u4", "head_pairs": "<u4", "big": "<u4", "big_n1": "<u4", "big_n2": "<u4", "big_n3": "<u4",
+    "context_base": "<u4", "far": "<u4", "far_at": "<u4", "many": "<u4", "many_n1": "<u4", "many_n2": "<u4", "many_n3": "<u4",
+    "over_at": "<u4", "pair_over_at": "<u4", "context_step": "<u2", "context": "<u2", "next": "<u2", "pair_next": "<u2",
     "context_high": "high", "next_high": "high", "pair_next_high": "high", "count": "u1", "pair_count": "u1",
 }
 LONG = ["context", "next", "pair_next"]
@@ -236,6 +238,27 @@ class _Places:
         return self.low[at] | self.high[at].astype(np.uint32) << np.uint32(16)
 
 
+class _Starts:
+    """Where the followers of contexts begin, by blocks of contexts."""
+
+    def __init__(self, t: dict[str, np.ndarray]) -> None:
+        self.base, self.step, self.far_at, self.far = (t[x] for x in ("context_base", "context_step", "far_at", "far"))
+
+    def __getitem__(self, at: np.ndarray) -> np.ndarray:
+        step = self.step[at].astype(np.int64)
+        if len(self.far_at):
+            full = np.flatnonzero(step == 0xFFFF)
+            step[full] = self.far[_find(self.far_at, at[full])[0]]
+        return self.base[at // BLOCK] + step
+
+    @staticmethod
+    def stored(starts: np.ndarray) -> dict[str, np.ndarray]:
+        base = starts[::BLOCK]
+        step = starts - np.repeat(base, BLOCK)[: len(starts)]
+        far = np.flatnonzero(step >= 0xFFFF)
+        return {"context_base": base, "context_step": np.minimum(step, 0xFFFF), "far_at": far, "far": step[far]}
+
+
 def _merge_trigrams(batches: Iterator[pa.RecordBatch], folder: str, buckets: int) -> Iterator[pa.RecordBatch]:
     """Writes each range's arrays and yields what they say of single words, by the words' ranges."""
     for bucket, rows in _by_bucket(batches).items():
@@ -257,8 +280,10 @@ def _merge_trigrams(batches: Iterator[pa.RecordBatch], folder: str, buckets: int
         out: dict[str, np.ndarray] = {"words": words, "next": w}
         out["count"], out["over_at"], out["over"] = _bytes(c)
         context = _runs(m, f)
-        out["context"], out["context_from"] = f[context], np.append(context, len(m))
-        big = np.flatnonzero(np.diff(out["context_from"]) > FEW)
+        starts = np.append(context, len(m))
+        out["context"] = f[context]
+        out |= _Starts.stored(starts)
+        big = np.flatnonzero(np.diff(starts) > FEW)
         out["many"], out["many_total"] = big, _sums(c, context)[big]
         for name, x in zip(("many_n1", "many_n2", "many_n3"), _classes(c, context), strict=True):
             out[name] = x[big]
@@ -273,8 +298,11 @@ def _merge_trigrams(batches: Iterator[pa.RecordBatch], folder: str, buckets: int
         out["pair_next"] = pw
         out["pair_count"], out["pair_over_at"], out["pair_over"] = _bytes(left)
         heads = _runs(pm)
-        out["head_pairs"], out["head_total"] = np.append(heads, len(pm)), _sums(left, heads)
-        out["head_n1"], out["head_n2"], out["head_n3"] = _classes(left, heads)
+        out["head_pairs"] = np.append(heads, len(pm))
+        big = np.flatnonzero(np.diff(out["head_pairs"]) > FEW)
+        out["big"], out["big_total"] = big, _sums(left, heads)[big]
+        for name, x in zip(("big_n1", "big_n2", "big_n3"), _classes(left, heads), strict=True):
+            out[name] = x[big]
         for name in LONG:
             out[f"{name}_high"], out[name] = out[name] >> 16, out[name] & 0xFFFF
         stored = [out[name].astype(_kind(kind, len(words))) for name, kind in ARRAYS.items()]
@@ -409,6 +437,7 @@ def _opened(model: KneserNey, file: str, bucket: int) -> np.ndarray | dict[str,
                 arrays[name] = raw[at:end].view(dtype)
                 at = end
             arrays |= {name: _Places(arrays[name], arrays[f"{name}_high"]) for name in LONG}
+            arrays["context_from"] = _Starts(arrays)
             _MAPPED[uri] = arrays
     return _MAPPED[uri]
 
@@ -430,6 +459,21 @@ def _counts_at(t: dict[str, np.ndarray], name: str, at: np.ndarray, ok: np.ndarr
     return out
 
 
+def _add_totals(t: dict[str, np.ndarray], kind: str, big: str, at: np.ndarray, low: np.ndarray, up: np.ndarray, ok: np.ndarray, rows: np.ndarray, out: np.ndarray) -> None:
+    """Adds to out[rows] the total and how many are 1, 2, and 3 or more of the counts from low to up, of rows that are ok: few of
+    them are added up here, totals of more are stored, by place `at`."""
+    few = ok & (up - low <= FEW)
+    for k in range(FEW):
+        live = np.flatnonzero(few & (low + k < up))
+        one = _counts_at(t, kind, low[live] + k, np.ones(len(live), bool))
+        out[rows[live], 0] += one
+        out[rows[live], np.minimum(one, 3)] += 1
+    large = np.flatnonzero(ok & ~few)
+    to, _ = _find(t[big], at[large])
+    for k, name in enumerate(("total", "n1", "n2", "n3")):
+        out[rows[large], k] = t[f"{big}_{name}"][to]
+
+
 def _look_up(model: KneserNey, words: np.ndarray, first: np.ndarray, middle: np.ndarray, last: np.ndarray, where: np.ndarray) -> tuple[np.ndarray, ...]:
     """Of each row in its range: the counts of the trigram and of the pair, and of their contexts (first, middle) and
     middle the total and how many counts are 1, 2, and 3 or more. Rows hold places in the sorted words; rows in order
@@ -451,24 +495,16 @@ def _look_up(model: KneserNey, words: np.ndarray, first: np.ndarray, middle: np.
         h, ok = _find(t["head"], m)
         ok &= okm
         h = np.where(ok, h, 0)
-        for k, name in enumerate(("head_total", "head_n1", "head_n2", "head_n3")):
-            head[rows, k] = np.where(ok, t[name][h], 0)
-        at, found = _find_within(t["pair_next"], t["head_pairs"][h], t["head_pairs"][h + 1], w, ok & okw)
+        low, up = t["head_pairs"][h].astype(np.int64), t["head_pairs"][h + 1].astype(np.int64)
+        _add_totals(t, "pair_", "big", h, low, up, ok, rows, head)
+        at, found = _find_within(t["pair_next"], low, up, w, ok & okw)
         mid[rows] = _counts_at(t, "pair_", at, found)
         at, ok = _find_within(t["context"], t["head_from"][h], t["head_from"][h + 1], f, ok & okf)
         at = np.where(ok, at, 0)
-        low, up = t["context_from"][at].astype(np.int64), t["context_from"][at + 1].astype(np.int64)
+        low, up = t["context_from"][at], t["context_from"][at + 1]
         to, found = _find_within(t["next"], low, up, w, ok & okw)
         high[rows] = _counts_at(t, "", to, found)
-        for k in range(FEW):
-            live = np.flatnonzero(ok & (up - low <= FEW) & (low + k < up))
-            one = _counts_at(t, "", low[live] + k, np.ones(len(live), bool))
-            context[rows[live], 0] += one
-            context[rows[live], np.minimum(one, 3)] += 1
-        large = np.flatnonzero(ok & (up - low > FEW))
-        to, _ = _find(t["many"], at[large])
-        for k, name in enumerate(("many_total", "many_n1", "many_n2", "many_n3")):
-            context[rows[large], k] = t[name][to]
+        _add_totals(t, "", "many", at, low, up, ok, rows, context)
     return high, mid, context, head
 
 
