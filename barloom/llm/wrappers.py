@@ -12,7 +12,7 @@ import json
 import re
 import zlib
 from collections.abc import Iterator
-from html.parser import HTMLParser
+from html import unescape
 
 import pandas as pd
 import pyarrow as pa
@@ -37,6 +37,7 @@ MARKS = frozenset(
     "ad ads adv advert adverts advertisement advertisements advertising alert alertdialog banner breadcrumb breadcrumbs comment comments complementary contentinfo consent cookie cookies dialog disqus footer gdpr masthead menu menubar modal nav "
     "navbar navigation newsletter notice notices pager pagination popup promo promotion related respond search share sharing sidebar social sponsor sponsored subscribe toolbar".split()
 )
+KNOWN = VOID | INLINE | NO_TEXT | CLOSES_P | CONTAINERS | SCOPES | frozenset("a caption colgroup legend picture slot svg math optgroup option".split())
 HEADERS = frozenset(("header", "siteheader", "pageheader"))
 
 PLAIN, OUT, ARTICLE, MAIN = range(4)
@@ -46,9 +47,20 @@ SHARE = 0.9  # and of the host's pages
 FAN = 32  # wrappers merged by one task
 BROADCAST = 32 << 20  # bytes of all wrappers up to which they are sent to the pages
 WORD = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
+# A start tag whose values hold no angle brackets, and its attributes; nothing is tried twice, so broken tags cost no more
+TAG = re.compile(r"""<([A-Za-z][^\s/<>]*+)((?:[\s/]++[^\s"'<>/=]++(?:\s*+=\s*+(?:"[^"<>]*+"|'[^'<>]*+'|[^\s"'=<>`]++))?+)*+)[\s/]*+>""")
+ATTRIBUTE = re.compile(r"""([^\s"'<>/=]++)(?:\s*+=\s*+(?:"([^"]*+)"|'([^']*+)'|([^\s"'=<>`]++)))?+""")
+NAME = re.compile(r"[A-Za-z][^\s/>]*+")
+GAP, PART, BARE = re.compile(r"[\s/]*+"), re.compile(r"[^\s/>=][^\s/>=]*+"), re.compile(r"[^\s>]*+")
+RAW = {t: re.compile(rf"</{t}(?=[\s/>])", re.IGNORECASE) for t in ("script", "style", "textarea", "title", "iframe", "xmp", "noembed")}
 
 
-class Page(HTMLParser):
+def inline(tag: str) -> bool:
+    """Whether an element stands within a line; unknown ones do."""
+    return tag in INLINE or tag not in KNOWN
+
+
+class Page:
     """A page as collapsed nodes and the blocks of text in them.
 
     nodes: [signature, kind, children's numbers] each, the root first; blocks: (node, text, characters within links)
@@ -56,7 +68,6 @@ class Page(HTMLParser):
     """
 
     def __init__(self, html: str) -> None:
-        super().__init__(convert_charrefs=True)
         self.nodes: list[list] = [["", PLAIN, []]]
         self.blocks: list[tuple[int, str, int]] = []
         self.stack = [("", 0, False)]  # tag, node, whether its text is left out
@@ -64,10 +75,82 @@ class Page(HTMLParser):
         self.cursors = [-1]  # of each open element: the place of its latest child among the node's children
         self.text: list[str] = []
         self.linked = self.links = 0
-        self.feed(html)
-        self.close()
+        self.read(html)
         self.flush()
 
+    def read(self, html: str) -> None:
+        """Goes through the tags and the text between, once, however broken they are. What has no end (a comment, a tag, a
+        script) takes the rest of the page, as browsers have it; a title without one is left open."""
+        at, n = 0, len(html)
+        while at < n:
+            to = html.find("<", at)
+            if to < 0:
+                self.data(html[at:])
+                return
+            if to > at:
+                self.data(html[at:to])
+            mark = html[to + 1 : to + 2]
+            if mark.isascii() and mark.isalpha():
+                tag, given, at = self.start(html, to)
+                if at < 0:
+                    return
+                self.handle_starttag(tag, given)
+                if tag in RAW:
+                    end = RAW[tag].search(html, at)
+                    if end is None and tag != "title":
+                        return
+                    at = at if end is None else end.start()
+            elif mark == "/" and html[to + 2 : to + 3].isascii() and html[to + 2 : to + 3].isalpha():
+                at = html.find(">", to) + 1
+                if not at:
+                    return
+                self.handle_endtag(NAME.match(html, to + 2)[0].lower())
+            elif mark in ("!", "?", "/"):
+                close = "-->" if html.startswith("<!--", to) else ">"
+                at = html.find(close, to + 2) + len(close)  # <!--> is a whole comment
+                if at < len(close):
+                    return
+            else:
+                self.data("<")
+                at = to + 1
+
+    @staticmethod
+    def start(html: str, at: int) -> tuple[str, dict[str, str], int]:
+        """The tag's name and attributes, and where it ends; -1 if it does not."""
+        given: dict[str, str] = {}
+        if found := TAG.match(html, at):
+            for name, *values in ATTRIBUTE.findall(found[2]) if found[2] else ():
+                given.setdefault(name.lower(), "".join(values))
+            return found[1].lower(), given, found.end()
+        tag = NAME.match(html, at + 1)[0]
+        at += 1 + len(tag)
+        while True:
+            at = GAP.match(html, at).end()
+            if at >= len(html):
+                return tag, given, -1
+            if html[at] == ">":
+                return tag.lower(), given, at + 1
+            part = PART.match(html, at)
+            at = part.end() if part else at + 1
+            after = GAP.match(html, at).end() if html[at : at + 1].isspace() else at
+            if part is None or html[after : after + 1] != "=":
+                if part:
+                    given.setdefault(part[0].lower(), "")
+                continue
+            at = after + 1
+            while html[at : at + 1].isspace():
+                at += 1
+            quote = html[at : at + 1]
+            if quote in ('"', "'"):
+                end = html.find(quote, at + 1)
+                if end < 0:
+                    return tag, given, -1
+                value, at = html[at + 1 : end], end + 1
+            else:
+                value = BARE.match(html, at)[0]
+                at += len(value)
+            given.setdefault(part[0].lower(), value)
+
     def flush(self) -> None:
         text = " ".join("".join(self.text).split()) if self.text else ""
         if text:
@@ -93,15 +176,14 @@ class Page(HTMLParser):
         children.insert(self.cursors[-1], len(nodes) - 1)
         return len(nodes) - 1
 
-    def handle_starttag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
-        if tag in CLOSES_P:
+    def handle_starttag(self, tag: str, given: dict[str, str]) -> None:
+        if tag in CLOSES_P and self.open.get("p"):
             self.shut({"p"}, SCOPES)
-        if tag in SAME_CLOSES:
+        if tag in SAME_CLOSES and any(self.open.get(t) for t in SAME_CLOSES[tag]):
             self.shut(SAME_CLOSES[tag], SCOPES - SAME_CLOSES[tag])
         _, node, out = self.stack[-1]
         if not out:
-            given = {k: v or "" for k, v in attrs}
-            words = [w.lower() for k in ("class", "id", "role") for w in WORD.findall(given.get(k, ""))] if attrs else []
+            words = [w.lower() for k in ("class", "id", "role") for w in WORD.findall(given.get(k, ""))] if given else []
             structural = tag in ("html", "body", "article", "main")
             inside = bool(self.open.get("article") or self.open.get("main"))
             hidden = "hidden" in given or given.get("aria-hidden") == "true" or "display:none" in given.get("style", "").replace(" ", "").lower()
@@ -109,14 +191,15 @@ class Page(HTMLParser):
             if tag == "article" and not MARKS.isdisjoint(words) and inside:
                 out = True  # a comment or teaser within the article
         else:
-            words, given = [], {}
-        if tag not in INLINE or (out and not self.stack[-1][2]):
-            if tag not in INLINE and not out:
+            words = []
+        if not inline(tag) or (out and not self.stack[-1][2]):
+            if not inline(tag) and not out:
                 self.flush()
             if len(self.stack) <= DEEP and not self.stack[-1][2]:
-                role = given.get("role", "") if attrs else ""
+                role = given.get("role", "")
+                tag_ = tag if tag in KNOWN else "x"
                 kind = OUT if out else ARTICLE if tag == "article" or role == "article" else MAIN if tag == "main" or role == "main" else PLAIN
-                node = self.child(node, tag, ".".join((tag, *sorted(set(words)))), kind)
+                node = self.child(node, tag_, ".".join((tag_, *sorted(set(words)))), kind)
         if tag in VOID:
             if tag in ("br", "hr", "img", "wbr") and self.text and not out and tag != "wbr":
                 self.text.append(" ")
@@ -136,7 +219,7 @@ class Page(HTMLParser):
 
     def pop(self) -> str:
         tag, _, out = self.stack[-1]
-        if tag not in INLINE and not out:
+        if not inline(tag) and not out:
             self.flush()
         self.stack.pop()
         self.cursors.pop()
@@ -155,8 +238,10 @@ class Page(HTMLParser):
             if tag in until:
                 return
 
-    def handle_data(self, data: str) -> None:
+    def data(self, data: str) -> None:
         if not self.stack[-1][2]:
+            if "&" in data:
+                data = unescape(data)
             self.text.append(data)
             if self.links:
                 self.linked += len(data.strip())

@@ -134,3 +134,34 @@ def test_wrappers_do_not_depend_on_how_pages_are_dealt(spark, monkeypatch):
     assert seen[0] == seen[1] == [("h0.example", 40), ("h1.example", 40), ("h2.example", 40)]
     texts = [sorted((r["page_id"], r["text"]) for r in W.extract(df.repartition(n)).collect()) for n in (1, 20)]
     assert texts[0] == texts[1]
+
+
+BROKEN = {
+    "angles": "<" * 200000, "tags": "<a " * 100000, "comments": "<!--" * 100000, "ampersands": "&" * 200000, "quotes": '<a "' * 100000, "values": '<a x="' * 100000, "sections": "<![CDATA[" * 50000,
+    "scripts": "<script>" * 50000, "ends": "</" * 100000, "divs": "<div>" * 100000, "items": "<ul><li>" * 100000, "attributes": "<a " + "x=1 " * 100000 + ">", "open attributes": "<a " + "x=1 " * 100000,
+    "spans and rules": "<p>" + "<span>" * 50000 + "<hr>" * 50000, "names": "".join(f"<x{k}>" for k in range(50000)), "siblings": "".join(f"<x{k}></x{k}>" for k in range(50000)), "cells": "<table><tr><td>" * 30000,
+    "classes": "".join(f'<div class="c{chr(97 + k % 26)}{chr(97 + k // 26 % 26)}">x</div>' for k in range(20000)),
+}
+
+
+@pytest.mark.parametrize("name", BROKEN)
+def test_no_page_takes_longer_than_its_length(name):
+    import time
+
+    began = time.perf_counter()
+    W.Extractor().text(BROKEN[name], None)
+    shape, stats = W.summary(W.Page(BROKEN[name]))
+    W.content_nodes(W.tree(__import__("json").loads(shape), iter(stats)), False)
+    assert time.perf_counter() - began < 20
+
+
+def test_tags_are_read_as_written():
+    text = lambda page: W.Extractor().text(page, None)
+    assert text('<p title="a > b" class=x>one</p><P\nid=\'c"d\'>two</P >') == "one\ntwo"
+    assert text("a < b <c>d</c> 3<4 &lt;p&gt;") == "a < b d 3<4 <p>"
+    assert text("<p>x<!-- > --> y<!---->z<!DOCTYPE a><?php x ?></p>") == "x yz"
+    assert text('<p hidden>no</p><div class="a" class="ad">yes</div><div style="display : none">no</div><div class=\'big sidebar\'>no</div>') == "yes"
+    assert text("<script>if (a</b) { </scr }</script ><p>after</p><style>p</style>") == "after"
+    assert text('<p>before<a href="unclosed>never ends</p>') == "before"
+    assert text("<title>open<p>text") == "" and text("<textarea><p>x</textarea><p>y") == "y"
+    assert text("<p/>x<br/>y<img alt='z'/>w") == "x y w"
