@@ -16,6 +16,8 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from barloom.sources.store import until_exit
+
 # ASCII white space of the word rule [^\x20\x09-\x0D]+
 SPACE = np.zeros(256, bool)
 SPACE[[9, 10, 11, 12, 13, 32]] = True
@@ -27,13 +29,14 @@ FULL = np.uint64(0xFFFFFFFFFFFFFFFF)
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """A new folder under spark.checkpoint.dir, which driver and executors share; only an unset setting gets a local one."""
+    """A new folder under spark.checkpoint.dir, which driver and executors share; only an unset setting gets a local one. It
+    lasts until the driver ends."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
         if not spark.sparkContext.master.startswith("local"):
             raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         base = os.environ.get("BARLOOM_SHARED_DIR") or os.environ.setdefault("BARLOOM_SHARED_DIR", tempfile.mkdtemp(prefix="barloom-"))
-    return as_uri(f"{base.rstrip('/')}/barloom-{uuid.uuid4().hex}")
+    return until_exit(as_uri(f"{base.rstrip('/')}/barloom-{uuid.uuid4().hex}"))
 
 
 def written(df: DataFrame, compression: str = "zstd") -> DataFrame:
@@ -55,6 +58,20 @@ def unused(df: DataFrame, name: str) -> str:
     return name
 
 
+def join_hot(rows: DataFrame, facts: DataFrame, key: str, n: str, total: int, least: int = 1000) -> DataFrame:
+    """rows joined with facts, which has one row a key and in n how many of the rows have it (total: all of them).
+
+    Keys of more than one in a thousand of the rows, a thousand keys at most, go to the rows by broadcast, so that no task
+    gets all rows of such a key; the others are joined by key. Rows without facts, and null keys, are left out.
+    """
+    often = F.col(n) > max(least, total // 1000)
+    hot, rest = facts.where(often), facts.where(~often)
+    names = [F.col(key).alias("__key"), F.lit(True).alias("__hot")]
+    marked = rows.join(F.broadcast(hot.select(*names)), F.col(key) == F.col("__key"), "left").drop("__key")
+    common = marked.where("__hot").drop("__hot").join(F.broadcast(hot.drop(n)), key)
+    return common.unionByName(marked.where("__hot is null").drop("__hot").join(rest.drop(n), key))
+
+
 def crc_mod(column: str, n: int) -> Column:
     return F.crc32(F.col(column).cast("string")) % n
 
@@ -154,6 +171,15 @@ def same_spans(raw: np.ndarray, begin: np.ndarray, end: np.ndarray, other: np.nd
     return out
 
 
+def same_words(raw: np.ndarray, begin: np.ndarray, end: np.ndarray, other: np.ndarray, begin2: np.ndarray, end2: np.ndarray) -> np.ndarray:
+    """same_spans() of spans whose hashes are equal: with one lane and one length the hash has an inverse, so that only longer
+    spans need their bytes compared."""
+    out = end - begin == end2 - begin2
+    long = np.flatnonzero(out & (end - begin > 8))
+    out[long] = same_spans(raw, begin[long], end[long], other, begin2[long], end2[long])
+    return out
+
+
 def sum_by(values: np.ndarray, starts: np.ndarray) -> np.ndarray:
     """Sums of values over consecutive ranges that begin at starts[:-1]; 0 for empty ranges."""
     sums = np.concatenate((np.zeros((1, *values.shape[1:])), np.cumsum(values, axis=0, dtype=np.float64)))

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from barloom.llm.common import LOWER, joined, pieces, same_spans, span_hashes, spans
+from barloom.llm.common import LOWER, joined, pieces, same_words, span_hashes, spans
 from barloom.llm.licence_texts import BODIES
 
 # Phrases whose places are counted, and their labels (fixed values)
@@ -228,7 +228,7 @@ def scan_texts(scanner: Scanner, column: pa.Array) -> tuple[np.ndarray, dict[int
     at = np.minimum(np.searchsorted(scanner.hashes, hashes), len(scanner.hashes) - 1)
     word = np.where(scanner.hashes[at] == hashes, scanner.order[at], -1) if len(scanner.hashes) else np.full(len(hashes), -1)
     hit = np.flatnonzero(word >= 0)
-    word[hit[~same_spans(raw, begin[hit], end[hit], scanner.raw, scanner.begin[at[hit]], scanner.end[at[hit]])]] = -1
+    word[hit[~same_words(raw, begin[hit], end[hit], scanner.raw, scanner.begin[at[hit]], scanner.end[at[hit]])]] = -1
     known = word >= 0
     edge = np.zeros(len(word) + 1, bool)
     edge[first[first <= len(word)]] = True  # runs do not cross texts

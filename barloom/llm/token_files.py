@@ -22,7 +22,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from barloom.llm.common import LOWER, SPACE, as_uri, joined, map_file, pieces, put_file, same_spans, shared_dir, span_hashes, spans, written
+from barloom.llm.common import LOWER, SPACE, as_uri, joined, map_file, pieces, put_file, same_words, shared_dir, span_hashes, spans, written
 
 NULL_ID = np.iinfo(np.int64).min
 MARK = "\x01"  # stands between words that are encoded in one call
@@ -143,7 +143,7 @@ class WordEncoder:
         at, size = self.at[place][back], self.size[place][back]
         # words of equal hash and other bytes than the kept ones stand for themselves
         word = place[back]
-        odd = np.flatnonzero(~same_spans(raw, begin, end, self.bytes, self.begin[word], self.end[word]))
+        odd = np.flatnonzero(~same_words(raw, begin, end, self.bytes, self.begin[word], self.end[word]))
         own = [self._ids(data[a:b].decode()) for a, b in zip(begin[odd].tolist(), end[odd].tolist(), strict=True)]
         size[odd] = [len(x) for x in own]
         at[odd] = len(self.ids) + np.cumsum(size[odd]) - size[odd]

@@ -68,3 +68,17 @@ def test_keys_depend_on_all_texts(spark):
     df = spark.createDataFrame([("a",), ("b",), ("b",), (None,)], "text string")
     key = lambda x: common.key_of(x.agg(common.text_key(x, "text")).first()[0])
     assert key(df) == key(df.repartition(3)) != key(df.limit(2)) and key(df.limit(0)) == 1
+
+
+def test_short_words_of_equal_hash_and_length_are_equal():
+    """One lane: an exhaustive look at three letters, and random ones of eight."""
+    rng = np.random.default_rng(3)
+    words = {bytes((a, b, c)) for a in range(97, 123) for b in range(97, 123) for c in range(97, 123)} | {rng.integers(0, 256, 8, np.uint8).tobytes() for _ in range(50_000)}
+    data = np.frombuffer(b"".join(sorted(words)), np.uint8)
+    size = np.array([len(w) for w in sorted(words)])
+    end = np.cumsum(size)
+    hashes = common.span_hashes(data, end - size, end)
+    for n in (3, 8):
+        assert len(np.unique(hashes[size == n])) == (size == n).sum()
+    assert common.same_words(data, end - size, end, data, end - size, end).all()
+    assert not common.same_words(data, end[:1] - 3, end[:1], data, end[1:2] - size[1], end[1:2] + 1).any()
