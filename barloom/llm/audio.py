@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from barloom.llm.common import SPACE, joined, mixed, pieces, span_hashes, spans, written
+from barloom.llm.common import SPACE, join_hot, joined, mixed, pieces, span_hashes, spans, written
 from barloom.llm.graph import components
 
 FILTERS = 16
@@ -103,18 +103,61 @@ def codes(chroma: Chroma, samples: np.ndarray, starts: np.ndarray) -> tuple[np.n
     return out, to
 
 
-def wav_samples(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """Samples of mono 16-bit PCM WAV bytes laid end to end, and where each recording begins; what is no such file is silent."""
+def pcm(raw: bytes, kind: int, channels: int, bits: int) -> np.ndarray | None:
+    """Samples of one channel, the mean of all, on the scale of 16 bits; None for what is no such coding."""
+    size = bits // 8
+    n = len(raw) // (size * channels) * channels if size and channels else 0
+    raw = raw[: n * size]
+    if kind == 1 and bits == 8:
+        x = (np.frombuffer(raw, np.uint8).astype(np.float64) - 128) * 256
+    elif kind == 1 and bits == 16:
+        x = np.frombuffer(raw, "<i2").astype(np.float64)
+    elif kind == 1 and bits == 24:
+        x = np.frombuffer(raw, np.uint8).reshape(-1, 3).astype(np.int32)
+        x = ((x[:, 0] << 8 | x[:, 1] << 16 | x[:, 2] << 24) / 65536.0).astype(np.float64)
+    elif kind == 1 and bits == 32:
+        x = np.frombuffer(raw, "<i4") / 65536.0
+    elif kind == 3 and bits in (32, 64):
+        x = np.nan_to_num(np.frombuffer(raw, f"<f{size}").astype(np.float64), nan=0.0, posinf=0.0, neginf=0.0) * 32768
+    else:
+        return None
+    return x.reshape(-1, channels).mean(axis=1)
+
+
+def resampled(x: np.ndarray, rate: int, to: int) -> np.ndarray:
+    """x at another rate: each new sample is the mean of the old ones it stands for, or lies between two of them."""
+    if rate == to or not len(x):
+        return x
+    at = np.arange(int(len(x) * to / rate)) * (rate / to)
+    if rate < to:
+        return np.interp(at, np.arange(len(x)), x)
+    sums = np.concatenate(([0.0], np.cumsum(x)))
+    edge = np.interp(np.append(at, at[-1] + rate / to) if len(at) else at, np.arange(len(sums)), sums)
+    return np.diff(edge) * to / rate
+
+
+def wav_samples(column: pa.Array, chroma: Chroma = Chroma()) -> tuple[np.ndarray, np.ndarray]:
+    """Samples of WAV bytes laid end to end, and where each recording begins: integers of 8 to 32 bits or floats, any number of
+    channels (mixed to one) and any rate (brought to chroma.rate). What is no such file is silent and has no samples."""
     out = []
     for raw in column.cast(pa.binary()).to_pylist():
         raw = raw or b""
-        at, got = 12, b""
-        while raw[:4] == b"RIFF" and at + 8 <= len(raw):
+        at, got, form = 12, b"", None
+        while raw[:4] == b"RIFF" and raw[8:12] == b"WAVE" and at + 8 <= len(raw):
             name, size = raw[at : at + 4], int.from_bytes(raw[at + 4 : at + 8], "little")
-            if name == b"data":
-                got = raw[at + 8 : at + 8 + size]
+            body = raw[at + 8 : at + 8 + size]
+            if name == b"fmt " and len(body) >= 16:
+                number = lambda i, j: int.from_bytes(body[i:j], "little")  # noqa: B023, E731
+                kind = number(24, 26) if number(0, 2) == 0xFFFE and len(body) >= 26 else number(0, 2)
+                form = kind, number(2, 4), number(14, 16), number(4, 8)
+            elif name == b"data":
+                got = body
             at += 8 + size + size % 2
-        out.append(np.frombuffer(got[: len(got) // 2 * 2], "<i2"))
+        x = pcm(got, *form[:3]) if form and form[1] and form[3] else None
+        if x is None:
+            out.append(np.zeros(0, np.int16))
+        else:
+            out.append(np.rint(np.clip(resampled(x, form[3], chroma.rate), -32768, 32767)).astype(np.int16))
     return np.concatenate([np.zeros(0, np.int16), *out]), np.concatenate(([0], np.cumsum([len(x) for x in out]))).astype(np.int64)
 
 
@@ -133,13 +176,13 @@ def melody(column: pa.Array, chroma: Chroma = Chroma()) -> tuple[np.ndarray, np.
 def fingerprints(df: DataFrame, id_col: str, media_col: str, chroma: Chroma = Chroma(), decode: Callable = wav_samples, most: int = 256 << 10) -> DataFrame:
     """(rec_id, n_codes, codes, digest) of every row: the packed integers as little-endian bytes, and a hash of them.
 
-    decode: from the media column to samples and starts. most: bytes of media decoded at a time. Media that are null,
+    decode: from the media column and the settings to samples and starts. most: bytes of media decoded at a time. Media that are null,
     empty, or too short for one integer have none.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in pieces(batches, "media", most):
-            values, at = codes(chroma, *decode(b.column(1)))
+            values, at = codes(chroma, *decode(b.column(1), chroma))
             blobs = [values[i:j].astype("<u4").tobytes() for i, j in zip(at[:-1].tolist(), at[1:].tolist(), strict=True)]
             yield pa.record_batch([b.column(0), pa.array(np.diff(at)), pa.array(blobs, pa.binary())], names=["rec_id", "n_codes", "codes"])
 
@@ -166,7 +209,8 @@ def aligned(prints: DataFrame, run: int = 8, window: int = 4) -> DataFrame:
     """One row for each row of fingerprints(): rec_id, n_codes, codes_crc32, class_id (the least recording that links
     reach), and its best partner: partner_id, offset, votes and bit_error, null without one.
 
-    Recordings of the same integers are copies: they share a class and only the least of them is aligned, for all. Those
+    Recordings of the same integers are copies: they share a class and only the least of them is aligned, for all. Rows of one
+    id and different recordings are recordings of their own. Those
     without integers are copies of each other only if they have no integers at all and then form no class: each is its
     own. Rows with a null id keep their own columns and take the class of their copies.
     """
@@ -176,28 +220,34 @@ def aligned(prints: DataFrame, run: int = 8, window: int = 4) -> DataFrame:
 
     def marks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            keys, recs, places = [], [], []
-            for rec, raw in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+            keys, recs, places, reps = [], [], [], []
+            for rec, rep, raw in zip(*(b.column(k).to_pylist() for k in range(3)), strict=True):
                 key, at = landmarks(np.frombuffer(raw, "<u4"), run, window)
                 keys.append(key)
                 places.append(at)
                 recs.append(np.full(len(at), rec))
+                reps.append(np.full(len(at), rep))
             if keys:
-                yield pa.record_batch([pa.array(np.concatenate(keys).view(np.int64)), pa.array(np.concatenate(recs)), pa.array(np.concatenate(places).astype(np.int32))], names=["key", "rec", "place"])
+                yield pa.record_batch([pa.array(np.concatenate(keys).view(np.int64)), pa.array(np.concatenate(recs)), pa.array(np.concatenate(reps)), pa.array(np.concatenate(places).astype(np.int32))], names=["key", "rec", "rep", "place"])
 
-    marked = written(reps.select("rep", "codes").mapInArrow(marks, "key long, rec long, place int"))
-    least = marked.groupBy("key").agg(F.min(F.struct("rec", "place")).alias("hub"), F.count("*").alias("n")).where("n > 1").select("key", F.col("hub.rec").alias("hub"), F.col("hub.place").alias("hub_place"))
-    votes = written(marked.join(least, "key").where("rec <> hub").groupBy("rec", "hub", (F.col("place") - F.col("hub_place")).alias("offset")).agg(F.count("*").alias("votes")))
-    best = votes.groupBy("rec").agg(F.max(F.struct("votes", (-F.col("hub")).alias("h"), (-F.abs("offset")).alias("a"), "offset")).alias("x")).select("rec", (-F.col("x.h")).alias("hub"), F.col("x.offset").alias("offset"), F.col("x.votes").alias("votes"))
+    # recordings go by their digest, as one id may have several; "least" is by id
+    marked = written(reps.select("digest", "rep", "codes").mapInArrow(marks, "key long, rec long, rep long, place int"))
+    least = marked.groupBy("key").agg(F.min(F.struct("rep", "rec", "place")).alias("hub"), F.count("*").alias("n")).where("n > 1").select("key", "n", F.col("hub.rec").alias("hub"), F.col("hub.rep").alias("hub_rep"), F.col("hub.place").alias("hub_place"))
+    total = marked.count()
+    votes = written(join_hot(marked, least, "key", "n", total).where("rec <> hub").groupBy("rec", "hub", "hub_rep", (F.col("place") - F.col("hub_place")).alias("offset")).agg(F.count("*").alias("votes")))
+    best = votes.groupBy("rec").agg(F.max(F.struct("votes", (-F.col("hub_rep")).alias("h"), (-F.abs("offset")).alias("a"), "offset", "hub")).alias("x")).select("rec", F.col("x.hub").alias("hub"), (-F.col("x.h")).alias("partner_id"), F.col("x.offset").alias("offset"), F.col("x.votes").alias("votes"))
 
     @F.arrow_udf("double")
     def bit_error(mine: pa.Array, other: pa.Array, offset: pa.Array) -> pa.Array:
         return pa.array([bit_errors(np.frombuffer(a, "<u4"), np.frombuffer(b, "<u4"), o) for a, b, o in zip(mine.to_pylist(), other.to_pylist(), offset.to_pylist(), strict=True)], pa.float64())
 
-    mine, other = reps.select(F.col("rep").alias("rec"), F.col("codes").alias("own")), reps.select(F.col("rep").alias("hub"), F.col("codes").alias("theirs"))
-    scored = best.join(mine, "rec").join(other, "hub").select("rec", "hub", "offset", "votes", bit_error("own", "theirs", "offset").alias("bit_error"))
+    mine, other = reps.select(F.col("digest").alias("rec"), F.col("codes").alias("own")), reps.select(F.col("digest").alias("hub"), F.col("codes").alias("theirs"))
+    scored = best.join(mine, "rec").join(other, "hub").select("rec", "partner_id", "offset", "votes", bit_error("own", "theirs", "offset").alias("bit_error"))
     comp = components(votes.select(F.col("rec").alias("a"), F.col("hub").alias("b")))
-    named = written(reps.select("digest", "rep").join(comp, reps["rep"] == comp["node"], "left").join(scored, reps["rep"] == scored["rec"], "left").select("digest", F.coalesce("component", "rep").alias("class_id"), F.col("hub").alias("partner_id"), "offset", "votes", "bit_error"))
+    tied = written(reps.select("digest", "rep").join(comp, F.col("digest") == F.col("node"), "left").select("digest", "rep", F.coalesce("component", "digest").alias("component")))
+    firsts = tied.groupBy("component").agg(F.min("rep").alias("class_id"), F.count("*").alias("n"))
+    classed = join_hot(tied, firsts, "component", "n", tied.count())
+    named = written(classed.join(scored, classed["digest"] == scored["rec"], "left").select("digest", "class_id", "partner_id", "offset", "votes", "bit_error"))
     crc = F.crc32("codes").alias("codes_crc32")
     full = prints.where("n_codes > 0").join(named, "digest", "left").select("rec_id", "n_codes", crc, "class_id", "partner_id", "offset", "votes", "bit_error")
     none = prints.where("n_codes = 0").select("rec_id", "n_codes", crc, F.col("rec_id").alias("class_id"), *[F.lit(None).cast(t).alias(c) for c, t in (("partner_id", "long"), ("offset", "int"), ("votes", "long"), ("bit_error", "double"))])

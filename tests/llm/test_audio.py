@@ -1,5 +1,6 @@
 import io
 import wave
+from functools import partial
 
 import numpy as np
 import pyarrow as pa
@@ -8,11 +9,11 @@ from pyspark.sql import functions as F
 from barloom.llm import audio as A
 
 
-def wav(samples):
+def wav(samples, rate=2000, channels=1, width=2):
     out = io.BytesIO()
     with wave.open(out, "wb") as f:
-        f.setnchannels(1), f.setsampwidth(2), f.setframerate(2000)
-        f.writeframes(samples.astype("<i2").tobytes())
+        f.setnchannels(channels), f.setsampwidth(width), f.setframerate(rate)
+        f.writeframes(samples.astype("<i2").tobytes() if width == 2 else samples)
     return out.getvalue()
 
 
@@ -86,3 +87,55 @@ def test_classes_equal_all_pairs_on_the_table(spark):
     for k, r in got.items():
         if r["partner_id"] is not None:
             assert abs(A.bit_errors(part[place[k]], part[place[r["partner_id"]]], r["offset"]) - r["bit_error"]) < 1e-9
+
+
+def song(n=60, seed=1, rate=2000, hop=512):
+    t = np.arange(hop * rate // 2000) / rate
+    return np.concatenate([np.rint(8000 * np.sin(2 * np.pi * f * t)) for f in 220 * 2 ** (np.random.default_rng(seed).integers(0, 24, n) / 12)]).astype(np.int16)
+
+
+def float_wav(x, rate):
+    body = (x / 32768).astype("<f4").tobytes()
+    head = b"fmt " + (16).to_bytes(4, "little") + (3).to_bytes(2, "little") + (1).to_bytes(2, "little") + rate.to_bytes(4, "little") + (4 * rate).to_bytes(4, "little") + (4).to_bytes(2, "little") + (32).to_bytes(2, "little")
+    rest = b"WAVE" + head + b"data" + len(body).to_bytes(4, "little") + body
+    return b"RIFF" + len(rest).to_bytes(4, "little") + rest
+
+
+def test_channels_widths_and_rates_give_the_codes_of_the_plain_recording():
+    c, mono = A.Chroma(), song()
+    wide = np.repeat(mono.astype(np.int32) << 8, 1)
+    forms = [
+        wav(mono),
+        wav(np.stack((mono, mono), axis=1).ravel(), channels=2),
+        wav(b"".join(int(x).to_bytes(3, "little", signed=True) for x in wide), width=3),
+        wav((mono.astype(np.int64) << 16).astype("<i4").tobytes(), width=4),
+        float_wav(mono, 2000),
+    ]
+    samples, starts = A.wav_samples(pa.array(forms), c)
+    assert (np.diff(starts) == len(mono)).all() and all((samples[a:b] == mono).all() for a, b in zip(starts[:-1], starts[1:]))
+    want = A.codes(c, mono, np.array([0, len(mono)]))[0]
+    other = [wav(song(rate=r), rate=r) for r in (8000, 44100)] + [wav((mono // 256 + 128).astype(np.uint8).tobytes(), width=1)]
+    samples, starts = A.wav_samples(pa.array(other), c)
+    got, at = A.codes(c, samples, starts)
+    for a, b in zip(at[:-1], at[1:]):
+        assert abs((b - a) - len(want)) <= 1 and A.bit_errors(got[a:b], want, 0) < 0.05
+    broken = [b"RIFF", b"RIFF\x00\x00\x00\x00WAVEfmt ", forms[0][:30], forms[0].replace(b"WAVE", b"AVI "), float_wav(mono, 0)]
+    assert len(A.wav_samples(pa.array(broken), c)[0]) == 0
+
+
+def test_noisy_copies_are_found(spark):
+    """Recall of landmarks by the noise's part of the amplitude; no two songs are taken for one."""
+    for level, least in ((0.02, 20), (0.05, 20), (0.1, 17)):
+        rng = np.random.default_rng(5)
+        songs = [song(320, 100 + k, hop=128) for k in range(20)]
+        rows = [(k, wav(x)) for k, x in enumerate(songs)] + [(100 + k, wav(np.clip(x + rng.normal(0, 8000 * level, len(x)), -32768, 32767).astype(np.int16))) for k, x in enumerate(songs)]
+        got = {r["rec_id"]: r["class_id"] for r in A.aligned(A.fingerprints(spark.createDataFrame(rows, "rec long, media binary"), "rec", "media")).collect()}
+        assert sum(got[100 + k] == k for k in range(20)) >= least and all(got[k] == k for k in range(20))
+
+
+def test_a_landmark_of_most_recordings_and_repeated_ids(spark, monkeypatch):
+    rows = [(k, wav(np.concatenate((song(30, 1), song(30, 200 + k))))) for k in range(40)] + [(7, wav(song(60, 999)))] * 2
+    df = spark.createDataFrame(rows, "rec long, media binary")
+    plain = sorted(map(repr, A.aligned(A.fingerprints(df, "rec", "media")).collect()))
+    monkeypatch.setattr(A, "join_hot", partial(A.join_hot, least=5))  # by broadcast
+    assert sorted(map(repr, A.aligned(A.fingerprints(df, "rec", "media")).collect())) == plain and len(plain) == 42
