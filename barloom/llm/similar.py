@@ -9,15 +9,15 @@ on the whole shingle sets, in blocks of a bounded size, so no link is made below
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from fractions import Fraction
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from barloom.llm.common import LOWER, SPACE, joined, key_of, mixed, pieces, span_hashes, spans, text_key, written
+from barloom.llm.common import LOWER, SPACE, join_hot, joined, key_of, mixed, pieces, span_hashes, spans, text_key, written
 from barloom.llm.graph import components
 from barloom.llm.simhash import _forest, trie_join
 
@@ -178,34 +178,70 @@ def _checked(batches: Iterator[pa.RecordBatch], least: Fraction) -> Iterator[pa.
         yield solve(held)
 
 
-def checked_links(docs: DataFrame, reps: DataFrame, groups: DataFrame, shingle: int, least: Fraction, key: int) -> DataFrame:
-    """Links (a, b) that connect all texts of a group (node, component) that links of similarity `least` or more connect.
+def _blocks(texts: Column, items: Column) -> Column:
+    """How many blocks so many texts with so many shingles are dealt into."""
+    return F.ceil(F.greatest(texts / BLOCK_DOCS, items / BLOCK_ITEMS)).cast("int")
 
-    A group is dealt into blocks of bounded size; each two of them are checked together, so a text of a group of n blocks
-    is sent n - 1 times, and no task holds more than two blocks.
-    """
-    conf = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    sized = groups.join(reps.groupBy(F.col("rep").alias("node")).agg(F.max("size").alias("size")), "node")
-    blocks = F.ceil(F.greatest(F.count("*") / BLOCK_DOCS, F.sum("size") / BLOCK_ITEMS)).cast("int")
-    members = written(sized.join(sized.groupBy("component").agg(blocks.alias("blocks")), "component").select(F.col("node").alias("doc_id"), "component", "blocks", "size"))
-    n, items = members.agg(F.count("*"), F.coalesce(F.sum(F.col("size") * F.greatest(F.col("blocks") - 1, F.lit(1))), F.lit(0))).first()
-    wanted = members.drop("size")
-    texts = docs.join(F.broadcast(wanted) if n <= FEW else wanted, "doc_id").groupBy("doc_id", "component", "blocks").agg(F.min("text").alias("text"))
+
+def _each(count: Column, *of: Callable[[Column], Column]) -> Column:
+    """The keys of the blocks 0 to count - 1."""
+    return F.transform(F.sequence(F.lit(0), count - 1), lambda k: F.xxhash64(*[f(k) for f in of]))
+
+
+def _linked(docs: DataFrame, wanted: DataFrame, at: Column, shingle: int, least: Fraction, key: int) -> DataFrame:
+    """Links among the texts of wanted(doc_id, size, ...) that go to a block together; `at` holds the keys of a text's blocks."""
+    spark = docs.sparkSession
+    n, items = wanted.agg(F.count("*"), F.coalesce(F.sum(F.col("size") * F.size(at)), F.lit(0))).first()
+    texts = docs.join(F.broadcast(wanted) if n <= FEW else wanted, "doc_id").groupBy(*wanted.columns).agg(F.min("text").alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in _chunks(batches):
-            hashes, at = shingle_sets(b.column(3), shingle, key)
-            sets = pa.ListArray.from_arrays(pa.array(at.astype(np.int32)), pa.array(hashes.view(np.int64)))
-            yield pa.record_batch([b.column(0), b.column(1), b.column(2), sets], names=["doc_id", "component", "blocks", "items"])
-
-    sets = texts.mapInArrow(run, "doc_id long, component long, blocks int, items array<long>")
-    own = F.pmod(F.xxhash64("doc_id"), F.col("blocks")).cast("int")
-    others = F.when(F.col("blocks") == 1, F.array(F.lit(0))).otherwise(F.array_remove(F.sequence(F.lit(0), F.col("blocks") - 1), F.col("own")))
-    dealt = sets.withColumn("own", own).withColumn("other", F.explode(others)).select(F.xxhash64("component", F.least("own", "other"), F.greatest("own", "other")).alias("block"), F.col("doc_id").alias("rep"), "items")
-    parts = max(conf, -(-items // BLOCK_ITEMS))
+            hashes, starts = shingle_sets(b.column(2), shingle, key)
+            sets = pa.ListArray.from_arrays(pa.array(starts.astype(np.int32)), pa.array(hashes.view(np.int64)))
+            yield pa.record_batch([b.column(0), b.column(1), sets], names=["doc_id", "at", "items"])
+
+    sets = texts.select("doc_id", at.alias("at"), "text").mapInArrow(run, "doc_id long, at array<long>, items array<long>")
+    dealt = sets.select(F.explode("at").alias("block"), F.col("doc_id").alias("rep"), "items")
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-items // BLOCK_ITEMS))
     return dealt.repartition(parts, "block").sortWithinPartitions("block").mapInArrow(lambda it: _checked(it, least), "a long, b long")
 
 
+def checked_links(docs: DataFrame, reps: DataFrame, groups: DataFrame, shingle: int, least: Fraction, key: int) -> DataFrame:
+    """Links (a, b) that connect all texts of a group (node, component) that links of similarity `least` or more connect.
+
+    A group is dealt into blocks of bounded size. First each block is checked for itself, with the group's least text: near-copies
+    of that text are settled by it, and sent once. Where a group of several blocks is in more than one part after that, whatever else
+    links two parts has an end outside the largest one: texts outside it are checked with each other and with it, each two
+    blocks together. No task holds more than two blocks, or a block and the least text.
+    """
+    sized = written(groups.join(reps.groupBy(F.col("rep").alias("node")).agg(F.max("size").alias("size")), "node").select(F.col("node").alias("doc_id"), "component", "size"))
+    total = sized.count()
+    dealt = sized.groupBy("component").agg(F.count("*").alias("n"), _blocks(F.count("*"), F.sum("size")).alias("blocks"))
+    members = written(join_hot(sized, dealt, "component", "n", total))
+    group, own = (lambda _: F.col("component")), lambda n: F.pmod(F.xxhash64("doc_id"), F.col(n)).cast("int")
+    home = F.when(F.col("doc_id") == F.col("component"), _each(F.col("blocks"), group, lambda k: k)).otherwise(F.array(F.xxhash64("component", own("blocks"))))
+    links = written(_linked(docs, members, home, shingle, least, key))
+
+    large = members.where("blocks > 1").drop("blocks")
+    if large.isEmpty():
+        return links
+    known = written(components(links.join(large.select(F.col("doc_id").alias("a")), "a", "left_semi")))
+    parted = written(large.join(known.select(F.col("node").alias("doc_id"), F.col("component").alias("part")), "doc_id", "left").withColumn("part", F.coalesce("part", "doc_id")))
+    parts = parted.groupBy("component", "part").agg(F.count("*").alias("n"), F.sum("size").alias("items"))
+    most = F.max(F.struct("n", (-F.col("part")).alias("low"), "items"))
+    facts = parts.groupBy("component").agg(F.sum("n").alias("n"), F.sum("items").alias("items"), most.alias("most")).where("n > most.n")
+    facts = facts.select("component", "n", (-F.col("most.low")).alias("largest"), _blocks(F.col("most.n"), F.col("most.items")).alias("inner"), _blocks(F.col("n") - F.col("most.n"), F.col("items") - F.col("most.items")).alias("outer"))
+    open_ = written(join_hot(parted, facts, "component", "n", total))
+    if open_.isEmpty():
+        return links
+    outside = F.array_remove(F.sequence(F.lit(0), F.col("outer") - 1), own("outer"))
+    pairs = F.transform(outside, lambda k: F.xxhash64("component", F.least(k, own("outer")), F.greatest(k, own("outer"))))
+    with_inner = _each(F.col("inner"), group, lambda _: own("outer"), lambda k: -1 - k)
+    with_outer = _each(F.col("outer"), group, lambda k: k, lambda _: -1 - own("inner"))
+    cells = F.when(F.col("part") == F.col("largest"), with_outer).otherwise(F.concat(pairs, with_inner))
+    return links.unionByName(_linked(docs, open_, cells, shingle, least, key))
+
+
 def similar_groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, least: str = "0.8") -> DataFrame:
     """(doc_id, component_id) of every row with an id: the least id that links of Jaccard similarity `least` or more reach.
 

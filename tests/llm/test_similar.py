@@ -57,6 +57,22 @@ def test_groups_equal_brute_force(spark):
     assert len(set(want.values())) < len(texts) - 150
 
 
+@pytest.mark.parametrize("block", [8, 64])
+def test_groups_of_many_blocks_equal_brute_force(spark, monkeypatch, block):
+    """Near-copies of one text, a chain whose ends are unlike, two parts of one group of candidates, and all of them small."""
+    monkeypatch.setattr(similar, "BLOCK_DOCS", block)
+    rng = random.Random(5)
+    vocabulary = [f"w{k}" for k in range(500)]
+    base, long = rng.choices(vocabulary, k=150), rng.choices(vocabulary, k=700)
+    made = [edited(base, rng, 2) for _ in range(90)] + [" ".join(long[3 * k : 3 * k + 150]) for k in range(120)]
+    other = edited(base, rng, 5).split()
+    made += [edited(other, rng, 2) for _ in range(60)] + ["", None, "one two"]
+    rng.shuffle(made)
+    texts = dict(enumerate(made))
+    got = similar.similar_groups(spark.createDataFrame(list(texts.items()), "doc_id long, text string")).collect()
+    assert {r["doc_id"]: r["component_id"] for r in got} == grouped(texts)
+
+
 def test_stage_drops_near_copies(spark):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     want = grouped({r["doc_id"]: r["text"] for r in docs.select("doc_id", "text").collect()})
