@@ -16,7 +16,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from barloom.llm.common import pieces
+from barloom.llm.common import pieces, written
 
 UNDETERMINED = "und"
 
@@ -156,10 +156,13 @@ def train(texts: list[bytes], labels: list[str], hidden: int = 6, window: int =
     return model
 
 
-def training_texts(df: DataFrame, where: Column, per_label: int = 300, most_bytes: int = 2000, text_col: str = "text", label_col: str = "lang") -> tuple[list[bytes], list[str]]:
-    """A bounded sample of labelled rows: about per_label rows a label, drawn by a hash, one stretch of each.
+def training_texts(df: DataFrame, where: Column, per_label: int = 300, most_chars: int = 20_000_000, text_col: str = "text", label_col: str = "lang") -> tuple[list[bytes], list[str]]:
+    """A bounded sample of labelled rows: whole texts and their labels, in order of label and hash.
 
-    Bounds: per_label and most_bytes; labels are counted first so that rare ones are sampled as well as common ones.
+    Bounds: per_label rows a label, and fewer of a label if its drawn texts have more than an equal share of most_chars
+    characters; drawn by a hash of the text. Labels are counted first so that rare ones are sampled as well as common
+    ones. Exact copies within a label count once; the first
+    text of a label stays, however long. Null labels, and null or blank texts, teach nothing.
     """
     good = df.where(where & F.col(label_col).isNotNull() & (F.length(F.trim(text_col)) > 0)).select(F.col(text_col).alias("text"), F.col(label_col).cast("string").alias("label"))
     counts = {r["label"]: r["count"] for r in good.groupBy("label").count().collect()}
@@ -167,13 +170,18 @@ def training_texts(df: DataFrame, where: Column, per_label: int = 300, most_byte
         return [], []
     u = F.pmod(F.xxhash64("text"), F.lit(1 << 30)) / F.lit(1 << 30)
     share = F.create_map(*[F.lit(x) for k, n in counts.items() for x in (k, min(1.0, 1.5 * per_label / n))])
-    at = 1 + F.pmod(F.xxhash64("text", F.lit(1)), F.greatest(F.length("text") - most_bytes + 1, F.lit(1)))
-    rows = good.where(u < share[F.col("label")]).select("label", F.substring(F.col("text"), at.cast("int"), F.lit(most_bytes)).alias("part")).distinct().orderBy("label", F.xxhash64("part"), "part").collect()
+    rows = written(good.where(u < share[F.col("label")]).distinct().select("label", "text", (u / share[F.col("label")]).alias("u")))
+    sizes = rows.groupBy("label").agg(F.sum(F.length("text")).alias("chars"), F.min("u").alias("first")).collect()
+    if not sizes:
+        return [], []
+    # the first text of a label stays, however long
+    room = F.create_map(*[F.lit(x) for r in sizes for x in (r["label"], max(most_chars / len(sizes) / r["chars"], r["first"] + 1e-12))])
+    drawn = rows.where(F.col("u") < room[F.col("label")]).select("label", "text").orderBy("label", F.xxhash64("text"), "text").collect()
     texts, labels, seen = [], [], {}
-    for r in rows:
+    for r in drawn:
         seen[r["label"]] = seen.get(r["label"], 0) + 1
         if seen[r["label"]] <= per_label:
-            texts.append(r["part"].encode())
+            texts.append(r["text"].encode())
             labels.append(r["label"])
     return texts, labels
 

@@ -61,7 +61,9 @@ def test_every_byte_counts_once(n):
 def test_held_out_accuracy_and_edges(spark):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     texts, labels = L.training_texts(docs, ~held("doc_id", 5, 0), per_label=120)
-    assert max(map(len, texts)) <= 4 * 2000 and all(labels.count(x) <= 120 for x in set(labels))
+    assert all(labels.count(x) <= 120 for x in set(labels)) and {x.decode() for x in texts} <= {r["text"] for r in docs.collect()}
+    few, names = L.training_texts(docs, ~held("doc_id", 5, 0), per_label=120, most_chars=200_000)
+    assert set(names) == set(labels) and sum(len(x.decode()) for x in few) < 300_000 < sum(map(len, texts))
     model = L.train(texts, labels)
     extra = spark.createDataFrame([(-1, None), (-2, ""), (-3, "12 +- 3 \n"), (-4, "x"), (-4, "x"), (None, "the " * 50000)], "doc_id long, text string")
     got = L.identify(docs.select("doc_id", "text").union(extra).withColumn("score", F.lit("clash")), model).toPandas()
