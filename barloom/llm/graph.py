@@ -13,11 +13,13 @@ HUB = 100  # nodes of more links than this, and of more than one in a thousand,
 def _stars(links: DataFrame, larger: bool, total: int) -> DataFrame:
     """Ties each neighbour to the node's least neighbour: the larger ones only, or all the smaller ones and the node.
 
-    `total` is how many links there are at most, each counted at both ends for the larger ones.
+    `total` is how many links there are at most, each counted at both ends for the larger ones. Least neighbours are written
+    first, as whether there are hubs decides how they are joined.
     """
     both = links.unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b"))) if larger else links.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
-    least = both.groupBy("a").agg(F.min("b").alias("m"), F.count("*").alias("n")).select("a", "n", F.least("a", "m").alias("m"))
-    near = join_hot(both, least, "a", "n", total, HUB)
+    least = written(both.groupBy("a").agg(F.min("b").alias("m"), F.count("*").alias("n")).select("a", "n", F.least("a", "m").alias("m")))
+    hubs = least.where(F.col("n") > max(HUB, total // 1000))
+    near = both.join(least.drop("n"), "a") if hubs.isEmpty() else join_hot(both, least, "a", "n", total, HUB)
     if larger:
         new = near.where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b"))
     else:
