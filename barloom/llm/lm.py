@@ -28,6 +28,7 @@ WORD = np.dtype([("word", "<u8"), ("count", "<u8"), ("left", "<u4")])
 BLOBS = "bucket int, words binary, size int, rows binary"
 STATS = ["t1", "t2", "t3", "t4", "p1", "p2", "p3", "p4", "w1", "w2", "w3", "w4", "types", "lefts", "train_tokens"]
 FACTS = STATS[:8]
+NONE = 0xFFFFFFFF  # the place of a word that a range does not have
 FEW = 4  # contexts and heads of more followers have their totals stored
 BLOCK = 64  # contexts that share the place from which theirs are counted
 
@@ -44,8 +45,8 @@ ARRAYS = {
 LONG = ["context", "next", "pair_next"]
 
 
-def tokens(column: pa.Array, key: int = 0) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Hashes of all tokens (words, then one end for each text), of the tokens one and two before them, and each text's first token."""
+def tokens(column: pa.Array, key: int = 0) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of all tokens (words, then one end for each text), and each text's first token, with all tokens' count."""
     data, starts = joined(column)
     raw = LOWER[np.frombuffer(data, np.uint8)]
     begin, end, first = spans(~SPACE[raw], starts)
@@ -55,12 +56,27 @@ def tokens(column: pa.Array, key: int = 0) -> tuple[np.ndarray, np.ndarray, np.n
     token = np.empty(len(hashes) + texts, np.uint64)
     token[np.arange(len(hashes)) + np.repeat(np.arange(texts), np.diff(first))] = hashes
     token[at[1:] - 1] = END
+    return token, at
+
+
+def previous(token: np.ndarray, at: np.ndarray, begin: int | np.uint64) -> tuple[np.ndarray, np.ndarray]:
+    """The tokens one and two before each one; begin stands for the border of a text."""
     before, twice = np.empty_like(token), np.empty_like(token)
     before[1:] = token[:-1]
-    before[at[:-1]] = BEGIN
+    before[at[:-1]] = begin
     twice[1:] = before[:-1]
-    twice[at[:-1]] = BEGIN
-    return token, before, twice, at
+    twice[at[:-1]] = begin
+    return before, twice
+
+
+def numbered(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct values in order, and each value's place in them: np.unique by a hash table, which sorts distinct values only."""
+    coded = pa.array(values).dictionary_encode()
+    words = coded.dictionary.to_numpy(zero_copy_only=False)
+    order = np.argsort(words)
+    rank = np.empty(len(words), np.int64)
+    rank[order] = np.arange(len(words))
+    return words[order], rank[coded.indices.to_numpy(zero_copy_only=False)]
 
 
 def bucket_of(h: np.ndarray, buckets: int) -> np.ndarray:
@@ -86,9 +102,14 @@ class Split:
         """The range of each word's part (0 for words that are not split)."""
         return bucket_of(mixed(mixed(middle) + part.astype(np.uint64)), buckets)
 
-    def route(self, middle: np.ndarray, last: np.ndarray, buckets: int) -> np.ndarray:
-        parts = self.of(middle)
-        return self.ranges(middle, np.where(parts > 0, mixed(last) % np.maximum(parts, 1).astype(np.uint64), 0), buckets)
+    def route(self, words: np.ndarray, middle: np.ndarray, last: np.ndarray, buckets: int) -> np.ndarray:
+        """The ranges of rows of places in words."""
+        where = self.ranges(words, np.zeros(len(words), np.uint64), buckets)[middle]
+        if len(self.words):
+            parts = self.of(words)[middle]
+            cut = np.flatnonzero(parts)
+            where[cut] = self.ranges(words[middle[cut]], mixed(words[last[cut]]) % parts[cut].astype(np.uint64), buckets)
+        return where
 
 
 def _runs(x: np.ndarray, *more: np.ndarray) -> np.ndarray:
@@ -107,30 +128,82 @@ def _find(keys: np.ndarray, asked: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return at, keys[at] == asked
 
 
-def _find_within(keys: np.ndarray | _Places, low: np.ndarray, high: np.ndarray, asked: np.ndarray, ok: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The same within keys[low:high] of each asked row, where the keys are sorted; rows that are not ok find nothing."""
-    at, end = np.where(ok, low, 0).astype(np.int64), np.where(ok, high, 0).astype(np.int64)
-    stop, live = end.copy(), np.flatnonzero(at < end)
-    while live.size:
-        middle = (at[live] + end[live]) >> 1
-        less = keys[middle] < asked[live]
-        at[live[less]] = middle[less] + 1
-        end[live[~less]] = middle[~less]
-        live = live[at[live] < end[live]]
-    found = at < stop
-    found[found] = keys[at[found]] == asked[found]
+def _find_within(keys: np.ndarray | _Places, low: np.ndarray, high: np.ndarray, asked: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The same within keys[low:high] of each asked row, where the keys are sorted; NONE is not found."""
+    at, found = np.zeros(len(asked), np.int64), np.zeros(len(asked), bool)
+    rows = np.flatnonzero((low < high) & (asked != NONE))
+    low, high, asked = low[rows].astype(np.int64), high[rows].astype(np.int64), asked[rows]
+    while rows.size:
+        # narrowed to the last key that is not larger, if any is: each row still has a key, and one key ends it
+        one = high - low == 1
+        if one.any():
+            end = np.flatnonzero(one)
+            at[rows[end]] = low[end]
+            found[rows[end]] = keys[low[end]] == asked[end]
+            on = np.flatnonzero(~one)
+            rows, low, high, asked = rows[on], low[on], high[on], asked[on]
+        middle = (low + high) >> 1
+        less = keys[middle] <= asked
+        low, high = np.where(less, middle, low), np.where(less, high, middle)
     return at, found
 
 
-def _order(n: int, *columns: np.ndarray) -> np.ndarray:
-    """The order of rows by columns of numbers below n, the first column first."""
+def _pack(n: int, columns: tuple[np.ndarray, ...]) -> tuple[np.ndarray | None, int]:
+    """Columns (two or more) of numbers below n as one number a row, the first column uppermost, and the bits of each; None if 64 do not hold them."""
     bits = max(1, int(n - 1).bit_length())
     if bits * len(columns) > 64:
-        return np.lexsort(columns[::-1])
-    key = np.zeros(len(columns[0]), np.uint64)
+        return None, bits
+    key = columns[0].astype(np.uint64)
+    for x in columns[1:]:
+        key <<= np.uint64(bits)
+        key |= x.astype(np.uint64)
+    return key, bits
+
+
+def _unpack(key: np.ndarray, bits: int, columns: int) -> list[np.ndarray]:
+    return [(key >> np.uint64(bits * k) & np.uint64((1 << bits) - 1)).astype(np.uint32) for k in reversed(range(columns))]
+
+
+def _distinct(n: int, *columns: np.ndarray) -> tuple[list[np.ndarray], np.ndarray, np.ndarray]:
+    """The distinct rows of columns of numbers below n in order (by the first column first), the order of all rows, and where
+    in it each distinct row begins."""
+    key, bits = _pack(n, columns)
+    if key is None:
+        order = np.lexsort(columns[::-1])
+        cut = _runs(*(x[order] for x in columns))
+        return [x[order[cut]] for x in columns], order, cut
+    order = np.argsort(key)
+    key = key[order]
+    cut = _runs(key)
+    return _unpack(key[cut], bits, len(columns)), order, cut
+
+
+def _counted(n: int, *columns: np.ndarray) -> tuple[list[np.ndarray], np.ndarray]:
+    """The distinct rows in order, and how often each occurs."""
+    key, bits = _pack(n, columns)
+    if key is None:
+        found, _, cut = _distinct(n, *columns)
+    else:
+        key.sort()
+        cut = _runs(key)
+        found = _unpack(key[cut], bits, len(columns))
+    return found, np.diff(np.append(cut, len(columns[0])))
+
+
+def _seen(n: int, *columns: np.ndarray) -> np.ndarray:
+    """The numbers below n that the columns hold, in order."""
+    seen = np.zeros(n, bool)
     for x in columns:
-        key = (key << np.uint64(bits)) | x.astype(np.uint64)
-    return np.argsort(key)
+        seen[x] = True
+    return np.flatnonzero(seen)
+
+
+def _by_range(where: np.ndarray, buckets: int) -> Iterator[tuple[int, np.ndarray]]:
+    """Each range that has rows, and these; 16 bits are sorted by digits."""
+    order = np.argsort(where.astype(np.uint16) if buckets <= 1 << 16 else where, kind="stable")
+    edges = np.append(_runs(where[order]), len(where))
+    for a, b in zip(edges[:-1], edges[1:], strict=True):
+        yield int(where[order[a]]), order[a:b]
 
 
 def _packed(*columns: np.ndarray) -> bytes:
@@ -161,44 +234,40 @@ def _unpacked_trigrams(raw: bytes, size: int) -> tuple[np.ndarray, ...]:
     return first, middle, last, count
 
 
-def _trigrams(last: np.ndarray, middle: np.ndarray, first: np.ndarray, buckets: int, split: Split) -> Iterator[pa.RecordBatch]:
+def _trigrams(token: np.ndarray, at: np.ndarray, buckets: int, split: Split) -> Iterator[pa.RecordBatch]:
     """Distinct trigrams with counts, one row for each range that has some, as places in the row's own words."""
-    key = trigram_keys(first, middle, last)
-    order = np.argsort(key)
-    cut = _runs(key[order])
-    count = np.diff(np.append(cut, len(key))).astype(np.uint32)
-    del key
-    at = order[cut]
-    first, middle, last = first[at], middle[at], last[at]
-    where = split.route(middle, last, buckets)
-    order = np.argsort(where, kind="stable")
-    edges = np.append(_runs(where[order]), len(where))
-    for a, b in zip(edges[:-1], edges[1:], strict=True):
-        at = order[a:b]
-        words, places, often = np.unique(np.concatenate((middle[at], first[at], last[at])), return_inverse=True, return_counts=True)
-        by = np.argsort(-often, kind="stable")  # frequent words get small numbers, which compress
-        rank = np.empty(len(words), np.int64)
-        rank[by] = np.arange(len(words))
-        m, f, w = rank[places].reshape(3, -1)
-        order_in = _order(len(words), m, f, w)
-        rows = _packed_trigrams(f[order_in], m[order_in], w[order_in], count[at][order_in])
-        yield pa.record_batch([pa.array([int(where[at[0]])], pa.int32()), pa.array([words[by].tobytes()], pa.binary()), pa.array([b - a], pa.int32()), pa.array([rows], pa.binary())], names=["bucket", "words", "size", "rows"])
-
-
-def trigram_keys(first: np.ndarray, middle: np.ndarray, last: np.ndarray) -> np.ndarray:
-    return mixed(first * np.uint64(5) + mixed(middle * np.uint64(3) + mixed(last)))
+    words, ids = numbered(np.append(token, BEGIN))
+    by = np.argsort(-np.bincount(ids), kind="stable")  # frequent words get small numbers, which compress
+    rank = np.empty(len(words), np.int64)
+    rank[by] = np.arange(len(words))
+    words, ids = words[by], rank[ids]
+    last = ids[:-1]
+    middle, first = previous(last, at, ids[-1])
+    (middle, first, last), count = _counted(len(words), middle, first, last)
+    place = np.empty(len(words), np.int64)
+    for bucket, rows in _by_range(split.route(words, middle, last, buckets), buckets):
+        m, f, w = middle[rows], first[rows], last[rows]
+        own = _seen(len(words), m, f, w)
+        place[own] = np.arange(len(own))
+        yield pa.record_batch([pa.array([bucket], pa.int32()), pa.array([words[own].tobytes()], pa.binary()), pa.array([len(rows)], pa.int32()), pa.array([_packed_trigrams(place[f], place[m], place[w], count[rows])], pa.binary())], names=["bucket", "words", "size", "rows"])
 
 
 def _count(batches: Iterator[pa.RecordBatch], buckets: int, split: Split, most: int, key: int) -> Iterator[pa.RecordBatch]:
     held, n = [], 0
+
+    def whole() -> tuple[np.ndarray, np.ndarray]:
+        sizes = np.concatenate([np.diff(at) for _, at in held])
+        return np.concatenate([token for token, _ in held]), np.append(0, np.cumsum(sizes))
+
     for b in pieces(batches, "text"):
-        held.append(tokens(b.column(0), key)[:3])
+        held.append(tokens(b.column(0), key))
         n += len(held[-1][0])
         if n >= most:
-            whole, held, n = [np.concatenate(x) for x in zip(*held, strict=True)], [], 0
-            yield from _trigrams(*whole, buckets, split)
+            token, at = whole()
+            held, n = [], 0
+            yield from _trigrams(token, at, buckets, split)
     if n:
-        yield from _trigrams(*(np.concatenate(x) for x in zip(*held, strict=True)), buckets, split)
+        yield from _trigrams(*whole(), buckets, split)
 
 
 def _by_bucket(batches: Iterator[pa.RecordBatch]) -> dict[int, list[dict]]:
@@ -263,7 +332,8 @@ def _merge_trigrams(batches: Iterator[pa.RecordBatch], folder: str, buckets: int
     """Writes each range's arrays and yields what they say of single words, by the words' ranges."""
     for bucket, rows in _by_bucket(batches).items():
         local = [np.frombuffer(r["words"], "<u8") for r in rows]
-        words = np.unique(np.concatenate(local))
+        words = np.sort(np.concatenate(local))
+        words = words[_runs(words)]
         parts = []
         for r, own in zip(rows, local, strict=True):
             to = np.searchsorted(words, own).astype(np.uint32)
@@ -273,10 +343,9 @@ def _merge_trigrams(batches: Iterator[pa.RecordBatch], folder: str, buckets: int
         f, m, w, c = (np.concatenate(x) for x in zip(*parts, strict=True))
         c = c.astype(np.uint64)
         del parts, local
-        order = _order(len(words), m, f, w)
-        m, f, w, c = m[order], f[order], w[order], c[order]
-        cut = _runs(m, f, w)
-        m, f, w, c = m[cut], f[cut], w[cut], _sums(c, cut)
+        (m, f, w), order, cut = _distinct(len(words), m, f, w)
+        c = _sums(c[order], cut)
+        del order, cut
         out: dict[str, np.ndarray] = {"words": words, "next": w}
         out["count"], out["over_at"], out["over"] = _bytes(c)
         context = _runs(m, f)
@@ -290,10 +359,8 @@ def _merge_trigrams(batches: Iterator[pa.RecordBatch], folder: str, buckets: int
         head = _runs(m)
         out["head"], out["head_from"] = m[head], np.append(np.searchsorted(context, head), len(context))
         # pairs of middle and last word count the words before them; those at a text's beginning, their occurrences
-        order = _order(len(words), m, w)
-        pair = _runs(m[order], w[order])
-        left = np.diff(np.append(pair, len(m))).astype(np.uint64)
-        pm, pw, pc = m[order[pair]], w[order[pair]], _sums(c[order], pair)
+        (pm, pw), order, pair = _distinct(len(words), m, w)
+        left, pc = np.diff(np.append(pair, len(m))).astype(np.uint64), _sums(c[order], pair)
         left = np.where(words[pm] == BEGIN, pc, left)
         out["pair_next"] = pw
         out["pair_count"], out["pair_over_at"], out["pair_over"] = _bytes(left)
@@ -308,17 +375,14 @@ def _merge_trigrams(batches: Iterator[pa.RecordBatch], folder: str, buckets: int
         stored = [out[name].astype(_kind(kind, len(words))) for name, kind in ARRAYS.items()]
         put_file(f"{folder}/trigrams-{bucket}", [np.array([len(x) for x in stored], "<u8"), *stored])
         of = [int((x == k).sum()) for x in (c, left) for k in (1, 2, 3, 4)]
-        order = np.argsort(pw, kind="stable")
-        cut = _runs(pw[order])
-        facts = np.zeros(len(cut), WORD)
-        facts["word"], facts["count"], facts["left"] = words[pw[order[cut]]], _sums(pc[order], cut), np.diff(np.append(cut, len(pw)))
-        where = bucket_of(mixed(facts["word"]), buckets)
-        order = np.argsort(where, kind="stable")
-        facts, where = facts[order], where[order]
-        edges = np.append(_runs(where), len(where))
-        for a, b in zip(edges[:-1], edges[1:], strict=True):
+        left = np.bincount(pw)
+        at = np.flatnonzero(left)
+        facts = np.zeros(len(at), WORD)
+        facts["word"], facts["left"] = words[at], left[at]
+        facts["count"] = np.bincount(pw, pc)[at]  # added as doubles, exact up to 2**53
+        for to, at in _by_range(bucket_of(mixed(facts["word"]), buckets), buckets):
             yield pa.record_batch(
-                [pa.array([int(where[a])], pa.int32()), *(pa.array([np.ascontiguousarray(facts[x][a:b]).tobytes()], pa.binary()) for x in WORD.names), *(pa.array([x], pa.int64()) for x in of)],
+                [pa.array([to], pa.int32()), *(pa.array([facts[x][at].tobytes()], pa.binary()) for x in WORD.names), *(pa.array([x], pa.int64()) for x in of)],
                 names=["bucket", *WORD.names, *FACTS],
             )
             of = [0] * len(of)
@@ -375,7 +439,8 @@ def frequent_words(texts: DataFrame, size: int, range_bytes: int, key: int, samp
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in pieces(batches, "text"):
-            _, before, _, at = tokens(b.column(0), key)
+            token, at = tokens(b.column(0), key)
+            before, _ = previous(token, at, BEGIN)
             word, n = np.unique(before, return_counts=True)
             keep = n >= share / 4 * len(before)
             yield pa.record_batch([pa.array(np.append(word[keep], np.uint64(0)).view(np.int64)), pa.array(np.append(n[keep], len(before)))], names=["word", "n"])
@@ -442,13 +507,6 @@ def _opened(model: KneserNey, file: str, bucket: int) -> np.ndarray | dict[str,
     return _MAPPED[uri]
 
 
-def _by_range(where: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
-    order = np.argsort(where, kind="stable")
-    edges = np.append(_runs(where[order]), len(where))
-    for a, b in zip(edges[:-1], edges[1:], strict=True):
-        yield int(where[order[a]]), order[a:b]
-
-
 def _counts_at(t: dict[str, np.ndarray], name: str, at: np.ndarray, ok: np.ndarray) -> np.ndarray:
     """Exact counts at the places that are ok, else 0; name: "" of trigrams, "pair_" of pairs."""
     out = np.zeros(len(at), np.int64)
@@ -459,53 +517,78 @@ def _counts_at(t: dict[str, np.ndarray], name: str, at: np.ndarray, ok: np.ndarr
     return out
 
 
-def _add_totals(t: dict[str, np.ndarray], kind: str, big: str, at: np.ndarray, low: np.ndarray, up: np.ndarray, ok: np.ndarray, rows: np.ndarray, out: np.ndarray) -> None:
-    """Adds to out[rows] the total and how many are 1, 2, and 3 or more of the counts from low to up, of rows that are ok: few of
-    them are added up here, totals of more are stored, by place `at`."""
-    few = ok & (up - low <= FEW)
+def _totals(t: dict[str, np.ndarray], kind: str, big: str, at: np.ndarray, low: np.ndarray, up: np.ndarray) -> np.ndarray:
+    """Of each row the total and how many are 1, 2, and 3 or more of the counts from low to up: few of them are added up here,
+    totals of more are stored, by place `at`."""
+    out = np.zeros((len(at), 4), np.int64)
+    size = up - low
     for k in range(FEW):
-        live = np.flatnonzero(few & (low + k < up))
+        live = np.flatnonzero((size > k) & (size <= FEW))
         one = _counts_at(t, kind, low[live] + k, np.ones(len(live), bool))
-        out[rows[live], 0] += one
-        out[rows[live], np.minimum(one, 3)] += 1
-    large = np.flatnonzero(ok & ~few)
+        out[live, 0] += one
+        out[live, np.minimum(one, 3)] += 1
+    large = np.flatnonzero(size > FEW)
     to, _ = _find(t[big], at[large])
     for k, name in enumerate(("total", "n1", "n2", "n3")):
-        out[rows[large], k] = t[f"{big}_{name}"][to]
+        out[large, k] = t[f"{big}_{name}"][to]
+    return out
+
+
+@dataclass
+class _Shared:
+    """Totals that many rows share: of each row the place of its own, the first of which are zeros."""
+
+    of: np.ndarray
+    totals: list[np.ndarray]
+    size: int = 1
 
+    def put(self, rows: np.ndarray, at: np.ndarray, totals: np.ndarray) -> None:
+        self.of[rows] = self.size + at
+        self.totals.append(totals)
+        self.size += len(totals)
 
-def _look_up(model: KneserNey, words: np.ndarray, first: np.ndarray, middle: np.ndarray, last: np.ndarray, where: np.ndarray) -> tuple[np.ndarray, ...]:
+    def whole(self) -> np.ndarray:
+        return np.concatenate(self.totals)
+
+
+def _spread(cut: np.ndarray, n: int) -> np.ndarray:
+    """The number of the run that each of n rows is in, from where runs begin."""
+    return np.repeat(np.arange(len(cut)), np.diff(np.append(cut, n)))
+
+
+def _look_up(model: KneserNey, words: np.ndarray, first: np.ndarray, middle: np.ndarray, last: np.ndarray, where: np.ndarray) -> tuple[np.ndarray, np.ndarray, _Shared, _Shared]:
     """Of each row in its range: the counts of the trigram and of the pair, and of their contexts (first, middle) and
     middle the total and how many counts are 1, 2, and 3 or more. Rows hold places in the sorted words; rows in order
-    make the reading of a file's arrays go forwards."""
+    make the reading of a file's arrays go forwards, and contexts and middle words are looked up once each."""
     n = len(where)
-    high, mid, context, head = np.zeros(n, np.int64), np.zeros(n, np.int64), np.zeros((n, 4), np.int64), np.zeros((n, 4), np.int64)
-    place, known = np.zeros(len(words), np.uint32), np.zeros(len(words), bool)
-    for bucket, rows in _by_range(where):
+    high, mid = np.zeros(n, np.int64), np.zeros(n, np.int64)
+    contexts, heads = (_Shared(np.zeros(n, np.int64), [np.zeros((1, 4), np.int64)]) for _ in range(2))
+    place = np.zeros(len(words), np.uint32)
+    for bucket, rows in _by_range(where, model.buckets):
         t = _opened(model, "trigrams", bucket)
         if t is None:
             continue
-        asked = np.zeros(len(words), bool)
-        for x in (first, middle, last):
-            asked[x[rows]] = True
-        asked = np.flatnonzero(asked)
-        place[asked], known[asked] = _find(t["words"], words[asked])
-        f, m, w = (place[x[rows]] for x in (first, middle, last))
-        okf, okm, okw = (known[x[rows]] for x in (first, middle, last))
-        h, ok = _find(t["head"], m)
-        ok &= okm
-        h = np.where(ok, h, 0)
-        low, up = t["head_pairs"][h].astype(np.int64), t["head_pairs"][h + 1].astype(np.int64)
-        _add_totals(t, "pair_", "big", h, low, up, ok, rows, head)
-        at, found = _find_within(t["pair_next"], low, up, w, ok & okw)
+        f, m, w = first[rows], middle[rows], last[rows]
+        asked = _seen(len(words), f, m, w)
+        at, ok = _find(t["words"], words[asked])
+        place[asked] = np.where(ok, at, NONE)
+        f, m, w = place[f], place[m], place[w]
+        cut = _runs(m)
+        h, ok = _find(t["head"], m[cut])
+        low, up = (np.where(ok, t["head_pairs"][h + k], 0).astype(np.int64) for k in (0, 1))
+        of = _spread(cut, len(m))
+        heads.put(rows, of, _totals(t, "pair_", "big", h, low, up))
+        at, found = _find_within(t["pair_next"], low[of], up[of], w)
         mid[rows] = _counts_at(t, "pair_", at, found)
-        at, ok = _find_within(t["context"], t["head_from"][h], t["head_from"][h + 1], f, ok & okf)
-        at = np.where(ok, at, 0)
-        low, up = t["context_from"][at], t["context_from"][at + 1]
-        to, found = _find_within(t["next"], low, up, w, ok & okw)
-        high[rows] = _counts_at(t, "", to, found)
-        _add_totals(t, "", "many", at, low, up, ok, rows, context)
-    return high, mid, context, head
+        low, up = (np.where(ok, t["head_from"][h + k], 0).astype(np.int64) for k in (0, 1))
+        cut = _runs(m, f)
+        at, ok = _find_within(t["context"], low[of[cut]], up[of[cut]], f[cut])
+        low, up = (np.where(ok, t["context_from"][at + k], 0) for k in (0, 1))
+        of = _spread(cut, len(m))
+        contexts.put(rows, of, _totals(t, "", "many", at, low, up))
+        at, found = _find_within(t["next"], low[of], up[of], w)
+        high[rows] = _counts_at(t, "", at, found)
+    return high, mid, contexts, heads
 
 
 def _totals_of_split(model: KneserNey, words: np.ndarray, first: np.ndarray, middle: np.ndarray, parts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -514,47 +597,52 @@ def _totals_of_split(model: KneserNey, words: np.ndarray, first: np.ndarray, mid
     where = model.split.ranges(words[middle[row]], np.arange(len(row)) - np.repeat(np.cumsum(parts) - parts, parts), model.buckets)
     _, once = np.unique(row * model.buckets + where, return_index=True)  # two parts may share a range
     row, where = row[once], where[once]
-    _, _, c, h = _look_up(model, words, first[row], middle[row], middle[row], where)
+    _, _, contexts, heads = _look_up(model, words, first[row], middle[row], middle[row], where)
     cut = _runs(row)
-    return np.add.reduceat(c, cut), np.add.reduceat(h, cut)
+    c, h = (np.add.reduceat(x.whole()[x.of], cut) for x in (contexts, heads))
+    return c, h
 
 
-def _step(count: np.ndarray, totals: np.ndarray, d: np.ndarray, below: np.ndarray) -> np.ndarray:
+def _step(count: np.ndarray, shared: _Shared, d: np.ndarray, below: np.ndarray) -> np.ndarray:
     """The interpolated probability of one level above `below`."""
-    total = totals[:, 0]
-    spare = np.where(total > 0, (totals[:, 1:] @ d[1:]) / np.maximum(total, 1), 1.0)
-    return (count - d[np.minimum(count, 3)]) / np.maximum(total, 1) + spare * below
+    total, *of = shared.whole().T
+    spare = np.where(total > 0, sum(x * y for x, y in zip(of, d[1:], strict=True)) / np.maximum(total, 1), 1.0)
+    return (count - d[np.minimum(count, 3)]) / np.maximum(total, 1)[shared.of] + spare[shared.of] * below
 
 
 def log_probabilities(model: KneserNey, token: np.ndarray, before: np.ndarray, twice: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """log10 of each token's interpolated probability after the two tokens before it, and its training count."""
+    words, ids = numbered(np.concatenate((twice, before, token)))
+    return _log_probabilities(model, words, *ids.reshape(3, -1))
+
+
+def _log_probabilities(model: KneserNey, words: np.ndarray, first: np.ndarray, middle: np.ndarray, last: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The same by places in the sorted words."""
     s = model.stats
     d3, d2, d1 = (discounts(*(s[f"{x}{k}"] for k in (1, 2, 3, 4))) for x in "tpw")
-    words, ids = np.unique(np.concatenate((twice, before, token)), return_inverse=True)
-    first, middle, last = ids.reshape(3, -1)
-    order = _order(len(words), middle, first, last)
-    cut = _runs(middle[order], first[order], last[order])
-    back = np.empty(len(order), np.int64)
-    back[order] = np.repeat(np.arange(len(cut)), np.diff(np.append(cut, len(order))))
-    first, middle, last = (x[order[cut]] for x in (first, middle, last))
     found = np.zeros(len(words), WORD)
-    for bucket, rows in _by_range(bucket_of(mixed(words), model.buckets)):
+    for bucket, rows in _by_range(bucket_of(mixed(words), model.buckets), model.buckets):
         if (table := _opened(model, "words", bucket)) is not None:
             place, ok = _find(table["word"], words[rows])
             found[rows[ok]] = table[place[ok]]
+    times = found["count"].astype(np.int64)[last]
     left, lefts = found["left"], max(1, s["lefts"])
     w3 = s["types"] - s["w1"] - s["w2"]
     spare = (d1[1] * s["w1"] + d1[2] * s["w2"] + d1[3] * w3) / lefts if s["lefts"] else 1.0
     low = (left - d1[np.minimum(left, 3)]) / lefts + spare / (s["types"] + 1)
-    high, mid, context, head = _look_up(model, words, first, middle, last, model.split.route(words[middle], words[last], model.buckets))
-    parts = model.split.of(words[middle])
+    (middle, first, last), order, cut = _distinct(len(words), middle, first, last)
+    back = np.empty(len(order), np.int64)
+    back[order] = _spread(cut, len(order))
+    high, mid, contexts, heads = _look_up(model, words, first, middle, last, model.split.route(words, middle, last, model.buckets))
+    parts = model.split.of(words)[middle]
     if (cut := np.flatnonzero(parts)).size:
         one = _runs(middle[cut], first[cut])
-        again = np.repeat(np.arange(len(one)), np.diff(np.append(one, len(cut))))
         c, h = _totals_of_split(model, words, first[cut[one]], middle[cut[one]], parts[cut[one]])
-        context[cut], head[cut] = c[again], h[again]
-    p = _step(high, context, d3, _step(mid, head, d2, low[last]))
-    return np.log10(p)[back], found["count"][last][back].astype(np.int64)
+        again = _spread(one, len(cut))
+        contexts.put(cut, again, c)
+        heads.put(cut, again, h)
+    p = _step(high, contexts, d3, _step(mid, heads, d2, low[last]))
+    return np.log10(p)[back], times
 
 
 def score_texts(df: DataFrame, model: KneserNey, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -564,8 +652,10 @@ def score_texts(df: DataFrame, model: KneserNey, id_col: str = "doc_id", text_co
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in pieces(batches, "text"):
-            token, before, twice, at = tokens(b.column(1), model.key)
-            logp, count = log_probabilities(model, token, before, twice)
+            token, at = tokens(b.column(1), model.key)
+            words, ids = numbered(np.append(token, BEGIN))
+            before, twice = previous(ids[:-1], at, ids[-1])
+            logp, count = _log_probabilities(model, words, twice, before, ids[:-1])
             size, score = np.diff(at), sum_by(logp, at)
             base = sum_by(np.log10((count + 1) / (n + v + 1)), at)
             known = sum_by(count > 0, at).astype(np.int64)

@@ -89,3 +89,35 @@ def test_discounts_without_counts():
     assert list(lm.discounts(0, 0, 0, 0)) == [0, 0.5, 1.0, 1.5]
     with pytest.raises(ValueError):
         lm.KneserNey("x", 1, None, {})
+
+
+def test_contexts_are_looked_up_once(spark, monkeypatch):
+    """Rows of one context share its search and its totals: what is asked of the model's files does not follow the followers."""
+    import numpy as np
+    import pyarrow as pa
+
+    text = " ".join(f"a b w{k}" for k in range(500))
+    model = lm.count_model(spark.createDataFrame([(text,)], "text string"))
+    asked, find = [], lm._find_within
+    monkeypatch.setattr(lm, "_find_within", lambda *args: asked.append(len(args[3])) or find(*args))
+    token = lm.tokens(pa.array(["a b"]), model.key)[0]
+    words = lm.tokens(pa.array([" ".join(f"w{k}" for k in range(500))]), model.key)[0]
+    p = 10 ** lm.log_probabilities(model, words, *(np.full(len(words), token[k]) for k in (1, 0)))[0]
+    assert np.ptp(p[:500]) < 1e-12 and p[500] < p[0]  # 500 followers, equally often; the end does not follow
+    ranges = len(asked) // 3  # in each: pairs, contexts, followers
+    assert sum(asked) == 2 * len(words) + ranges
+
+
+@pytest.mark.parametrize("n", [50, 5 << 20])  # rows of three of the large numbers are wider than 64 bits
+def test_distinct_rows_and_counts(n):
+    import numpy as np
+
+    columns = [np.random.default_rng(k).choice([0, 1, 7, n - 2, n - 1], 2000) for k in range(3)]
+    want, count = np.unique(np.array(columns), axis=1, return_counts=True)
+    for found, often in (lm._counted(n, *columns), (lambda x, order, cut: (x, np.diff(np.append(cut, len(order)))))(*lm._distinct(n, *columns))):
+        assert np.array_equal(np.array(found), want) and np.array_equal(often, count)
+    values, at = lm.numbered(columns[0].astype(np.uint64))
+    assert np.array_equal(values, np.unique(columns[0])) and np.array_equal(values[at], columns[0])
+    for low, high in ((0, 0), (0, 5), (2, 4)):
+        at, found = lm._find_within(values, *(np.full(6, x) for x in (low, high)), np.append(values, lm.NONE).astype(np.uint32))
+        assert found.tolist() == [low <= k < high for k in range(5)] + [False] and np.array_equal(at[found], np.flatnonzero(found))
