@@ -6,6 +6,9 @@ deals the distinct vectors to the nearest of a bounded sample of pivots, and spl
 a tree of paged nodes with routing objects, covering radii and parent distances. A query first searches one part near it;
 the score it then has bounds what other pivots it must visit. Within a tree, nodes come from a queue by the least
 distance they can hold, and stored parent distances rule entries out before their own distances are computed.
+
+Queries travel in packs and are searched a block at a time, each page with the queries of the block that it can still
+serve. Packs meet trees by reading both tables, without an exchange, so that disk follows the rows, not queries times trees.
 """
 
 from __future__ import annotations
@@ -17,7 +20,8 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from barloom.llm.common import written
@@ -25,6 +29,7 @@ from barloom.llm.common import written
 PAGE = 512  # entries of a leaf page
 SLACK = 1e-6  # room for rounding in distances, in parts of the largest norms; scores themselves are exact integers
 SURE = 2.0**52  # up to such products of norms, sums of products are exact in doubles
+SHORT = 2.0**23  # and in floats
 
 
 def lifted(x: np.ndarray, m: float) -> np.ndarray:
@@ -36,6 +41,38 @@ def _distances(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return np.sqrt(np.maximum((a * a).sum(axis=1)[:, None] + (b * b).sum(axis=1)[None] - 2 * a @ b.T, 0.0))
 
 
+class Best:
+    """The k best (score, id) of each of many queries, ties by smaller id."""
+
+    def __init__(self, floor: np.ndarray, k: int) -> None:
+        """floor: of each query; scores under it may be left out."""
+        self.k, self.worst, self.last = k, floor.astype(float), np.full(len(floor), np.iinfo(np.int64).max)
+        self.rows, self.scores, self.ids = np.zeros(0, np.int64), np.zeros(0), np.zeros(0, np.int64)
+        self.new: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+        self.waiting = 0
+
+    def add(self, rows: np.ndarray, scores: np.ndarray, ids: np.ndarray) -> None:
+        """rows: numbers of queries."""
+        if len(rows):
+            self.new.append((rows, scores, ids))
+            self.waiting += len(rows)
+            if self.waiting > self.k * len(self.worst):
+                self.settle()
+
+    def settle(self) -> None:
+        if not self.new:
+            return
+        rows, scores, ids = (np.concatenate(x) for x in zip((self.rows, self.scores, self.ids), *self.new, strict=True))
+        order = np.lexsort((ids, -scores, rows))
+        rows, scores, ids = rows[order], scores[order], ids[order]
+        place = np.arange(len(rows)) - np.searchsorted(rows, np.arange(len(self.worst)))[rows]
+        head = place == self.k - 1
+        self.worst[rows[head]], self.last[rows[head]] = scores[head], ids[head]
+        keep = place < self.k
+        self.rows, self.scores, self.ids = rows[keep], scores[keep], ids[keep]
+        self.new, self.waiting = [], 0
+
+
 class MTree:
     """Nodes in lists: routing object, covering radius, distance to the parent's routing object, children or leaf entries."""
 
@@ -43,6 +80,7 @@ class MTree:
         """points: lifted. exact: the vectors as 8-byte integers, if doubles may not hold their products."""
         self.points, self.page, self.exact = points, page, exact
         self.nodes: list[dict] = []
+        self.kind = np.float32 if len(points) and float(points[0] @ points[0]) <= SHORT else np.float64
         self.root = self._build(np.arange(len(points)), points[0]) if len(points) else None
         self.points = None  # leaves hold their own
         self.computed = 0  # distances and inner products that searches computed
@@ -53,7 +91,7 @@ class MTree:
         self.nodes.append(node)
         number = len(self.nodes) - 1
         if len(members) <= self.page or d.max() == 0:
-            node["leaf"], node["far"], node["vectors"] = members, d, np.ascontiguousarray(self.points[members, :-1])
+            node["leaf"], node["far"], node["vectors"] = members, d, np.ascontiguousarray(self.points[members, :-1], self.kind)
             return number
         # random seeds, then each member to its nearest seed; distances are let go before the children are built
         seeds = np.random.default_rng(len(members)).choice(len(members), min(16, -(-2 * len(members) // self.page)), replace=False)
@@ -128,6 +166,58 @@ class MTree:
                         heapq.heappush(queue, (x, c, y))
         return [(s, -i) for s, i in sorted(best, key=lambda e: (-e[0], -e[1]))]
 
+    def search_many(self, queries: np.ndarray, m: float, best: Best, rows: np.ndarray, starts: np.ndarray, ids: np.ndarray) -> None:
+        """Enters what the points have for many queries into `best`. queries: lifted, of norms up to sqrt(m); rows: which of
+        them to search for. The ids of point p are ids[starts[p] : starts[p + 1]]. Not for trees with `exact`."""
+        if self.root is None or not len(rows):
+            return
+        q2, plain = (queries * queries).sum(axis=1), np.ascontiguousarray(queries[:, :-1], self.kind)
+        room = SLACK * (np.sqrt(m) + np.sqrt(q2)) + SLACK
+        reach = lambda at: np.sqrt(np.maximum(q2[at] + m - 2 * best.worst[at], 0.0)) + room[at]
+        root = self.nodes[self.root]
+        d = _distances(queries[rows], root["center"][None])[:, 0]
+        self.computed += len(rows)
+        low = np.maximum(d - root["radius"], 0.0)
+        queue = [(float(low.min()), self.root, rows, d, low)]
+        while queue:
+            _, number, rows, d, low = heapq.heappop(queue)
+            node, bound = self.nodes[number], reach(rows)
+            if "leaf" in node:
+                far = node["far"]
+                live = np.maximum(low, np.maximum(d - far.max(), far.min() - d)) <= bound
+                if live.any():
+                    self._page(node, plain, rows[live], best, starts, ids)
+                continue
+            live = low <= bound
+            if not live.any():
+                continue
+            rows, d, bound = rows[live], d[live], bound[live]
+            serves = np.abs(d[:, None] - node["far"]) - node["radii"] <= bound[:, None]
+            children = np.flatnonzero(serves.any(axis=0))
+            far = _distances(queries[rows], node["centers"][children])
+            self.computed += far.size
+            for j, c in enumerate(children.tolist()):
+                x = np.maximum(far[:, j] - node["radii"][c], 0.0)
+                on = serves[:, c] & (x <= bound)
+                if on.any():
+                    heapq.heappush(queue, (float(x[on].min()), int(node["children"][c]), rows[on], far[on, j], x[on]))
+        best.settle()
+
+    def _page(self, node: dict, plain: np.ndarray, rows: np.ndarray, best: Best, starts: np.ndarray, ids: np.ndarray) -> None:
+        scores = plain[rows] @ node["vectors"].T
+        self.computed += scores.size
+        worst, n = best.worst[rows], scores.shape[1]
+        if n > best.k and np.isneginf(worst).any():  # each point has an id, so the k-th point bounds the k-th entry
+            worst = np.maximum(worst, np.partition(scores, n - best.k, axis=1)[:, n - best.k])
+        at, j = np.nonzero(scores >= worst.astype(self.kind)[:, None])
+        values, points, at = scores[at, j].astype(float), node["leaf"][j], rows[at]
+        many = starts[points + 1] - starts[points]
+        which = np.repeat(np.arange(len(points)), many)
+        found = ids[starts[points][which] + np.arange(len(which)) - (np.cumsum(many) - many)[which]]
+        at, values = at[which], values[which]
+        keep = (values > best.worst[at]) | (found <= best.last[at])
+        best.add(at[keep], values[keep], found[keep])
+
 
 def quantised(df: DataFrame, scale: int, id_col: str, vector_col: str) -> DataFrame:
     """(vec_id, vec): floor(scale * x) of each component as little-endian 8-byte integers.
@@ -138,22 +228,23 @@ def quantised(df: DataFrame, scale: int, id_col: str, vector_col: str) -> DataFr
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            ids, out = [], []
-            for i, x in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                if i is None or x is None or any(v is None for v in x):
-                    continue
-                v = np.array(x, float)
-                if np.isfinite(v).all():
-                    if (np.abs(v) >= 2.0**62 / scale).any():
-                        raise ValueError(f"vector {i}: a component is too large for scores of 64 bits")
-                    ids.append(i)
-                    out.append(np.floor(scale * v).astype("<i8").tobytes())
-            yield pa.record_batch([pa.array(ids, pa.int64()), pa.array(out, pa.binary())], names=["vec_id", "vec"])
+            rows = b.filter(pc.and_(pc.is_valid(b.column(0)), pc.is_valid(b.column(1))))
+            v = pc.fill_null(rows.column(1).flatten(), np.nan).to_numpy(zero_copy_only=False)
+            at = np.concatenate(([0], np.cumsum(rows.column(1).value_lengths().to_numpy(zero_copy_only=False), dtype=np.int64)))
+            ok = np.diff(np.concatenate(([0], np.cumsum(~np.isfinite(v))))[at]) == 0
+            own = np.repeat(ok, np.diff(at))
+            if (large := np.flatnonzero(own & (np.abs(v) >= 2.0**62 / scale))).size:
+                raise ValueError(f"vector {rows.column(0)[int(np.searchsorted(at, large[0], 'right')) - 1]}: a component is too large for scores of 64 bits")
+            ends = np.concatenate(([0], np.cumsum(8 * np.diff(at)[ok]))).astype(np.int32)
+            vec = pa.Array.from_buffers(pa.binary(), int(ok.sum()), [None, pa.py_buffer(ends), pa.py_buffer(np.floor(scale * v[own]).astype("<i8"))])
+            yield pa.record_batch([rows.column(0).filter(pa.array(ok)), vec], names=["vec_id", "vec"])
 
     return df.select(F.col(id_col).cast("long").alias("vec_id"), F.col(vector_col).cast("array<double>").alias("v")).mapInArrow(run, "vec_id long, vec binary").distinct()
 
 
 def _matrix(blobs: list[bytes], dim: int, kind: type = np.float64) -> np.ndarray:
+    if len({len(x) for x in blobs}) == 1 and len(blobs[0]) == 8 * dim:
+        return np.frombuffer(b"".join(blobs), "<i8").reshape(-1, dim).astype(kind)
     out = np.zeros((len(blobs), dim), kind)
     for row, x in zip(out, blobs, strict=True):
         v = np.frombuffer(x, "<i8")
@@ -161,13 +252,26 @@ def _matrix(blobs: list[bytes], dim: int, kind: type = np.float64) -> np.ndarray
     return out
 
 
-def top_inner_products(df: DataFrame, k: int = 20, every: int = 20, scale: int = 64, id_col: str = "vec_id", vector_col: str = "embedding", most_pivots: int = 1024, part: int = 4096, block: int = 256, page: int = PAGE) -> DataFrame:
+def _small(x: np.ndarray) -> np.ndarray:
+    """Integers in as few bytes as hold them."""
+    return x.astype(next(kind for kind in (np.int8, np.int16, np.int32, np.int64) if not x.size or np.iinfo(kind).min <= x.min() and x.max() <= np.iinfo(kind).max))
+
+
+def low_hashes(entries: DataFrame, wanted: int, n: int) -> DataFrame:
+    """(vec, h) of the n entries with about the 2 * wanted lowest hashes h. Each task of an ordered limit sends the driver as
+    many rows as are wanted; with no more candidates than these, what it gets does not follow the tasks."""
+    hashed = entries.select("vec", F.xxhash64("vec").alias("h"))
+    share = (2 * wanted + 64) / max(1, n)
+    return hashed.where(F.col("h") <= int((share - 0.5) * 2.0**64)) if share < 0.5 else hashed
+
+
+def top_inner_products(df: DataFrame, k: int = 20, every: int = 20, scale: int = 64, id_col: str = "vec_id", vector_col: str = "embedding", most_pivots: int = 1024, part: int = 4096, block: int = 256, page: int = PAGE, pack: int = 4096) -> DataFrame:
     """For each row whose id is divisible by `every`: its k highest inner products with all other rows, after
     floor(scale * x): query_id, rank (from 1), vec_id, score. Ties go to the smaller vec_id; fewer rows give fewer.
 
-    Exact for every row, however large its numbers; a score among the results beyond 64 bits is an error. most_pivots bounds the sample of pivots, part the vectors of one tree, block the queries of one
-    task's row. Shorter vectors are filled up with zeros. A vector's copies beyond the k + 1 smallest ids cannot be
-    among anyone's k highest and are not entered.
+    Exact for every row, however large its numbers; a score among the results beyond 64 bits is an error. most_pivots bounds the sample of pivots, part the vectors of one tree, pack the queries of one
+    row, block those searched at once. Shorter vectors are filled up with zeros. A vector's copies beyond the k + 1 smallest
+    ids cannot be among anyone's k highest and are not entered.
     """
     spark = df.sparkSession
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
@@ -183,85 +287,117 @@ def top_inner_products(df: DataFrame, k: int = 20, every: int = 20, scale: int =
                 yield pa.record_batch([pa.array([float((_matrix(b.column(0).to_pylist(), dim) ** 2).sum(axis=1).max())])], names=["m"])
 
     m = entries.select("vec").mapInArrow(norm, "m double").agg(F.max("m")).first()[0] or 0.0
-    pivots = entries.select("vec").orderBy(F.xxhash64("vec"), "vec").limit(int(min(most_pivots, max(1, n // part)))).collect()
+    wanted = int(min(most_pivots, max(1, n // part)))
+    pivots = low_hashes(entries, wanted, n).orderBy("h", "vec").limit(wanted).collect() or entries.select("vec").limit(1).collect()
     centers = lifted(_matrix([r["vec"] for r in pivots], dim), m)
 
     def nearest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            if b.num_rows:
-                d = _distances(lifted(_matrix(b.column(0).to_pylist(), dim), m), centers)
-                at = d.argmin(axis=1)
-                yield pa.record_batch([*b.columns, pa.array(at.astype(np.int32)), pa.array(d[np.arange(len(at)), at])], names=[*b.schema.names, "pivot", "d"])
+            for at in range(0, b.num_rows, 1024):
+                rows = b.slice(at, 1024)
+                d = _distances(lifted(_matrix(rows.column(0).to_pylist(), dim), m), centers)
+                best = d.argmin(axis=1)
+                yield pa.record_batch([*rows.columns, pa.array(best.astype(np.int32)), pa.array(d[np.arange(len(best)), best])], names=[*rows.schema.names, "pivot", "d"])
 
     placed = written(entries.mapInArrow(nearest, "vec binary, ids array<long>, pivot int, d double"))
     radius, splits = np.zeros(len(pivots)), np.ones(len(pivots), int)
     for r in placed.groupBy("pivot").agg(F.count("*").alias("n"), F.max("d").alias("d")).collect():
         radius[r["pivot"]], splits[r["pivot"]] = r["d"], -(-r["n"] // part)
     first = np.concatenate(([0], np.cumsum(splits)))  # trees of each pivot
-    salt = F.array(*[F.lit(int(s)) for s in splits]) if len(splits) else F.array(F.lit(1))
-    tree_of = F.element_at(F.array(*[F.lit(int(x)) for x in first]), F.col("pivot") + 1) + F.pmod(F.xxhash64("vec"), F.element_at(salt, F.col("pivot") + 1)).cast("int")
+
+    def of_pivot(numbers: np.ndarray) -> Column:
+        return F.element_at(F.array(*[F.lit(int(x)) for x in numbers]) if len(numbers) else F.array(F.lit(1)), F.col("pivot") + 1)
+
+    tree_of = of_pivot(first) + F.pmod(F.xxhash64("vec"), of_pivot(splits)).cast("int")
 
     def build(rows: pd.DataFrame) -> pd.DataFrame:
-        blobs = list(rows["vec"])
+        blobs, ids = list(rows["vec"]), list(rows["ids"])
         tree = MTree(lifted(_matrix(blobs, dim), m), page, _matrix(blobs, dim, np.int64) if m > SURE else None)
-        return pd.DataFrame({"tree": rows["tree"].iloc[:1], "pages": [pickle.dumps((tree, [np.array(x) for x in rows["ids"]]))]})
-
-    forest = written(placed.withColumn("tree", tree_of.cast("int")).select("tree", "vec", "ids").groupBy("tree").applyInPandas(build, "tree int, pages binary"))
-    asked = written(table.where(F.col("vec_id") % every == 0).select("vec").distinct())
-
-    def searched(targets: DataFrame) -> DataFrame:
-        """(vec, score, id) of each targeted tree for targets(tree, vec, floor), a block of queries at a time."""
-        blocks = targets.withColumn("block", F.pmod(F.xxhash64("vec"), F.lit(max(1, -(-queries // block))))).groupBy("tree", "block").agg(F.collect_list(F.struct("vec", "floor")).alias("asked"))
-
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for b in batches:
-                for rows, pages in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                    tree, ids = pickle.loads(pages)
-                    q = np.concatenate((_matrix([r["vec"] for r in rows], dim), np.zeros((len(rows), 1))), axis=1)
-                    whole = [None] * len(rows) if tree.exact is None else _matrix([r["vec"] for r in rows], dim, np.int64)
-                    out = [(r["vec"], s, i) for r, one, exact in zip(rows, q, whole, strict=True) for s, i in tree.search(one, m, k + 1, r["floor"], ids, exact)]
-                    if any(not -(1 << 63) <= s < 1 << 63 for _, s, _ in out):
-                        raise ValueError("a score is beyond 64 bits")
-                    yield pa.record_batch([pa.array([o[j] for o in out], t) for j, t in enumerate((pa.binary(), pa.int64(), pa.int64()))], names=["vec", "score", "id"])
+        starts = np.concatenate(([0], np.cumsum([len(x) for x in ids])))
+        return pd.DataFrame({"tree": rows["tree"].iloc[:1], "pages": [pickle.dumps((tree, starts, np.concatenate(ids)))]})
 
-        return blocks.join(forest, "tree").select("asked", "pages").repartition(parts, F.xxhash64("asked")).mapInArrow(run, "vec binary, score long, id long")
-
-    queries = asked.count()
+    forest = written(placed.withColumn("tree", tree_of.cast("int")).select("tree", "vec", "ids").repartition(parts, "tree").groupBy("tree").applyInPandas(build, "tree int, pages binary"))
 
     def near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """The nearest pivot's first tree of each query."""
+        """The nearest pivot of each query."""
         for b in batches:
-            if b.num_rows:
-                q = np.concatenate((_matrix(b.column(0).to_pylist(), dim), np.zeros((b.num_rows, 1))), axis=1)
-                at = first[_distances(q, centers).argmin(axis=1)]
-                yield pa.record_batch([pa.array(at.astype(np.int32)), b.column(0), pa.array(np.full(len(at), -np.inf))], names=["tree", "vec", "floor"])
+            for at in range(0, b.num_rows, 1024):
+                rows = b.slice(at, 1024)
+                pivot = _distances(np.concatenate((_matrix(rows.column(0).to_pylist(), dim), np.zeros((rows.num_rows, 1))), axis=1), centers).argmin(axis=1)
+                yield pa.record_batch([*rows.columns, pa.array(pivot.astype(np.int32))], names=["vec", "q", "pivot"])
+
+    # a query goes by the least of its rows' ids
+    asked = written(table.where(F.col("vec_id") % every == 0).groupBy("vec").agg(F.min("vec_id").alias("q")).mapInArrow(near, "vec binary, q long, pivot int"))
+    counts = np.zeros(len(pivots), int)
+    for r in asked.groupBy("pivot").count().collect():
+        counts[r["pivot"]] = r["count"]
+
+    def packed(rows: pd.DataFrame, home: bool) -> tuple:
+        """The ids, integers, floors and home trees (-1: search there too) of a pack's queries."""
+        at = first[rows["pivot"].to_numpy()]
+        return rows["q"].to_numpy(), _small(_matrix(list(rows["vec"]), dim, np.int64)), rows["floor"].to_numpy() if home else np.full(len(rows), -np.inf), at if home else np.full(len(rows), -1)
+
+    def at_home(rows: pd.DataFrame) -> pd.DataFrame:
+        return pd.DataFrame({"pack": rows["pack"].iloc[:1], "tree": [int(first[rows["pivot"].iloc[0]])], "asked": [pickle.dumps(packed(rows, False))]})
+
+    def abroad(rows: pd.DataFrame) -> pd.DataFrame:
+        """A pack with all trees, besides a query's home, that can hold a score of the floor or more for one of its queries."""
+        _, x, floor, home = data = packed(rows, True)
+        ok = np.zeros(int(first[-1]), bool)
+        for at in range(0, len(x), block):
+            q = np.concatenate((x[at : at + block].astype(float), np.zeros((len(x[at : at + block]), 1))), axis=1)
+            q2 = (q * q).sum(axis=1)[:, None]
+            low = np.maximum(_distances(q, centers) - radius - SLACK * (np.sqrt(m) + np.sqrt(q2)) - SLACK, 0.0)
+            serves = np.repeat((q2 + m - low**2) / 2 >= floor[at : at + block, None] - SLACK * (m + q2) - SLACK, splits, axis=1)
+            serves[np.arange(len(q)), home[at : at + block]] = False
+            ok |= serves.any(axis=0)
+        return pd.DataFrame({"pack": rows["pack"].iloc[:1], "asked": [pickle.dumps(data)], "trees": [np.flatnonzero(ok).astype(np.int32)]})
 
-    begun = written(searched(asked.mapInArrow(near, "tree int, vec binary, floor double")))
-    floors = asked.join(begun.groupBy("vec").agg(F.count("*").alias("n"), F.min("score").cast("double").alias("least")), "vec", "left").select("vec", F.when(F.col("n") > k, F.col("least")).otherwise(F.lit(float("-inf"))).alias("floor"))
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Each pack's best in the trees that come with it."""
+
+        def out(found: list[tuple[np.ndarray, np.ndarray, np.ndarray]]) -> pa.RecordBatch:
+            return pa.record_batch([pa.array(np.concatenate([x[j] for x in found]), pa.int64()) for j in range(3)], names=["q", "score", "id"])
 
-    def others(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """All other trees that can hold a score of the floor or more."""
+        number, q, x, floor, home, held = None, *[np.zeros(0)] * 4, []
         for b in batches:
-            if not b.num_rows:
-                continue
-            q = np.concatenate((_matrix(b.column(0).to_pylist(), dim), np.zeros((b.num_rows, 1))), axis=1)
-            d = _distances(q, centers)
-            home = first[d.argmin(axis=1)]
-            q2 = (q * q).sum(axis=1)[:, None]
-            low = np.maximum(d - radius - SLACK * (np.sqrt(m) + np.sqrt(q2)) - SLACK, 0.0)
-            floor = b.column(1).to_numpy(zero_copy_only=False)
-            row, pivot = np.nonzero((q2 + m - low**2) / 2 >= floor[:, None] - SLACK * (m + q2) - SLACK)
-            reps = splits[pivot]
-            row, tree = np.repeat(row, reps), np.repeat(first[pivot] - (np.cumsum(reps) - reps), reps) + np.arange(int(reps.sum()))
-            ok = tree != home[row]
-            at = pa.array(row[ok])
-            yield pa.record_batch([pa.array(tree[ok].astype(np.int32)), b.column(0).take(at), b.column(1).take(at)], names=["tree", "vec", "floor"])
-
-    found = begun.unionByName(searched(floors.mapInArrow(others, "tree int, vec binary, floor double")))
+            for which, asked, t, pages in zip(*(b.column(j) for j in range(4)), strict=True):
+                if which.as_py() != number:
+                    if held:
+                        yield out([(q[at][h.rows], h.scores.astype(np.int64), h.ids) for at, h in held])
+                    number, (q, x, floor, home) = which.as_py(), pickle.loads(asked.as_py())
+                    held = [(slice(at, at + block), Best(floor[at : at + block], k + 1)) for at in range(0, len(q), block)] if m <= SURE else []
+                tree, starts, ids = pickle.loads(pages.as_py())
+                for at, best in held:
+                    tree.search_many(np.concatenate((x[at].astype(float), np.zeros((len(x[at]), 1))), axis=1), m, best, np.flatnonzero(home[at] != t.as_py()), starts, ids)
+                if m > SURE:
+                    each = np.split(ids, starts[1:-1])
+                    some = [(i, s, j) for i, one, least, h in zip(q.tolist(), x.astype(np.int64), floor, home, strict=True) if h != t.as_py() for s, j in tree.search(np.append(one.astype(float), 0.0), m, k + 1, least, each, one)]
+                    if any(not -(1 << 63) <= s < 1 << 63 for _, s, _ in some):
+                        raise ValueError("a score is beyond 64 bits")
+                    if some:
+                        yield out([tuple(np.array(y, np.int64) for y in zip(*some, strict=True))])
+        if held:
+            yield out([(q[at][h.rows], h.scores.astype(np.int64), h.ids) for at, h in held])
+
+    kinds = "q long, score long, id long"
+    # rows of pages and packs are large, and files tell little of how large: no join may choose to broadcast them
+    needed = -(-counts // pack)
+    own_pack = asked.withColumn("pack", (of_pivot(np.cumsum(needed) - needed) + F.pmod(F.xxhash64("vec"), of_pivot(np.maximum(needed, 1)))).cast("int"))
+    homes = own_pack.groupBy("pack").applyInPandas(at_home, "pack int, tree int, asked binary")
+    begun = written(homes.join(forest.hint("merge"), "tree").select("pack", "asked", "tree", "pages").repartition(parts, "pack").mapInArrow(run, kinds))
+    floors = begun.groupBy("q").agg(F.count("*").alias("n"), F.min("score").cast("double").alias("least"))
+    floor = F.when(F.col("n") > k, F.col("least")).otherwise(F.lit(float("-inf"))).alias("floor")
+    place = of_pivot(np.cumsum(counts) - counts) + F.pmod(F.xxhash64("vec"), of_pivot(np.maximum(counts, 1)))
+    waiting = asked.join(floors.hint("merge"), "q", "left").select("vec", "q", "pivot", floor).withColumn("pack", F.floor(place / pack).cast("int"))
+    packs = written(waiting.repartition(parts, "pack").groupBy("pack").applyInPandas(abroad, "pack int, asked binary, trees array<int>"))
+    pairs = packs.join(forest.hint("shuffle_replicate_nl"), F.expr("array_contains(trees, tree)")).select("pack", "asked", "tree", "pages")
+
     order = (F.desc("score"), F.asc("id"))
-    best = found.withColumn("n", F.row_number().over(Window.partitionBy("vec").orderBy(*order))).where(F.col("n") <= k + 1).drop("n")
-    own = table.where(F.col("vec_id") % every == 0).select(F.col("vec_id").alias("query_id"), "vec")
-    ranked = own.join(best, "vec").where("id <> query_id").withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(*order)))
+    found = begun.unionByName(pairs.mapInArrow(run, kinds))
+    best = found.withColumn("n", F.row_number().over(Window.partitionBy("q").orderBy(*order))).where(F.col("n") <= k + 1).drop("n")
+    own = table.where(F.col("vec_id") % every == 0).withColumnRenamed("vec_id", "query_id").join(asked.select("vec", "q").hint("merge"), "vec").select("query_id", "q")
+    ranked = own.join(best, "q").where("id <> query_id").withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(*order)))
     return ranked.where(F.col("rank") <= k).select("query_id", "rank", F.col("id").alias("vec_id"), "score")
 
 

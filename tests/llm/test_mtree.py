@@ -96,3 +96,64 @@ def test_small_pages_prune_where_there_are_clusters(page):
         assert got == sorted(((int(x[j] @ q), j) for j in range(len(x))), key=lambda e: (-e[0], e[1]))[:7]
     share = tree.computed / len(x) / len(x[::100])
     assert share < (0.75 if page == 16 else 1.1), share
+
+
+@pytest.mark.parametrize("spread", [0.5, 40])
+def test_queries_of_a_block_share_pages_and_equal_brute_force(spread):
+    rng = np.random.default_rng(6)
+    x = np.unique(np.rint(np.repeat(rng.normal(0, 30, (30, 6)), 60, axis=0) + rng.normal(0, spread, (1800, 6))), axis=0)
+    m = float((x * x).sum(axis=1).max())
+    tree = M.MTree(M.lifted(x, m), page=32)
+    many = rng.integers(1, 4, len(x))  # copies, whose ids are not in the points' order
+    starts = np.concatenate(([0], np.cumsum(many)))
+    ids = np.concatenate([np.sort(y) for y in np.split(rng.permutation(int(many.sum())), starts[1:-1])])
+    q = x[::10]
+    asked = np.concatenate((q, np.zeros((len(q), 1))), axis=1)
+    everything = [sorted(((int(s), int(i)) for p, s in enumerate(x @ one) for i in ids[starts[p] : starts[p + 1]]), key=lambda e: (-e[0], e[1])) for one in q]
+    for floor in (np.full(len(q), -np.inf), np.array([float(e[9][0]) for e in everything])):
+        best = M.Best(floor, 7)
+        tree.search_many(asked, m, best, np.arange(1, len(q)), starts, ids)
+        assert not (best.rows == 0).any()
+        for j in range(1, len(q)):
+            assert list(zip(best.scores[best.rows == j].astype(int).tolist(), best.ids[best.rows == j].tolist())) == everything[j][:7]
+    if spread < 1:
+        assert tree.computed < 0.8 * 2 * len(x) * len(q)
+
+
+def test_equal_scores_keep_the_smaller_ids_however_many_there_are():
+    x = np.zeros((300, 3))
+    x[:, 0], x[:, 1] = 1, np.arange(300)
+    m = float((x * x).sum(axis=1).max())
+    tree, ids = M.MTree(M.lifted(x, m), page=8), np.arange(300)[::-1].copy()
+    best = M.Best(np.full(40, -np.inf), 5)
+    tree.search_many(np.tile([2.0, 0.0, 0.0, 0.0], (40, 1)), m, best, np.arange(40), np.arange(301), ids)
+    assert best.ids.reshape(40, 5).tolist() == [[0, 1, 2, 3, 4]] * 40 and set(best.scores.tolist()) == {2.0}
+
+
+def test_pages_are_not_exchanged_and_the_driver_gets_few_candidates(spark):
+    df = spark.range(20000).select(F.col("id").alias("vec_id"), F.array(*[F.hash("id", F.lit(j)) % 100 / 64.0 for j in range(6)]).alias("embedding"))
+    found = M.top_inner_products(df, k=3, every=2500, part=400)
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "CartesianProduct" in plan and not [x for x in plan.splitlines() if "Exchange" in x and "asked" in x]
+    rows = [(r["vec_id"], [float(c) for c in r["embedding"]]) for r in df.collect()]
+    v = np.floor(64 * np.array([x for _, x in rows])).astype(int)
+    ids = np.array([i for i, _ in rows])
+    expected = []
+    for q in np.flatnonzero(ids % 2500 == 0):
+        order = [j for j in np.lexsort((ids, -(v @ v[q]))) if j != q][:3]
+        expected += [(int(ids[q]), r, int(ids[j]), int(v[j] @ v[q])) for r, j in enumerate(order, start=1)]
+    assert sorted(map(tuple, found.collect())) == sorted(expected)
+    # in many tasks, of which each would send the wanted number
+    entries = M.quantised(df, 64, "vec_id", "embedding").repartition(32)
+    few = M.low_hashes(entries, 50, 20000)
+    assert 50 <= few.count() < 330
+    least = [tuple(r) for r in entries.select("vec", F.xxhash64("vec").alias("h")).orderBy("h", "vec").limit(50).collect()]
+    assert [tuple(r) for r in few.orderBy("h", "vec").limit(50).collect()] == least
+
+
+def test_quantised_rows_of_any_kind(spark):
+    data = [(1, [1.0, -0.01]), (2, []), (3, None), (None, [1.0]), (4, [None]), (5, [float("nan"), 1e300]), (6, [0.5, 2.0, -3.0]), (7, [float("inf")]), (6, [0.5, 2.0, -3.0])]
+    got = M.quantised(spark.createDataFrame(data, "vec_id long, embedding array<double>").coalesce(1), 64, "vec_id", "embedding").collect()
+    assert sorted((r[0], np.frombuffer(r[1], "<i8").tolist()) for r in got) == [(1, [64, -1]), (2, []), (6, [32, 128, -192])]
+    with pytest.raises(Exception, match="vector 9: a component is too large"):
+        M.quantised(spark.createDataFrame([(8, [1.0]), (9, [1.0, -1e30]), (10, [2.0])], "vec_id long, embedding array<double>").coalesce(1), 64, "vec_id", "embedding").count()
