@@ -30,6 +30,8 @@ PAGE = 512  # entries of a leaf page
 SLACK = 1e-6  # room for rounding in distances, in parts of the largest norms; scores themselves are exact integers
 SURE = 2.0**52  # up to such products of norms, sums of products are exact in doubles
 SHORT = 2.0**23  # and in floats
+WIDE = 16 << 20  # bytes of 8-byte components that a tree, a pack or the pivots hold at most: fewer of them where vectors are long
+SHARES = 4  # of the packs: so many tasks read each part of the forest
 
 
 def lifted(x: np.ndarray, m: float) -> np.ndarray:
@@ -85,6 +87,16 @@ class MTree:
         self.points = None  # leaves hold their own
         self.computed = 0  # distances and inner products that searches computed
 
+    def __getstate__(self) -> dict:
+        """Vectors of whole numbers travel in as few bytes as hold them."""
+        return self.__dict__ | {"nodes": [x | {"vectors": _small(x["vectors"])} if "vectors" in x and (x["vectors"] == np.rint(x["vectors"])).all() else x for x in self.nodes]}
+
+    def __setstate__(self, state: dict) -> None:
+        self.__dict__ = state
+        for x in self.nodes:
+            if "vectors" in x:
+                x["vectors"] = x["vectors"].astype(self.kind)
+
     def _build(self, members: np.ndarray, center: np.ndarray) -> int:
         d = _distances(self.points[members], center[None])[:, 0]
         node = {"center": center, "radius": float(d.max()), "parent": 0.0}
@@ -287,6 +299,7 @@ def top_inner_products(df: DataFrame, k: int = 20, every: int = 20, scale: int =
                 yield pa.record_batch([pa.array([float((_matrix(b.column(0).to_pylist(), dim) ** 2).sum(axis=1).max())])], names=["m"])
 
     m = entries.select("vec").mapInArrow(norm, "m double").agg(F.max("m")).first()[0] or 0.0
+    part, pack, most_pivots = (max(1, min(x, WIDE // (8 * dim))) for x in (part, pack, most_pivots))
     wanted = int(min(most_pivots, max(1, n // part)))
     pivots = low_hashes(entries, wanted, n).orderBy("h", "vec").limit(wanted).collect() or entries.select("vec").limit(1).collect()
     centers = lifted(_matrix([r["vec"] for r in pivots], dim), m)
@@ -391,7 +404,7 @@ def top_inner_products(df: DataFrame, k: int = 20, every: int = 20, scale: int =
     place = of_pivot(np.cumsum(counts) - counts) + F.pmod(F.xxhash64("vec"), of_pivot(np.maximum(counts, 1)))
     waiting = asked.join(floors.hint("merge"), "q", "left").select("vec", "q", "pivot", floor).withColumn("pack", F.floor(place / pack).cast("int"))
     packs = written(waiting.repartition(parts, "pack").groupBy("pack").applyInPandas(abroad, "pack int, asked binary, trees array<int>"))
-    pairs = packs.join(forest.hint("shuffle_replicate_nl"), F.expr("array_contains(trees, tree)")).select("pack", "asked", "tree", "pages")
+    pairs = packs.coalesce(SHARES).join(forest.hint("shuffle_replicate_nl"), F.expr("array_contains(trees, tree)")).select("pack", "asked", "tree", "pages")
 
     order = (F.desc("score"), F.asc("id"))
     found = begun.unionByName(pairs.mapInArrow(run, kinds))

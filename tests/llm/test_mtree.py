@@ -1,3 +1,5 @@
+import pickle
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -151,6 +153,31 @@ def test_pages_are_not_exchanged_and_the_driver_gets_few_candidates(spark):
     assert [tuple(r) for r in few.orderBy("h", "vec").limit(50).collect()] == least
 
 
+def test_long_vectors_make_smaller_trees_and_the_tasks_of_pairs_stay_few(spark, monkeypatch):
+    monkeypatch.setattr(M, "WIDE", 8 * 5 * 30)
+    rng = np.random.default_rng(7)
+    ids, x = np.arange(900), rng.normal(size=(900, 5))
+    kept = []
+    monkeypatch.setattr(M, "written", lambda df, write=M.written: kept.append(write(df)) or kept[-1])
+    found = M.top_inner_products(spark.createDataFrame([(int(i), v.tolist()) for i, v in zip(ids, x)], "vec_id long, embedding array<double>"), k=4)
+    assert found._jdf.queryExecution().executedPlan().toString().count("Coalesce") >= 1
+    assert sorted(map(tuple, found.collect())) == brute(ids, x, 4)
+    forest = next(df for df in kept if "pages" in df.columns).collect()
+    assert len(forest) >= 30 and max(len(pickle.loads(r["pages"])[1]) for r in forest) < 90
+
+
+def test_trees_travel_in_few_bytes():
+    x = np.rint(np.random.default_rng(8).normal(0, 8, (1000, 64)))
+    m = float((x * x).sum(axis=1).max())
+    tree = M.MTree(M.lifted(x, m))
+    sent = pickle.dumps(tree)
+    assert len(sent) < 120 * len(x)
+    again, ids, q = pickle.loads(sent), [np.array([i]) for i in range(len(x))], np.append(x[3], 0.0)
+    assert again.search(q, m, 9, -np.inf, ids) == tree.search(q, m, 9, -np.inf, ids)
+    half = M.MTree(M.lifted(x / 2 + 0.25, m))
+    assert (pickle.loads(pickle.dumps(half)).nodes[-1]["vectors"] == half.nodes[-1]["vectors"]).all()
+
+
 def test_quantised_rows_of_any_kind(spark):
     data = [(1, [1.0, -0.01]), (2, []), (3, None), (None, [1.0]), (4, [None]), (5, [float("nan"), 1e300]), (6, [0.5, 2.0, -3.0]), (7, [float("inf")]), (6, [0.5, 2.0, -3.0])]
     got = M.quantised(spark.createDataFrame(data, "vec_id long, embedding array<double>").coalesce(1), 64, "vec_id", "embedding").collect()
